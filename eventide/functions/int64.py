@@ -8,6 +8,8 @@ element lateness test, which is not saturated).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def wrapping_add_le(a: Column, b: int, rhs: Column) -> Column:
     NULL ``rhs`` stands for "no watermark yet" and compares as false.
     """
     summed = F.try_add(a, lit_long(b))
-    wrapped = a.cast("decimal(21,0)") + F.lit(b - TWO_64).cast("decimal(21,0)")
+    wrapped = a.cast("decimal(21,0)") + F.lit(Decimal(b - TWO_64)).cast("decimal(21,0)")
     return F.when(summed.isNull(), wrapped <= rhs.cast("decimal(21,0)")).otherwise(summed <= rhs)
 
 
