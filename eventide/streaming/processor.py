@@ -1,0 +1,232 @@
+"""Stateful per-key window operator for ``transformWithStateInPandas`` (A1 stream).
+
+Keyed state: ``wm`` (ValueState, the key's watermark) and ``windows``
+(MapState window_end -> start, fired flag, accumulator fields). No timers: a
+key's windows only fire on that key's own rows (per-key watermark).
+
+Per micro-batch and key the rows arrive unordered and in several Arrow
+chunks; all chunks are concatenated and sorted by the arrival order, then the
+batch is processed with numpy/pandas in one vectorised pass that applies the
+closed form of :mod:`eventide.operators.window_agg` starting from the stored
+state. The result is the same as the batch operator on the same arrival
+order, for any cut into micro-batches.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from eventide.plans.spec import FIRE_AND_PURGE, LONG_MAX, WindowAggSpec
+
+NONE = np.iinfo(np.int64).min  # "no watermark yet"
+
+_NP = {"sum": np.add, "count": np.add, "min": np.minimum, "max": np.maximum}
+
+
+def output_schema(key: str, key_type: str, order: Sequence[str], fields: Sequence[str], ts: str) -> str:
+    """Firings (kind='fire') and side-output rows (kind='late') share one schema."""
+    cols = [f"kind string", f"{key} {key_type}", "window_start bigint", "window_end bigint", "fire string"]
+    cols += [f"trigger_{o} bigint" for o in order]
+    cols += [f"{f} bigint" for f in fields]
+    cols += [f"{ts} bigint"]
+    return ", ".join(cols)
+
+
+class PerKeyWindowProcessor(StatefulProcessor):
+    """Window aggregation under a per-key watermark, state kept between micro-batches."""
+
+    def __init__(self, spec: WindowAggSpec, key: str, ts: str, order: Sequence[str],
+                 fields: Sequence[tuple[str, str]]):
+        if spec.watermark.strategy != "key":
+            raise ValueError("the streaming processor implements the per-key watermark")
+        self.spec, self.key, self.ts, self.order = spec, key, ts, list(order)
+        self.fields = list(fields)  # (name, op) with op in sum/count/min/max over _in_<name>
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wm = handle.getValueState("wm", "wm bigint")
+        value_schema = ", ".join(["start bigint", "fired boolean"] + [f"{n} bigint" for n, _ in self.fields])
+        self.windows = handle.getMapState("windows", "end bigint", value_schema)
+
+    # ---------------------------------------------------------------- helpers
+    def _merge(self, op: str, a, b):
+        if a is None:
+            return b
+        if b is None:
+            return a
+        return int(_NP[op](a, b))
+
+    def _window_rows(self, ts: np.ndarray):
+        """(row index, window start) for every (row, window) pair."""
+        w = self.spec.window
+        ok = ts <= LONG_MAX - w.slide + w.offset  # otherwise the reference's start wraps: no window
+        last = ts - np.mod(ts - w.offset, w.slide)
+        top = LONG_MAX - w.size
+        newest = np.minimum(last, top - ((top - w.offset) % w.slide))
+        lowest = ts - (w.size - 1)
+        n = np.where(ok & (newest >= lowest), (newest - lowest) // w.slide + 1, 0)
+        idx = np.repeat(np.arange(len(ts)), n)
+        k = np.arange(len(idx)) - np.repeat(np.cumsum(n) - n, n)
+        return idx, newest[idx] - k * w.slide, n, newest
+
+    # ---------------------------------------------------------------- main
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spec, w, lat = self.spec, self.spec.window, self.spec.lateness
+        pdf = pd.concat(list(rows), ignore_index=True)
+        # columns come in the order of the prepared projection; constant inputs lose their names
+        pdf.columns = [self.key, self.ts, *self.order, *[f"_in_{n}" for n, _ in self.fields]]
+        pdf = pdf.sort_values(self.order, kind="mergesort").reset_index(drop=True)
+        ts = pdf[self.ts].to_numpy(dtype=np.int64)
+        key_value = key[0]
+
+        wm0 = self.wm.get()[0] if self.wm.exists() else None
+        start = NONE if wm0 is None else wm0
+        contrib = np.where(ts >= np.iinfo(np.int64).min + spec.watermark.bound, ts - spec.watermark.bound, NONE)
+        after = np.maximum.accumulate(np.maximum(contrib, start)) if len(ts) else contrib
+        before = np.concatenate([[start], after[:-1]]) if len(ts) else after
+        has_wm = before != NONE
+        wm_final = int(after[-1]) if len(ts) else start
+
+        state = {int(k[0]): list(v) for k, v in self.windows.iterator()}
+
+        idx, wstart, n_windows, newest = self._window_rows(ts)
+        max_ts = wstart + (w.size - 1)
+        b = before[idx]
+        hb = has_wm[idx]
+        cleanup = np.where(max_ts > LONG_MAX - lat, LONG_MAX, max_ts + lat)
+        drop = hb & (cleanup <= b)
+        late = hb & ~drop & (max_ts <= b)
+        on = ~drop & ~late
+
+        out = []
+        ins = {n: pdf[f"_in_{n}"].to_numpy() for n, _ in self.fields}
+
+        def acc_of(rows_idx):
+            vals = []
+            for n, op in self.fields:
+                v = ins[n][rows_idx]
+                if op == "count":
+                    vals.append(int(np.sum(~pd.isna(v))))
+                elif len(v) == 0:
+                    vals.append(None)
+                else:
+                    vals.append(int({"sum": np.sum, "min": np.min, "max": np.max}[op](v)))
+            return vals
+
+        pair_end = wstart + w.size
+        live = np.nonzero(on | late)[0]
+        by_end = pd.Series(live).groupby(pair_end[live]).indices if len(live) else {}
+        empty = np.array([], dtype=np.int64)
+        ends = set(int(e) for e in by_end) | set(state)
+        new_state = {}
+        for end in sorted(ends):
+            m = end - 1
+            st = state.get(end)
+            s_start = end - w.size
+            s_acc = st[2:] if st else [None] * len(self.fields)
+            fired_before = bool(st[1]) if st else (wm0 is not None and m <= wm0)
+            pos = live[by_end[end]] if end in by_end else empty
+            on_rows = idx[pos[on[pos]]]
+            late_rows = idx[pos[late[pos]]]
+            acc = [self._merge(op, a, c) for (n, op), a, c in zip(self.fields, s_acc, acc_of(on_rows))]
+            fires_now = (not fired_before and wm_final != NONE and m <= wm_final
+                         and (st is not None or len(on_rows) > 0))
+            if fires_now:
+                t = int(np.searchsorted(after, m, side="left"))
+                trig = [int(pdf[o].iloc[t]) for o in self.order]
+                out.append(("fire", s_start, end, "on_time", trig, acc, None))
+            # late refires, one per late pair in arrival order
+            running = list(acc)
+            for r in late_rows:
+                one = acc_of(np.array([r]))
+                if spec.trigger == FIRE_AND_PURGE:
+                    emitted = one
+                else:
+                    running = [self._merge(op, a, c) for (n, op), a, c in zip(self.fields, running, one)]
+                    emitted = running
+                trig = [int(pdf[o].iloc[r]) for o in self.order]
+                out.append(("fire", s_start, end, "late", trig, list(emitted), None))
+            fired = fired_before or fires_now or len(late_rows) > 0
+            if wm_final != NONE and m <= LONG_MAX - lat and m + lat <= wm_final:
+                continue  # cleanup time passed: state removed
+            if fired and spec.trigger == FIRE_AND_PURGE:
+                continue  # purged at every firing
+            if st is None and len(on_rows) == 0 and len(late_rows) == 0:
+                continue
+            new_state[end] = [s_start, fired] + list(running)
+
+        for end in state:
+            if end not in new_state:
+                self.windows.removeKey((end,))
+        for end, v in new_state.items():
+            self.windows.updateValue((end,), tuple(v))
+        if wm_final != NONE:
+            self.wm.update((wm_final,))
+
+        # rows accepted by no window
+        accepted = np.zeros(len(ts), dtype=bool)
+        accepted[idx[on | late]] = True
+        with np.errstate(over="ignore"):
+            lat_sum = ts + np.int64(lat)  # wraps around like a Java long, as the reference's test does
+        elem_late = has_wm & (lat_sum <= before)
+        side = ~accepted & elem_late
+        for r in np.nonzero(side)[0]:
+            trig = [int(pdf[o].iloc[r]) for o in self.order]
+            out.append(("late", None, None, None, trig, [None] * len(self.fields), int(ts[r])))
+
+        cols = {c: [] for c in ["kind", self.key, "window_start", "window_end", "fire"]}
+        for o in self.order:
+            cols[f"trigger_{o}"] = []
+        for n, _ in self.fields:
+            cols[n] = []
+        cols[self.ts] = []
+        for kind, s, e, fire, trig, accv, t in out:
+            cols["kind"].append(kind)
+            cols[self.key].append(key_value)
+            cols["window_start"].append(s)
+            cols["window_end"].append(e)
+            cols["fire"].append(fire)
+            for o, v in zip(self.order, trig):
+                cols[f"trigger_{o}"].append(v)
+            for (n, _), v in zip(self.fields, accv):
+                cols[n].append(v)
+            cols[self.ts].append(t)
+        # object columns of Python ints and None: nullable BIGINT on the Arrow side
+        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in cols.items()})
+
+    def close(self) -> None:
+        pass
+
+
+class PerKeyLateSplitProcessor(StatefulProcessor):
+    """C1 streaming: tag each row late/in_time against its key's watermark (ValueState)."""
+
+    def __init__(self, bound: int, key: str, ts: str, order: Sequence[str], id_col: str):
+        self.bound, self.key, self.ts, self.order, self.id_col = bound, key, ts, list(order), id_col
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wm = handle.getValueState("wm", "wm bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="mergesort")
+        ts = pdf[self.ts].to_numpy(dtype=np.int64)
+        start = self.wm.get()[0] if self.wm.exists() else NONE
+        contrib = np.where(ts >= np.iinfo(np.int64).min + self.bound, ts - self.bound, NONE)
+        after = np.maximum.accumulate(np.maximum(contrib, start))
+        before = np.concatenate([[start], after[:-1]])
+        late = (before != NONE) & (ts <= before)
+        if after[-1] != NONE:
+            self.wm.update((int(after[-1]),))
+        yield pd.DataFrame({
+            self.id_col: pdf[self.id_col].to_numpy(),
+            self.key: pdf[self.key].to_numpy(),
+            self.ts: ts,
+            "wm_seen": before,
+            "tag": np.where(late, "late", "in_time"),
+        })
+
+    def close(self) -> None:
+        pass
