@@ -39,6 +39,7 @@ from eventide.functions.aggregates import Accumulator
 from eventide.functions.int64 import lit_long, min_long_or, saturating_add, wrapping_add_le
 from eventide.operators.watermark import as_list, scope_keys, with_watermarks
 from eventide.operators.windows import explode_windows, with_window_geometry
+from eventide.plans.materialize import materialize
 from eventide.plans.prefix import prefix_scan
 from eventide.plans.reach import first_reaching, null_safe_join
 from eventide.plans.spec import FIRE_AND_PURGE, WindowAggSpec
@@ -81,6 +82,7 @@ def windowed_agg(
     aggregate: Accumulator | dict[str, Column],
     window_fn: Callable[[dict[str, Column]], Column] | None = None,
     emit: str = "pass",
+    materialize_rows: str = "checkpoint",
 ) -> WindowAggResult:
     """Aggregate ``df`` per key and event-time window under ``spec``.
 
@@ -90,6 +92,8 @@ def windowed_agg(
     emit: 'pass' (keys and results, G4) or 'enrich' (window_end first, G5).
     window_fn: G6, maps the firing's columns to an array of structs, one output
     row per element (0..n).
+    materialize_rows: 'checkpoint' computes the watermarked rows once (they feed
+    every output); 'none' leaves the plan lazy.
     """
     keys, order = as_list(key), as_list(order)
     w, lateness = spec.window, spec.lateness
@@ -105,16 +109,17 @@ def windowed_agg(
 
     base = df.select("*", *acc.inputs()) if acc else df
     marked = with_watermarks(base, wm_spec, keys, ts, order)
-    data = marked.filter(F.col(wm_spec.marker).isNull()) if wm_spec.strategy == "column" else marked
 
     # ---- per row: accepted by some window / late / gap (no explode needed) ----
-    rows = with_window_geometry(data, ts, w)
+    marked = with_window_geometry(marked, ts, w)
     newest_cleanup = saturating_add(F.col("_w_newest") + lit_long(w.size - 1), lateness)
     accepted = (F.col("n_windows") > 0) & ~F.coalesce(newest_cleanup <= F.col("wm_before"), F.lit(False))
     elem_late = F.coalesce(wrapping_add_le(F.col(ts), lateness, F.col("wm_before")), F.lit(False))
-    rows = rows.withColumn(
+    marked = marked.withColumn(
         "tag", F.when(accepted, F.lit(IN_WINDOW)).when(elem_late, F.lit(LATE)).otherwise(F.lit(GAP))
     ).withColumn("n_dropped_windows", _dropped_windows(spec))
+    marked = materialize(marked, materialize_rows)
+    rows = marked.filter(F.col(wm_spec.marker).isNull()) if wm_spec.strategy == "column" else marked
 
     # ---- (row, window) pairs of accepted rows, classified ----
     pairs = explode_windows(rows.filter(F.col("tag") == IN_WINDOW), w)

@@ -18,7 +18,7 @@ LONG_MAX = 2**63 - 1
 # Arrival-bucket widths (finest first) for the hierarchical prefix scans. The
 # finest width bounds how many rows of one key share a task; size it so a
 # bucket of the hottest key fits one task at the target scale.
-DEFAULT_ARRIVAL_BUCKETS = (60_000, 3_600_000)
+DEFAULT_ARRIVAL_BUCKETS = (60_000,)
 
 STRATEGIES = ("key", "global", "column")
 

@@ -48,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     global _LOCAL_FALLBACK
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(root)
         return root.rstrip("/")
     if _LOCAL_FALLBACK is None:
         _LOCAL_FALLBACK = tempfile.mkdtemp(prefix="eventide-ckpt-")
