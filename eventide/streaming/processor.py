@@ -28,7 +28,8 @@ _NP = {"sum": np.add, "count": np.add, "min": np.minimum, "max": np.maximum}
 
 
 def output_schema(key: str, key_type: str, order: Sequence[str], fields: Sequence[str], ts: str) -> str:
-    """Firings (kind='fire') and side-output rows (kind='late') share one schema."""
+    """Firings (kind='fire'), side-output rows (kind='late') and dropped rows
+    (kind='dropped', one per numLateRecordsDropped increment) share one schema."""
     cols = [f"kind string", f"{key} {key_type}", "window_start bigint", "window_end bigint", "fire string"]
     cols += [f"trigger_{o} bigint" for o in order]
     cols += [f"{f} bigint" for f in fields]
@@ -173,9 +174,10 @@ class PerKeyWindowProcessor(StatefulProcessor):
             lat_sum = ts + np.int64(lat)  # wraps around like a Java long, as the reference's test does
         elem_late = has_wm & (lat_sum <= before)
         side = ~accepted & elem_late
+        kind = "late" if spec.side_output else "dropped"  # dropped rows feed the drop counter
         for r in np.nonzero(side)[0]:
             trig = [int(pdf[o].iloc[r]) for o in self.order]
-            out.append(("late", None, None, None, trig, [None] * len(self.fields), int(ts[r])))
+            out.append((kind, None, None, None, trig, [None] * len(self.fields), int(ts[r])))
 
         cols = {c: [] for c in ["kind", self.key, "window_start", "window_end", "fire"]}
         for o in self.order:

@@ -77,7 +77,7 @@ def native_windowed_agg(stream: DataFrame, event_time: str, delay: str, size: st
 
 
 def tagged_writer(base: str, name_of: Callable[[str], str] = lambda t: t) -> Callable[[DataFrame, int], None]:
-    """K1/K2 as ``foreachBatch``: main output and side output to their own folders.
+    """K1/K2 as ``foreachBatch``: main output, side output and dropped rows to their own folders.
 
     Each micro-batch writes ``<base>/<tag>/batch=<id>`` with overwrite, so a
     retried batch replaces its own files and the sink stays exactly-once.
@@ -87,7 +87,7 @@ def tagged_writer(base: str, name_of: Callable[[str], str] = lambda t: t) -> Cal
         if "kind" not in batch.columns:
             batch.write.mode("overwrite").parquet(f"{base}/{name_of('rows')}/batch={batch_id:09d}")
             return
-        for tag in ("fire", "late"):
+        for tag in ("fire", "late", "dropped"):
             part = batch.filter(F.col("kind") == tag).drop("kind")
             part.write.mode("overwrite").parquet(f"{base}/{name_of(tag)}/batch={batch_id:09d}")
 
