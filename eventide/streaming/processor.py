@@ -1,8 +1,11 @@
 """Stateful per-key window operator for ``transformWithStateInPandas`` (A1 stream).
 
-Keyed state: ``wm`` (ValueState, the key's watermark) and ``windows``
-(MapState window_end -> start, fired flag, accumulator fields). No timers: a
-key's windows only fire on that key's own rows (per-key watermark).
+Keyed state: one ValueState per key holding the key's watermark and its open
+windows as parallel arrays (window end, fired flag, one array per accumulator
+field), read once and written once per key and micro-batch, so the state
+store sees two calls per key instead of one per window. Open windows per key
+are bounded by (bound + lateness) / slide. No timers: a key's windows only fire
+on that key's own rows (per-key watermark).
 
 Per micro-batch and key the rows arrive unordered and in several Arrow
 chunks; all chunks are concatenated and sorted by the arrival order, then the
@@ -48,9 +51,9 @@ class PerKeyWindowProcessor(StatefulProcessor):
         self.fields = list(fields)  # (name, op) with op in sum/count/min/max over _in_<name>
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.wm = handle.getValueState("wm", "wm bigint")
-        value_schema = ", ".join(["start bigint", "fired boolean"] + [f"{n} bigint" for n, _ in self.fields])
-        self.windows = handle.getMapState("windows", "end bigint", value_schema)
+        schema = ", ".join(["wm bigint", "ends array<bigint>", "fired array<boolean>"]
+                           + [f"acc_{i} array<bigint>" for i in range(len(self.fields))])
+        self.key_state = handle.getValueState("key_state", schema)
 
     # ---------------------------------------------------------------- helpers
     def _merge(self, op: str, a, b):
@@ -76,14 +79,20 @@ class PerKeyWindowProcessor(StatefulProcessor):
     # ---------------------------------------------------------------- main
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         spec, w, lat = self.spec, self.spec.window, self.spec.lateness
-        pdf = pd.concat(list(rows), ignore_index=True)
-        # columns come in the order of the prepared projection; constant inputs lose their names
-        pdf.columns = [self.key, self.ts, *self.order, *[f"_in_{n}" for n, _ in self.fields]]
-        pdf = pdf.sort_values(self.order, kind="mergesort").reset_index(drop=True)
-        ts = pdf[self.ts].to_numpy(dtype=np.int64)
+        # columns come in the order of the prepared projection (constant inputs lose their names);
+        # all Arrow chunks of the call are joined before sorting by arrival
+        chunks = list(rows)
+        ncol = 2 + len(self.order) + len(self.fields)
+        cols_in = [np.concatenate([c.iloc[:, j].to_numpy() for c in chunks]) for j in range(ncol)]
+        arr = cols_in[2:2 + len(self.order)]
+        perm = np.lexsort(arr[::-1])
+        ts = cols_in[1][perm].astype(np.int64)
+        order_vals = [a[perm] for a in arr]
+        ins = {n: cols_in[2 + len(self.order) + i][perm] for i, (n, _) in enumerate(self.fields)}
         key_value = key[0]
 
-        wm0 = self.wm.get()[0] if self.wm.exists() else None
+        stored = self.key_state.get() if self.key_state.exists() else None
+        wm0 = stored[0] if stored else None
         start = NONE if wm0 is None else wm0
         contrib = np.where(ts >= np.iinfo(np.int64).min + spec.watermark.bound, ts - spec.watermark.bound, NONE)
         after = np.maximum.accumulate(np.maximum(contrib, start)) if len(ts) else contrib
@@ -91,7 +100,11 @@ class PerKeyWindowProcessor(StatefulProcessor):
         has_wm = before != NONE
         wm_final = int(after[-1]) if len(ts) else start
 
-        state = {int(k[0]): list(v) for k, v in self.windows.iterator()}
+        state = {}
+        if stored:
+            for j, end in enumerate(stored[1] or []):
+                state[int(end)] = [int(end) - w.size, bool(stored[2][j])] + [stored[3 + i][j]
+                                                                            for i in range(len(self.fields))]
 
         idx, wstart, n_windows, newest = self._window_rows(ts)
         max_ts = wstart + (w.size - 1)
@@ -103,7 +116,6 @@ class PerKeyWindowProcessor(StatefulProcessor):
         on = ~drop & ~late
 
         out = []
-        ins = {n: pdf[f"_in_{n}"].to_numpy() for n, _ in self.fields}
 
         def acc_of(rows_idx):
             vals = []
@@ -119,7 +131,12 @@ class PerKeyWindowProcessor(StatefulProcessor):
 
         pair_end = wstart + w.size
         live = np.nonzero(on | late)[0]
-        by_end = pd.Series(live).groupby(pair_end[live]).indices if len(live) else {}
+        by_end = {}
+        if len(live):
+            uniq, inv = np.unique(pair_end[live], return_inverse=True)
+            grouped = live[np.argsort(inv, kind="stable")]
+            for e, part in zip(uniq, np.split(grouped, np.cumsum(np.bincount(inv))[:-1])):
+                by_end[int(e)] = part
         empty = np.array([], dtype=np.int64)
         ends = set(int(e) for e in by_end) | set(state)
         new_state = {}
@@ -129,7 +146,7 @@ class PerKeyWindowProcessor(StatefulProcessor):
             s_start = end - w.size
             s_acc = st[2:] if st else [None] * len(self.fields)
             fired_before = bool(st[1]) if st else (wm0 is not None and m <= wm0)
-            pos = live[by_end[end]] if end in by_end else empty
+            pos = by_end.get(end, empty)
             on_rows = idx[pos[on[pos]]]
             late_rows = idx[pos[late[pos]]]
             acc = [self._merge(op, a, c) for (n, op), a, c in zip(self.fields, s_acc, acc_of(on_rows))]
@@ -137,7 +154,7 @@ class PerKeyWindowProcessor(StatefulProcessor):
                          and (st is not None or len(on_rows) > 0))
             if fires_now:
                 t = int(np.searchsorted(after, m, side="left"))
-                trig = [int(pdf[o].iloc[t]) for o in self.order]
+                trig = [int(v[t]) for v in order_vals]
                 out.append(("fire", s_start, end, "on_time", trig, acc, None))
             # late refires, one per late pair in arrival order
             running = list(acc)
@@ -148,7 +165,7 @@ class PerKeyWindowProcessor(StatefulProcessor):
                 else:
                     running = [self._merge(op, a, c) for (n, op), a, c in zip(self.fields, running, one)]
                     emitted = running
-                trig = [int(pdf[o].iloc[r]) for o in self.order]
+                trig = [int(v[r]) for v in order_vals]
                 out.append(("fire", s_start, end, "late", trig, list(emitted), None))
             fired = fired_before or fires_now or len(late_rows) > 0
             if wm_final != NONE and m <= LONG_MAX - lat and m + lat <= wm_final:
@@ -159,13 +176,12 @@ class PerKeyWindowProcessor(StatefulProcessor):
                 continue
             new_state[end] = [s_start, fired] + list(running)
 
-        for end in state:
-            if end not in new_state:
-                self.windows.removeKey((end,))
-        for end, v in new_state.items():
-            self.windows.updateValue((end,), tuple(v))
-        if wm_final != NONE:
-            self.wm.update((wm_final,))
+        ends = sorted(new_state)
+        if wm_final != NONE or ends:
+            self.key_state.update((
+                None if wm_final == NONE else wm_final, ends, [bool(new_state[e][1]) for e in ends],
+                *[[new_state[e][2 + i] for e in ends] for i in range(len(self.fields))],
+            ))
 
         # rows accepted by no window
         accepted = np.zeros(len(ts), dtype=bool)
@@ -176,9 +192,11 @@ class PerKeyWindowProcessor(StatefulProcessor):
         side = ~accepted & elem_late
         kind = "late" if spec.side_output else "dropped"  # dropped rows feed the drop counter
         for r in np.nonzero(side)[0]:
-            trig = [int(pdf[o].iloc[r]) for o in self.order]
+            trig = [int(v[r]) for v in order_vals]
             out.append((kind, None, None, None, trig, [None] * len(self.fields), int(ts[r])))
 
+        if not out:
+            return
         cols = {c: [] for c in ["kind", self.key, "window_start", "window_end", "fire"]}
         for o in self.order:
             cols[f"trigger_{o}"] = []

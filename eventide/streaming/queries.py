@@ -21,7 +21,13 @@ from eventide.oracle import window_agg_sql
 from eventide.plans.spec import FIRE, WatermarkSpec, WindowAggSpec, WindowSpec
 from eventide.session import scratch_dir
 from eventide.sources.events import KEY, ORDER, TS, event_stream
-from eventide.streaming.stream import native_windowed_agg, stream_late_split, stream_windowed_agg, tagged_writer
+from eventide.streaming.stream import (
+    native_windowed_agg,
+    read_sink,
+    stream_late_split,
+    stream_windowed_agg,
+    tagged_writer,
+)
 
 WEEK = 7 * 24 * R.HOUR
 ORD = list(ORDER)
@@ -56,7 +62,7 @@ def _stream_window(spec: WindowAggSpec, aggs: tuple[str, ...], name: str):
         out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK,
                      lambda s: stream_windowed_agg(s, spec, KEY, TS, ORD, acc), name)
         names = [{"count": "n", "sum": "total"}[a] for a in aggs]
-        return spark.read.parquet(f"{out}/fire").select(
+        return read_sink(spark, out, "fire").select(
             KEY, "window_start", "window_end", (F.col("window_end") - 1).alias("out_ts"), "fire",
             *[f"trigger_{o}" for o in ORD], *names)
 
@@ -66,7 +72,7 @@ def _stream_window(spec: WindowAggSpec, aggs: tuple[str, ...], name: str):
 def q_stream_late_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK,
                  lambda s: stream_late_split(s, R.BOUND, KEY, TS, ORD, "event_id"), "late-split")
-    return spark.read.parquet(f"{out}/rows").select("event_id", KEY, TS, "wm_seen", "tag")
+    return read_sink(spark, out).select("event_id", KEY, TS, "wm_seen", "tag")
 
 
 def q_native_windowed_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def q_native_windowed_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.unix_millis(F.col("window.end")).alias("window_end"), "n", "total")
 
     out = replay(spark, src, "arr_ms", WEEK, build, "native")
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    return read_sink(spark, out)
 
 
 TUMBLE = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND))

@@ -76,24 +76,32 @@ def native_windowed_agg(stream: DataFrame, event_time: str, delay: str, size: st
     return stream.withWatermark(event_time, delay).groupBy(key, w).agg(*aggs)
 
 
-def tagged_writer(base: str, name_of: Callable[[str], str] = lambda t: t) -> Callable[[DataFrame, int], None]:
-    """K1/K2 as ``foreachBatch``: main output, side output and dropped rows to their own folders.
+def tagged_writer(base: str) -> Callable[[DataFrame, int], None]:
+    """K1/K2 as ``foreachBatch``: firings, side output and dropped rows in one pass.
 
-    Each micro-batch writes ``<base>/<tag>/batch=<id>`` with overwrite, so a
-    retried batch replaces its own files and the sink stays exactly-once.
+    Each micro-batch is written once to ``<base>/batch=<id>`` partitioned by
+    ``kind`` (fire / late / dropped: the main sink, the late sink and the drop
+    counter's rows), so the stateful step runs once per batch. Overwrite per
+    batch id makes a retried batch replace its own files: exactly-once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if "kind" not in batch.columns:
-            batch.write.mode("overwrite").parquet(f"{base}/{name_of('rows')}/batch={batch_id:09d}")
-            return
-        for tag in ("fire", "late", "dropped"):
-            part = batch.filter(F.col("kind") == tag).drop("kind")
-            part.write.mode("overwrite").parquet(f"{base}/{name_of(tag)}/batch={batch_id:09d}")
+        writer = batch.write.mode("overwrite")
+        if "kind" in batch.columns:
+            writer = writer.partitionBy("kind")
+        writer.parquet(f"{base}/batch={batch_id:09d}")
 
     return write
 
 
+def read_sink(spark: SparkSession, base: str, kind: str | None = None) -> DataFrame:
+    """Read back what :func:`tagged_writer` wrote (optionally one ``kind``)."""
+    df = spark.read.parquet(base)
+    if kind is not None:
+        df = df.filter(F.col("kind") == kind).drop("kind") if "kind" in df.columns else df.filter(F.lit(False))
+    return df.drop("batch")
+
+
 def write_tagged(df: DataFrame, base: str) -> None:
-    """K1/K2 for a batch result that carries a ``kind`` column."""
+    """K1/K2 for a batch result that carries a ``kind`` column: one write, one folder per kind."""
     tagged_writer(base)(df, 0)

@@ -5,7 +5,6 @@ every few elements); every run restarts the query from the same checkpoint,
 so the keyed state (watermark, windows) is restored between runs.
 """
 
-import os
 from collections import Counter
 
 import pytest
@@ -13,15 +12,15 @@ from pyspark.sql import functions as F
 
 from eventide.functions.aggregates import sum_of
 from eventide.streaming.queries import replay
-from eventide.streaming.stream import stream_windowed_agg
+from eventide.streaming.stream import read_sink, stream_windowed_agg
 from test_golden import spec_of
 
 PER_KEY = ["pk_sliding_reduce", "pk_tumbling_reduce", "pk_lateness_purge", "pk_cleanup_overflow",
            "pk_side_output_tumbling", "pk_side_output_sliding", "pk_cleanup_empty_state"]
 
 
-def read(spark, path):
-    return spark.read.parquet(path).collect() if os.path.exists(path) else []
+def read(spark, base, kind):
+    return read_sink(spark, base, kind).collect()
 
 
 @pytest.mark.parametrize("name", PER_KEY)
@@ -38,9 +37,9 @@ def test_streaming_golden_case(spark, cases, name):
     spec = spec_of(case, (60_000,))
     out = replay(spark, src, "run", 1, lambda s: stream_windowed_agg(s, spec, "k", "ts_ms", ["seq"],
                                                                        sum_of("v", "total")), f"golden-{name}")
-    fired = Counter((r.k, r.window_end - 1, r.total) for r in read(spark, f"{out}/fire"))
-    late = Counter((r.k, r.ts_ms) for r in read(spark, f"{out}/late"))
-    dropped = len(read(spark, f"{out}/dropped"))
+    fired = Counter((r.k, r.window_end - 1, r.total) for r in read(spark, out, "fire"))
+    late = Counter((r.k, r.ts_ms) for r in read(spark, out, "late"))
+    dropped = len(read(spark, out, "dropped"))
     assert fired == Counter(case.out)
     assert late == Counter(case.late)
     assert dropped == case.dropped
