@@ -82,7 +82,7 @@ def windowed_agg(
     aggregate: Accumulator | dict[str, Column],
     window_fn: Callable[[dict[str, Column]], Column] | None = None,
     emit: str = "pass",
-    materialize_rows: str = "checkpoint",
+    materialize_rows: str = "table",
 ) -> WindowAggResult:
     """Aggregate ``df`` per key and event-time window under ``spec``.
 
@@ -92,8 +92,8 @@ def windowed_agg(
     emit: 'pass' (keys and results, G4) or 'enrich' (window_end first, G5).
     window_fn: G6, maps the firing's columns to an array of structs, one output
     row per element (0..n).
-    materialize_rows: 'checkpoint' computes the watermarked rows once (they feed
-    every output); 'none' leaves the plan lazy.
+    materialize_rows: 'table' writes the watermarked rows once (they feed
+    every output) to the checkpoint folder; 'checkpoint' or 'none' (lazy) also work.
     """
     keys, order = as_list(key), as_list(order)
     w, lateness = spec.window, spec.lateness
@@ -118,7 +118,7 @@ def windowed_agg(
     marked = marked.withColumn(
         "tag", F.when(accepted, F.lit(IN_WINDOW)).when(elem_late, F.lit(LATE)).otherwise(F.lit(GAP))
     ).withColumn("n_dropped_windows", _dropped_windows(spec))
-    marked = materialize(marked, materialize_rows)
+    marked = materialize(marked, materialize_rows, "window-rows")
     rows = marked.filter(F.col(wm_spec.marker).isNull()) if wm_spec.strategy == "column" else marked
 
     # ---- (row, window) pairs of accepted rows, classified ----

@@ -2,24 +2,31 @@
 
 Several outputs of the window operator consume the same watermarked rows;
 left lazy, Spark would recompute the watermark scan (the largest shuffle) for
-each consumer. A reliable checkpoint writes the rows once to the shared
-folder named by ``spark.checkpoint.dir`` and cuts the lineage, so a lost
-executor re-reads the files instead of recomputing the scan.
+each consumer. The rows are written once as a parquet table below the shared
+folder named by ``spark.checkpoint.dir`` and read back: one computation, a
+columnar compressed copy, and a cut lineage, so a lost executor re-reads files
+instead of recomputing the scan. (An eager ``checkpoint()`` of an unpersisted
+plan would run the lineage twice: once to count, once to write.)
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from eventide.session import checkpoint_root
+from eventide.session import scratch_dir
 
-MODES = ("checkpoint", "none")
+MODES = ("table", "checkpoint", "none")
 
 
-def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
+def materialize(df: DataFrame, mode: str = "table", name: str = "rows") -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"materialize mode must be one of {MODES}, not {mode!r}")
     if mode == "none":
         return df
-    checkpoint_root(df.sparkSession)  # registers a local folder only when none is configured
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if mode == "checkpoint":
+        scratch_dir(spark, name)  # makes sure a checkpoint folder is registered
+        return df.checkpoint(eager=True)
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -34,7 +34,7 @@ ORD = list(ORDER)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_stream(spark, sf_dir)
+    return event_stream(spark, sf_dir, columns=())
 
 
 def _agg(name: str) -> Accumulator:

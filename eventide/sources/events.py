@@ -19,7 +19,10 @@ KEY = "user_id"
 TS = "ts_ms"
 ORDER = ("arr_ms", "event_id")
 
-TS_MS_SQL = "unix_micros(cast(ts as timestamp)) div 1000"
+# epoch milliseconds without any session time zone: a TIMESTAMP_NTZ column is
+# measured from the NTZ epoch, a TIMESTAMP (instant) column by unix_micros
+TS_MS_NTZ_SQL = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c}) div 1000"
+TS_MS_LTZ_SQL = "unix_micros({c}) div 1000"
 ARR_MS_SQL = (
     f"ts_ms + ((user_id * {SKEW_MULT}) % {SKEW_MOD}) * {SKEW_STEP_MS}"
     f" + ((event_id * {JITTER_MULT}) % {JITTER_MOD}) * {JITTER_STEP_MS}"
@@ -31,9 +34,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def with_event_time(df: DataFrame, expr: str = TS_MS_SQL, name: str = TS) -> DataFrame:
+def epoch_ms_sql(df: DataFrame, column: str) -> str:
+    """SQL for the epoch milliseconds of a timestamp column, independent of the session time zone."""
+    from pyspark.sql.types import TimestampNTZType, TimestampType
+
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, TimestampNTZType):
+        return TS_MS_NTZ_SQL.format(c=column)
+    if isinstance(dtype, TimestampType):
+        return TS_MS_LTZ_SQL.format(c=column)
+    return f"cast({column} as bigint)"  # already a number of milliseconds
+
+
+def with_event_time(df: DataFrame, column: str = "ts", name: str = TS) -> DataFrame:
     """Attach the event time as a BIGINT millisecond column."""
-    return df.withColumn(name, F.expr(expr).cast("bigint"))
+    return df.withColumn(name, F.expr(epoch_ms_sql(df, column)).cast("bigint"))
 
 
 def event_stream(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("event_type", "value")) -> DataFrame:

@@ -49,3 +49,16 @@ def test_entry_smoke(spark):
     assert {(r.strategy, r.bound_ms) for r in rows} == {(s, b) for s in ("key", "global")
                                                        for b in (0, 3_600_000, 21_600_000)}
     assert all(r.n_rows == 1000 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["key_tumbling_count", "late_split_global"])
+def test_independent_of_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = entry.queries()[name](spark, SF_SMALL)
+        got = canon(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    cur = con.execute(entry.oracle_sql()[name])
+    assert got == canon([d[0] for d in cur.description], cur.fetchall())
