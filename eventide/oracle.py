@@ -29,8 +29,9 @@ wm AS (
 )"""
 
 
-def events_cte() -> str:
-    return f"ev AS ({EVENT_STREAM_SQL})"
+def events_cte(source: str | None = None) -> str:
+    """CTE ``ev``: the stream (event_id, user_id, ts_ms, arr_ms, v) — events by default."""
+    return f"ev AS ({source or EVENT_STREAM_SQL})"
 
 
 def markers_cte(hour: int, lag: int) -> str:
@@ -111,6 +112,7 @@ def window_agg_sql(
     flush: bool = False,
     aggs: tuple[str, ...] = ("count",),
     explicit: tuple[int, int] | None = None,
+    source: str | None = None,
 ) -> str:
     """Firings of the window operator (on-time + late refires)."""
     names = [AGGS[a][0] for a in aggs]
@@ -123,7 +125,7 @@ def window_agg_sql(
         ctes = f"WITH {events_cte()}, {src} {stream_cte(bound, 'column', 'src')},"
         data_filter = "wm_mark IS NULL"
     else:
-        ctes = f"WITH {events_cte()}, {stream_cte(bound, strategy)},"
+        ctes = f"WITH {events_cte(source)}, {stream_cte(bound, strategy)},"
         data_filter = "TRUE"
     late_sel = (
         f"SELECT user_id, window_start, window_end, arr_ms, event_id, {single} FROM cls WHERE cls = 'late'"

@@ -132,15 +132,15 @@ def q_compare_watermarks(spark, sf_dir):
     return compare_watermarks(_stream(spark, sf_dir), KEY, TS, ORD, BOUNDS)
 
 
-def _compare_sql():
+def _compare_sql(bounds=BOUNDS, source=None):
     parts = []
-    for b in BOUNDS:
+    for b in bounds:
         for strat, part in (("key", "PARTITION BY user_id "), ("global", "")):
             parts.append(f"""SELECT '{strat}' AS strategy, CAST({b} AS BIGINT) AS bound_ms, count(*) AS n_rows,
   count(*) FILTER (WHERE ts_ms <= mx - {b}) AS n_late
 FROM (SELECT ts_ms, max(ts_ms) OVER ({part}ORDER BY arr_ms, event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM ev)""")
-    return f"""WITH {O.events_cte()}, c AS ({' UNION ALL '.join(parts)})
+    return f"""WITH {O.events_cte(source)}, c AS ({' UNION ALL '.join(parts)})
 SELECT strategy, bound_ms, n_rows, n_late, n_rows - n_late AS n_in_time,
        CAST(n_late AS DOUBLE) / n_rows AS late_ratio FROM c"""
 
@@ -220,6 +220,44 @@ def q_key_enriched(spark, sf_dir):
     return out.select("window_end", KEY, "n")
 
 
+# ---------------------------------------------------------------- a second stream: orders
+
+DAY = 24 * HOUR
+ORDER_BOUNDS = (0, 30 * DAY, 365 * DAY)
+
+
+def q_orders_compare_watermarks(spark, sf_dir):
+    from eventide.sources import orders as S
+
+    return compare_watermarks(S.order_stream(spark, sf_dir), S.KEY, S.TS, list(S.ORDER), ORDER_BOUNDS,
+                              S.ARRIVAL_BUCKETS)
+
+
+def _orders_compare_sql():
+    from eventide.sources.orders import ORDERS_AS_EVENTS_SQL
+
+    return _compare_sql(ORDER_BOUNDS, ORDERS_AS_EVENTS_SQL)
+
+
+def _orders_window(strategy: str, bound: int, window: WindowSpec, lateness: int, aggs: tuple[str, ...]):
+    from eventide.sources import orders as S
+
+    spec = WindowAggSpec(window, WatermarkSpec(strategy, bound, arrival_buckets=S.ARRIVAL_BUCKETS), lateness)
+    names = [{"count": "n", "sum": "total"}[a] for a in aggs]
+
+    def q(spark, sf_dir):
+        acc = combine(*[_agg(a) for a in aggs]) if len(aggs) > 1 else _agg(aggs[0])
+        out = windowed_agg(S.order_stream(spark, sf_dir), spec, S.KEY, S.TS, list(S.ORDER), acc).output
+        return out.select(S.KEY, "window_start", "window_end", "out_ts", "fire", "trigger_o_orderkey", *names)
+
+    base = O.window_agg_sql(strategy, bound, window.size, window.slide, window.offset, lateness, FIRE,
+                            spec.flush, aggs, source=S.ORDERS_AS_EVENTS_SQL)
+    sql = f"""WITH f AS ({base})
+SELECT user_id AS o_custkey, window_start, window_end, out_ts, fire, trigger_arr_ms AS trigger_o_orderkey,
+       {', '.join(names)} FROM f"""
+    return q, sql
+
+
 def _build() -> tuple[dict[str, Query], dict[str, str]]:
     qs: dict[str, Query] = {}
     sql: dict[str, str] = {}
@@ -269,6 +307,11 @@ SELECT window_end, user_id, n FROM f""")
     add("custom_window_function", q_custom_window_function, _custom_wf_sql())
     add("explicit_watermark_agg", q_explicit_watermark_agg,
         O.window_agg_sql("column", 0, HOUR, HOUR, 0, HOUR, FIRE, False, ("count", "sum"), explicit=EXPLICIT))
+    add("orders_compare_watermarks", q_orders_compare_watermarks, _orders_compare_sql())
+    add("orders_key_lateness_fire", *_orders_window("key", 30 * DAY, WindowSpec(30 * DAY), 60 * DAY,
+                                                    ("count", "sum")))
+    add("orders_global_tumbling_count", *_orders_window("global", 365 * DAY, WindowSpec(30 * DAY), 0,
+                                                        ("count",)))
     return qs, sql
 
 
