@@ -26,11 +26,14 @@ def ensure_state_store(spark: SparkSession) -> None:
 
 
 def stream_windowed_agg(stream: DataFrame, spec: WindowAggSpec, key: str, ts: str, order: Sequence[str],
-                        acc: Accumulator) -> DataFrame:
-    """A1 on a streaming DataFrame: firings (kind='fire') and side output (kind='late').
+                        acc: Accumulator, metrics: str | None = "window_metrics") -> DataFrame:
+    """A1 on a streaming DataFrame: firings (kind='fire'), side output (kind='late')
+    and dropped rows (kind='dropped').
 
     Only per-key watermarks (the reference's per-key operator). Accumulator
-    fields must be integer-valued.
+    fields must be integer-valued. ``metrics`` names an observation reported in
+    every micro-batch's progress (``observedMetrics``): firings, late refires,
+    side-output rows and the drop counter (numLateRecordsDropped).
     """
     ensure_state_store(stream.sparkSession)
     if acc.result:
@@ -40,28 +43,42 @@ def stream_windowed_agg(stream: DataFrame, spec: WindowAggSpec, key: str, ts: st
     prepared = stream.select(key, ts, *order, *inputs)
     key_type = stream.schema[key].dataType.simpleString()
     schema = output_schema(key, key_type, order, [n for n, _ in fields], ts)
-    return prepared.groupBy(key).transformWithStateInPandas(
+    out = prepared.groupBy(key).transformWithStateInPandas(
         statefulProcessor=PerKeyWindowProcessor(spec, key, ts, order, fields),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",
     )
+    if metrics:
+        kind = F.col("kind")
+        out = out.observe(
+            metrics,
+            F.count_if(kind == "fire").alias("firings"),
+            F.count_if((kind == "fire") & (F.col("fire") == "late")).alias("late_firings"),
+            F.count_if(kind == "late").alias("side_output"),
+            F.count_if(kind == "dropped").alias("dropped"),
+        )
+    return out
 
 
 def stream_late_split(stream: DataFrame, bound: int, key: str, ts: str, order: Sequence[str],
-                      id_col: str) -> DataFrame:
+                      id_col: str, metrics: str | None = "late_split_metrics") -> DataFrame:
     """C1 on a streaming DataFrame: every row with wm_seen and tag (per-key watermark)."""
     if bound < 0:
         raise ValueError(f"the out-of-orderness bound cannot be negative: {bound}")
     ensure_state_store(stream.sparkSession)
     key_type = stream.schema[key].dataType.simpleString()
     schema = f"{id_col} bigint, {key} {key_type}, {ts} bigint, wm_seen bigint, tag string"
-    return stream.select(id_col, key, ts, *order).groupBy(key).transformWithStateInPandas(
+    out = stream.select(id_col, key, ts, *order).groupBy(key).transformWithStateInPandas(
         statefulProcessor=PerKeyLateSplitProcessor(bound, key, ts, order, id_col),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",
     )
+    if metrics:
+        out = out.observe(metrics, F.count(F.lit(1)).alias("rows"),
+                          F.count_if(F.col("tag") == "late").alias("late"))
+    return out
 
 
 def native_windowed_agg(stream: DataFrame, event_time: str, delay: str, size: str, slide: str | None,

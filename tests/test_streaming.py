@@ -57,3 +57,21 @@ def test_stream_equals_batch_on_events(spark):
     assert cols == sorted(b.columns)
     assert sorted(map(tuple, s.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
     assert F is not None
+
+
+def test_drop_counter_is_observed(spark, cases):
+    from eventide.session import scratch_dir
+    from eventide.streaming.stream import tagged_writer
+
+    case = cases["pk_tumbling_reduce"]
+    rows = [r[:4] for r in case.rows()]
+    src = scratch_dir(spark, "observe-src")
+    spark.createDataFrame(rows, "seq BIGINT, k STRING, v BIGINT, ts_ms BIGINT").write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema("seq BIGINT, k STRING, v BIGINT, ts_ms BIGINT").parquet(src)
+    out = stream_windowed_agg(stream, spec_of(case, (60_000,)), "k", "ts_ms", ["seq"], sum_of("v", "total"))
+    q = (out.writeStream.foreachBatch(tagged_writer(scratch_dir(spark, "observe-out")))
+         .option("checkpointLocation", scratch_dir(spark, "observe-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    metrics = [p["observedMetrics"]["window_metrics"] for p in q.recentProgress if p.get("observedMetrics")]
+    assert sum(m.dropped for m in metrics) == case.dropped == 5
+    assert sum(m.firings for m in metrics) == len(case.out)
