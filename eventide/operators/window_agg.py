@@ -50,7 +50,7 @@ ON_TIME_FIRE, LATE_FIRE = "on_time", "late"
 
 @dataclass
 class WindowAggResult:
-    """Lazy outputs of one window aggregation; share nothing unless the caller persists."""
+    """Outputs of one window aggregation; all read the once-materialized watermarked rows."""
 
     output: DataFrame
     """Firings: keys, window_start, window_end, out_ts, fire, trigger_<order>, results."""

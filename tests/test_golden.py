@@ -48,3 +48,12 @@ def test_golden_case(spark, cases, name, buckets):
     assert out == Counter(case.out), name
     assert late == Counter(case.late), name
     assert dropped == case.dropped, name
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_golden_case_with_column_aggregate(spark, cases, name):
+    """The non-mergeable path ({name: Column}) gives the same firings as the Accumulator."""
+    case = cases[name]
+    res = windowed_agg(case.frame(spark), spec_of(case, (60_000,)), "k", "ts_ms", ["seq"],
+                       {"total": F.sum("v")})
+    assert Counter((r.k, r.out_ts, r.total) for r in res.output.collect()) == Counter(case.out)
