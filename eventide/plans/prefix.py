@@ -98,11 +98,11 @@ def prefix_scans(
         carry = prefix_scans(bucket_tab, [(keys, carry_out)], [b], rel, _depth + 1)
         carry = carry.select(
             *[F.col(k).alias(f"_ek{tag}_{k}") for k in keys],
-            F.col(b).alias(f"_ek{tag}_b"),
+            F.col(b).alias(f"_ek{tag}_{b}"),
             *carry_cols.values(),
         )
-        cond = [out[k].eqNullSafe(carry[f"_ek{tag}_{k}"]) for k in keys] + [out[b] == carry[f"_ek{tag}_b"]]
-        out = out.join(carry, cond, "inner").drop(*[f"_ek{tag}_{k}" for k in keys], f"_ek{tag}_b")
+        cond = [out[k].eqNullSafe(carry[f"_ek{tag}_{k}"]) for k in keys + [b]]
+        out = out.join(carry, cond, "inner").drop(*[f"_ek{tag}_{k}" for k in keys + [b]])
 
         w = Window.partitionBy(*keys, b).orderBy(*order)
         for name, (op, src, inclusive) in outputs.items():

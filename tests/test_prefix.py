@@ -45,3 +45,10 @@ def test_global_scope_and_two_scans(spark):
         best_g = x if best_g is None else max(best_g, x)
         assert got[i] == (want_a, best_g)
         best_k[k] = x if want_a is None else max(want_a, x)
+
+
+def test_rows_with_null_arrival_are_kept(spark):
+    rows = [("a", None, 0, 5), ("a", 1, 1, 7), ("a", 2, 2, 3), ("b", None, 3, 1)]
+    df = spark.createDataFrame(rows, "k STRING, arr BIGINT, id BIGINT, x BIGINT")
+    out = prefix_scan(df, ["k"], ["arr", "id"], {"m": ("max", "x", True)}, (10,))
+    assert sorted(r.id for r in out.collect()) == [0, 1, 2, 3]
