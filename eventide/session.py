@@ -14,9 +14,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "eventide") -> SparkSession:
     """Session with the settings the operators rely on.
 
-    UTC session time zone (event times are epoch milliseconds), AQE on (runtime
-    coalescing, skew splitting and size-checked broadcast conversion), RocksDB
-    state store (required by ``transformWithStateInPandas``), no web UI.
+    UTC session time zone, AQE on (runtime coalescing, skew splitting and
+    size-checked broadcast conversion), RocksDB state store (required by
+    ``transformWithStateInPandas``), no web UI. On a cluster also set
+    ``spark.checkpoint.dir`` (shared folder) and size
+    ``spark.sql.shuffle.partitions`` / ``spark.sql.files.maxPartitionBytes`` for
+    the data (see README, "Cluster settings").
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -42,8 +45,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set (a folder every executor and the driver can
-    reach). Only when it is unset, as in local tests, a fresh local folder is
-    made and registered for the rest of the process.
+    reach); without it the call fails. Only in local mode, as in tests, a fresh
+    local folder is made and registered for the rest of the process.
     """
     global _LOCAL_FALLBACK
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +54,12 @@ def checkpoint_root(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
         return root.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder shared by the driver and all executors; "
+            "a machine-local folder cannot hold checkpoints or intermediate tables on a cluster"
+        )
     if _LOCAL_FALLBACK is None:
         _LOCAL_FALLBACK = tempfile.mkdtemp(prefix="eventide-ckpt-")
         spark.sparkContext.setCheckpointDir(_LOCAL_FALLBACK)
