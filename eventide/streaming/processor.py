@@ -56,15 +56,8 @@ class PerKeyWindowProcessor(StatefulProcessor):
         self.key_state = handle.getValueState("key_state", schema)
 
     # ---------------------------------------------------------------- helpers
-    def _merge(self, op: str, a, b):
-        if a is None:
-            return b
-        if b is None:
-            return a
-        return int(_NP[op](a, b))
-
     def _window_rows(self, ts: np.ndarray):
-        """(row index, window start) for every (row, window) pair."""
+        """(row index, window start) for every (row, window) pair, in row order."""
         w = self.spec.window
         ok = ts <= LONG_MAX - w.slide + w.offset  # otherwise the reference's start wraps: no window
         last = ts - np.mod(ts - w.offset, w.slide)
@@ -74,148 +67,203 @@ class PerKeyWindowProcessor(StatefulProcessor):
         n = np.where(ok & (newest >= lowest), (newest - lowest) // w.slide + 1, 0)
         idx = np.repeat(np.arange(len(ts)), n)
         k = np.arange(len(idx)) - np.repeat(np.cumsum(n) - n, n)
-        return idx, newest[idx] - k * w.slide, n, newest
+        return idx, newest[idx] - k * w.slide
+
+    @staticmethod
+    def _group_reduce(op: str, gid: np.ndarray, vals: np.ndarray, valid: np.ndarray, size: int):
+        """Per-group (values, present) of an accumulator op over pairs."""
+        if op == "count":
+            out = np.zeros(size, dtype=np.int64)
+            np.add.at(out, gid, valid.astype(np.int64))
+            return out, np.ones(size, dtype=bool)
+        has = np.zeros(size, dtype=bool)
+        has[gid[valid]] = True
+        if op == "sum":
+            out = np.zeros(size, dtype=np.int64)
+            np.add.at(out, gid[valid], vals[valid])
+        elif op == "min":
+            out = np.full(size, np.iinfo(np.int64).max, dtype=np.int64)
+            np.minimum.at(out, gid[valid], vals[valid])
+        else:
+            out = np.full(size, np.iinfo(np.int64).min, dtype=np.int64)
+            np.maximum.at(out, gid[valid], vals[valid])
+        return out, has
+
+    @staticmethod
+    def _merge(op: str, a, ha, b, hb):
+        """Merge two accumulator arrays with presence masks."""
+        if op in ("count", "sum"):
+            return np.where(ha, a, 0) + np.where(hb, b, 0), ha | hb
+        f = np.minimum if op == "min" else np.maximum
+        return np.where(ha & hb, f(a, b), np.where(ha, a, b)), ha | hb
+
+    @staticmethod
+    def _cumulative(op: str, gid: np.ndarray, vals: np.ndarray, valid: np.ndarray):
+        """Running accumulator within each group, pairs in arrival order."""
+        g = pd.Series(gid)
+        if op == "count":
+            return pd.Series(valid.astype(np.int64)).groupby(g).cumsum().to_numpy(), np.ones(len(gid), bool)
+        has = pd.Series(valid).groupby(g).cummax().to_numpy().astype(bool)
+        if op == "sum":
+            return pd.Series(np.where(valid, vals, 0)).groupby(g).cumsum().to_numpy(), has
+        fill = np.iinfo(np.int64).max if op == "min" else np.iinfo(np.int64).min
+        series = pd.Series(np.where(valid, vals, fill)).groupby(g)
+        return (series.cummin() if op == "min" else series.cummax()).to_numpy(), has
 
     # ---------------------------------------------------------------- main
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         spec, w, lat = self.spec, self.spec.window, self.spec.lateness
+        nf = len(self.fields)
         # columns come in the order of the prepared projection (constant inputs lose their names);
         # all Arrow chunks of the call are joined before sorting by arrival
         chunks = list(rows)
-        ncol = 2 + len(self.order) + len(self.fields)
-        cols_in = [np.concatenate([c.iloc[:, j].to_numpy() for c in chunks]) for j in range(ncol)]
+        ncol = 2 + len(self.order) + nf
+        if len(chunks) == 1:
+            cols_in = [chunks[0][name].to_numpy() for name in chunks[0].columns[:ncol]]
+        else:
+            cols_in = [np.concatenate([c[c.columns[j]].to_numpy() for c in chunks]) for j in range(ncol)]
         arr = cols_in[2:2 + len(self.order)]
         perm = np.lexsort(arr[::-1])
         ts = cols_in[1][perm].astype(np.int64)
         order_vals = [a[perm] for a in arr]
-        ins = {n: cols_in[2 + len(self.order) + i][perm] for i, (n, _) in enumerate(self.fields)}
+        raw = [cols_in[2 + len(self.order) + i][perm] for i in range(nf)]
+        valid = [~pd.isna(r) for r in raw]
+        vals = [np.where(v, r, 0).astype(np.int64) for r, v in zip(raw, valid)]
         key_value = key[0]
 
+        # ---- watermarks: the stored one, then a running max over this batch
         stored = self.key_state.get() if self.key_state.exists() else None
         wm0 = stored[0] if stored else None
         start = NONE if wm0 is None else wm0
         contrib = np.where(ts >= np.iinfo(np.int64).min + spec.watermark.bound, ts - spec.watermark.bound, NONE)
-        after = np.maximum.accumulate(np.maximum(contrib, start)) if len(ts) else contrib
-        before = np.concatenate([[start], after[:-1]]) if len(ts) else after
+        after = np.maximum.accumulate(np.maximum(contrib, start))
+        before = np.concatenate([[start], after[:-1]])
         has_wm = before != NONE
-        wm_final = int(after[-1]) if len(ts) else start
-
-        state = {}
-        if stored:
-            for j, end in enumerate(stored[1] or []):
-                state[int(end)] = [int(end) - w.size, bool(stored[2][j])] + [stored[3 + i][j]
-                                                                            for i in range(len(self.fields))]
+        wm_final = int(after[-1])
 
-        idx, wstart, n_windows, newest = self._window_rows(ts)
+        # ---- (row, window) pairs and their class
+        idx, wstart = self._window_rows(ts)
         max_ts = wstart + (w.size - 1)
-        b = before[idx]
-        hb = has_wm[idx]
+        b, hb = before[idx], has_wm[idx]
         cleanup = np.where(max_ts > LONG_MAX - lat, LONG_MAX, max_ts + lat)
         drop = hb & (cleanup <= b)
         late = hb & ~drop & (max_ts <= b)
         on = ~drop & ~late
-
-        out = []
-
-        def acc_of(rows_idx):
-            vals = []
-            for n, op in self.fields:
-                v = ins[n][rows_idx]
-                if op == "count":
-                    vals.append(int(np.sum(~pd.isna(v))))
-                elif len(v) == 0:
-                    vals.append(None)
-                else:
-                    vals.append(int({"sum": np.sum, "min": np.min, "max": np.max}[op](v)))
-            return vals
-
         pair_end = wstart + w.size
-        live = np.nonzero(on | late)[0]
-        by_end = {}
-        if len(live):
-            uniq, inv = np.unique(pair_end[live], return_inverse=True)
-            grouped = live[np.argsort(inv, kind="stable")]
-            for e, part in zip(uniq, np.split(grouped, np.cumsum(np.bincount(inv))[:-1])):
-                by_end[int(e)] = part
-        empty = np.array([], dtype=np.int64)
-        ends = set(int(e) for e in by_end) | set(state)
-        new_state = {}
-        for end in sorted(ends):
-            m = end - 1
-            st = state.get(end)
-            s_start = end - w.size
-            s_acc = st[2:] if st else [None] * len(self.fields)
-            fired_before = bool(st[1]) if st else (wm0 is not None and m <= wm0)
-            pos = by_end.get(end, empty)
-            on_rows = idx[pos[on[pos]]]
-            late_rows = idx[pos[late[pos]]]
-            acc = [self._merge(op, a, c) for (n, op), a, c in zip(self.fields, s_acc, acc_of(on_rows))]
-            fires_now = (not fired_before and wm_final != NONE and m <= wm_final
-                         and (st is not None or len(on_rows) > 0))
-            if fires_now:
-                t = int(np.searchsorted(after, m, side="left"))
-                trig = [int(v[t]) for v in order_vals]
-                out.append(("fire", s_start, end, "on_time", trig, acc, None))
-            # late refires, one per late pair in arrival order
-            running = list(acc)
-            for r in late_rows:
-                one = acc_of(np.array([r]))
+
+        # ---- every window touched: in this batch or in state
+        s_end = np.array(stored[1] if stored and stored[1] else [], dtype=np.int64)
+        ends = np.unique(np.concatenate([pair_end[on | late], s_end]))
+        nw = len(ends)
+        m = ends - 1
+        has_state = np.zeros(nw, dtype=bool)
+        fired_before = (wm0 is not None) & (m <= (wm0 if wm0 is not None else 0))
+        acc, acc_has = [], []
+        s_pos = np.searchsorted(ends, s_end)
+        has_state[s_pos] = True
+        if len(s_end):
+            fired_before = fired_before.copy()
+            fired_before[s_pos] = np.array(stored[2], dtype=bool)
+        on_g = np.searchsorted(ends, pair_end[on])
+        for i, (name, op) in enumerate(self.fields):
+            sv = np.zeros(nw, dtype=np.int64)
+            sh = np.zeros(nw, dtype=bool)
+            if len(s_end):
+                col = stored[3 + i]
+                sh[s_pos] = [x is not None for x in col]
+                sv[s_pos] = [0 if x is None else x for x in col]
+            ov, oh = self._group_reduce(op, on_g, vals[i][idx[on]], valid[i][idx[on]], nw)
+            if op == "count":
+                oh = np.bincount(on_g, minlength=nw) > 0
+            v, h = self._merge(op, sv, sh, ov, oh)
+            acc.append(v)
+            acc_has.append(h)
+        n_on = np.bincount(on_g, minlength=nw)
+        fires_now = ~fired_before & (m <= wm_final) & (has_state | (n_on > 0)) & (wm_final != NONE)
+
+        out_parts = []
+        if fires_now.any():
+            t = np.searchsorted(after, m[fires_now], side="left")
+            out_parts.append(self._frame("fire", key_value, ends[fires_now] - w.size, ends[fires_now], "on_time",
+                                         [v[t] for v in order_vals],
+                                         [(a[fires_now], h[fires_now]) for a, h in zip(acc, acc_has)], None))
+
+        # ---- late refires, one per late pair in arrival order
+        late_pos = np.nonzero(late)[0]
+        final, final_has = acc, acc_has
+        if len(late_pos):
+            lg = np.searchsorted(ends, pair_end[late_pos])
+            lrow = idx[late_pos]
+            emitted = []
+            final, final_has = [a.copy() for a in acc], [h.copy() for h in acc_has]
+            for i, (name, op) in enumerate(self.fields):
+                lv, lh = vals[i][lrow], valid[i][lrow]
                 if spec.trigger == FIRE_AND_PURGE:
-                    emitted = one
-                else:
-                    running = [self._merge(op, a, c) for (n, op), a, c in zip(self.fields, running, one)]
-                    emitted = running
-                trig = [int(v[r]) for v in order_vals]
-                out.append(("fire", s_start, end, "late", trig, list(emitted), None))
-            fired = fired_before or fires_now or len(late_rows) > 0
-            if wm_final != NONE and m <= LONG_MAX - lat and m + lat <= wm_final:
-                continue  # cleanup time passed: state removed
-            if fired and spec.trigger == FIRE_AND_PURGE:
-                continue  # purged at every firing
-            if st is None and len(on_rows) == 0 and len(late_rows) == 0:
-                continue
-            new_state[end] = [s_start, fired] + list(running)
-
-        ends = sorted(new_state)
-        if wm_final != NONE or ends:
+                    if op == "count":
+                        emitted.append((lh.astype(np.int64), np.ones(len(lrow), bool)))
+                    else:
+                        emitted.append((lv, lh))
+                    continue
+                cv, ch = self._cumulative(op, lg, lv, lh)
+                ev, eh = self._merge(op, acc[i][lg], acc_has[i][lg], cv, ch)
+                emitted.append((ev, eh))
+                # the running value after the group's last late pair is its new accumulator
+                order_in = np.argsort(lg, kind="stable")
+                gl = lg[order_in]
+                is_last = np.r_[gl[1:] != gl[:-1], True]
+                final[i][gl[is_last]] = ev[order_in][is_last]
+                final_has[i][gl[is_last]] = eh[order_in][is_last]
+            out_parts.append(self._frame("fire", key_value, ends[lg] - w.size, ends[lg], "late",
+                                         [v[lrow] for v in order_vals], emitted, None))
+        n_late = np.bincount(np.searchsorted(ends, pair_end[late_pos]), minlength=nw) if len(late_pos) else 0
+
+        # ---- state after the batch
+        fired = fired_before | fires_now | (n_late > 0)
+        cleaned = (wm_final != NONE) & (m <= LONG_MAX - lat) & (m + lat <= wm_final)
+        purged = fired & (spec.trigger == FIRE_AND_PURGE)
+        keep = ~cleaned & ~purged & (has_state | (n_on > 0) | (n_late > 0))
+        if wm_final != NONE or keep.any():
             self.key_state.update((
-                None if wm_final == NONE else wm_final, ends, [bool(new_state[e][1]) for e in ends],
-                *[[new_state[e][2 + i] for e in ends] for i in range(len(self.fields))],
+                None if wm_final == NONE else wm_final,
+                ends[keep].tolist(),
+                fired[keep].tolist(),
+                *[[int(x) if hh else None for x, hh in zip(v[keep], h[keep])] for v, h in zip(final, final_has)],
             ))
 
-        # rows accepted by no window
+        # ---- rows accepted by no window
         accepted = np.zeros(len(ts), dtype=bool)
         accepted[idx[on | late]] = True
         with np.errstate(over="ignore"):
             lat_sum = ts + np.int64(lat)  # wraps around like a Java long, as the reference's test does
-        elem_late = has_wm & (lat_sum <= before)
-        side = ~accepted & elem_late
-        kind = "late" if spec.side_output else "dropped"  # dropped rows feed the drop counter
-        for r in np.nonzero(side)[0]:
-            trig = [int(v[r]) for v in order_vals]
-            out.append((kind, None, None, None, trig, [None] * len(self.fields), int(ts[r])))
-
-        if not out:
-            return
-        cols = {c: [] for c in ["kind", self.key, "window_start", "window_end", "fire"]}
-        for o in self.order:
-            cols[f"trigger_{o}"] = []
-        for n, _ in self.fields:
-            cols[n] = []
-        cols[self.ts] = []
-        for kind, s, e, fire, trig, accv, t in out:
-            cols["kind"].append(kind)
-            cols[self.key].append(key_value)
-            cols["window_start"].append(s)
-            cols["window_end"].append(e)
-            cols["fire"].append(fire)
-            for o, v in zip(self.order, trig):
-                cols[f"trigger_{o}"].append(v)
-            for (n, _), v in zip(self.fields, accv):
-                cols[n].append(v)
-            cols[self.ts].append(t)
-        # object columns of Python ints and None: nullable BIGINT on the Arrow side
-        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in cols.items()})
+        side = np.nonzero(~accepted & has_wm & (lat_sum <= before))[0]
+        if len(side):
+            kind = "late" if spec.side_output else "dropped"  # dropped rows feed the drop counter
+            out_parts.append(self._frame(kind, key_value, None, None, None, [v[side] for v in order_vals],
+                                         [(None, None)] * nf, ts[side], n=len(side)))
+        if out_parts:
+            yield pd.concat(out_parts, ignore_index=True) if len(out_parts) > 1 else out_parts[0]
+
+    def _frame(self, kind, key_value, starts, ends, fire, triggers, accs, ts, n=None) -> pd.DataFrame:
+        """Output rows as object columns (Python ints and None become nullable BIGINT)."""
+        n = len(ends) if n is None else n
+
+        def obj(values, has=None):
+            if values is None:
+                return np.full(n, None, dtype=object)
+            if has is None or np.all(has):
+                return np.asarray(values, dtype=np.int64)  # no NULLs: a plain int64 column
+            out = np.asarray(values).astype(object)
+            out[~np.asarray(has)] = None
+            return out
+
+        data = {"kind": np.full(n, kind, dtype=object), self.key: np.full(n, key_value),
+                "window_start": obj(starts), "window_end": obj(ends), "fire": np.full(n, fire, dtype=object)}
+        for o, v in zip(self.order, triggers):
+            data[f"trigger_{o}"] = obj(v)
+        for (name, _), (v, h) in zip(self.fields, accs):
+            data[name] = obj(v, h)
+        data[self.ts] = obj(ts)
+        return pd.DataFrame(data)
 
     def close(self) -> None:
         pass
