@@ -50,8 +50,8 @@ def replay(spark: SparkSession, source: DataFrame, cut_col: str, cut_width: int,
 
     restarts=True: append a slice, run ``availableNow``, stop; the next run restarts from
     the checkpoint (state restore between every micro-batch).
-    restarts=False: append every slice first as one file each, then one run reads one
-    file per micro-batch in modification order (checked; falls back to restarts).
+    restarts=False: append every slice first (n files each), then one run reads one
+    slice per micro-batch in modification order (checked; falls back to restarts).
     """
     src, ckpt, out = (scratch_dir(spark, f"{name}-{p}") for p in ("src", "ckpt", "out"))
     cut = floor_div(F.col(cut_col), cut_width)
@@ -74,16 +74,21 @@ def replay(spark: SparkSession, source: DataFrame, cut_col: str, cut_width: int,
             run({})
         return out
 
+    # each slice becomes exactly n files (round-robin repartition) written by n tasks, and
+    # one micro-batch reads n files: slice k's files all precede slice k+1's in modification
+    # order (one write job after the other), so every micro-batch is exactly one slice
+    n = spark.sparkContext.defaultParallelism
     last, ordered = -1, True
-    for c in slices:
+    for i, c in enumerate(slices):
         seen = _file_times(spark, src)
-        source.filter(cut == c).coalesce(1).write.mode("append").parquet(src)
+        source.filter(cut == c).repartition(n).write.mode("append").parquet(src)
         new = {f: t for f, t in _file_times(spark, src).items() if f not in seen}
-        ordered &= len(new) == 1 and min(new.values()) > last
+        full = len(new) == n or (i == len(slices) - 1 and 0 < len(new) <= n)
+        ordered &= full and min(new.values()) > last
         last = max(new.values(), default=last)
-    if not ordered:  # cannot trust the file order: replay with restarts instead
+    if not ordered:  # cannot trust the cut into micro-batches: replay with restarts instead
         return replay(spark, source, cut_col, cut_width, build, name + "-r", restarts=True)
-    run({"maxFilesPerTrigger": "1"})
+    run({"maxFilesPerTrigger": str(n)})
     return out
 
 
