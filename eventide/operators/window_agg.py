@@ -48,6 +48,19 @@ IN_WINDOW, LATE, GAP = "in_window", "late", "gap"
 ON_TIME_FIRE, LATE_FIRE = "on_time", "late"
 
 
+@dataclass
+class Carry:
+    """State carried into one micro-batch (global or explicit watermark).
+
+    watermark: the scope's watermark after all earlier batches (None = none yet).
+    windows: open windows with state: keys, window_start, window_end, fired and
+    one column per accumulator field (None = no open windows).
+    """
+
+    watermark: int | None = None
+    windows: DataFrame | None = None
+
+
 @dataclass
 class WindowAggResult:
     """Outputs of one window aggregation; all read the once-materialized watermarked rows."""
@@ -60,6 +73,10 @@ class WindowAggResult:
     """Side output: rows accepted by no window and late (only with side_output)."""
     dropped: DataFrame
     """One row, ``dropped``: late rows counted instead of side-output (numLateRecordsDropped)."""
+    state: DataFrame | None = None
+    """With a carry: the open windows after this input (same layout as ``Carry.windows``)."""
+    watermark: int | None = None
+    """With a carry: the scope's watermark after this input."""
 
 
 def _dropped_windows(spec: WindowAggSpec) -> Column:
@@ -83,6 +100,7 @@ def windowed_agg(
     window_fn: Callable[[dict[str, Column]], Column] | None = None,
     emit: str = "pass",
     materialize_rows: str = "table",
+    carry: Carry | None = None,
 ) -> WindowAggResult:
     """Aggregate ``df`` per key and event-time window under ``spec``.
 
@@ -94,6 +112,9 @@ def windowed_agg(
     row per element (0..n).
     materialize_rows: 'table' writes the watermarked rows once (they feed
     every output) to the checkpoint folder; 'checkpoint' or 'none' (lazy) also work.
+    carry: continue from earlier input (micro-batches of a stream under a global or
+    explicit watermark): the input starts from the carried watermark and open
+    windows, and the result holds the new ones. No end-of-input flush then.
     """
     keys, order = as_list(key), as_list(order)
     w, lateness = spec.window, spec.lateness
@@ -107,8 +128,15 @@ def windowed_agg(
         raise ValueError(f"emit must be 'pass' or 'enrich', not {emit!r}")
     result_names = acc.result_names if acc else list(aggregate)
 
+    if carry is not None and (acc is None or scope):
+        raise ValueError("a carry needs an Accumulator and a global or explicit watermark")
+
     base = df.select("*", *acc.inputs()) if acc else df
     marked = with_watermarks(base, wm_spec, keys, ts, order)
+    if carry is not None and carry.watermark is not None:
+        wm0 = lit_long(carry.watermark)
+        marked = marked.withColumn("wm_before", F.greatest(wm0, F.col("wm_before"))).withColumn(
+            "wm_after", F.greatest(wm0, F.col("wm_after")))
 
     # ---- per row: accepted by some window / late / gap (no explode needed) ----
     marked = with_window_geometry(marked, ts, w)
@@ -140,9 +168,15 @@ def windowed_agg(
     else:
         on = on_pairs.groupBy(*win).agg(*[c.alias(n) for n, c in aggregate.items()])
     on = on.withColumn("max_ts", F.col("window_end") - 1)
-    fired = first_reaching(marked, scope, order, "wm_before", "wm_after", on, "max_ts", buckets[0])
-    if not spec.flush:
-        fired = fired.filter(F.col(f"trigger_{order[0]}").isNotNull())
+    if carry is not None:
+        on = _merge_carried(on, carry, acc, win)
+        targets = on.filter(~F.col("_fired_before"))
+    else:
+        targets = on
+    reached = first_reaching(marked, scope, order, "wm_before", "wm_after", targets, "max_ts", buckets[0])
+    fired = reached
+    if not spec.flush or carry is not None:
+        fired = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())
     on_emit = fired.withColumn("fire", F.lit(ON_TIME_FIRE))
 
     # ---- late refires ----
@@ -195,4 +229,57 @@ def windowed_agg(
     dropped = rows.agg(
         F.count_if(F.lit(not spec.side_output) & (F.col("tag") == LATE)).cast("bigint").alias("dropped")
     )
-    return WindowAggResult(output=output, rows=rows, late=late, dropped=dropped)
+    if carry is None:
+        return WindowAggResult(output=output, rows=rows, late=late, dropped=dropped)
+
+    # ---- state after this input: the watermark and the windows still open ----
+    last = marked.agg(F.max("wm_after").alias("wm")).first()["wm"]
+    wm_final = last if carry.watermark is None or last is None else max(last, carry.watermark)
+    late_tot = late_pairs.groupBy(*win).agg(*acc.agg_exprs())
+    flag = [F.col(f"trigger_{order[0]}").isNotNull().alias("_fired")]
+    parts = [
+        reached.select(*win, *acc.field_names, *flag),
+        on.filter(F.col("_fired_before")).select(*win, *acc.field_names, F.lit(True).alias("_fired")),
+    ]
+    if spec.trigger != FIRE_AND_PURGE:  # cumulative state also holds the late rows
+        parts.append(late_tot.select(*win, *acc.field_names, F.lit(True).alias("_fired")))
+    else:
+        parts.append(late_tot.select(*win, *[F.lit(None).cast(on.schema[n].dataType).alias(n)
+                                             for n in acc.field_names], F.lit(True).alias("_fired")))
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    state = merged.groupBy(*win).agg(F.max("_fired").alias("fired"), *_merge_aggs(acc))
+    max_ts = F.col("window_end") - 1
+    if wm_final is not None:
+        state = state.filter(~(saturating_add(max_ts, lateness) <= lit_long(wm_final)))  # cleanup time passed
+    if spec.trigger == FIRE_AND_PURGE:
+        state = state.filter(~F.col("fired"))  # purged at every firing
+    return WindowAggResult(output=output, rows=rows, late=late, dropped=dropped, state=state,
+                           watermark=wm_final)
+
+
+def _merge_aggs(acc: Accumulator) -> list[Column]:
+    """Aggregates that merge several accumulator rows of one window into one."""
+    merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    out = []
+    for n, op, _ in acc.fields:
+        c = merge[op](n)
+        out.append((c.cast("bigint") if op == "count" else c).alias(n))
+    return out
+
+
+def _merge_carried(on: DataFrame, carry: Carry, acc: Accumulator, win: list[str]) -> DataFrame:
+    """On-time accumulators of this input merged with the carried open windows.
+
+    Adds ``_fired_before``: the window fired in an earlier input (or its end had
+    already passed, so it cannot fire on time any more).
+    """
+    fields = acc.field_names
+    cur = on.select(*win, *fields, F.lit(None).cast("boolean").alias("_st_fired"))
+    if carry.windows is not None:
+        st = carry.windows.select(*win, *[F.col(n).cast(on.schema[n].dataType).alias(n) for n in fields],
+                                  F.col("fired").alias("_st_fired"))
+        cur = cur.unionByName(st)
+    merged = cur.groupBy(*win).agg(F.max("_st_fired").alias("_st_fired"), *_merge_aggs(acc))
+    max_ts = F.col("window_end") - 1
+    passed = (max_ts <= lit_long(carry.watermark)) if carry.watermark is not None else F.lit(False)
+    return merged.withColumn("max_ts", max_ts).withColumn("_fired_before", F.coalesce(F.col("_st_fired"), passed))

@@ -45,7 +45,8 @@ def _file_times(spark: SparkSession, folder: str) -> dict[str, int]:
 
 
 def replay(spark: SparkSession, source: DataFrame, cut_col: str, cut_width: int,
-           build: Callable[[DataFrame], DataFrame], name: str, restarts: bool = True) -> str:
+           build: Callable[[DataFrame], DataFrame], name: str, restarts: bool = True,
+           sink: Callable[[str], Callable[[DataFrame, int], None]] = tagged_writer) -> str:
     """Feed ``source`` to the streaming job ``build`` slice by slice; returns the sink folder.
 
     restarts=True: append a slice, run ``availableNow``, stop; the next run restarts from
@@ -64,7 +65,7 @@ def replay(spark: SparkSession, source: DataFrame, cut_col: str, cut_width: int,
         reader = spark.readStream.schema(source.schema)
         for k, v in stream_options.items():
             reader = reader.option(k, v)
-        q = (build(reader.parquet(src)).writeStream.foreachBatch(tagged_writer(out))
+        q = (build(reader.parquet(src)).writeStream.foreachBatch(sink(out))
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
         q.awaitTermination()
 
@@ -87,7 +88,7 @@ def replay(spark: SparkSession, source: DataFrame, cut_col: str, cut_width: int,
         ordered &= full and min(new.values()) > last
         last = max(new.values(), default=last)
     if not ordered:  # cannot trust the cut into micro-batches: replay with restarts instead
-        return replay(spark, source, cut_col, cut_width, build, name + "-r", restarts=True)
+        return replay(spark, source, cut_col, cut_width, build, name + "-r", restarts=True, sink=sink)
     run({"maxFilesPerTrigger": str(n)})
     return out
 
@@ -131,6 +132,26 @@ def q_native_windowed_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sink(spark, out)
 
 
+def _carried_window(strategy: str, name: str):
+    """Global / explicit watermark: the batch operator per micro-batch with carried state."""
+    from eventide.streaming.carried import carried_window_sink, read_carried
+
+    if strategy == "global":
+        spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("global", R.GLOBAL_BOUND), 2 * R.HOUR, FIRE)
+    else:
+        spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("column", marker="wm_mark"), R.HOUR, FIRE)
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        acc = combine(count_of("n"), sum_of("v", "total"))
+        src = _events(spark, sf_dir) if strategy == "global" else R.explicit_stream(spark, sf_dir)
+        out = replay(spark, src, "arr_ms", WEEK, lambda s: s, name, restarts=False,
+                     sink=lambda base: carried_window_sink(base, spec, KEY, TS, ORD, acc))
+        return read_carried(spark, out, "fire").select(
+            KEY, "window_start", "window_end", "out_ts", "fire", *[f"trigger_{o}" for o in ORD], "n", "total")
+
+    return q
+
+
 TUMBLE = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND))
 LATENESS = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND), 2 * R.HOUR, FIRE)
 
@@ -141,6 +162,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_key_lateness": _stream_window(LATENESS, ("count", "sum"), "key-lateness"),
         "stream_late_split": q_stream_late_split,
         "native_windowed_agg": q_native_windowed_agg,
+        "stream_global_lateness": _carried_window("global", "global-lateness"),
+        "stream_explicit_watermark": _carried_window("column", "explicit-watermark"),
     }
 
 
@@ -151,4 +174,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_key_lateness": window_agg_sql("key", R.BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE, False,
                                               ("count", "sum")),
         "stream_late_split": late_split_sql,
+        # a stream has no end of input: the global watermark does not flush pending windows
+        "stream_global_lateness": window_agg_sql("global", R.GLOBAL_BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE,
+                                                 False, ("count", "sum")),
+        "stream_explicit_watermark": R.oracle_sql()["explicit_watermark_agg"],
     }
