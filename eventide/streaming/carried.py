@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from eventide.functions.aggregates import Accumulator
 from eventide.operators.window_agg import Carry, windowed_agg

@@ -27,8 +27,6 @@ from eventide.plans.spec import FIRE_AND_PURGE, LONG_MAX, WindowAggSpec
 
 NONE = np.iinfo(np.int64).min  # "no watermark yet"
 
-_NP = {"sum": np.add, "count": np.add, "min": np.minimum, "max": np.maximum}
-
 
 def output_schema(key: str, key_type: str, order: Sequence[str], fields: Sequence[str], ts: str) -> str:
     """Firings (kind='fire'), side-output rows (kind='late') and dropped rows
