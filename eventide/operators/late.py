@@ -22,16 +22,24 @@ def late_split(
     key: str | Sequence[str],
     ts: str,
     order: Sequence[str],
+    start_watermark: int | None = None,
 ) -> DataFrame:
     """Tag every row ``late`` iff ``ts <= wm_before`` of its strategy, else ``in_time``.
 
     The decision uses the watermark *before* the row; the row moves the
-    watermark afterwards. ``wm_seen`` is the watermark the row saw with "none"
+    watermark afterwards. ``start_watermark`` continues a global watermark from
+    earlier input (a stream's previous micro-batches). ``wm_seen`` is the watermark the row saw with "none"
     as Long.MIN_VALUE (the reference's projection, C3). Sinks filter on ``tag``.
     """
     if spec.strategy == "column":
         raise ValueError("late_split takes the 'key' or 'global' strategy")
+    if start_watermark is not None and spec.strategy != "global":
+        raise ValueError("a start watermark continues a global watermark (micro-batches of a stream)")
     out = with_watermarks(df, spec, key, ts, order)
+    if start_watermark is not None:
+        wm0 = lit_long(start_watermark)
+        out = out.withColumn("wm_before", F.greatest(wm0, F.col("wm_before"))).withColumn(
+            "wm_after", F.greatest(wm0, F.col("wm_after")))
     return out.withColumn(
         "tag", F.when(F.col(ts) <= F.col("wm_before"), F.lit(LATE)).otherwise(F.lit(IN_TIME))
     ).withColumn("wm_seen", min_long_or(F.col("wm_before")))

@@ -77,6 +77,30 @@ def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str]
     return write
 
 
+def carried_late_split_sink(base: str, bound: int, key: str, ts: str, order: Sequence[str],
+                            columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for the global late split (C2 stream): the global
+    watermark is carried from batch to batch; rows go to ``<base>/rows/batch=N``."""
+    from pyspark.sql import functions as F
+
+    from eventide.operators.late import late_split
+    from eventide.plans.spec import WatermarkSpec
+
+    spec = WatermarkSpec("global", bound)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        wm0 = load_carry(spark, base, batch_id).watermark
+        split = late_split(batch, spec, key, ts, order, start_watermark=wm0)
+        split.select(*columns).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id:09d}")
+        last = split.agg(F.max("wm_after").alias("wm")).first()["wm"]
+        wm = last if wm0 is None or last is None else max(wm0, last)
+        spark.createDataFrame([(wm,)], "wm BIGINT").write.mode("overwrite").parquet(
+            f"{base}/state/batch={batch_id:09d}/wm")
+
+    return write
+
+
 def read_carried(spark: SparkSession, base: str, what: str = "fire") -> DataFrame:
-    """Read one output (fire / late / dropped) of a carried-state stream."""
+    """Read one output (fire / late / dropped / rows) of a carried-state stream."""
     return spark.read.parquet(f"{base}/{what}").drop("batch")

@@ -152,6 +152,16 @@ def _carried_window(strategy: str, name: str):
     return q
 
 
+def q_stream_late_split_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 stream: global late split, the watermark carried between micro-batches."""
+    from eventide.streaming.carried import carried_late_split_sink, read_carried
+
+    cols = ["event_id", KEY, TS, "wm_seen", "tag"]
+    out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK, lambda s: s, "late-split-global", restarts=False,
+                 sink=lambda base: carried_late_split_sink(base, R.BOUND, KEY, TS, ORD, cols))
+    return read_carried(spark, out, "rows").select(*cols)
+
+
 TUMBLE = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND))
 LATENESS = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND), 2 * R.HOUR, FIRE)
 
@@ -164,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "native_windowed_agg": q_native_windowed_agg,
         "stream_global_lateness": _carried_window("global", "global-lateness"),
         "stream_explicit_watermark": _carried_window("column", "explicit-watermark"),
+        "stream_late_split_global": q_stream_late_split_global,
     }
 
 
@@ -178,4 +189,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_global_lateness": window_agg_sql("global", R.GLOBAL_BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE,
                                                  False, ("count", "sum")),
         "stream_explicit_watermark": R.oracle_sql()["explicit_watermark_agg"],
+        "stream_late_split_global": R.oracle_sql()["late_split_global"],
     }
