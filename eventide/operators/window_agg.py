@@ -59,6 +59,8 @@ class Carry:
 
     watermark: int | None = None
     windows: DataFrame | None = None
+    key_watermarks: DataFrame | None = None
+    """Per-key watermark strategy: keys and ``wm`` per key seen so far."""
 
 
 @dataclass
@@ -77,6 +79,8 @@ class WindowAggResult:
     """With a carry: the open windows after this input (same layout as ``Carry.windows``)."""
     watermark: int | None = None
     """With a carry: the scope's watermark after this input."""
+    key_watermarks: DataFrame | None = None
+    """With a carry and per-key watermarks: keys and ``wm`` after this input."""
 
 
 def _dropped_windows(spec: WindowAggSpec) -> Column:
@@ -112,9 +116,9 @@ def windowed_agg(
     row per element (0..n).
     materialize_rows: 'table' writes the watermarked rows once (they feed
     every output) to the checkpoint folder; 'checkpoint' or 'none' (lazy) also work.
-    carry: continue from earlier input (micro-batches of a stream under a global or
-    explicit watermark): the input starts from the carried watermark and open
-    windows, and the result holds the new ones. No end-of-input flush then.
+    carry: continue from earlier input (micro-batches of a stream): the input
+    starts from the carried watermark(s) and open windows, and the result holds
+    the new ones. No end-of-input flush then.
     """
     keys, order = as_list(key), as_list(order)
     w, lateness = spec.window, spec.lateness
@@ -128,15 +132,23 @@ def windowed_agg(
         raise ValueError(f"emit must be 'pass' or 'enrich', not {emit!r}")
     result_names = acc.result_names if acc else list(aggregate)
 
-    if carry is not None and (acc is None or scope):
-        raise ValueError("a carry needs an Accumulator and a global or explicit watermark")
+    if carry is not None and acc is None:
+        raise ValueError("a carry needs an Accumulator (mergeable state)")
 
     base = df.select("*", *acc.inputs()) if acc else df
     marked = with_watermarks(base, wm_spec, keys, ts, order)
-    if carry is not None and carry.watermark is not None:
-        wm0 = lit_long(carry.watermark)
-        marked = marked.withColumn("wm_before", F.greatest(wm0, F.col("wm_before"))).withColumn(
-            "wm_after", F.greatest(wm0, F.col("wm_after")))
+    if carry is not None:
+        if scope and carry.key_watermarks is not None:  # each key continues from its own watermark
+            kw = carry.key_watermarks.select(*scope, F.col("wm").alias("_wm0"))
+            marked = null_safe_join(marked, kw, scope, "left")
+            wm0 = F.col("_wm0")
+        elif not scope and carry.watermark is not None:
+            wm0 = lit_long(carry.watermark)
+        else:
+            wm0 = None
+        if wm0 is not None:
+            marked = marked.withColumn("wm_before", F.greatest(wm0, F.col("wm_before"))).withColumn(
+                "wm_after", F.greatest(wm0, F.col("wm_after"))).drop("_wm0")
 
     # ---- per row: accepted by some window / late / gap (no explode needed) ----
     marked = with_window_geometry(marked, ts, w)
@@ -169,7 +181,7 @@ def windowed_agg(
         on = on_pairs.groupBy(*win).agg(*[c.alias(n) for n, c in aggregate.items()])
     on = on.withColumn("max_ts", F.col("window_end") - 1)
     if carry is not None:
-        on = _merge_carried(on, carry, acc, win)
+        on = _merge_carried(on, carry, acc, win, scope)
         targets = on.filter(~F.col("_fired_before"))
     else:
         targets = on
@@ -233,8 +245,16 @@ def windowed_agg(
         return WindowAggResult(output=output, rows=rows, late=late, dropped=dropped)
 
     # ---- state after this input: the watermark and the windows still open ----
-    last = marked.agg(F.max("wm_after").alias("wm")).first()["wm"]
-    wm_final = last if carry.watermark is None or last is None else max(last, carry.watermark)
+    new_kw, wm_final = None, None
+    if scope:
+        new_kw = marked.groupBy(*scope).agg(F.max("wm_after").alias("wm"))
+        if carry.key_watermarks is not None:
+            new_kw = new_kw.unionByName(carry.key_watermarks.select(*scope, "wm")).groupBy(*scope).agg(
+                F.max("wm").alias("wm"))
+        new_kw = new_kw.filter(F.col("wm").isNotNull())
+    else:
+        last = marked.agg(F.max("wm_after").alias("wm")).first()["wm"]
+        wm_final = last if carry.watermark is None or last is None else max(last, carry.watermark)
     late_tot = late_pairs.groupBy(*win).agg(*acc.agg_exprs())
     flag = [F.col(f"trigger_{order[0]}").isNotNull().alias("_fired")]
     parts = [
@@ -249,12 +269,16 @@ def windowed_agg(
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     state = merged.groupBy(*win).agg(F.max("_fired").alias("fired"), *_merge_aggs(acc))
     max_ts = F.col("window_end") - 1
-    if wm_final is not None:
+    if scope:  # cleanup time passed for the key's watermark
+        state = null_safe_join(state, new_kw.select(*scope, F.col("wm").alias("_wmf")), scope, "left")
+        state = state.filter(~F.coalesce(saturating_add(max_ts, lateness) <= F.col("_wmf"), F.lit(False)))
+        state = state.drop("_wmf")
+    elif wm_final is not None:
         state = state.filter(~(saturating_add(max_ts, lateness) <= lit_long(wm_final)))  # cleanup time passed
     if spec.trigger == FIRE_AND_PURGE:
         state = state.filter(~F.col("fired"))  # purged at every firing
     return WindowAggResult(output=output, rows=rows, late=late, dropped=dropped, state=state,
-                           watermark=wm_final)
+                           watermark=wm_final, key_watermarks=new_kw)
 
 
 def _merge_aggs(acc: Accumulator) -> list[Column]:
@@ -267,7 +291,8 @@ def _merge_aggs(acc: Accumulator) -> list[Column]:
     return out
 
 
-def _merge_carried(on: DataFrame, carry: Carry, acc: Accumulator, win: list[str]) -> DataFrame:
+def _merge_carried(on: DataFrame, carry: Carry, acc: Accumulator, win: list[str],
+                   scope: list[str]) -> DataFrame:
     """On-time accumulators of this input merged with the carried open windows.
 
     Adds ``_fired_before``: the window fired in an earlier input (or its end had
@@ -281,5 +306,12 @@ def _merge_carried(on: DataFrame, carry: Carry, acc: Accumulator, win: list[str]
         cur = cur.unionByName(st)
     merged = cur.groupBy(*win).agg(F.max("_st_fired").alias("_st_fired"), *_merge_aggs(acc))
     max_ts = F.col("window_end") - 1
-    passed = (max_ts <= lit_long(carry.watermark)) if carry.watermark is not None else F.lit(False)
-    return merged.withColumn("max_ts", max_ts).withColumn("_fired_before", F.coalesce(F.col("_st_fired"), passed))
+    if scope and carry.key_watermarks is not None:
+        merged = null_safe_join(merged, carry.key_watermarks.select(*scope, F.col("wm").alias("_wm0")), scope, "left")
+        passed = F.coalesce(max_ts <= F.col("_wm0"), F.lit(False))
+    elif not scope and carry.watermark is not None:
+        passed = max_ts <= lit_long(carry.watermark)
+    else:
+        passed = F.lit(False)
+    merged = merged.withColumn("max_ts", max_ts).withColumn("_fired_before", F.coalesce(F.col("_st_fired"), passed))
+    return merged.drop("_wm0")

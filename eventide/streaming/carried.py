@@ -1,16 +1,19 @@
-"""Global and explicit watermarks in Structured Streaming (A2, A3 stream).
+"""Window streams as the batch operator with carried state (A2, A3, and A1 for hot keys).
 
 A global watermark is one value over all keys, so a key's windows can fire on
 other keys' rows; the keyed state of ``transformWithState`` cannot see that.
 Instead every micro-batch runs the batch operator (``windowed_agg``) with a
-:class:`~eventide.operators.window_agg.Carry`: the watermark and the open
-windows left by the previous batch. Both are written per batch id below the
-sink folder, after the batch's outputs:
+:class:`~eventide.operators.window_agg.Carry`: the watermark (or, per key, a
+table of key watermarks) and the open windows left by the previous batch.
+For per-key watermarks this is the alternative to the keyed processor when a
+key may hold a large share of the rows: the batch plan splits a hot key over
+(key, arrival bucket) tasks, where the keyed processor gets it in one call.
+Everything is written per batch id below the sink folder, after the outputs:
 
     <base>/fire/batch=N      firings (on-time and late refires)
     <base>/late/batch=N      side output
     <base>/dropped/batch=N   drop counter of the batch
-    <base>/state/batch=N/{windows,wm}
+    <base>/state/batch=N/{windows,key_wm,wm}
 
 A retried batch reads the state of the last committed earlier batch and
 overwrites its own folders, so the sink is exactly-once. The state holds one
@@ -49,19 +52,18 @@ def load_carry(spark: SparkSession, base: str, before_batch: int) -> Carry:
         return Carry()
     folder = f"{base}/state/batch={done[-1]:09d}"
     wm = spark.read.parquet(f"{folder}/wm").first()["wm"]
-    try:
-        windows = spark.read.parquet(f"{folder}/windows")
-    except Exception:  # no open windows were written
-        windows = None
-    return Carry(watermark=wm, windows=windows)
+    found = {}
+    for part in ("windows", "key_wm"):
+        try:
+            found[part] = spark.read.parquet(f"{folder}/{part}")
+        except Exception:  # nothing of that kind was written
+            found[part] = None
+    return Carry(watermark=wm, windows=found["windows"], key_watermarks=found["key_wm"])
 
 
 def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str], ts: str,
                         order: Sequence[str], acc: Accumulator) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function running the window operator with carried state."""
-    if spec.watermark.strategy == "key":
-        raise ValueError("per-key watermarks stream with the keyed processor (stream_windowed_agg)")
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         carry = load_carry(spark, base, batch_id)
@@ -71,6 +73,8 @@ def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str]
         res.dropped.write.mode("overwrite").parquet(f"{base}/dropped/batch={batch_id:09d}")
         folder = f"{base}/state/batch={batch_id:09d}"
         res.state.write.mode("overwrite").parquet(f"{folder}/windows")
+        if res.key_watermarks is not None:
+            res.key_watermarks.write.mode("overwrite").parquet(f"{folder}/key_wm")
         # the watermark is written last: its _SUCCESS marks the batch as committed
         spark.createDataFrame([(res.watermark,)], "wm BIGINT").write.mode("overwrite").parquet(f"{folder}/wm")
 

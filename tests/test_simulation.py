@@ -119,7 +119,7 @@ def test_fire_mode_has_cumulative_late_refires(spark):
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("mode", ["global", "explicit"])
+@pytest.mark.parametrize("mode", ["global", "explicit", "key"])
 def test_carried_state_over_cuts_matches_simulation(spark, seed, mode):
     """The operator run piece by piece with a Carry equals the simulation on the whole input."""
     from eventide.operators.window_agg import Carry
@@ -127,12 +127,12 @@ def test_carried_state_over_cuts_matches_simulation(spark, seed, mode):
     rng = random.Random(300 + seed)
     p = random_params(rng)
     events = random_stream(rng, "", 60, explicit=mode == "explicit")
-    bound = p["bound"] if mode == "global" else 0
+    bound = p["bound"] if mode != "explicit" else 0
     exp_out, exp_late, exp_dropped = simulate(events, mode, bound, p["size"], p["slide"], p["offset"],
                                               p["lateness"], p["purge"], p["side_output"], False)
     spec = WindowAggSpec(
         WindowSpec(p["size"], p["slide"], p["offset"]),
-        WatermarkSpec("global" if mode == "global" else "column", bound,
+        WatermarkSpec({"global": "global", "explicit": "column", "key": "key"}[mode], bound,
                       marker="wm" if mode == "explicit" else None, arrival_buckets=(7,)),
         p["lateness"], FIRE_AND_PURGE if p["purge"] else FIRE, p["side_output"],
     )
@@ -144,7 +144,7 @@ def test_carried_state_over_cuts_matches_simulation(spark, seed, mode):
         out += Counter((r.k, r.out_ts, r.total, r.fire, r.trigger_seq) for r in res.output.collect())
         late += Counter((r.k, r.ts_ms) for r in res.late.collect())
         dropped += res.dropped.collect()[0].dropped
-        carry = Carry(res.watermark, res.state)
+        carry = Carry(res.watermark, res.state, res.key_watermarks)
     assert out == Counter(exp_out), p
     assert late == Counter(exp_late), p
     assert dropped == exp_dropped, p

@@ -79,9 +79,9 @@ GLOBAL_CASES = ["gl_sliding_reduce", "gl_tumbling_reduce", "gl_lateness_purge",
                 "gl_side_output_tumbling", "gl_side_output_sliding", "gl_cleanup_empty_state"]
 
 
-@pytest.mark.parametrize("name", GLOBAL_CASES)
-def test_streaming_explicit_watermark_case(spark, cases, name):
-    """Explicit watermarks stream through the batch operator with carried state, one run per segment."""
+@pytest.mark.parametrize("name", GLOBAL_CASES + PER_KEY)
+def test_streaming_carried_state_case(spark, cases, name):
+    """Explicit and per-key watermarks through the batch operator with carried state, one run per segment."""
     from eventide.streaming.carried import carried_window_sink, read_carried
 
     case = cases[name]
