@@ -186,6 +186,8 @@ def windowed_agg(
     else:
         targets = on
     reached = first_reaching(marked, scope, order, "wm_before", "wm_after", targets, "max_ts", buckets[0])
+    if carry is not None:  # feeds both the firings and the new state: compute it once
+        reached = materialize(reached, materialize_rows, "window-reached")
     fired = reached
     if not spec.flush or carry is not None:
         fired = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())

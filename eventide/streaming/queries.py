@@ -138,12 +138,14 @@ def _carried_window(strategy: str, name: str):
 
     if strategy == "global":
         spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("global", R.GLOBAL_BOUND), 2 * R.HOUR, FIRE)
+    elif strategy == "key":
+        spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND), 2 * R.HOUR, FIRE)
     else:
         spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("column", marker="wm_mark"), R.HOUR, FIRE)
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         acc = combine(count_of("n"), sum_of("v", "total"))
-        src = _events(spark, sf_dir) if strategy == "global" else R.explicit_stream(spark, sf_dir)
+        src = R.explicit_stream(spark, sf_dir) if strategy == "column" else _events(spark, sf_dir)
         out = replay(spark, src, "arr_ms", WEEK, lambda s: s, name, restarts=False,
                      sink=lambda base: carried_window_sink(base, spec, KEY, TS, ORD, acc))
         return read_carried(spark, out, "fire").select(
@@ -175,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_global_lateness": _carried_window("global", "global-lateness"),
         "stream_explicit_watermark": _carried_window("column", "explicit-watermark"),
         "stream_late_split_global": q_stream_late_split_global,
+        "stream_key_lateness_carried": _carried_window("key", "key-lateness-carried"),
     }
 
 
@@ -190,4 +193,6 @@ def oracle_sql() -> dict[str, str]:
                                                  False, ("count", "sum")),
         "stream_explicit_watermark": R.oracle_sql()["explicit_watermark_agg"],
         "stream_late_split_global": R.oracle_sql()["late_split_global"],
+        "stream_key_lateness_carried": window_agg_sql("key", R.BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE, False,
+                                                      ("count", "sum")),
     }
