@@ -105,6 +105,7 @@ def windowed_agg(
     emit: str = "pass",
     materialize_rows: str = "table",
     carry: Carry | None = None,
+    work_folder: str | None = None,
 ) -> WindowAggResult:
     """Aggregate ``df`` per key and event-time window under ``spec``.
 
@@ -119,6 +120,8 @@ def windowed_agg(
     carry: continue from earlier input (micro-batches of a stream): the input
     starts from the carried watermark(s) and open windows, and the result holds
     the new ones. No end-of-input flush then.
+    work_folder: where intermediate tables are (over)written; a stream passes one
+    folder for all its micro-batches so storage stays bounded.
     """
     keys, order = as_list(key), as_list(order)
     w, lateness = spec.window, spec.lateness
@@ -158,7 +161,7 @@ def windowed_agg(
     marked = marked.withColumn(
         "tag", F.when(accepted, F.lit(IN_WINDOW)).when(elem_late, F.lit(LATE)).otherwise(F.lit(GAP))
     ).withColumn("n_dropped_windows", _dropped_windows(spec))
-    marked = materialize(marked, materialize_rows, "window-rows")
+    marked = materialize(marked, materialize_rows, "window-rows", work_folder)
     rows = marked.filter(F.col(wm_spec.marker).isNull()) if wm_spec.strategy == "column" else marked
 
     # ---- (row, window) pairs of accepted rows, classified ----
@@ -187,7 +190,7 @@ def windowed_agg(
         targets = on
     reached = first_reaching(marked, scope, order, "wm_before", "wm_after", targets, "max_ts", buckets[0])
     if carry is not None:  # feeds both the firings and the new state: compute it once
-        reached = materialize(reached, materialize_rows, "window-reached")
+        reached = materialize(reached, materialize_rows, "window-reached", work_folder)
     fired = reached
     if not spec.flush or carry is not None:
         fired = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())

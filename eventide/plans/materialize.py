@@ -18,7 +18,12 @@ from eventide.session import scratch_dir
 MODES = ("table", "checkpoint", "none")
 
 
-def materialize(df: DataFrame, mode: str = "table", name: str = "rows") -> DataFrame:
+def materialize(df: DataFrame, mode: str = "table", name: str = "rows", folder: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back.
+
+    folder: a fixed place to (over)write the table, e.g. a stream's work folder
+    reused by every micro-batch; by default a new folder below the checkpoint root.
+    """
     if mode not in MODES:
         raise ValueError(f"materialize mode must be one of {MODES}, not {mode!r}")
     if mode == "none":
@@ -27,6 +32,6 @@ def materialize(df: DataFrame, mode: str = "table", name: str = "rows") -> DataF
     if mode == "checkpoint":
         scratch_dir(spark, name)  # makes sure a checkpoint folder is registered
         return df.checkpoint(eager=True)
-    path = scratch_dir(spark, name)
+    path = f"{folder.rstrip('/')}/{name}" if folder else scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

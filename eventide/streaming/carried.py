@@ -61,13 +61,31 @@ def load_carry(spark: SparkSession, base: str, before_batch: int) -> Carry:
     return Carry(watermark=wm, windows=found["windows"], key_watermarks=found["key_wm"])
 
 
+RETAINED_BATCHES = 10  # committed state versions kept; older ones are deleted
+
+
+def _prune(spark: SparkSession, base: str, keep_from: int) -> None:
+    """Delete state versions of batches before ``keep_from`` (all later ones stay)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for b in _committed_batches(spark, f"{base}/state"):
+        if b < keep_from:
+            path = jvm.org.apache.hadoop.fs.Path(f"{base}/state/batch={b:09d}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str], ts: str,
                         order: Sequence[str], acc: Accumulator) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function running the window operator with carried state."""
+    """``foreachBatch`` function running the window operator with carried state.
+
+    Intermediate tables go to ``<base>/work`` (overwritten by every batch) and
+    only the last ``RETAINED_BATCHES`` state versions are kept, so the folder
+    does not grow with the number of micro-batches beyond the outputs.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         carry = load_carry(spark, base, batch_id)
-        res = windowed_agg(batch, spec, key, ts, order, acc, carry=carry)
+        res = windowed_agg(batch, spec, key, ts, order, acc, carry=carry, work_folder=f"{base}/work")
         res.output.write.mode("overwrite").parquet(f"{base}/fire/batch={batch_id:09d}")
         res.late.write.mode("overwrite").parquet(f"{base}/late/batch={batch_id:09d}")
         res.dropped.write.mode("overwrite").parquet(f"{base}/dropped/batch={batch_id:09d}")
@@ -77,6 +95,7 @@ def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str]
             res.key_watermarks.write.mode("overwrite").parquet(f"{folder}/key_wm")
         # the watermark is written last: its _SUCCESS marks the batch as committed
         spark.createDataFrame([(res.watermark,)], "wm BIGINT").write.mode("overwrite").parquet(f"{folder}/wm")
+        _prune(spark, base, batch_id - RETAINED_BATCHES + 1)
 
     return write
 
