@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from eventide.llm import op3_bpe
+from eventide.llm import op2_packing, op3_bpe, op8_simhash, op10_rans
 
 QUERIES = {
+    "op2_best_fit_packing": op2_packing.query,
     "op3_byte_bpe": op3_bpe.query,
+    "op8_simhash_golay": op8_simhash.query,
+    "op10_rans_blocks": op10_rans.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
