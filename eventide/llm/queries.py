@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from eventide.llm import op2_packing, op3_bpe, op8_simhash, op10_rans
+from eventide.llm import (
+    op1_toxicity, op2_packing, op3_bpe, op4_language, op6_html, op8_simhash, op9_license, op10_rans,
+)
 
 QUERIES = {
+    "op1_toxicity_compression": op1_toxicity.query,
     "op2_best_fit_packing": op2_packing.query,
     "op3_byte_bpe": op3_bpe.query,
+    "op4_language_profiles": op4_language.query,
+    "op6_html_blocks": op6_html.query,
     "op8_simhash_golay": op8_simhash.query,
+    "op9_license_diagonals": op9_license.query,
     "op10_rans_blocks": op10_rans.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_license_diagonals": op9_license.oracle_sql(),
+}
