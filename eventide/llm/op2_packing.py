@@ -12,8 +12,8 @@ sequence, and the search enumerates undominated fillings of the room around it:
   incumbent would allow.
 
 The incumbent starts as best-fit decreasing. The search ends when the incumbent
-meets the lower bound ceil(total / size) or after ``max_nodes`` opened sequences;
-every piece is placed in either case.
+meets the lower bound ceil(total / size) or after ``STEPS_PER_PIECE`` enumeration
+steps per piece; every piece is placed in either case.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from eventide.llm.tokens import library_encoder
 VOCABULARY, END_ID, SEQUENCE_TOKENS = "word_bpe_49k.json", 1, 4096
 GROUP_PIECES = 20_000
 #: Fillings tried per opened sequence, and steps spent on enumerating them.
-BRANCHES, FILL_STEPS = 6, 400
+BRANCHES, FILL_STEPS = 6, 60
+STEPS_PER_PIECE = 12
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -63,10 +64,11 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return out
 
 
-def fillings(room: int, left: Counter, lengths: list[int], waste: int) -> list[tuple[int, list[int]]]:
+def fillings(room: int, left: Counter, lengths: list[int], waste: int) -> tuple[list[tuple[int, list[int]]], int]:
     """Undominated fillings of ``room`` from the unplaced ``left``, least waste first.
 
-    ``lengths`` are the distinct unplaced lengths, ascending. Fillings that leave more than ``waste`` are cut.
+    ``lengths`` are the distinct unplaced lengths, ascending. Fillings that leave
+    more than ``waste`` are cut. Also returns the steps taken.
     """
     found: dict[tuple[int, ...], int] = {}
     chosen: list[int] = []
@@ -81,12 +83,12 @@ def fillings(room: int, left: Counter, lengths: list[int], waste: int) -> list[t
         return lengths[at] if at >= 0 else 0
 
     def dominated(rest: int) -> bool:
-        for i, x in enumerate(chosen):
-            if rest and free(x + rest) > x:
-                return True
-            if any(free(x + y + rest) >= x + y for y in chosen[i + 1:]):
-                return True
-        return False
+        kinds = sorted(set(chosen))
+        if rest and any(free(x + rest) > x for x in kinds):
+            return True
+        twice = {x for x in kinds if used[x] > 1}
+        return any(free(x + y + rest) >= x + y for i, x in enumerate(kinds) for y in kinds[i + (x not in twice):]
+                   if x + y <= lengths[-1])
 
     def grow(rest: int, most: int) -> bool:
         nonlocal steps
@@ -108,15 +110,15 @@ def fillings(room: int, left: Counter, lengths: list[int], waste: int) -> list[t
         return False
 
     grow(room, room)
-    return sorted((rest, list(filling)) for filling, rest in found.items())
+    return sorted((rest, list(filling)) for filling, rest in found.items()), steps
 
 
-def pack(lengths: list[int], size: int = SEQUENCE_TOKENS, max_nodes: int | None = None) -> list[list[int]]:
+def pack(lengths: list[int], size: int = SEQUENCE_TOKENS, max_steps: int | None = None) -> list[list[int]]:
     """Lengths (1..size) as sequences of at most ``size``."""
     best = best_fit(lengths, size)
     total = sum(lengths)
     bound = max(-(-total // size), sum(1 for x in lengths if 2 * x > size))
-    nodes = max_nodes if max_nodes is not None else 4 * len(best) + 2_000
+    budget = max_steps if max_steps is not None else STEPS_PER_PIECE * len(lengths) + 60_000
     left = Counter(lengths)
     distinct = sorted(left)
     placed: list[list[int]] = []
@@ -135,21 +137,23 @@ def pack(lengths: list[int], size: int = SEQUENCE_TOKENS, max_nodes: int | None
         return (len(best) - 1) * size - total - waste
 
     def options() -> tuple[Iterator[tuple[int, list[int]]], int]:
-        largest = distinct[-1]
+        nonlocal budget
+        largest, choice, steps = distinct[-1], [], 1
         take([largest], 1)
         room = size - largest
-        choice = fillings(room, left, distinct, min(room, max(allowed(), 0))) if allowed() >= 0 else []
+        if allowed() >= 0:
+            choice, steps = fillings(room, left, distinct, min(room, allowed()))
         take([largest], -1)
+        budget -= steps
         return iter(choice), largest
 
-    while len(best) > bound and nodes > 0:
+    while len(best) > bound and budget > 0:
         if not distinct:
             if len(placed) < len(best):
                 best = [list(x) for x in placed]
             if len(best) <= bound:
                 break
         else:
-            nodes -= 1
             stack.append(options())
         moved = False
         while stack and not moved:

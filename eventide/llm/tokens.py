@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-MAX_ENTRIES = 500_000
+MAX_ENTRIES = 800_000
 MAX_PIECE = 48
 #: Cut before a space unless both its neighbours are white space (or the end).
 _SPACES = {c for c in map(chr, range(0x3001)) if c.isspace()} | {""}
@@ -31,22 +31,42 @@ class PieceEncoder:
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], spaced: bool,
-                 max_entries: int = MAX_ENTRIES):
+                 encode_heads: Callable[[list[str]], list[bytes]] | None = None, max_entries: int = MAX_ENTRIES):
         self.encode_many, self.spaced, self.max_entries = encode_many, spaced, max_entries
+        self.encode_heads = encode_heads or encode_many  # for pieces without the space
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.risky: set[str] = {""} if spaced else set()
 
-    def _learn(self, pieces: Iterable[str], extra: dict[str, bytes]) -> None:
-        new = list(pieces)
-        if not new:
+    def _learn(self, pieces: set[str], extra: dict[str, bytes]) -> None:
+        if not pieces:
             return
+        lines: dict[str, list[str]] = {}
+        if self.spaced:  # a line feed between visible characters is a token of its own: both sides recur elsewhere
+            for piece in pieces:
+                if "\n" in piece and all(part.split() == [part] for part in piece.split("\n")):
+                    lines[piece] = piece.split("\n")
+            pieces = pieces.difference(lines).union({parts[0] for parts in lines.values()}.difference(self.known))
         lead = " " if self.spaced else ""
-        for piece, ids in zip(new, self.encode_many([lead + p for p in new])):
+        self._keep(self.known, list(pieces), self.encode_many([lead + p for p in pieces]), extra)
+        if lines:
+            heads = list({part for parts in lines.values() for part in parts[1:]}.difference(self.heads))
+            long_heads: dict[str, bytes] = {}
+            if heads:
+                self._keep(self.heads, heads, self.encode_heads(heads), long_heads)
+            feed = self.encode_many(["\n"])[0]
+            for piece, (first, *others) in lines.items():
+                ids = feed.join([extra[first] if first in extra else self.known[first],
+                                 *[long_heads[o] if o in long_heads else self.heads[o] for o in others]])
+                (extra if len(piece) > MAX_PIECE else self.known)[piece] = ids
+
+    def _keep(self, known: dict[str, bytes], pieces: list[str], ids: list[bytes], extra: dict[str, bytes]) -> None:
+        for piece, own in zip(pieces, ids):
             if len(piece) > MAX_PIECE:
-                extra[piece] = ids
+                extra[piece] = own
             else:
-                self.known[piece] = ids
-                if self.spaced and piece[:1] in _SPACES:
+                known[piece] = own
+                if self.spaced and piece[:1] in _SPACES and known is self.known:
                     self.risky.add(piece)
 
     def ids(self, text: str | None) -> bytes:
@@ -59,11 +79,12 @@ class PieceEncoder:
             short = {p: ids for p, ids in self.known.items() if len(p) <= 8}
             self.known = short if len(short) < self.max_entries // 2 else {}
             self.risky &= {"", *self.known}
+            self.heads = {}
         cut = [self._cut(t) if t else ("", []) for t in texts]
         extra: dict[str, bytes] = {}
         self._learn(set().union(*[rest for _, rest in cut]).difference(self.known), extra)
         heads = [head for head, _ in cut if head]
-        first = iter(self.encode_many(heads) if heads else [])
+        first = iter([self.heads[h] if h in self.heads else self.encode_many([h])[0] for h in heads])
         out = []
         for head, rest in cut:
             begin = next(first) if head else b""
@@ -75,9 +96,9 @@ class PieceEncoder:
 
     def _cut(self, text: str) -> tuple[str, list[str]]:
         """The piece before the first space, encoded as it stands, and the others without their space."""
-        rest = text.split(" ")
         if not self.spaced:
-            return "", rest
+            return "", text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        rest = text.split(" ")
         head, rest = rest[0], rest[1:]
         if any(p[:1] in _SPACES for p in set(rest).difference(self.known)) or not self.risky.isdisjoint(rest):
             head, *rest = _CUT.split(text)
@@ -98,7 +119,8 @@ def library_encoder(path: str, spaced: bool) -> PieceEncoder:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _LOADED[path, spaced] = PieceEncoder(_by_tabs(tok) if spaced else _by_offsets(tok), spaced)
+        _LOADED[path, spaced] = (
+            PieceEncoder(_by_tabs(tok), True, _by_feeds(tok)) if spaced else PieceEncoder(_by_offsets(tok), False))
     return _LOADED[path, spaced]
 
 
@@ -121,18 +143,28 @@ def _by_offsets(tok) -> Callable[[list[str]], list[bytes]]:
     return encode_many
 
 
+def _cut_at(tok, joined: str, cut: int) -> list[bytes]:
+    fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
+    ids = np.asarray(fast([joined], add_special_tokens=False)[0].ids, "<u4")
+    cuts = np.append(4 * np.flatnonzero(ids == cut), 4 * len(ids)).tolist()
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], cuts)]
+
+
 def _by_tabs(tok) -> Callable[[list[str]], list[bytes]]:
     """Byte level: a tab before a space and a visible character is a token of its own, so tabs mark the cuts."""
     (tab,) = tok.encode("\t", add_special_tokens=False).ids
-    fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
 
     def encode_many(texts: list[str]) -> list[bytes]:
         joined = "\t".join(texts)
         if joined.count("\t") != len(texts) - 1 or not all(t[0] == " " and not t[1:2].isspace() and len(t) > 1 for t in texts):
             return _one_by_one(tok, texts)
-        ids = np.asarray(fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.append(4 * np.flatnonzero(ids == tab), 4 * len(ids)).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], cuts)]
+        return _cut_at(tok, joined, tab)
 
     return encode_many
+
+
+def _by_feeds(tok) -> Callable[[list[str]], list[bytes]]:
+    """The same with line feeds for pieces without any white space."""
+    (feed,) = tok.encode("\n", add_special_tokens=False).ids
+    return lambda texts: _cut_at(tok, "\n".join(texts), feed)
