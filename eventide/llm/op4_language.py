@@ -25,6 +25,8 @@ PROFILE = 300
 #: Bounds of the training sample: rows per language, and characters of one row's excerpt.
 TRAIN_ROWS, TRAIN_CHARS = 1_500, 20_000
 UNKNOWN = "und"
+#: A text this far from every profile shares next to nothing with any learnt language (clean ones stay below 0.6).
+NO_LANGUAGE = 0.95
 _BLANK = 1
 
 
@@ -158,6 +160,20 @@ def predict_documents(docs: DataFrame, fitted: Profiles, id_col: str = "doc_id",
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "distance")
 
 
+def keep_known(docs: DataFrame, fitted: Profiles, text_col: str = "text", distance_from: float = NO_LANGUAGE) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are in a learnt language: rejected are
+    texts without a letter and texts as far as ``distance_from`` from every profile."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(fitted), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = [own.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and distance < distance_from for lang, _, distance in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return predict_documents(docs, profiles(docs))

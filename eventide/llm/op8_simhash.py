@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.llm.common import pick, read, written
 from eventide.llm.components import components
@@ -124,6 +125,30 @@ def close_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _fingerprinted(docs: DataFrame, text_col: str, shingle_words: int) -> DataFrame:
+    """``docs`` with a last column ``fp``: the fingerprint as a signed number."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                found = np.array([fingerprint(t, shingle_words) for t in batch.column(at).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
+def _least_members(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``fp`` and ``least``: the smallest ``member`` of the fingerprint's component. ``rows`` has ``fp`` and ``member``."""
+    classes = written(rows.groupBy("fp").agg(F.min("member").alias("first")), "classes")
+    roots = components(close_pairs(classes.select("fp"), max_bits))
+    rooted = written(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
+    return written(rooted.join(least, "root").select("fp", "least"), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """Fingerprint and component of every document.
@@ -137,25 +162,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are null). Repeated rows stay; other input columns are not read; an empty
     table gives no rows.
     """
-    kind = dict(docs.dtypes)[id_col]
+    own = pick(docs, doc_id=id_col, text=text_col)
+    rows = written(_fingerprinted(own, "text", shingle_words).select("doc_id", "fp"), "fingerprints")
+    labels = _least_members(rows.select("fp", F.col("doc_id").alias("member")), max_bits)
+    return rows.join(labels, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found = np.array([fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = written(pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, fp bigint"), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(close_pairs(classes.select("fp"), max_bits))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    labels = written(rooted.join(least, "root").select("fp", "component_id"), "labels")
-    return rows.join(labels, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of ``near_duplicates``, all columns as they are: the one with the
+    smallest id (null ids last; of rows with one id the first stored)."""
+    stored = written(_fingerprinted(docs, text_col, shingle_words), "documents")
+    numbered = stored.toDF(*[f"c{i}" for i in range(len(docs.columns))], "fp").withColumn("row", F.monotonically_increasing_id())
+    own = F.col(f"c{docs.columns.index(id_col)}")
+    rows = written(numbered.select("fp", F.struct(own.isNull().alias("without"), own.alias("id"), "row").alias("member")), "members")
+    firsts = _least_members(rows, max_bits).select(F.col("least.row").alias("row")).distinct()
+    return numbered.join(firsts, "row", "left_semi").drop("row", "fp").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
