@@ -39,9 +39,15 @@ def wrapping_add_le(a: Column, b: int, rhs: Column) -> Column:
 
 
 def floor_div(a: Column, width: int) -> Column:
-    """floor(a / width) on bigint, exact for the whole int64 range."""
+    """floor(a / width) in BIGINT arithmetic, exact for the whole int64 range (width > 0)."""
     w = lit_long(width)
-    return ((a.cast("decimal(20,0)") - F.pmod(a, w)) / w).cast("bigint")
+    return F.call_function("div", a, w) - F.when(a % w < 0, lit_long(1)).otherwise(lit_long(0))
+
+
+def ceil_div(a: Column, width: int) -> Column:
+    """ceil(a / width) in BIGINT arithmetic, exact for the whole int64 range (width > 0)."""
+    w = lit_long(width)
+    return F.call_function("div", a, w) + F.when(a % w > 0, lit_long(1)).otherwise(lit_long(0))
 
 
 def min_long_or(col: Column) -> Column:

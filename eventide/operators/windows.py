@@ -33,8 +33,8 @@ def window_geometry(ts: Column, w: WindowSpec) -> tuple[Column, Column]:
     """
     shifted = F.try_subtract(ts, lit_long(w.offset))
     fits = F.try_add(shifted, lit_long(w.slide)).isNotNull()
-    last_start = ts - F.pmod(shifted, lit_long(w.slide))
-    newest = F.least(last_start, lit_long(_largest_valid_start(w)))
+    last_start = F.try_subtract(ts, F.pmod(shifted, lit_long(w.slide)))  # NULL below int64: no window
+    newest = F.when(last_start.isNotNull(), F.least(last_start, lit_long(_largest_valid_start(w))))
     lowest = F.coalesce(F.try_subtract(ts, lit_long(w.size - 1)), lit_long(LONG_MIN))
     n = F.when(fits & (newest >= lowest), F.floor(F.try_subtract(newest, lowest) / F.lit(w.slide)).cast("bigint") + 1)
     # (newest - lowest) < size, so the double division above is exact
@@ -50,7 +50,7 @@ def with_window_geometry(df: DataFrame, ts: str, w: WindowSpec, newest: str = "_
 def explode_windows(df: DataFrame, w: WindowSpec, newest: str = "_w_newest", count: str = "n_windows") -> DataFrame:
     """One row per (row, window): adds window_start, window_end, max_ts."""
     out = df.filter(F.col(count) > 0).withColumn("_w_k", F.explode(F.sequence(lit_long(0), F.col(count) - 1)))
-    start = F.col(newest) - F.col("_w_k") * lit_long(w.slide)
+    start = F.col(newest) - F.col("_w_k") * lit_long(w.slide)  # the row's windows all fit in int64
     return (
         out.withColumn("window_start", start)
         .withColumn("window_end", F.col("window_start") + lit_long(w.size))

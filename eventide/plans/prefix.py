@@ -9,16 +9,17 @@ The scan here is hierarchical: rows are cut into arrival buckets
 is computed (map-side combined, so only one row per bucket crosses the
 shuffle); the bucket table is scanned recursively with the next, coarser width
 to get, for every bucket, the carry of all earlier buckets of the same key;
-the carry is joined back and combined with the running aggregate inside the
-bucket, which is a window partitioned by (key, bucket). Only the coarsest
-bucket table, one row per (key, coarse bucket), is scanned per key.
+one carrier row per bucket brings the carry in front of the bucket's rows, so the
+running aggregate is one window partitioned by (key, bucket): one shuffle and one
+sort of the rows. Only the coarsest bucket table, one row per (key, coarse
+bucket), is scanned per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.int64 import floor_div
@@ -26,14 +27,6 @@ from eventide.functions.int64 import floor_div
 _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
-def _combine(op: str, carry: Column, local: Column) -> Column:
-    if op == "max":
-        return F.greatest(carry, local)  # NULLs are skipped
-    if op == "min":
-        return F.least(carry, local)
-    return F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(carry + local)
-
-
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -96,18 +89,16 @@ def prefix_scans(
         carry_cols = {(op, src): f"_ec{tag}_{i}" for i, (op, src) in enumerate(parts)}
         carry_out = {carry_cols[(op, src)]: (op, p, False) for (op, src), p in parts.items()}
         carry = prefix_scans(bucket_tab, [(keys, carry_out)], [b], rel, _depth + 1)
-        carry = carry.select(
-            *[F.col(k).alias(f"_ek{tag}_{k}") for k in keys],
-            F.col(b).alias(f"_ek{tag}_{b}"),
-            *carry_cols.values(),
-        )
-        cond = [out[k].eqNullSafe(carry[f"_ek{tag}_{k}"]) for k in keys + [b]]
-        out = out.join(carry, cond, "inner").drop(*[f"_ek{tag}_{k}" for k in keys + [b]])
-
-        w = Window.partitionBy(*keys, b).orderBy(*order)
+        # one carrier row per bucket stands before the bucket's rows and brings the carry as its
+        # source values: the running aggregates below need one shuffle and one sort of the rows
+        sources = {(op, src): f"_es{tag}_{i}" for i, (op, src) in enumerate(parts)}
+        first = f"_ef{tag}"
+        carriers = carry.select(*keys, b, *[F.col(carry_cols[x]).alias(sources[x]) for x in parts], F.lit(0).alias(first))
+        rows = out.select("*", *[F.col(src).alias(sources[(op, src)]) for op, src in parts], F.lit(1).alias(first))
+        out = rows.unionByName(carriers, allowMissingColumns=True)
+        w = Window.partitionBy(*keys, b).orderBy(first, *order)
         for name, (op, src, inclusive) in outputs.items():
             frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-            local = _AGG[op](src).over(frame)
-            out = out.withColumn(name, _combine(op, F.col(carry_cols[(op, src)]), local))
-        drop += list(carry_cols.values())
+            out = out.withColumn(name, _AGG[op](sources[(op, src)]).over(frame))
+        out = out.filter(F.col(first) == 1).drop(first, *sources.values())
     return out.drop(*drop)
