@@ -10,14 +10,14 @@ from eventide.operators.window_agg import WindowAggResult
 def write_window_result(res: WindowAggResult, path: str, mode: str = "overwrite") -> dict[str, str]:
     """Write firings, side output and the drop counter to ``path/{output,late,dropped}``.
 
-    The three outputs read the same materialized rows, so the watermark scan is
-    not repeated per sink.
+    What the firings have stored for themselves is deleted at the end.
     """
     out = {}
     for name, df in (("output", res.output), ("late", res.late), ("dropped", res.dropped)):
         target = f"{path.rstrip('/')}/{name}"
         df.write.mode(mode).parquet(target)
         out[name] = target
+    res.release()
     return out
 
 

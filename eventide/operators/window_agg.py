@@ -1,16 +1,10 @@
 """Windowed aggregation under a per-key, global or explicit watermark.
 
-The reference processes one element at a time: look up the watermark, assign
-windows, add the element to every window that is not past its cleanup time,
-fire immediately if the window's end has already passed (a late refire), send
-elements accepted by no window to the side output (or the drop counter), then
-advance the watermark and fire windows whose end it passed.
-
-For a whole table that reduces to a closed form over (row, window) pairs with
-``max_ts = window_end - 1`` and the watermark the row saw (``wm_before``):
+In closed form over (row, window) pairs with ``max_ts = window_end - 1`` and the
+watermark the row saw (``wm_before``):
 
     drop  if wm_before >= max_ts + lateness   (saturating at Long.MAX)
-    late  if wm_before >= max_ts               (refire at this row)
+    late  if wm_before >= max_ts               (refire at this row; impossible with lateness 0)
     on    otherwise                            (part of the on-time firing)
 
 * on-time firing: aggregate of the 'on' pairs per (key, window), emitted when
@@ -20,29 +14,30 @@ For a whole table that reduces to a closed form over (row, window) pairs with
   aggregate of the window's late pairs up to the row; FIRE_AND_PURGE = the row
   alone;
 * a row with no accepted window is late iff ``ts + lateness <= wm_before``
-  (Java wrap-around, as in the reference), else a gap row that is ignored.
+  (Java wrap-around), else a gap row that is ignored.
 
-All of it is Spark: hierarchical prefix scans for the watermarks and late
-running aggregates, an exploded (row, window) hash aggregate with map-side
-partial aggregation, and a sort-based search for the firing moment.
+A row's windows, newest first, are 'on', then 'late', then dropped, so two counts
+per row say it all. Mergeable aggregates are computed per (key, newest window,
+number of on-time windows) before the groups, not the rows, are exploded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.aggregates import Accumulator
-from eventide.functions.int64 import lit_long, min_long_or, saturating_add, wrapping_add_le
+from eventide.functions.int64 import ceil_div, lit_long, min_long_or, saturating_add, wrapping_add_le
 from eventide.operators.watermark import as_list, scope_keys, with_watermarks
 from eventide.operators.windows import explode_windows, with_window_geometry
-from eventide.plans.materialize import materialize
+from eventide.plans.materialize import delete, materialize
 from eventide.plans.prefix import prefix_scan
 from eventide.plans.reach import first_reaching, null_safe_join
-from eventide.plans.spec import FIRE_AND_PURGE, WindowAggSpec
+from eventide.plans.spec import FIRE_AND_PURGE, LONG_MAX, WindowAggSpec
 
 IN_WINDOW, LATE, GAP = "in_window", "late", "gap"
 ON_TIME_FIRE, LATE_FIRE = "on_time", "late"
@@ -65,16 +60,21 @@ class Carry:
 
 @dataclass
 class WindowAggResult:
-    """Outputs of one window aggregation; all read the once-materialized watermarked rows."""
+    """Outputs of one window aggregation.
+
+    ``rows``, ``late`` and ``dropped`` are plain plans over the input and store
+    nothing. ``output`` reads the watermarked rows several times, so it writes what
+    it needs of them once, when it is first asked for; ``release`` deletes that.
+    """
 
-    output: DataFrame
-    """Firings: keys, window_start, window_end, out_ts, fire, trigger_<order>, results."""
     rows: DataFrame
     """Every data row with wm_before, wm_after, wm_seen, n_windows, n_dropped_windows, tag."""
     late: DataFrame
     """Side output: rows accepted by no window and late (only with side_output)."""
     dropped: DataFrame
     """One row, ``dropped``: late rows counted instead of side-output (numLateRecordsDropped)."""
+    build: Callable[[], DataFrame] = field(repr=False)
+    folders: list[str] = field(default_factory=list, repr=False)
     state: DataFrame | None = None
     """With a carry: the open windows after this input (same layout as ``Carry.windows``)."""
     watermark: int | None = None
@@ -82,16 +82,30 @@ class WindowAggResult:
     key_watermarks: DataFrame | None = None
     """With a carry and per-key watermarks: keys and ``wm`` after this input."""
 
-
-def _dropped_windows(spec: WindowAggSpec) -> Column:
-    """How many of a row's windows are past their cleanup time."""
-    w = spec.window
-    newest_cleanup = (F.col("_w_newest").cast("decimal(38,0)") + F.lit(w.size - 1 + spec.lateness))
-    d = newest_cleanup - F.col("wm_before").cast("decimal(38,0)")
-    k0 = F.ceil(d / F.lit(w.slide))
-    n = F.col("n_windows")
-    kept = F.least(F.greatest(k0, F.lit(0)), n)
-    return F.when(F.col("wm_before").isNull() | (n == 0), lit_long(0)).otherwise(n - kept).cast("bigint")
+    @cached_property
+    def output(self) -> DataFrame:
+        """Firings: keys, window_start, window_end, out_ts, fire, trigger_<order>, results."""
+        return self.build()
+
+    def release(self) -> None:
+        """Delete what ``output`` has stored; it cannot be read afterwards."""
+        delete(self.rows.sparkSession, self.folders)
+        self.folders.clear()
+
+
+def _open_windows(spec: WindowAggSpec, lateness: int) -> Column:
+    """How many of a row's windows, newest first, have ``max_ts + lateness`` above ``wm_before``."""
+    w, n, wm = spec.window, F.col("n_windows"), F.col("wm_before")
+    ahead = F.try_subtract(F.col("_w_newest") + lit_long(w.size - 1), wm)
+    reach = F.try_add(ahead, lit_long(lateness))
+    some = F.least(F.greatest(ceil_div(reach, w.slide), lit_long(0)), n)
+    return (
+        F.when(wm.isNull() | (n == 0), n)
+        .when(wm == lit_long(LONG_MAX), lit_long(0))  # cleanup times saturate there
+        .when(ahead.isNull(), F.when(wm < 0, n).otherwise(lit_long(0)))
+        .when(reach.isNull(), n)
+        .otherwise(some)
+    )
 
 
 def windowed_agg(
@@ -115,8 +129,8 @@ def windowed_agg(
     emit: 'pass' (keys and results, G4) or 'enrich' (window_end first, G5).
     window_fn: G6, maps the firing's columns to an array of structs, one output
     row per element (0..n).
-    materialize_rows: 'table' writes the watermarked rows once (they feed
-    every output) to the checkpoint folder; 'checkpoint' or 'none' (lazy) also work.
+    materialize_rows: 'table' writes the watermarked rows that the firings need once,
+    to the checkpoint folder; 'checkpoint' or 'none' (lazy) also work.
     carry: continue from earlier input (micro-batches of a stream): the input
     starts from the carried watermark(s) and open windows, and the result holds
     the new ones. No end-of-input flush then.
@@ -153,102 +167,121 @@ def windowed_agg(
             marked = marked.withColumn("wm_before", F.greatest(wm0, F.col("wm_before"))).withColumn(
                 "wm_after", F.greatest(wm0, F.col("wm_after"))).drop("_wm0")
 
-    # ---- per row: accepted by some window / late / gap (no explode needed) ----
+    # ---- per row: accepted by some window / late / gap; its on-time and its open windows ----
     marked = with_window_geometry(marked, ts, w)
-    newest_cleanup = saturating_add(F.col("_w_newest") + lit_long(w.size - 1), lateness)
-    accepted = (F.col("n_windows") > 0) & ~F.coalesce(newest_cleanup <= F.col("wm_before"), F.lit(False))
+    marked = marked.withColumn("_n_open", _open_windows(spec, lateness)).withColumn("_n_on", _open_windows(spec, 0))
     elem_late = F.coalesce(wrapping_add_le(F.col(ts), lateness, F.col("wm_before")), F.lit(False))
     marked = marked.withColumn(
-        "tag", F.when(accepted, F.lit(IN_WINDOW)).when(elem_late, F.lit(LATE)).otherwise(F.lit(GAP))
-    ).withColumn("n_dropped_windows", _dropped_windows(spec))
-    marked = materialize(marked, materialize_rows, "window-rows", work_folder)
-    rows = marked.filter(F.col(wm_spec.marker).isNull()) if wm_spec.strategy == "column" else marked
-
-    # ---- (row, window) pairs of accepted rows, classified ----
-    pairs = explode_windows(rows.filter(F.col("tag") == IN_WINDOW), w)
-    cleanup = saturating_add(F.col("max_ts"), lateness)
-    pairs = pairs.withColumn(
-        "_cls",
-        F.when(F.coalesce(cleanup <= F.col("wm_before"), F.lit(False)), F.lit("drop"))
-        .when(F.coalesce(F.col("max_ts") <= F.col("wm_before"), F.lit(False)), F.lit("late"))
-        .otherwise(F.lit("on")),
-    )
-    win = [*keys, "window_start", "window_end"]
-    on_pairs = pairs.filter(F.col("_cls") == "on")
-    late_pairs = pairs.filter(F.col("_cls") == "late")
+        "tag", F.when(F.col("_n_open") > 0, F.lit(IN_WINDOW)).when(elem_late, F.lit(LATE)).otherwise(F.lit(GAP))
+    ).withColumn("n_dropped_windows", F.col("n_windows") - F.col("_n_open"))
+    folders: list[str] = []
+    if carry is not None:  # a stream uses every output and the state: store the rows once, with all columns
+        marked = materialize(marked, materialize_rows, "window-rows", work_folder, folders)
 
-    # ---- on-time firing ----
-    if acc:
-        on = on_pairs.groupBy(*win).agg(*acc.agg_exprs())
-    else:
-        on = on_pairs.groupBy(*win).agg(*[c.alias(n) for n, c in aggregate.items()])
-    on = on.withColumn("max_ts", F.col("window_end") - 1)
-    if carry is not None:
-        on = _merge_carried(on, carry, acc, win, scope)
-        targets = on.filter(~F.col("_fired_before"))
-    else:
+    def data(df: DataFrame) -> DataFrame:
+        return df.filter(F.col(wm_spec.marker).isNull()) if wm_spec.strategy == "column" else df
+
+    win = [*keys, "window_start", "window_end"]
+    purge = spec.trigger == FIRE_AND_PURGE
+
+    def firings(table: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
+        """(firings, on-time accumulators, reached windows, late pairs) of the stored rows."""
+        taken = data(table).filter(F.col("tag") == IN_WINDOW)
+        late_pairs = explode_windows(taken, w, first="_n_on", count="_n_open") if lateness else None
+
+        # ---- on-time firing ----
+        if acc and w.slide >= w.size:  # one window per row at most
+            on = taken.filter(F.col("_n_on") > 0).withColumn("window_start", F.col("_w_newest")).withColumn(
+                "window_end", F.col("window_start") + lit_long(w.size)).groupBy(*win).agg(*acc.agg_exprs())
+        elif acc:
+            groups = taken.filter(F.col("_n_on") > 0).groupBy(*keys, "_w_newest", "_n_on").agg(*acc.agg_exprs())
+            on = explode_windows(groups, w, count="_n_on").groupBy(*win).agg(*_merge_aggs(acc))
+        else:
+            on_pairs = explode_windows(taken, w, count="_n_on")
+            on = on_pairs.groupBy(*win).agg(*[c.alias(n) for n, c in aggregate.items()])
+        on = on.withColumn("max_ts", F.col("window_end") - 1)
         targets = on
-    reached = first_reaching(marked, scope, order, "wm_before", "wm_after", targets, "max_ts", buckets[0])
-    if carry is not None:  # feeds both the firings and the new state: compute it once
-        reached = materialize(reached, materialize_rows, "window-reached", work_folder)
-    fired = reached
-    if not spec.flush or carry is not None:
-        fired = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())
-    on_emit = fired.withColumn("fire", F.lit(ON_TIME_FIRE))
-
-    # ---- late refires ----
-    if spec.trigger == FIRE_AND_PURGE:
-        if acc:
-            late_acc = late_pairs.select(*win, *order, *acc.single_exprs())
+        if carry is not None:
+            on = _merge_carried(on, carry, acc, win, scope)
+            targets = on.filter(~F.col("_fired_before"))
+        reached = first_reaching(table, scope, order, "wm_before", "wm_after", targets, "max_ts", buckets[0])
+        if carry is not None:  # feeds both the firings and the new state: compute it once
+            reached = materialize(reached, materialize_rows, "window-reached", work_folder, folders)
+        fired = reached
+        if not spec.flush or carry is not None:
+            fired = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())
+        on_emit = fired.withColumn("fire", F.lit(ON_TIME_FIRE))
+        if late_pairs is None:  # no lateness: a window past its end is past its cleanup
+            return shape(on_emit), on, reached, None
+
+        # ---- late refires ----
+        if purge:
+            if acc:
+                late_acc = late_pairs.select(*win, *order, *acc.single_exprs())
+            else:
+                late_acc = late_pairs.groupBy(*win, *order).agg(*[c.alias(n) for n, c in aggregate.items()])
+        elif acc:
+            ops = acc.scan_ops()
+            lp = late_pairs.select(*win, *order, *acc.scan_sources())
+            scanned = prefix_scan(
+                lp, [*keys, "window_end"], order,
+                {f"_run_{n}": (ops[n], f"_src_{n}", True) for n in acc.field_names}, buckets,
+            )
+            on_acc = on.select(*win, *[F.col(n).alias(f"_on_{n}") for n in acc.field_names])
+            joined = null_safe_join(scanned, on_acc, win, "left")
+            late_acc = joined.select(
+                *win, *order,
+                *[acc.merge_expr(op, F.col(f"_on_{n}"), F.col(f"_run_{n}")).alias(n) for n, op, _ in acc.fields],
+            )
         else:
-            late_acc = late_pairs.groupBy(*win, *order).agg(*[c.alias(n) for n, c in aggregate.items()])
-    elif acc:
-        ops = acc.scan_ops()
-        lp = late_pairs.select(*win, *order, *acc.scan_sources())
-        scanned = prefix_scan(
-            lp, [*keys, "window_end"], order,
-            {f"_run_{n}": (ops[n], f"_src_{n}", True) for n in acc.field_names}, buckets,
-        )
-        on_acc = on.select(*win, *[F.col(n).alias(f"_on_{n}") for n in acc.field_names])
-        joined = null_safe_join(scanned, on_acc, win, "left")
-        late_acc = joined.select(
-            *win, *order,
-            *[acc.merge_expr(op, F.col(f"_on_{n}"), F.col(f"_run_{n}")).alias(n) for n, op, _ in acc.fields],
-        )
-    else:
-        # non-mergeable aggregates: running aggregate over the window's on + late pairs
-        with_late = late_pairs.select(*win).distinct()
-        both = on_pairs.unionByName(late_pairs).join(with_late, win, "left_semi")
-        frame = Window.partitionBy(*keys, "window_end").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        running = both.select(*win, *order, "_cls", *[c.over(frame).alias(n) for n, c in aggregate.items()])
-        late_acc = running.filter(F.col("_cls") == "late").drop("_cls")
-    late_emit = late_acc.withColumn("fire", F.lit(LATE_FIRE))
-    for o in order:
-        late_emit = late_emit.withColumnRenamed(o, f"trigger_{o}")
+            # any other aggregate (also a distinct one): each late pair with its window's pairs so far
+            moments = late_pairs.select(*win, *[F.col(o).alias(f"_at_{o}") for o in order])
+            both = null_safe_join(on_pairs.unionByName(late_pairs), moments, win, "inner")
+            before = F.struct(*order) <= F.struct(*[F.col(f"_at_{o}").alias(o) for o in order])
+            late_acc = both.filter(before).groupBy(*win, *[f"_at_{o}" for o in order]).agg(
+                *[c.alias(n) for n, c in aggregate.items()])
+            late_acc = late_acc.withColumnsRenamed({f"_at_{o}": o for o in order})
+        late_emit = late_acc.withColumn("fire", F.lit(LATE_FIRE)).withColumnsRenamed({o: f"trigger_{o}" for o in order})
+        return shape(on_emit).unionByName(shape(late_emit)), on, reached, late_pairs
 
     results = acc.result_exprs() if acc else [F.col(n) for n in result_names]
-    head = [*keys, "window_start", "window_end", (F.col("window_end") - 1).alias("out_ts"), "fire",
-            *[f"trigger_{o}" for o in order]]
-    output = on_emit.select(*head, *results).unionByName(late_emit.select(*head, *results))
-
-    if window_fn is not None:
-        env = {c: F.col(c) for c in output.columns}
-        exploded = output.select(*head[:3], "out_ts", "fire", *[f"trigger_{o}" for o in order],
-                                 F.explode(window_fn(env)).alias("_wf"))
-        output = exploded.select("*", "_wf.*").drop("_wf")
-    elif emit == "enrich":
-        output = output.select("window_end", *keys, *result_names, "window_start", "out_ts", "fire",
-                               *[f"trigger_{o}" for o in order])
-
-    helper = [c for c in rows.columns if c.startswith("_in_") or c == "_w_newest"]
+    triggers = [f"trigger_{o}" for o in order]
+    head = [*keys, "window_start", "window_end", (F.col("window_end") - 1).alias("out_ts"), "fire", *triggers]
+
+    def shape(emitted: DataFrame) -> DataFrame:
+        return emitted.select(*head, *results)
+
+    def finish(output: DataFrame) -> DataFrame:
+        if window_fn is not None:
+            env = {c: F.col(c) for c in output.columns}
+            exploded = output.select(*head[:3], "out_ts", "fire", *triggers, F.explode(window_fn(env)).alias("_wf"))
+            return exploded.select("*", "_wf.*").drop("_wf")
+        if emit == "enrich":
+            return output.select("window_end", *keys, *result_names, "window_start", "out_ts", "fire", *triggers)
+        return output
+
+    def stored() -> DataFrame:
+        """The rows, with a mergeable aggregate only the columns that the firings need, written once."""
+        table = marked
+        if acc:
+            marker = [wm_spec.marker] if wm_spec.strategy == "column" else []
+            needed = [*keys, *order, *marker, "wm_before", "wm_after", "tag", "_w_newest", "_n_on", "_n_open",
+                      *[c for c in marked.columns if c.startswith("_in_")]]
+            table = marked.select(*dict.fromkeys(needed))
+        return materialize(table, materialize_rows, "window-rows", work_folder, folders)
+
+    rows = data(marked)
+    helper = [c for c in rows.columns if c.startswith("_in_") or c in ("_w_newest", "_n_on", "_n_open")]
     rows = rows.withColumn("wm_seen", min_long_or(F.col("wm_before"))).drop(*helper)
     late = rows.filter(F.col("tag") == LATE) if spec.side_output else rows.filter(F.lit(False))
     dropped = rows.agg(
         F.count_if(F.lit(not spec.side_output) & (F.col("tag") == LATE)).cast("bigint").alias("dropped")
     )
     if carry is None:
-        return WindowAggResult(output=output, rows=rows, late=late, dropped=dropped)
+        return WindowAggResult(rows=rows, late=late, dropped=dropped, folders=folders,
+                               build=lambda: finish(firings(stored())[0]))
 
+    output, on, reached, late_pairs = firings(marked)
     # ---- state after this input: the watermark and the windows still open ----
     new_kw, wm_final = None, None
     if scope:
@@ -260,18 +293,21 @@ def windowed_agg(
     else:
         last = marked.agg(F.max("wm_after").alias("wm")).first()["wm"]
         wm_final = last if carry.watermark is None or last is None else max(last, carry.watermark)
-    late_tot = late_pairs.groupBy(*win).agg(*acc.agg_exprs())
     flag = [F.col(f"trigger_{order[0]}").isNotNull().alias("_fired")]
     parts = [
         reached.select(*win, *acc.field_names, *flag),
         on.filter(F.col("_fired_before")).select(*win, *acc.field_names, F.lit(True).alias("_fired")),
     ]
-    if spec.trigger != FIRE_AND_PURGE:  # cumulative state also holds the late rows
-        parts.append(late_tot.select(*win, *acc.field_names, F.lit(True).alias("_fired")))
-    else:
-        parts.append(late_tot.select(*win, *[F.lit(None).cast(on.schema[n].dataType).alias(n)
-                                             for n in acc.field_names], F.lit(True).alias("_fired")))
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if late_pairs is not None:
+        late_tot = late_pairs.groupBy(*win).agg(*acc.agg_exprs())
+        if purge:
+            kept = [F.lit(None).cast(on.schema[n].dataType).alias(n) for n in acc.field_names]
+        else:  # cumulative state also holds the late rows
+            kept = [F.col(n) for n in acc.field_names]
+        parts.append(late_tot.select(*win, *kept, F.lit(True).alias("_fired")))
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
     state = merged.groupBy(*win).agg(F.max("_fired").alias("fired"), *_merge_aggs(acc))
     max_ts = F.col("window_end") - 1
     if scope:  # cleanup time passed for the key's watermark
@@ -282,8 +318,8 @@ def windowed_agg(
         state = state.filter(~(saturating_add(max_ts, lateness) <= lit_long(wm_final)))  # cleanup time passed
     if spec.trigger == FIRE_AND_PURGE:
         state = state.filter(~F.col("fired"))  # purged at every firing
-    return WindowAggResult(output=output, rows=rows, late=late, dropped=dropped, state=state,
-                           watermark=wm_final, key_watermarks=new_kw)
+    return WindowAggResult(rows=rows, late=late, dropped=dropped, build=lambda: finish(output), folders=folders,
+                           state=state, watermark=wm_final, key_watermarks=new_kw)
 
 
 def _merge_aggs(acc: Accumulator) -> list[Column]:

@@ -47,9 +47,15 @@ def with_window_geometry(df: DataFrame, ts: str, w: WindowSpec, newest: str = "_
     return df.withColumn(newest, top).withColumn(count, n)
 
 
-def explode_windows(df: DataFrame, w: WindowSpec, newest: str = "_w_newest", count: str = "n_windows") -> DataFrame:
-    """One row per (row, window): adds window_start, window_end, max_ts."""
-    out = df.filter(F.col(count) > 0).withColumn("_w_k", F.explode(F.sequence(lit_long(0), F.col(count) - 1)))
+def explode_windows(df: DataFrame, w: WindowSpec, newest: str = "_w_newest", count: str = "n_windows",
+                    first: str | None = None) -> DataFrame:
+    """One row per (row, window): adds window_start, window_end, max_ts.
+
+    Windows are numbered from the newest; ``first`` and ``count`` name columns with
+    the first number and the one after the last.
+    """
+    low = F.col(first) if first else lit_long(0)
+    out = df.filter(F.col(count) > low).withColumn("_w_k", F.explode(F.sequence(low, F.col(count) - 1)))
     start = F.col(newest) - F.col("_w_k") * lit_long(w.slide)  # the row's windows all fit in int64
     return (
         out.withColumn("window_start", start)

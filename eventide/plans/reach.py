@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from eventide.functions.int64 import floor_div
 
+#: Tasks that share the windows of all keys that end at one moment (global and explicit watermarks).
+DEALS = 16
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Equi-join on same-named columns with NULL == NULL; keeps one copy of ``on``."""
@@ -81,4 +84,9 @@ def first_reaching(
         .filter(F.col("_kind") == 0)
         .select(*keys, F.col("_x").alias(target), *[F.col("_first")[o].alias(prefix + o) for o in order])
     )
-    return null_safe_join(targets, first, [*keys, target], "left")
+    if keys:
+        return null_safe_join(targets, first, [*keys, target], "left")
+    # no key: windows of every key may end at one moment, so the small side is repeated and the targets are dealt out
+    dealt = targets.withColumn("_deal", F.pmod(F.xxhash64(*targets.columns), F.lit(DEALS)))
+    spread = first.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEALS - 1).cast("bigint"))))
+    return null_safe_join(dealt, spread, [target, "_deal"], "left").drop("_deal")
