@@ -2,8 +2,7 @@
 
 Batch jobs use the closed form of the window operator (watermarks, window
 classification and firing expressed as Spark window functions, aggregates and
-joins); streaming jobs run the same semantics with keyed state in
-``transformWithStateInPandas`` or as the batch operator with carried state.
+joins); streaming jobs run the same batch operator per micro-batch with carried state.
 See README.md for the module map.
 """
 

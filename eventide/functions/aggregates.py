@@ -11,7 +11,6 @@ accepted by the batch operator (the non-mergeable path).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -124,19 +123,3 @@ def combine(*accs: Accumulator) -> Accumulator:
         raise ValueError(f"accumulator field names clash: {names}")
     result = tuple(r for a in accs for r in (a.result or tuple((n, F.col(n)) for n in a.field_names)))
     return Accumulator(fields, result)
-
-
-# Window functions applied to each firing.
-
-def pass_through(keys: Sequence[str], result_names: Sequence[str]) -> list[str]:
-    """Emit the aggregate as it is."""
-    return [*keys, *result_names]
-
-
-def enriching(keys: Sequence[str], result_names: Sequence[str]) -> list[str]:
-    """Emit (window end, key, aggregate)."""
-    return ["window_end", *keys, *result_names]
-
-
-UserWindowFunction = Callable[[dict[str, Column]], Column]
-"""Maps the firing's columns to an array of structs; each element is one output row (0..n)."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventide.functions.int64 import lit_long, min_long_or
 from eventide.operators.watermark import as_list, with_watermarks
 from eventide.plans.prefix import prefix_scans
+from eventide.plans.reach import null_safe_join
 from eventide.plans.spec import DEFAULT_ARRIVAL_BUCKETS, WatermarkSpec
 
 IN_TIME = "in_time"
@@ -23,23 +24,30 @@ def late_split(
     ts: str,
     order: Sequence[str],
     start_watermark: int | None = None,
+    start_watermarks: DataFrame | None = None,
 ) -> DataFrame:
     """Tag every row ``late`` iff ``ts <= wm_before`` of its strategy, else ``in_time``.
 
     The decision uses the watermark *before* the row; the row moves the
     watermark afterwards. ``start_watermark`` continues a global watermark from
-    earlier input (a stream's previous micro-batches). ``wm_seen`` is the watermark the row saw with "none"
+    earlier input (a stream's previous micro-batches), ``start_watermarks`` (keys and
+    ``wm``) the watermarks of keys. ``wm_seen`` is the watermark the row saw with "none"
     as Long.MIN_VALUE (the reference's projection, C3). Sinks filter on ``tag``.
     """
     if spec.strategy == "column":
         raise ValueError("late_split takes the 'key' or 'global' strategy")
     if start_watermark is not None and spec.strategy != "global":
         raise ValueError("a start watermark continues a global watermark (micro-batches of a stream)")
+    if start_watermarks is not None and spec.strategy != "key":
+        raise ValueError("a table of start watermarks continues per-key watermarks")
     out = with_watermarks(df, spec, key, ts, order)
-    if start_watermark is not None:
-        wm0 = lit_long(start_watermark)
+    wm0 = lit_long(start_watermark) if start_watermark is not None else None
+    if start_watermarks is not None:
+        known = start_watermarks.select(*as_list(key), F.col("wm").alias("_wm0"))
+        out, wm0 = null_safe_join(out, known, as_list(key), "left"), F.col("_wm0")
+    if wm0 is not None:
         out = out.withColumn("wm_before", F.greatest(wm0, F.col("wm_before"))).withColumn(
-            "wm_after", F.greatest(wm0, F.col("wm_after")))
+            "wm_after", F.greatest(wm0, F.col("wm_after"))).drop("_wm0")
     return out.withColumn(
         "tag", F.when(F.col(ts) <= F.col("wm_before"), F.lit(LATE)).otherwise(F.lit(IN_TIME))
     ).withColumn("wm_seen", min_long_or(F.col("wm_before")))

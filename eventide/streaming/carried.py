@@ -1,129 +1,212 @@
-"""Window streams as the batch operator with carried state (A2, A3, and A1 for hot keys).
-
-A global watermark is one value over all keys, so a key's windows can fire on
-other keys' rows; the keyed state of ``transformWithState`` cannot see that.
-Instead every micro-batch runs the batch operator (``windowed_agg``) with a
-:class:`~eventide.operators.window_agg.Carry`: the watermark (or, per key, a
-table of key watermarks) and the open windows left by the previous batch.
-For per-key watermarks this is the alternative to the keyed processor when a
-key may hold a large share of the rows: the batch plan splits a hot key over
-(key, arrival bucket) tasks, where the keyed processor gets it in one call.
-Everything is written per batch id below the sink folder, after the outputs:
-
-    <base>/fire/batch=N      firings (on-time and late refires)
-    <base>/late/batch=N      side output
-    <base>/dropped/batch=N   drop counter of the batch
-    <base>/state/batch=N/{windows,key_wm,wm}
-
-A retried batch reads the state of the last committed earlier batch and
-overwrites its own folders, so the sink is exactly-once. The state holds one
-row per open window (bounded by (bound + lateness) / slide windows per key).
+"""Streams as the batch operators with carried state.
+
+Every micro-batch runs the batch operator with what earlier batches left: the
+watermark (global, explicit) or a table of key watermarks, and the open windows.
+So a stream has every feature of the batch operator - several keys, any mergeable
+aggregate and value type, result expressions, window functions, the whole input
+row in the side output - and a hot key is split over tasks as in batch. State is
+written per batch id below the sink folder, after the outputs:
+
+    <base>/fire/batch=N       firings (on-time and late refires)
+    <base>/late/batch=N       side output
+    <base>/dropped/batch=N    drop counter of the batch
+    <base>/watermark/batch=N  gauge: lowest and highest watermark so far
+    <base>/rows/batch=N       rows of a late split
+    <base>/state/batch=N/{windows,key_wm}/part=P, <base>/state/batch=N/wm
+
+Batch N needs the committed state of batch N-1 and fails without it; a retried
+batch overwrites its own folders, so the sink is exactly-once. As many state
+versions are kept as the checkpoint keeps batches
+(``spark.sql.streaming.minBatchesToRetain``): any batch that Spark can run again
+finds its state. Tables are kept in ``STATE_PARTS`` parts by a hash of the key; a batch
+writes the parts that its keys touch and its commit lists, for the other parts, the batch
+that wrote them last.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventide.functions.aggregates import Accumulator
+from eventide.operators.late import late_split
+from eventide.operators.watermark import as_list
 from eventide.operators.window_agg import Carry, windowed_agg
-from eventide.plans.spec import WindowAggSpec
+from eventide.plans.materialize import delete
+from eventide.plans.reach import null_safe_join
+from eventide.plans.spec import WatermarkSpec, WindowAggSpec
 
+STATE_PARTS = 32
 
-def _committed_batches(spark: SparkSession, folder: str) -> list[int]:
+
+def _fs(spark: SparkSession, folder: str):
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "wm/_SUCCESS")):
-            out.append(int(name.split("=")[1]))
-    return sorted(out)
-
-
-def load_carry(spark: SparkSession, base: str, before_batch: int) -> Carry:
-    """State left by the last committed batch before ``before_batch``."""
-    done = [b for b in _committed_batches(spark, f"{base}/state") if b < before_batch]
-    if not done:
-        return Carry()
-    folder = f"{base}/state/batch={done[-1]:09d}"
-    wm = spark.read.parquet(f"{folder}/wm").first()["wm"]
-    found = {}
-    for part in ("windows", "key_wm"):
-        try:
-            found[part] = spark.read.parquet(f"{folder}/{part}")
-        except Exception:  # nothing of that kind was written
-            found[part] = None
-    return Carry(watermark=wm, windows=found["windows"], key_watermarks=found["key_wm"])
-
-
-RETAINED_BATCHES = 10  # committed state versions kept; older ones are deleted
-
-
-def _prune(spark: SparkSession, base: str, keep_from: int) -> None:
-    """Delete state versions of batches before ``keep_from`` (all later ones stay)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for b in _committed_batches(spark, f"{base}/state"):
-        if b < keep_from:
-            path = jvm.org.apache.hadoop.fs.Path(f"{base}/state/batch={b:09d}")
-            path.getFileSystem(conf).delete(path, True)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _fs(spark, folder)
+    return fs.exists(path)
+
+
+def _state(base: str, batch_id: int) -> str:
+    return f"{base}/state/batch={batch_id:09d}"
+
 
+def load_commit(spark: SparkSession, base: str, batch_id: int) -> dict | None:
+    """What the batch before ``batch_id`` committed; None only before the first batch.
 
-def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str], ts: str,
-                        order: Sequence[str], acc: Accumulator) -> Callable[[DataFrame, int], None]:
+    ``wm``: the scope's watermark. ``parts``: for each state table and part the batch
+    that wrote it. ``schemas``: the tables' columns.
+    """
+    if batch_id == 0:
+        return None
+    folder = f"{_state(base, batch_id - 1)}/wm"
+    if not _exists(spark, f"{folder}/_SUCCESS"):
+        raise RuntimeError(f"batch {batch_id} needs the state of batch {batch_id - 1}, which {base}/state does not hold: "
+                           "restore the sink folder that belongs to this checkpoint, or start with a new checkpoint and sink")
+    row = spark.read.schema("wm BIGINT, held STRING").parquet(folder).first()
+    if row is None:
+        raise RuntimeError(f"the state of batch {batch_id - 1} in {folder} is empty")
+    return {"wm": row["wm"], **json.loads(row["held"])}
+
+
+def load_table(spark: SparkSession, base: str, commit: dict | None, name: str) -> DataFrame | None:
+    """A state table of the last commit; a file that is missing or damaged fails the batch."""
+    if commit is None or name not in commit["schemas"]:
+        return None
+    paths = [f"{_state(base, b)}/{name}/part={p}" for p, b in commit["parts"][name].items()]
+    if not paths:
+        return spark.createDataFrame([], commit["schemas"][name])
+    return spark.read.schema(commit["schemas"][name]).parquet(*paths)
+
+
+def load_carry(spark: SparkSession, base: str, batch_id: int) -> Carry:
+    """State for ``batch_id``: what batch ``batch_id - 1`` committed."""
+    commit = load_commit(spark, base, batch_id)
+    return Carry(watermark=commit["wm"] if commit else None, windows=load_table(spark, base, commit, "windows"),
+                 key_watermarks=load_table(spark, base, commit, "key_wm"))
+
+
+def _part(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS)).cast("int") if keys else F.lit(0)
+
+
+def _save(spark: SparkSession, base: str, batch_id: int, commit: dict | None, wm: int | None,
+          tables: dict[str, tuple[DataFrame, list[str]]], touched: DataFrame | None) -> None:
+    """Write the touched parts of the state tables, then the commit, then drop versions nothing needs."""
+    parts = {n: dict(p) for n, p in (commit["parts"] if commit else {}).items()}
+    schemas = {}
+    for name, (table, keys) in tables.items():
+        schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+        old = parts.get(name, {})
+        if touched is None or commit is None:
+            now = set(range(STATE_PARTS if keys else 1))
+        else:  # at most STATE_PARTS numbers
+            now = {r[0] for r in touched.select(_part(keys)).distinct().collect()}
+        folder = f"{_state(base, batch_id)}/{name}"
+        numbered = table.withColumn("part", _part(keys))
+        numbered.where(F.col("part").isin(*now) if now else F.lit(False)).write.mode("overwrite").partitionBy("part").parquet(folder)
+        written = {p for p in now if _exists(spark, f"{folder}/part={p}")}
+        parts[name] = {**{p: b for p, b in old.items() if int(p) not in now}, **{str(p): batch_id for p in written}}
+    held = json.dumps({"parts": {n: parts[n] for n in tables}, "schemas": schemas})
+    commit_row = spark.createDataFrame([(wm, held)], "wm BIGINT, held STRING")
+    commit_row.coalesce(1).write.mode("overwrite").parquet(f"{_state(base, batch_id)}/wm")
+    _prune(spark, base, batch_id)
+
+
+def _prune(spark: SparkSession, base: str, batch_id: int) -> None:
+    """Delete versions that left the retained range and that no retained commit lists.
+
+    The parts that retained commits list from before the range are those that the
+    oldest of them lists. Now and then all older versions are looked at again, so
+    their number stays bounded by the range and the number of parts.
+    """
+    retain = max(2, int(spark.conf.get("spark.sql.streaming.minBatchesToRetain", "100")))
+    if batch_id < retain:
+        return
+    old = [batch_id - retain]
+    if batch_id % retain == 0:
+        fs, path = _fs(spark, f"{base}/state")
+        numbers = [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(path)]
+        old = [n for n in numbers if n <= batch_id - retain]
+    oldest = load_commit(spark, base, batch_id - retain + 2)
+    needed = {b for table in oldest["parts"].values() for b in table.values()}
+    delete(spark, [_state(base, b) for b in old if b not in needed])
+
+
+def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str], ts: str, order: Sequence[str],
+                        acc: Accumulator, window_fn: Callable[[dict[str, Column]], Column] | None = None,
+                        emit: str = "pass") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function running the window operator with carried state.
 
-    Intermediate tables go to ``<base>/work`` (overwritten by every batch) and
-    only the last ``RETAINED_BATCHES`` state versions are kept, so the folder
-    does not grow with the number of micro-batches beyond the outputs.
+    ``window_fn`` and ``emit`` as in ``windowed_agg``. Intermediate tables go to
+    ``<base>/work``, overwritten by every batch.
     """
+    keys = as_list(key)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        commit = load_commit(spark, base, batch_id)
         carry = load_carry(spark, base, batch_id)
-        res = windowed_agg(batch, spec, key, ts, order, acc, carry=carry, work_folder=f"{base}/work")
-        res.output.write.mode("overwrite").parquet(f"{base}/fire/batch={batch_id:09d}")
-        res.late.write.mode("overwrite").parquet(f"{base}/late/batch={batch_id:09d}")
-        res.dropped.write.mode("overwrite").parquet(f"{base}/dropped/batch={batch_id:09d}")
-        folder = f"{base}/state/batch={batch_id:09d}"
-        res.state.write.mode("overwrite").parquet(f"{folder}/windows")
+        res = windowed_agg(batch, spec, keys, ts, order, acc, window_fn=window_fn, emit=emit, carry=carry,
+                           work_folder=f"{base}/work")
+        name = f"batch={batch_id:09d}"
+        res.output.write.mode("overwrite").parquet(f"{base}/fire/{name}")
+        res.late.write.mode("overwrite").parquet(f"{base}/late/{name}")
+        res.dropped.write.mode("overwrite").parquet(f"{base}/dropped/{name}")
+        tables = {"windows": (res.state, keys)}
+        touched = res.rows.select(*keys) if spec.watermark.strategy == "key" else None
         if res.key_watermarks is not None:
-            res.key_watermarks.write.mode("overwrite").parquet(f"{folder}/key_wm")
-        # the watermark is written last: its _SUCCESS marks the batch as committed
-        spark.createDataFrame([(res.watermark,)], "wm BIGINT").write.mode("overwrite").parquet(f"{folder}/wm")
-        _prune(spark, base, batch_id - RETAINED_BATCHES + 1)
+            tables["key_wm"] = (res.key_watermarks, keys)
+        _save(spark, base, batch_id, commit, res.watermark, tables, touched)
+        wms = load_table(spark, base, load_commit(spark, base, batch_id + 1), "key_wm")
+        _gauge(spark, base, batch_id, res.watermark, wms)
 
     return write
 
 
-def carried_late_split_sink(base: str, bound: int, key: str, ts: str, order: Sequence[str],
-                            columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function for the global late split (C2 stream): the global
-    watermark is carried from batch to batch; rows go to ``<base>/rows/batch=N``."""
-    from pyspark.sql import functions as F
-
-    from eventide.operators.late import late_split
-    from eventide.plans.spec import WatermarkSpec
-
-    spec = WatermarkSpec("global", bound)
+def carried_late_split_sink(base: str, bound: int, key: str, ts: str, order: Sequence[str], columns: Sequence[str],
+                            strategy: str = "global") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for the late split (C1 per key, C2 global): the
+    watermark(s) are carried from batch to batch; rows go to ``<base>/rows/batch=N``."""
+    spec, keys = WatermarkSpec(strategy, bound), as_list(key)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        wm0 = load_carry(spark, base, batch_id).watermark
-        split = late_split(batch, spec, key, ts, order, start_watermark=wm0)
+        commit = load_commit(spark, base, batch_id)
+        wm0 = commit["wm"] if commit else None
+        known = load_table(spark, base, commit, "key_wm")
+        split = late_split(batch, spec, keys, ts, order, start_watermark=wm0, start_watermarks=known)
         split.select(*columns).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id:09d}")
-        last = split.agg(F.max("wm_after").alias("wm")).first()["wm"]
-        wm = last if wm0 is None or last is None else max(wm0, last)
-        spark.createDataFrame([(wm,)], "wm BIGINT").write.mode("overwrite").parquet(
-            f"{base}/state/batch={batch_id:09d}/wm")
+        top = F.try_subtract(F.max(ts), F.lit(bound).cast("bigint")).alias("wm")  # a watermark is the largest event time so far minus the bound
+        if strategy == "global":
+            found = [x for x in (batch.agg(top).first()["wm"], wm0) if x is not None]
+            wm, tables, touched = max(found, default=None), {}, None
+        else:
+            own = batch.groupBy(*keys).agg(top).where("wm IS NOT NULL")
+            both = own if known is None else own.unionByName(known.select(*keys, "wm")).groupBy(*keys).agg(F.max("wm").alias("wm"))
+            wm, tables, touched = None, {"key_wm": (both, keys)}, batch
+        _save(spark, base, batch_id, commit, wm, tables, touched)
+        wms = load_table(spark, base, load_commit(spark, base, batch_id + 1), "key_wm")
+        _gauge(spark, base, batch_id, wm, wms)
 
     return write
 
 
+def _gauge(spark: SparkSession, base: str, batch_id: int, wm: int | None, key_wm: DataFrame | None) -> None:
+    """The lowest and the highest watermark after a batch."""
+    if key_wm is not None:
+        gauge = key_wm.agg(F.min("wm").alias("lowest"), F.max("wm").alias("highest"))
+    else:
+        gauge = spark.createDataFrame([(wm, wm)], "lowest BIGINT, highest BIGINT")
+    gauge.withColumn("at_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/watermark/batch={batch_id:09d}")
+
+
 def read_carried(spark: SparkSession, base: str, what: str = "fire") -> DataFrame:
-    """Read one output (fire / late / dropped / rows) of a carried-state stream."""
+    """Read one output (fire / late / dropped / rows / watermark) of a carried-state stream."""
     return spark.read.parquet(f"{base}/{what}").drop("batch")

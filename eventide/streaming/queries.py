@@ -1,95 +1,49 @@
 """Registered Structured Streaming queries.
 
-The ``events`` stream is replayed in arrival order: Spark cuts it into
-week-long arrival slices that become the micro-batches. ``stream_key_tumbling``
-runs once over all slices (one micro-batch per slice, steady-state streaming);
-``stream_key_lateness`` and ``stream_late_split`` append one slice at a time and
-restart the query from the same checkpoint after each (state restore, A20).
-Micro-batch cuts follow the arrival order, so results must equal the batch
-operator's.
+The source is replayed in arrival order, one week of arrivals at a time: a slice is
+appended, the query runs over what is available and stops, and the next run starts
+from the checkpoint and the carried state (A20). Micro-batch cuts follow the arrival
+order, so results must equal the batch operator's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide import oracle as O
 from eventide import registry as R
-from eventide.functions.aggregates import combine, count_of, sum_of
+from eventide.functions.aggregates import Accumulator, combine, count_of, spread_of, sum_of
 from eventide.functions.int64 import floor_div
-from eventide.oracle import window_agg_sql
-from eventide.plans.spec import FIRE, WatermarkSpec, WindowAggSpec, WindowSpec
+from eventide.plans.spec import FIRE, FIRE_AND_PURGE, WatermarkSpec, WindowAggSpec, WindowSpec
 from eventide.session import scratch_dir
 from eventide.sources.events import KEY, ORDER, TS, event_stream
-from eventide.streaming.stream import (
-    native_windowed_agg,
-    read_sink,
-    stream_late_split,
-    stream_windowed_agg,
-    tagged_writer,
-)
+from eventide.streaming.carried import carried_late_split_sink, carried_window_sink, read_carried
+from eventide.streaming.stream import batch_writer, native_windowed_agg, read_sink
 
 WEEK = 7 * 24 * R.HOUR
 ORD = list(ORDER)
-
-
-def _file_times(spark: SparkSession, folder: str) -> dict[str, int]:
-    """Modification times of the data files in a folder (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return {st.getPath().getName(): st.getModificationTime() for st in fs.listStatus(path)
-            if st.getPath().getName().endswith(".parquet")}
+Sink = Callable[[str], Callable[[DataFrame, int], None]]
 
 
 def replay(spark: SparkSession, source: DataFrame, cut_col: str, cut_width: int,
-           build: Callable[[DataFrame], DataFrame], name: str, restarts: bool = True,
-           sink: Callable[[str], Callable[[DataFrame, int], None]] = tagged_writer) -> str:
+           build: Callable[[DataFrame], DataFrame], name: str, sink: Sink = batch_writer) -> str:
     """Feed ``source`` to the streaming job ``build`` slice by slice; returns the sink folder.
 
-    restarts=True: append a slice, run ``availableNow``, stop; the next run restarts from
-    the checkpoint (state restore between every micro-batch).
-    restarts=False: append every slice first (n files each), then one run reads one
-    slice per micro-batch in modification order (checked; falls back to restarts).
+    Every slice is one append and one ``availableNow`` run that restarts from the checkpoint.
     """
     src, ckpt, out = (scratch_dir(spark, f"{name}-{p}") for p in ("src", "ckpt", "out"))
     cut = floor_div(F.col(cut_col), cut_width)
-    bounds = source.agg(F.min(cut).alias("lo"), F.max(cut).alias("hi")).first()
-    if bounds.lo is None:
+    slices = [r[0] for r in source.select(cut.alias("cut")).distinct().orderBy("cut").collect()]  # one row per slice
+    if not slices:
         raise ValueError("empty source")
-    slices = range(bounds.lo, bounds.hi + 1)
-
-    def run(stream_options: dict[str, str]) -> None:
-        reader = spark.readStream.schema(source.schema)
-        for k, v in stream_options.items():
-            reader = reader.option(k, v)
-        q = (build(reader.parquet(src)).writeStream.foreachBatch(sink(out))
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination()
-
-    if restarts:
-        for c in slices:  # one append + one availableNow run per arrival slice
-            source.filter(cut == c).write.mode("append").parquet(src)
-            run({})
-        return out
-
-    # each slice becomes exactly n files (round-robin repartition) written by n tasks, and
-    # one micro-batch reads n files: slice k's files all precede slice k+1's in modification
-    # order (one write job after the other), so every micro-batch is exactly one slice
-    n = spark.sparkContext.defaultParallelism
-    last, ordered = -1, True
-    for i, c in enumerate(slices):
-        seen = _file_times(spark, src)
-        source.filter(cut == c).repartition(n).write.mode("append").parquet(src)
-        new = {f: t for f, t in _file_times(spark, src).items() if f not in seen}
-        full = len(new) == n or (i == len(slices) - 1 and 0 < len(new) <= n)
-        ordered &= full and min(new.values()) > last
-        last = max(new.values(), default=last)
-    if not ordered:  # cannot trust the cut into micro-batches: replay with restarts instead
-        return replay(spark, source, cut_col, cut_width, build, name + "-r", restarts=True, sink=sink)
-    run({"maxFilesPerTrigger": str(n)})
+    for c in slices:
+        source.filter(cut == c).write.mode("append").parquet(src)
+        stream = build(spark.readStream.schema(source.schema).parquet(src))
+        (stream.writeStream.foreachBatch(sink(out)).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start().awaitTermination())
     return out
 
 
@@ -97,25 +51,27 @@ def _events(spark, sf_dir):
     return event_stream(spark, sf_dir).select("event_id", KEY, TS, "arr_ms", "v")
 
 
-def _stream_window(spec: WindowAggSpec, aggs: tuple[str, ...], name: str, restarts: bool = True):
+def _window(spec: WindowAggSpec, aggregate: Callable[[], Accumulator], name: str, columns: list[str | Column], what: str = "fire", **options):
+    """A window stream over ``events`` (explicit watermarks: with its marker rows)."""
+
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        accs = {"count": count_of("n"), "sum": sum_of("v", "total")}
-        acc = combine(*[accs[a] for a in aggs]) if len(aggs) > 1 else accs[aggs[0]]
-        acc = type(acc)(acc.fields)  # fields only; results are the fields here
-        out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK,
-                     lambda s: stream_windowed_agg(s, spec, KEY, TS, ORD, acc), name, restarts)
-        names = [{"count": "n", "sum": "total"}[a] for a in aggs]
-        return read_sink(spark, out, "fire").select(
-            KEY, "window_start", "window_end", (F.col("window_end") - 1).alias("out_ts"), "fire",
-            *[f"trigger_{o}" for o in ORD], *names)
+        acc = aggregate()  # columns need a running session
+        src = R.explicit_stream(spark, sf_dir) if spec.watermark.strategy == "column" else _events(spark, sf_dir)
+        out = replay(spark, src, "arr_ms", WEEK, lambda s: s, name,
+                     sink=lambda base: carried_window_sink(base, spec, KEY, TS, ORD, acc, **options))
+        return read_carried(spark, out, what).select(*columns)
 
     return q
 
 
-def q_stream_late_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK,
-                 lambda s: stream_late_split(s, R.BOUND, KEY, TS, ORD, "event_id"), "late-split")
-    return read_sink(spark, out).select("event_id", KEY, TS, "wm_seen", "tag")
+def _late_split(strategy: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        columns = ["event_id", KEY, TS, "wm_seen", "tag"]
+        out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK, lambda s: s, f"late-split-{strategy}",
+                     sink=lambda base: carried_late_split_sink(base, R.BOUND, KEY, TS, ORD, columns, strategy))
+        return read_carried(spark, out, "rows").select(*columns)
+
+    return q
 
 
 def q_native_windowed_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,70 +85,85 @@ def q_native_windowed_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.unix_millis(F.col("window.end")).alias("window_end"), "n", "total")
 
     out = replay(spark, src, "arr_ms", WEEK, build, "native")
-    return read_sink(spark, out)
+    kind = src.schema[KEY].dataType.simpleString()
+    return read_sink(spark, out, f"{KEY} {kind}, window_start BIGINT, window_end BIGINT, n BIGINT, total BIGINT")
 
 
-def _carried_window(strategy: str, name: str):
-    """Global / explicit watermark: the batch operator per micro-batch with carried state."""
-    from eventide.streaming.carried import carried_window_sink, read_carried
-
-    if strategy == "global":
-        spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("global", R.GLOBAL_BOUND), 2 * R.HOUR, FIRE)
-    elif strategy == "key":
-        spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND), 2 * R.HOUR, FIRE)
-    else:
-        spec = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("column", marker="wm_mark"), R.HOUR, FIRE)
-
-    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        acc = combine(count_of("n"), sum_of("v", "total"))
-        src = R.explicit_stream(spark, sf_dir) if strategy == "column" else _events(spark, sf_dir)
-        out = replay(spark, src, "arr_ms", WEEK, lambda s: s, name, restarts=False,
-                     sink=lambda base: carried_window_sink(base, spec, KEY, TS, ORD, acc))
-        return read_carried(spark, out, "fire").select(
-            KEY, "window_start", "window_end", "out_ts", "fire", *[f"trigger_{o}" for o in ORD], "n", "total")
-
-    return q
+#: Spark drops a row whose window ended by the watermark after the earlier micro-batches, and
+#: emits a window when the watermark has reached its end.
+NATIVE_SQL = f"""WITH {O.events_cte()},
+s AS (SELECT *, arr_ms // {WEEK} AS slice, ts_ms - ts_ms % {R.HOUR} AS window_start FROM ev),
+m AS (SELECT slice, max(max(ts_ms)) OVER (ORDER BY slice) - {R.HOUR} AS wm FROM s GROUP BY slice),
+w AS (SELECT slice, lag(wm) OVER (ORDER BY slice) AS seen FROM m)
+SELECT user_id, window_start, window_start + {R.HOUR} AS window_end, count(*) AS n, CAST(sum(v) AS BIGINT) AS total
+FROM s JOIN w USING (slice) WHERE seen IS NULL OR window_start + {R.HOUR} > seen
+GROUP BY user_id, window_start HAVING window_start + {R.HOUR} <= (SELECT max(wm) FROM m)"""
 
+HOURLY, SLIDING = WindowSpec(R.HOUR), WindowSpec(2 * R.HOUR, 30 * R.MIN)
+BY_KEY, BY_ALL = WatermarkSpec("key", R.BOUND), WatermarkSpec("global", R.GLOBAL_BOUND)
+HEAD = [KEY, "window_start", "window_end", "out_ts", "fire", *[f"trigger_{o}" for o in ORD]]
 
-def q_stream_late_split_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2 stream: global late split, the watermark carried between micro-batches."""
-    from eventide.streaming.carried import carried_late_split_sink, read_carried
 
-    cols = ["event_id", KEY, TS, "wm_seen", "tag"]
-    out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK, lambda s: s, "late-split-global", restarts=False,
-                 sink=lambda base: carried_late_split_sink(base, R.BOUND, KEY, TS, ORD, cols))
-    return read_carried(spark, out, "rows").select(*cols)
+def _both() -> Accumulator:
+    return combine(count_of("n"), sum_of("v", "total"))
 
 
-TUMBLE = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND))
-LATENESS = WindowAggSpec(WindowSpec(R.HOUR), WatermarkSpec("key", R.BOUND), 2 * R.HOUR, FIRE)
+def _metrics(c: dict[str, Column]) -> Column:
+    rows = F.array(F.struct(F.lit("n").alias("metric"), c["n"].alias("amount")),
+                   F.struct(F.lit("total").alias("metric"), c["total"].alias("amount")))
+    return F.filter(rows, lambda r: r["amount"] != 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    late = 2 * R.HOUR
     return {
-        "stream_key_tumbling": _stream_window(TUMBLE, ("count",), "key-tumbling", restarts=False),
-        "stream_key_lateness": _stream_window(LATENESS, ("count", "sum"), "key-lateness"),
-        "stream_late_split": q_stream_late_split,
+        "stream_key_tumbling": _window(WindowAggSpec(HOURLY, BY_KEY), count_of, "key-tumbling", [*HEAD, "n"]),
+        "stream_key_sliding": _window(WindowAggSpec(SLIDING, BY_KEY), lambda: sum_of(F.col("v") * 0.5, "half"), "key-sliding",
+                                      [*HEAD, "half"]),
+        "stream_key_lateness": _window(WindowAggSpec(HOURLY, BY_KEY, late, FIRE), _both, "key-lateness", [*HEAD, "n", "total"]),
+        "stream_key_purge": _window(WindowAggSpec(HOURLY, BY_KEY, late, FIRE_AND_PURGE), _both, "key-purge",
+                                    [*HEAD, "n", "total"]),
+        "stream_key_side_output": _window(WindowAggSpec(HOURLY, BY_KEY, 30 * R.MIN, FIRE, True), count_of, "key-side",
+                                          ["event_id", KEY, TS, "arr_ms", "v", "wm_seen"], "late"),
+        "stream_custom_aggregate": _window(WindowAggSpec(WindowSpec(6 * R.HOUR), BY_KEY), lambda: spread_of("v"), "custom",
+                                           [*HEAD, "spread"]),
+        "stream_custom_window_function": _window(
+            WindowAggSpec(HOURLY, BY_KEY), _both, "custom-function",
+            [KEY, "window_start", "window_end", "out_ts", "fire", "metric", "amount"], window_fn=_metrics),
+        "stream_enriched": _window(WindowAggSpec(HOURLY, BY_KEY), count_of, "enriched", ["window_end", KEY, "n"],
+                                   emit="enrich"),
+        "stream_late_split": _late_split("key"),
         "native_windowed_agg": q_native_windowed_agg,
-        "stream_global_lateness": _carried_window("global", "global-lateness"),
-        "stream_explicit_watermark": _carried_window("column", "explicit-watermark"),
-        "stream_late_split_global": q_stream_late_split_global,
-        "stream_key_lateness_carried": _carried_window("key", "key-lateness-carried"),
+        "stream_global_lateness": _window(WindowAggSpec(HOURLY, BY_ALL, late, FIRE), _both, "global-lateness",
+                                          [*HEAD, "n", "total"]),
+        "stream_explicit_watermark": _window(WindowAggSpec(HOURLY, WatermarkSpec("column", marker="wm_mark"), R.HOUR, FIRE),
+                                             _both, "explicit-watermark", [*HEAD, "n", "total"]),
+        "stream_late_split_global": _late_split("global"),
+        "stream_key_lateness_carried": _window(WindowAggSpec(HOURLY, BY_KEY, late, FIRE), _both, "key-lateness-carried",
+                                               [*HEAD, "n", "total"]),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    late_split_sql = R.oracle_sql()["late_split_key"]
+    batch = R.oracle_sql()
+    sliding = O.window_agg_sql("key", R.BOUND, SLIDING.size, SLIDING.slide, aggs=("sum",))
     return {
-        "stream_key_tumbling": window_agg_sql("key", R.BOUND, R.HOUR, R.HOUR),
-        "stream_key_lateness": window_agg_sql("key", R.BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE, False,
-                                              ("count", "sum")),
-        "stream_late_split": late_split_sql,
+        "stream_key_tumbling": batch["key_tumbling_count"],
+        "stream_key_sliding": f"WITH f AS ({sliding}) SELECT * EXCLUDE (total), total * 0.5::DOUBLE AS half FROM f",
+        "stream_key_lateness": batch["key_lateness_fire"],
+        "stream_key_purge": batch["key_lateness_purge"],
+        "stream_key_side_output": O.rows_sql(
+            "key", R.BOUND, R.HOUR, R.HOUR, 0, 30 * R.MIN,
+            "event_id, user_id, ts_ms, arr_ms, v, coalesce(wm_before, -9223372036854775808) AS wm_seen", "tag = 'late'"),
+        "stream_custom_aggregate": batch["custom_aggregate"],
+        "stream_custom_window_function": batch["custom_window_function"],
+        "stream_enriched": batch["key_enriched"],
+        "stream_late_split": batch["late_split_key"],
+        "native_windowed_agg": NATIVE_SQL,
         # a stream has no end of input: the global watermark does not flush pending windows
-        "stream_global_lateness": window_agg_sql("global", R.GLOBAL_BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE,
-                                                 False, ("count", "sum")),
-        "stream_explicit_watermark": R.oracle_sql()["explicit_watermark_agg"],
-        "stream_late_split_global": R.oracle_sql()["late_split_global"],
-        "stream_key_lateness_carried": window_agg_sql("key", R.BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE, False,
-                                                      ("count", "sum")),
+        "stream_global_lateness": O.window_agg_sql("global", R.GLOBAL_BOUND, R.HOUR, R.HOUR, 0, 2 * R.HOUR, FIRE,
+                                                   False, ("count", "sum")),
+        "stream_explicit_watermark": batch["explicit_watermark_agg"],
+        "stream_late_split_global": batch["late_split_global"],
+        "stream_key_lateness_carried": batch["key_lateness_fire"],
     }

@@ -1,5 +1,6 @@
-"""Structured Streaming jobs: stateful per-key windows, late split, native windows, sinks.
+"""Spark's own windowed stream (T3), and a sink with one folder per micro-batch.
 
+The window operator and the late split as streams are in ``streaming/carried.py``.
 All file locations live below the shared folder named by ``spark.checkpoint.dir``
 (see :func:`eventide.session.checkpoint_root`), so a restarted driver or a
 lost executor resumes from the same checkpoint.
@@ -12,74 +13,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.functions.aggregates import Accumulator
-from eventide.plans.spec import WindowAggSpec
-from eventide.session import ROCKSDB_PROVIDER
-from eventide.streaming.processor import PerKeyLateSplitProcessor, PerKeyWindowProcessor, output_schema
-
-
-def ensure_state_store(spark: SparkSession) -> None:
-    """transformWithState needs the RocksDB state store provider."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    if spark.conf.get(key, None) != ROCKSDB_PROVIDER:
-        spark.conf.set(key, ROCKSDB_PROVIDER)
-
-
-def stream_windowed_agg(stream: DataFrame, spec: WindowAggSpec, key: str, ts: str, order: Sequence[str],
-                        acc: Accumulator, metrics: str | None = "window_metrics") -> DataFrame:
-    """A1 on a streaming DataFrame: firings (kind='fire'), side output (kind='late')
-    and dropped rows (kind='dropped').
-
-    Only per-key watermarks (the reference's per-key operator). Accumulator
-    fields must be integer-valued. ``metrics`` names an observation reported in
-    every micro-batch's progress (``observedMetrics``): firings, late refires,
-    side-output rows and the drop counter (numLateRecordsDropped).
-    """
-    ensure_state_store(stream.sparkSession)
-    if acc.result:
-        raise ValueError("streaming accumulators emit their fields; apply result expressions downstream")
-    fields = [(n, op) for n, op, _ in acc.fields]
-    inputs = [(F.col(e) if isinstance(e, str) else e).cast("bigint").alias(f"_in_{n}") for n, _, e in acc.fields]
-    prepared = stream.select(key, ts, *order, *inputs)
-    key_type = stream.schema[key].dataType.simpleString()
-    schema = output_schema(key, key_type, order, [n for n, _ in fields], ts)
-    out = prepared.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=PerKeyWindowProcessor(spec, key, ts, order, fields),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
-    if metrics:
-        kind = F.col("kind")
-        out = out.observe(
-            metrics,
-            F.count_if(kind == "fire").alias("firings"),
-            F.count_if((kind == "fire") & (F.col("fire") == "late")).alias("late_firings"),
-            F.count_if(kind == "late").alias("side_output"),
-            F.count_if(kind == "dropped").alias("dropped"),
-        )
-    return out
-
-
-def stream_late_split(stream: DataFrame, bound: int, key: str, ts: str, order: Sequence[str],
-                      id_col: str, metrics: str | None = "late_split_metrics") -> DataFrame:
-    """C1 on a streaming DataFrame: every row with wm_seen and tag (per-key watermark)."""
-    if bound < 0:
-        raise ValueError(f"the out-of-orderness bound cannot be negative: {bound}")
-    ensure_state_store(stream.sparkSession)
-    key_type = stream.schema[key].dataType.simpleString()
-    schema = f"{id_col} bigint, {key} {key_type}, {ts} bigint, wm_seen bigint, tag string"
-    out = stream.select(id_col, key, ts, *order).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=PerKeyLateSplitProcessor(bound, key, ts, order, id_col),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
-    if metrics:
-        out = out.observe(metrics, F.count(F.lit(1)).alias("rows"),
-                          F.count_if(F.col("tag") == "late").alias("late"))
-    return out
-
 
 def native_windowed_agg(stream: DataFrame, event_time: str, delay: str, size: str, slide: str | None,
                         key: str, aggs: Sequence) -> DataFrame:
@@ -93,32 +26,16 @@ def native_windowed_agg(stream: DataFrame, event_time: str, delay: str, size: st
     return stream.withWatermark(event_time, delay).groupBy(key, w).agg(*aggs)
 
 
-def tagged_writer(base: str) -> Callable[[DataFrame, int], None]:
-    """K1/K2 as ``foreachBatch``: firings, side output and dropped rows in one pass.
-
-    Each micro-batch is written once to ``<base>/batch=<id>`` partitioned by
-    ``kind`` (fire / late / dropped: the main sink, the late sink and the drop
-    counter's rows), so the stateful step runs once per batch. Overwrite per
-    batch id makes a retried batch replace its own files: exactly-once.
-    """
+def batch_writer(base: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: each micro-batch to ``<base>/batch=<id>``. Overwriting per
+    batch id makes a retried batch replace its own files: exactly-once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        writer = batch.write.mode("overwrite")
-        if "kind" in batch.columns:
-            writer = writer.partitionBy("kind")
-        writer.parquet(f"{base}/batch={batch_id:09d}")
+        batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id:09d}")
 
     return write
 
 
-def read_sink(spark: SparkSession, base: str, kind: str | None = None) -> DataFrame:
-    """Read back what :func:`tagged_writer` wrote (optionally one ``kind``)."""
-    df = spark.read.parquet(base)
-    if kind is not None:
-        df = df.filter(F.col("kind") == kind).drop("kind") if "kind" in df.columns else df.filter(F.lit(False))
-    return df.drop("batch")
-
-
-def write_tagged(df: DataFrame, base: str) -> None:
-    """K1/K2 for a batch result that carries a ``kind`` column: one write, one folder per kind."""
-    tagged_writer(base)(df, 0)
+def read_sink(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """Read back what :func:`batch_writer` wrote, also if no micro-batch had a row."""
+    return spark.read.schema(f"{schema}, batch INT").parquet(base).drop("batch")

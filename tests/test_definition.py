@@ -1,4 +1,4 @@
-"""Closed form of the window operator vs a per-element simulation, random cases.
+"""Closed form of the window operator vs a plain definition, random cases.
 
 Covers what the reference's own tests leave out: FIRE with late refires,
 gaps (slide > size), offsets, negative event times, the drop counter, the
@@ -13,7 +13,7 @@ import pytest
 from eventide.functions.aggregates import sum_of
 from eventide.operators.window_agg import windowed_agg
 from eventide.plans.spec import FIRE, FIRE_AND_PURGE, WatermarkSpec, WindowAggSpec, WindowSpec
-from simulation import simulate
+from definition import outcome
 
 SCHEMA = "seq BIGINT, k STRING, v INT, ts_ms BIGINT, wm BIGINT"
 
@@ -74,7 +74,7 @@ def closed_form(spark, events, mode, p, flush):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_per_key_matches_simulation(spark, seed):
+def test_per_key_matches_definition(spark, seed):
     rng = random.Random(seed)
     p = random_params(rng)
     events, seq = [], 0
@@ -83,7 +83,7 @@ def test_per_key_matches_simulation(spark, seed):
         seq += len(part)
         events += part
     flush = seed % 3 == 0
-    exp_out, exp_late, exp_dropped = simulate(events, "key", p["bound"], p["size"], p["slide"], p["offset"],
+    exp_out, exp_late, exp_dropped = outcome(events, "key", p["bound"], p["size"], p["slide"], p["offset"],
                                               p["lateness"], p["purge"], p["side_output"], flush)
     out, late, dropped = closed_form(spark, events, "key", p, flush)
     assert out == Counter(exp_out), p
@@ -99,7 +99,7 @@ def test_global_and_explicit_match_simulation(spark, seed, mode):
     events = random_stream(rng, "", 60, explicit=mode == "explicit")
     flush = mode == "global" and seed % 2 == 0
     bound = p["bound"] if mode == "global" else 0
-    exp_out, exp_late, exp_dropped = simulate(events, mode, bound, p["size"], p["slide"], p["offset"],
+    exp_out, exp_late, exp_dropped = outcome(events, mode, bound, p["size"], p["slide"], p["offset"],
                                               p["lateness"], p["purge"], p["side_output"], flush)
     out, late, dropped = closed_form(spark, events, mode, p, flush)
     assert out == Counter(exp_out), p
@@ -120,15 +120,15 @@ def test_fire_mode_has_cumulative_late_refires(spark):
 
 @pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("mode", ["global", "explicit", "key"])
-def test_carried_state_over_cuts_matches_simulation(spark, seed, mode):
-    """The operator run piece by piece with a Carry equals the simulation on the whole input."""
+def test_carried_state_over_cuts_matches_definition(spark, seed, mode):
+    """The operator run piece by piece with a Carry equals the definition on the whole input."""
     from eventide.operators.window_agg import Carry
 
     rng = random.Random(300 + seed)
     p = random_params(rng)
     events = random_stream(rng, "", 60, explicit=mode == "explicit")
     bound = p["bound"] if mode != "explicit" else 0
-    exp_out, exp_late, exp_dropped = simulate(events, mode, bound, p["size"], p["slide"], p["offset"],
+    exp_out, exp_late, exp_dropped = outcome(events, mode, bound, p["size"], p["slide"], p["offset"],
                                               p["lateness"], p["purge"], p["side_output"], False)
     spec = WindowAggSpec(
         WindowSpec(p["size"], p["slide"], p["offset"]),

@@ -1,49 +1,27 @@
-"""The per-key golden cases as Structured Streaming jobs.
+"""Streams: golden cases cut into several runs, carried state that cannot be lost, edge values.
 
-Each case is cut into several micro-batch runs (at its snapshot points and
-every few elements); every run restarts the query from the same checkpoint,
-so the keyed state (watermark, windows) is restored between runs.
+Every run restarts the query from the same checkpoint, so watermarks and open
+windows are restored between runs.
 """
 
+import os
+import random
 from collections import Counter
 
 import pytest
 
-from eventide.functions.aggregates import sum_of
+from eventide.functions.aggregates import combine, sum_of
+from eventide.operators.window_agg import windowed_agg
+from eventide.plans.spec import FIRE, WatermarkSpec, WindowAggSpec, WindowSpec
+from eventide.session import scratch_dir
+from eventide.streaming.carried import carried_late_split_sink, carried_window_sink, load_carry, load_commit, read_carried
 from eventide.streaming.queries import replay
-from eventide.streaming.stream import read_sink, stream_windowed_agg
 from test_golden import spec_of
 
 PER_KEY = ["pk_sliding_reduce", "pk_tumbling_reduce", "pk_lateness_purge", "pk_cleanup_overflow",
            "pk_side_output_tumbling", "pk_side_output_sliding", "pk_cleanup_empty_state"]
 
 
-def read(spark, base, kind):
-    return read_sink(spark, base, kind).collect()
-
-
-@pytest.mark.parametrize("name", PER_KEY)
-def test_streaming_golden_case(spark, cases, name):
-    case = cases[name]
-    rows, run = [], 0
-    for seg in case.segments():
-        for i, r in enumerate(seg):
-            if i and i % 5 == 0:
-                run += 1
-            rows.append((*r[:4], run))
-        run += 1
-    src = spark.createDataFrame(rows, "seq BIGINT, k STRING, v BIGINT, ts_ms BIGINT, run BIGINT")
-    spec = spec_of(case, (60_000,))
-    out = replay(spark, src, "run", 1, lambda s: stream_windowed_agg(s, spec, "k", "ts_ms", ["seq"],
-                                                                       sum_of("v", "total")), f"golden-{name}")
-    fired = Counter((r.k, r.window_end - 1, r.total) for r in read(spark, out, "fire"))
-    late = Counter((r.k, r.ts_ms) for r in read(spark, out, "late"))
-    dropped = len(read(spark, out, "dropped"))
-    assert fired == Counter(case.out)
-    assert late == Counter(case.late)
-    assert dropped == case.dropped
-
-
 def test_stream_equals_batch_on_events(spark):
     """stream_key_lateness (5 arrival slices, restarts) equals the batch operator."""
     import __spark_entry__ as entry
@@ -57,24 +35,6 @@ def test_stream_equals_batch_on_events(spark):
     assert sorted(map(tuple, s.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
 
 
-def test_drop_counter_is_observed(spark, cases):
-    from eventide.session import scratch_dir
-    from eventide.streaming.stream import tagged_writer
-
-    case = cases["pk_tumbling_reduce"]
-    rows = [r[:4] for r in case.rows()]
-    src = scratch_dir(spark, "observe-src")
-    spark.createDataFrame(rows, "seq BIGINT, k STRING, v BIGINT, ts_ms BIGINT").write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema("seq BIGINT, k STRING, v BIGINT, ts_ms BIGINT").parquet(src)
-    out = stream_windowed_agg(stream, spec_of(case, (60_000,)), "k", "ts_ms", ["seq"], sum_of("v", "total"))
-    q = (out.writeStream.foreachBatch(tagged_writer(scratch_dir(spark, "observe-out")))
-         .option("checkpointLocation", scratch_dir(spark, "observe-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    metrics = [p["observedMetrics"]["window_metrics"] for p in q.recentProgress if p.get("observedMetrics")]
-    assert sum(m.dropped for m in metrics) == case.dropped == 5
-    assert sum(m.firings for m in metrics) == len(case.out)
-
-
 GLOBAL_CASES = ["gl_sliding_reduce", "gl_tumbling_reduce", "gl_lateness_purge", "gl_cleanup_overflow",
                 "gl_side_output_tumbling", "gl_side_output_sliding", "gl_cleanup_empty_state"]
 
@@ -82,8 +42,6 @@ GLOBAL_CASES = ["gl_sliding_reduce", "gl_tumbling_reduce", "gl_lateness_purge",
 @pytest.mark.parametrize("name", GLOBAL_CASES + PER_KEY)
 def test_streaming_carried_state_case(spark, cases, name):
     """Explicit and per-key watermarks through the batch operator with carried state, one run per segment."""
-    from eventide.streaming.carried import carried_window_sink, read_carried
-
     case = cases[name]
     rows = [(*r, run) for run, seg in enumerate(case.segments()) for r in seg]
     src = spark.createDataFrame(rows, "seq BIGINT, k STRING, v BIGINT, ts_ms BIGINT, wm BIGINT, run BIGINT")
@@ -101,7 +59,6 @@ def test_streaming_carried_state_case(spark, cases, name):
 def test_global_late_split_stream_demo_job(spark):
     """The global no-window demo job as a stream of two micro-batch runs (FIXTURES.md §3)."""
     from eventide.plans.spec import LONG_MIN
-    from eventide.streaming.carried import carried_late_split_sink, read_carried
 
     rows = [(0, 1, "device1", 0), (1, 105, "device2", 0), (2, 2, "device1", 1), (3, 104, "device2", 1)]
     src = spark.createDataFrame(rows, "seq BIGINT, ts_ms BIGINT, device STRING, run BIGINT")
@@ -111,3 +68,88 @@ def test_global_late_split_stream_demo_job(spark):
     got = sorted((r.tag, r.ts_ms, r.device, r.wm_seen) for r in read_carried(spark, out, "rows").collect())
     assert got == [("in_time", 1, "device1", LONG_MIN), ("in_time", 104, "device2", 103),
                    ("in_time", 105, "device2", -1), ("late", 2, "device1", 103)]
+
+
+SPEC = WindowAggSpec(WindowSpec(1000), WatermarkSpec("key", 0), 500, FIRE, True)
+SCHEMA = "seq BIGINT, k STRING, k2 INT, x DOUBLE, i BIGINT, ts_ms BIGINT, note STRING, run BIGINT"
+
+
+def both():
+    return combine(sum_of("x", "total"), sum_of("i", "whole"))
+
+
+def window_stream(spark, rows, name, **options):
+    src = spark.createDataFrame(rows, SCHEMA)
+    out = replay(spark, src, "run", 1, lambda s: s, name,
+                 sink=lambda base: carried_window_sink(base, SPEC, ["k", "k2"], "ts_ms", ["seq"], both(), **options))
+    return src, out
+
+
+def test_stream_keeps_fractions_nulls_and_the_whole_row(spark):
+    big = 2**53 + 1
+    rows = [(0, "a", 1, 1.9, big, 100, "p", 0), (1, "a", 1, 1.9, None, 200, "q", 0), (2, "a", 2, None, 5, 300, "r", 0),
+            (3, "a", 1, 0.5, 1, None, "s", 0), (4, "a", 1, 0.25, 2, 5000, "t", 1), (5, "a", 1, 7.0, 3, 10, "late", 1),
+            (6, None, 1, 1.0, 1, 100, "n", 1), (7, None, 1, 1.0, 1, 2000, "n", 1), (8, "a", 2, 1.0, 1, 9000, "u", 1)]
+    src, out = window_stream(spark, rows, "edge")
+    fired = {(r.k, r.k2, r.window_start): (r.total, r.whole) for r in read_carried(spark, out).collect()}
+    assert fired == {("a", 1, 0): (3.8, big), ("a", 2, 0): (None, 5), (None, 1, 0): (1.0, 1)}
+    late = read_carried(spark, out, "late").collect()
+    assert [(r.seq, r.x, r.i, r.note, r.ts_ms) for r in late] == [(5, 7.0, 3, "late", 10)]
+    batch = windowed_agg(src, SPEC, ["k", "k2"], "ts_ms", ["seq"], both())
+    assert sorted(map(str, batch.output.collect())) == sorted(map(str, read_carried(spark, out).collect()))
+    gauge = sorted((r.at_batch, r.lowest, r.highest) for r in read_carried(spark, out, "watermark").collect())
+    assert gauge == [(0, 200, 300), (1, 2000, 9000)]
+
+
+def test_stream_of_a_hot_key_equals_batch(spark):
+    rng = random.Random(3)
+    rows = [(n, "hot" if n % 3 == 0 else f"k{rng.randint(0, 9)}", 0, float(n % 7), n, n * 5 + rng.randint(-900, 900), "", n // 200)
+            for n in range(600)]
+    src, out = window_stream(spark, rows, "hot-key")
+    batch = windowed_agg(src, SPEC, ["k", "k2"], "ts_ms", ["seq"], both())
+    assert sorted(map(tuple, batch.output.collect())) == sorted(map(tuple, read_carried(spark, out).collect()))
+    assert sorted(batch.late.select("seq").collect()) == sorted(read_carried(spark, out, "late").select("seq").collect())
+
+
+def test_state_is_needed_and_only_touched_parts_are_rewritten(spark):
+    base = scratch_dir(spark, "state")
+    sink = carried_window_sink(base, SPEC, ["k", "k2"], "ts_ms", ["seq"], both())
+    first = [(n, f"k{n}", 0, 1.0, 1, 100, "", 0) for n in range(40)]
+    sink(spark.createDataFrame(first, SCHEMA), 0)
+    sink(spark.createDataFrame([(50, "k7", 0, 1.0, 1, 3000, "", 0)], SCHEMA), 1)
+    commit = load_commit(spark, base, 2)
+    assert sum(b == 1 for b in commit["parts"]["key_wm"].values()) == 1  # the others still lie in batch 0
+    carry = load_carry(spark, base, 2)
+    open_windows = {(r.k, r.window_start) for r in carry.windows.collect()}
+    assert open_windows == {(f"k{n}", 0) for n in range(40) if n != 7} | {("k7", 3000)}  # window 0 of k7 is cleaned up
+    assert {r.k: r.wm for r in carry.key_watermarks.collect()} == {**{f"k{n}": 100 for n in range(40)}, "k7": 3000}
+    with pytest.raises(RuntimeError, match="needs the state of batch 4"):
+        load_carry(spark, base, 5)
+    with pytest.raises(RuntimeError):
+        sink(spark.createDataFrame(first, SCHEMA), 500)
+    part, batch = next((p, b) for p, b in commit["parts"]["windows"].items() if b == 0)
+    folder = f"{base}/state/batch={batch:09d}/windows/part={part}".removeprefix("file:")
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(b"damaged")
+    with pytest.raises(Exception):
+        load_carry(spark, base, 2).windows.collect()
+
+
+def test_old_state_goes_but_never_what_a_retained_batch_needs(spark):
+    base = scratch_dir(spark, "retained")
+    old = spark.conf.get("spark.sql.streaming.minBatchesToRetain", None)
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    try:
+        sink = carried_late_split_sink(base, 0, "k", "ts_ms", ["seq"], ["seq", "tag"], "key")
+        for n in range(5):
+            keys = ["a", "b"] if n == 0 else ["a"]
+            sink(spark.createDataFrame([(n, k, 100 * n) for k in keys], "seq BIGINT, k STRING, ts_ms BIGINT"), n)
+        kept = sorted(os.listdir(f"{base}/state".removeprefix("file:")))
+        assert kept == ["batch=000000000", "batch=000000003", "batch=000000004"]  # batch 0 holds the watermark of b
+        assert {r.k: r.wm for r in load_carry(spark, base, 5).key_watermarks.collect()} == {"a": 400, "b": 0}
+    finally:
+        if old is None:
+            spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
+        else:
+            spark.conf.set("spark.sql.streaming.minBatchesToRetain", old)
