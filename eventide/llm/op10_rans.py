@@ -25,12 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventide.llm.common import pick, read
+from eventide.llm.common import pick, read, written
 from eventide.llm.tokens import library_encoder
 from eventide.session import scratch_dir
 
@@ -150,37 +151,58 @@ def decode_blocks(blocks: list[tuple[int, bytes, bytes]], table: Frequencies) ->
     return found
 
 
-def _count(path: str, end_id: int):
+def _tokenise(path: str, end_id: int):
+    """Documents as zstandard-packed ids, the end id included: 16 bit where the vocabulary allows it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = library_encoder(path, True), np.zeros(1, np.int64)
+        encoder, squeeze = library_encoder(path, True), zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                ids = encoder.ids_of(whole.slice(at, 256).column(0).to_pylist())
-                new = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=end_id + 1)
-                new[end_id] += len(ids)
-                if len(new) > len(counts):
-                    counts, new = new, counts
-                counts[:len(new)] += new
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["token", "n"])
+                batch, packed = whole.slice(at, 256), []
+                for coded in encoder.ids_of(batch.column(1).to_pylist()):
+                    ids = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
+                    small = int(ids.max()) < 1 << 16
+                    packed.append((b"2" if small else b"4") + squeeze(ids.astype("<u2" if small else "<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
     return run
 
 
+def _unpacked(packed: list[bytes]) -> Iterator[np.ndarray]:
+    """The ids of each packed document, unsigned 32 bit."""
+    unsqueeze = zstandard.ZstdDecompressor().decompress
+    for one in packed:
+        yield np.frombuffer(unsqueeze(one[1:]), "<u2" if one[:1] == b"2" else "<u4").astype("<u4")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1, np.int64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            new = np.bincount(np.concatenate(list(_unpacked(whole.slice(at, 256).column(0).to_pylist()))))
+            if len(new) > len(counts):
+                counts, new = new, counts
+            counts[:len(new)] += new
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["token", "n"])
+
+
 def write_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                     tokenizer_path: str | None = None, end_id: int = END_ID) -> None:
     """Encode every whole text and write the files described above, ascending by id (nulls first).
 
-    Two passes over the texts: the first counts ids (one row per distinct id and
-    task reaches the shuffle, one per distinct id, a vocabulary at most, the
-    driver), the second sorts by id range and codes each range as one shard.
+    The texts are read and tokenised once; their packed ids are stored. These are
+    counted (one row per distinct id and task reaches the shuffle, one per
+    distinct id, a vocabulary at most, the driver) and sorted by id range; each
+    range is coded as one shard.
     The rows of one id can be spread over shards. A null text is an empty one:
     the end id alone. An empty table makes two empty tables.
     """
     vocabulary = tokenizer_path or public_tokenizers.path(VOCABULARY)
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    own = pick(docs, doc_id=id_col, text=text_col)
-    counted = own.select("text").mapInArrow(_count(vocabulary, end_id), "token bigint, n bigint")
+    own = written(pick(docs, doc_id=id_col, text=text_col).mapInArrow(
+        _tokenise(vocabulary, end_id), f"doc_id {kind}, packed binary"), "tokens")
+    counted = own.select("packed").mapInArrow(_count, "token bigint, n bigint")
     counts = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").collect()
     tokens = np.array([r.token for r in counts], np.int64)
     freqs = Frequencies.scaled(np.array([r.n for r in counts], np.int64)) if counts else tokens
@@ -189,7 +211,7 @@ def write_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast((tokens, freqs))  # bounded by the vocabulary
 
     def code(group: list, table: Frequencies) -> pa.RecordBatch:
-        blocks = [np.frombuffer(b"".join(texts), "<u4") for _, _, texts, _, _ in group]
+        blocks = [np.concatenate(texts) for _, _, texts, _, _ in group]
         coded = encode_blocks(blocks, table, end_id)
         columns = [
             pa.array([TaskContext.get().partitionId()] * len(group), pa.int32()),
@@ -197,36 +219,34 @@ def write_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
             pa.array([start for _, start, _, _, _ in group], pa.int64()),
             pa.array([len(b) for b in blocks], pa.int64()),
             pa.array([ids for _, _, _, ids, _ in group], pa.list_(group[0][4])),
-            pa.array([[len(t) // 4 for t in texts] for _, _, texts, _, _ in group], pa.list_(pa.int64())),
+            pa.array([[len(t) for t in texts] for _, _, texts, _, _ in group], pa.list_(pa.int64())),
             pa.array([w for w, _ in coded], pa.binary()), pa.array([c for _, c in coded], pa.binary()),
             pa.array([zlib.crc32(b.tobytes()) for b in blocks], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _blocks_schema(kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = library_encoder(vocabulary, True), None
-        end = np.array([end_id], "<u4").tobytes()
-        group, held, number, start = [], 0, 0, 0  # closed blocks and their ids; the next block and its place
+        table, group, held, number, start = None, [], 0, 0, 0  # closed blocks and their ids; the next block and its place
         texts, ids, size, id_type = [], [], 0, None
         for whole in batches:
             table = table or Frequencies(*shared.value)
             id_type = whole.schema.field(0).type
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                for doc_id, coded in zip(batch.column(0).to_pylist(), encoder.ids_of(batch.column(1).to_pylist())):
-                    if size and size + len(coded) // 4 >= BLOCK_TOKENS:
+                for doc_id, coded in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1).to_pylist())):
+                    if size and size + len(coded) > BLOCK_TOKENS:
                         group.append((number, start, texts, ids, id_type))
                         number, start, held = number + 1, start + size, held + size
                         texts, ids, size = [], [], 0
                         if held >= _TOGETHER:
                             yield code(group, table)
                             group, held = [], 0
-                    if len(coded) // 4 > 2 * BLOCK_TOKENS and group:  # a long one would make the others' matrix long
+                    if len(coded) > 2 * BLOCK_TOKENS and group:  # a long one would make the others' matrix long
                         yield code(group, table)
                         group, held = [], 0
-                    texts.append(coded + end)
+                    texts.append(coded)
                     ids.append(doc_id)
-                    size += len(coded) // 4 + 1
+                    size += len(coded)
                     if size > 2 * BLOCK_TOKENS:
                         yield code([(number, start, texts, ids, id_type)], table)
                         number, start, texts, ids, size = number + 1, start + size, [], [], 0
