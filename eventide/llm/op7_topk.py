@@ -40,6 +40,11 @@ def cells(vectors: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return found, edges
 
 
+def _long(score: int) -> int:
+    """A score cut to 64 bits."""
+    return max(-(1 << 63), min((1 << 63) - 1, score))
+
+
 def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, approx: np.ndarray, edges: np.ndarray,
          ids: np.ndarray, rows: np.ndarray, k: int = K) -> Iterator[tuple[int, int, int]]:
     """(query, candidate, score) of the k best candidates of each query; ties to the smaller id; not its own row."""
@@ -48,9 +53,9 @@ def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, appro
         whole = [[int(x) for x in v] for v in vectors]
         for q, query in enumerate(queries):
             own = [int(x) for x in query]
-            scored = [(-sum(map(int.__mul__, own, v)), int(ids[c]), c) for c, v in enumerate(whole) if rows[c] != query_rows[q]]
+            scored = [(-_long(sum(map(int.__mul__, own, v))), int(ids[c]), c) for c, v in enumerate(whole) if rows[c] != query_rows[q]]
             for score, _, c in sorted(scored)[:k]:
-                yield q, c, max(-(1 << 63), min((1 << 63) - 1, -score))
+                yield q, c, -score
         return
     at = np.arange(vectors.shape[1])
     low, high = edges[approx, at], edges[approx + 1, at]
@@ -114,7 +119,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     ties go to the smaller id. Vectors that are null, empty or hold null or non-finite
     components and rows without an id take no part; a query meets vectors of its own length. Every
     row is a candidate once, also if its id repeats (each repeated query row has its own
-    ranks); scores beyond 64 bits are cut to them. An empty table gives no rows.
+    ranks); scores beyond 64 bits are cut to them before they are ranked. An empty table gives no rows.
     """
     element = F.col("vector")
     usable = F.col("id").isNotNull() & element.isNotNull() & (F.size(element) > 0) & ~F.exists(

@@ -36,7 +36,7 @@ NOTICES = (
     ("mpl", "subject to the terms of the mozilla public license"),
 )
 #: Diagonals this close are merged; one needs this share of the pairs to be merged, a span this share to be verified.
-SLACK, DIAGONAL_SHARE, SPAN_SHARE = 2, 0.3, 0.75
+SLACK, DIAGONAL_SHARE, SPAN_SHARE = 2, 0.15, 0.75
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
