@@ -54,8 +54,8 @@ def prefix_scans(
 ) -> DataFrame:
     """Several prefix scans with different partition keys over the same rows.
 
-    Every bucket table is aggregated from the input ``df`` itself, never from
-    the output of an earlier scan, so no scan's join is recomputed by another.
+    A bucket table is aggregated from the input ``df`` itself or from an earlier scan's
+    finer bucket table, never from the output of a scan, so nothing is recomputed.
     """
     order = list(order)
     for _, outputs in scans:
@@ -76,6 +76,7 @@ def prefix_scans(
     rel = [w // buckets[0] for w in buckets[1:]]
     out = base
     drop: list[str] = [b]
+    tables: list[tuple[list[str], dict[tuple[str, str], str], DataFrame]] = []
     for s, (keys, outputs) in enumerate(scans):
         keys = list(keys)
         tag = f"{_depth}_{s}"
@@ -83,7 +84,13 @@ def prefix_scans(
         parts: dict[tuple[str, str], str] = {}
         for op, src, _ in outputs.values():
             parts.setdefault((op, src), f"_ep{tag}_{len(parts)}")
-        bucket_tab = base.groupBy(*keys, b).agg(*[_AGG[op](src).alias(p) for (op, src), p in parts.items()])
+        finer = next((t for k, ps, t in tables if set(keys) <= set(k) and set(parts) <= set(ps)), None)
+        if finer is None:
+            bucket_tab = base.groupBy(*keys, b).agg(*[_AGG[op](src).alias(p) for (op, src), p in parts.items()])
+        else:  # e.g. the global table from the per-key one: its shuffle is reused, the rows are not read again
+            known = next(ps for k, ps, t in tables if t is finer)
+            bucket_tab = finer.groupBy(*keys, b).agg(*[_AGG[op](known[op, src]).alias(p) for (op, src), p in parts.items()])
+        tables.append((keys, parts, bucket_tab))
 
         # carry of all earlier buckets of the same keys, by the same scan one level up
         carry_cols = {(op, src): f"_ec{tag}_{i}" for i, (op, src) in enumerate(parts)}

@@ -214,6 +214,17 @@ UNION ALL
 SELECT user_id, window_start, window_end, out_ts, fire, 'total' AS metric, total AS amount FROM f WHERE total <> 0"""
 
 
+def _any_aggregate(name: str, lateness: int) -> tuple[Query, str]:
+    """An aggregate Column that cannot be merged, with cumulative late refires."""
+    column, make = {"distinct": ("d", lambda: F.count_distinct("v")), "mean": ("mean", lambda: F.avg("v"))}[name]
+    spec = WindowAggSpec(WindowSpec(6 * HOUR), WatermarkSpec("key", BOUND), lateness)
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return windowed_agg(_stream(spark, sf_dir), spec, KEY, TS, ORD, {column: make()}).output
+
+    return q, O.window_agg_sql("key", BOUND, 6 * HOUR, 6 * HOUR, 0, lateness, FIRE, False, (name,))
+
+
 def q_key_enriched(spark, sf_dir):
     spec = WindowAggSpec(WindowSpec(HOUR), WatermarkSpec("key", BOUND))
     out = windowed_agg(_stream(spark, sf_dir), spec, KEY, TS, ORD, count_of("n"), emit="enrich").output
@@ -304,6 +315,9 @@ def _build() -> tuple[dict[str, Query], dict[str, str]]:
     add("key_enriched", q_key_enriched, f"""WITH f AS ({O.window_agg_sql('key', BOUND, HOUR, HOUR)})
 SELECT window_end, user_id, n FROM f""")
     add("custom_aggregate", *_window_query("key", BOUND, WindowSpec(6 * HOUR), aggs=("spread",)))
+    add("custom_distinct", *_any_aggregate("distinct", 2 * HOUR))
+    add("custom_distinct_on_time", *_any_aggregate("distinct", 0))
+    add("custom_avg", *_any_aggregate("mean", 2 * HOUR))
     add("custom_window_function", q_custom_window_function, _custom_wf_sql())
     add("explicit_watermark_agg", q_explicit_watermark_agg,
         O.window_agg_sql("column", 0, HOUR, HOUR, 0, HOUR, FIRE, False, ("count", "sum"), explicit=EXPLICIT))

@@ -1,5 +1,7 @@
 """Plan shape: what must hold at 100 TB, checked on the physical plans."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -61,11 +63,67 @@ def test_scan_reads_only_needed_columns(spark):
         assert set(c.split("#")[0] for c in cols.split(",")) <= {"event_id", "ts", "user_id"}, s
 
 
-def test_window_outputs_do_not_recompute_the_watermark(spark):
-    spec = WindowAggSpec(WindowSpec(3_600_000), WatermarkSpec("key", 3_600_000), 7_200_000)
-    res = windowed_agg(event_stream(spark, SF_SMALL), spec, "user_id", "ts_ms", ["arr_ms", "event_id"],
-                       count_of("n"))
-    for df in (res.output, res.rows, res.late, res.dropped):  # late is empty without side output
-        scans = [b for _, b in plan_lines(df) if "FileScan" in b]
-        assert not any("events.parquet" in b for b in scans)  # only the materialized rows
-    assert any("FileScan" in b for _, b in plan_lines(res.output))
+def raw_exchanges(df):
+    """Shuffles and sorts of rows: not of aggregated tables (their input is a partial aggregate)."""
+    lines = plan_lines(df)
+    out = {"Exchange": 0, "Sort": 0}
+    for i, (ind, body) in enumerate(lines):
+        kind = "Exchange" if body.startswith("Exchange hashpartitioning") else "Sort" if body.startswith("Sort [") else None
+        if kind is None:
+            continue
+        below = [b for ind2, b in lines[i + 1:i + 8] if ind2 > ind]
+        if any(b.startswith("Union") for b in below[:3]):
+            out[kind] += 1
+    return out
+
+
+@pytest.mark.parametrize("name", ["key_watermark", "global_watermark"])
+def test_one_shuffle_and_one_sort_of_the_rows(spark, name):
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = entry.queries()[name](spark, SF_SMALL)
+        found = raw_exchanges(df)
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert found["Exchange"] == 1 and found["Sort"] <= 1, found
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
+
+
+def test_comparison_reads_the_source_twice_at_most(spark):
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = entry.queries()["compare_watermarks"](spark, SF_SMALL)
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert text.count("FileScan parquet") - text.count("ReusedExchange") <= 2, text
+
+
+def _result(spark, lateness):
+    spec = WindowAggSpec(WindowSpec(3_600_000), WatermarkSpec("key", 3_600_000), lateness)
+    return windowed_agg(event_stream(spark, SF_SMALL), spec, "user_id", "ts_ms", ["arr_ms", "event_id"], count_of("n"))
+
+
+def test_firings_store_what_they_need_once_and_release_it(spark):
+    res = _result(spark, 7_200_000)
+    for df in (res.rows, res.late, res.dropped):  # plain plans over the source
+        df.count()
+    assert res.folders == []
+    scans = [b for _, b in plan_lines(res.output) if "FileScan" in b]
+    assert scans and not any("events.parquet" in b for b in scans)
+    (folder,) = res.folders
+    stored = set(spark.read.parquet(folder).columns)
+    assert stored == {"user_id", "arr_ms", "event_id", "wm_before", "wm_after", "tag", "_w_newest", "_n_on", "_n_open", "_in_n"}
+    assert os.path.exists(folder.removeprefix("file:"))
+    res.release()
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_no_late_branch_without_lateness(spark):
+    lines = [b for _, b in plan_lines(_result(spark, 0).output)]
+    assert not any(b.startswith(("Union", "Generate")) and "late" in b for b in lines)
+    assert sum("FileScan" in b for b in lines) <= 4  # the on-time aggregate (used twice) and the two steps of the firing search
+    assert sum("FileScan" in b for b in [b for _, b in plan_lines(_result(spark, 7_200_000).output)]) > 4
