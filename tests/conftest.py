@@ -38,7 +38,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def cases():
-    from eventide.sources.fixtures import parse_cases
+    from fixtures import parse_cases
 
     with open(os.path.join(ROOT, "FIXTURES.md")) as f:
         return {c.name: c for c in parse_cases(f.read())}
