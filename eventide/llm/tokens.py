@@ -80,32 +80,34 @@ class PieceEncoder:
             self.known = short if len(short) < self.max_entries // 2 else {}
             self.risky &= {"", *self.known}
             self.heads = {}
-        cut = [self._cut(t) if t else ("", []) for t in texts]
+        split = [self._split(t) if t else [""] for t in texts]
+        heads, rests = ([p[0] for p in split], [p[1:] for p in split]) if self.spaced else ([""] * len(split), split)
+        distinct = set().union(*rests)
+        new = distinct.difference(self.known)
+        if self.spaced and (not self.risky.isdisjoint(distinct) or any(p[:1] in _SPACES for p in new)):
+            odd = self.risky.union(p for p in new if p[:1] in _SPACES)
+            for i, rest in enumerate(rests):  # white space next to a space: cut only where it is safe
+                if not odd.isdisjoint(rest):
+                    head, *rest = _CUT.split(texts[i])
+                    heads[i], rest = ("", [head, *rest]) if head[:1] == " " else (head, rest)
+                    rests[i] = [p[1:] for p in rest]
+            new = set().union(*rests).difference(self.known)
         extra: dict[str, bytes] = {}
-        self._learn(set().union(*[rest for _, rest in cut]).difference(self.known), extra)
-        heads = [head for head, _ in cut if head]
-        first = iter([self.heads[h] if h in self.heads else self.encode_many([h])[0] for h in heads])
+        self._learn(new, extra)
         out = []
-        for head, rest in cut:
-            begin = next(first) if head else b""
+        for head, rest in zip(heads, rests):
+            begin = (self.heads[head] if head in self.heads else self.encode_many([head])[0]) if head else b""
             if extra:
                 out.append(begin + b"".join([extra[p] if p in extra else self.known[p] for p in rest]))
             else:
                 out.append(begin + b"".join(map(self.known.__getitem__, rest)))
         return out
 
-    def _cut(self, text: str) -> tuple[str, list[str]]:
-        """The piece before the first space, encoded as it stands, and the others without their space."""
-        if not self.spaced:
-            return "", text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        rest = text.split(" ")
-        head, rest = rest[0], rest[1:]
-        if any(p[:1] in _SPACES for p in set(rest).difference(self.known)) or not self.risky.isdisjoint(rest):
-            head, *rest = _CUT.split(text)
-            if head[:1] == " ":
-                head, rest = "", [head, *rest]
-            rest = [p[1:] for p in rest]
-        return head, rest
+    def _split(self, text: str) -> list[str]:
+        """At spaces; where white space is dropped at all of it (but not at what Python alone takes for it)."""
+        if self.spaced or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return text.split(" ")
+        return text.split()
 
 
 _LOADED: dict[tuple[str, bool], PieceEncoder] = {}
