@@ -110,7 +110,8 @@ def _save(spark: SparkSession, base: str, batch_id: int, commit: dict | None, wm
             now = {r[0] for r in touched.select(_part(keys)).distinct().collect()}
         folder = f"{_state(base, batch_id)}/{name}"
         numbered = table.withColumn("part", _part(keys))
-        numbered.where(F.col("part").isin(*now) if now else F.lit(False)).write.mode("overwrite").partitionBy("part").parquet(folder)
+        changed = numbered.where(F.col("part").isin(*now) if now else F.lit(False)).repartition("part")  # one file a part
+        changed.write.mode("overwrite").partitionBy("part").parquet(folder)
         written = {p for p in now if _exists(spark, f"{folder}/part={p}")}
         parts[name] = {**{p: b for p, b in old.items() if int(p) not in now}, **{str(p): batch_id for p in written}}
     held = json.dumps({"parts": {n: parts[n] for n in tables}, "schemas": schemas})
