@@ -11,9 +11,11 @@ sequence, and the search enumerates undominated fillings of the room around it:
 * a branch is cut when the waste so far exceeds what one sequence fewer than the
   incumbent would allow.
 
-The incumbent starts as best-fit decreasing. The search ends when the incumbent
-meets the lower bound ceil(total / size) or after ``STEPS_PER_PIECE`` enumeration
-steps per piece; every piece is placed in either case.
+The incumbent starts as best-fit decreasing. A pass of the search enumerates each
+level up to a width; a level that was cut short is met again by the next pass, which
+is wider. The search ends when the incumbent meets the lower bound ceil(total / size),
+when a pass cut no level short (nothing better exists), or after the last of
+``PASSES``; every piece is placed in either case.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ from eventide.llm.tokens import library_encoder
 
 VOCABULARY, END_ID, SEQUENCE_TOKENS = "word_bpe_49k.json", 1, 4096
 GROUP_PIECES = 20_000
-#: Fillings tried per opened sequence, and steps spent on enumerating them.
-BRANCHES, FILL_STEPS = 6, 60
-STEPS_PER_PIECE = 12
+#: Passes of the search: fillings tried per opened sequence, steps spent on enumerating them, whether the
+#: first filling without waste is taken alone, and steps per piece.
+PASSES = ((6, 60, True, 12), (6, 400, True, 200), (24, 3_200, False, 300))
+#: Steps that a pass takes besides those per piece.
+FIXED_STEPS = 60_000
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -64,16 +68,18 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return out
 
 
-def fillings(room: int, left: Counter, lengths: list[int], waste: int) -> tuple[list[tuple[int, list[int]]], int]:
+def fillings(room: int, left: Counter, lengths: list[int], waste: int, branches: int = PASSES[0][0],
+             fill_steps: int = PASSES[0][1], first_exact: bool = True) -> tuple[list[tuple[int, list[int]]], int]:
     """Undominated fillings of ``room`` from the unplaced ``left``, least waste first.
 
     ``lengths`` are the distinct unplaced lengths, ascending. Fillings that leave
-    more than ``waste`` are cut. Also returns the steps taken.
+    more than ``waste`` are cut. Also returns the steps taken; the enumeration was
+    cut short if there are ``branches`` fillings, more steps than ``fill_steps`` or,
+    with ``first_exact``, a filling without waste.
     """
     found: dict[tuple[int, ...], int] = {}
     chosen: list[int] = []
     used: Counter = Counter()
-    steps = 0
 
     def free(limit: int) -> int:
         """The largest unplaced and unchosen length up to ``limit``, or 0."""
@@ -90,39 +96,48 @@ def fillings(room: int, left: Counter, lengths: list[int], waste: int) -> tuple[
         return any(free(x + y + rest) >= x + y for i, x in enumerate(kinds) for y in kinds[i + (x not in twice):]
                    if x + y <= lengths[-1])
 
-    def grow(rest: int, most: int) -> bool:
-        nonlocal steps
-        steps += 1
-        length = free(min(rest, most))
-        if not length:
-            if rest <= waste and free(rest) == 0 and not dominated(rest):
-                found[tuple(chosen)] = rest
-            return rest == 0 and bool(found)
-        while length:
+    def end(rest: int) -> bool:
+        """Keeps a filling to which nothing can be added; whether it ends the enumeration."""
+        if rest <= waste and free(rest) == 0 and not dominated(rest):
+            found[tuple(chosen)] = rest
+        return first_exact and rest == 0 and bool(found) or len(found) >= branches or steps > fill_steps
+
+    steps, rest, tried = 1, room, [free(room)]  # what is tried after each of the chosen
+    if not tried[0]:
+        end(rest)
+    while tried:
+        length = tried[-1]
+        if length:
             chosen.append(length)
             used[length] += 1
-            done = grow(rest - length, length)
-            used[length] -= 1
-            chosen.pop()
-            if done or len(found) >= BRANCHES or steps > FILL_STEPS:
-                return done
-            length = free(length - 1)
-        return False
-
-    grow(room, room)
+            rest -= length
+            steps += 1
+            after = free(min(rest, length))
+            if after:
+                tried.append(after)
+                continue
+            if end(rest):
+                break
+        else:
+            tried.pop()
+            if not tried:
+                break
+        last = chosen.pop()
+        used[last] -= 1
+        rest += last
+        tried[-1] = free(last - 1)
     return sorted((rest, list(filling)) for filling, rest in found.items()), steps
 
 
-def pack(lengths: list[int], size: int = SEQUENCE_TOKENS, max_steps: int | None = None) -> list[list[int]]:
-    """Lengths (1..size) as sequences of at most ``size``."""
-    best = best_fit(lengths, size)
+def _search(lengths: list[int], size: int, best: list[list[int]], bound: int, branches: int, fill_steps: int,
+            first_exact: bool, budget: int) -> tuple[list[list[int]], bool]:
+    """One pass: ``best`` or fewer sequences, and whether nothing better exists."""
     total = sum(lengths)
-    bound = max(-(-total // size), sum(1 for x in lengths if 2 * x > size))
-    budget = max_steps if max_steps is not None else STEPS_PER_PIECE * len(lengths) + 60_000
     left = Counter(lengths)
     distinct = sorted(left)
     placed: list[list[int]] = []
     waste = 0
+    whole = True
     stack: list[tuple[Iterator[tuple[int, list[int]]], int]] = []  # alternatives of each open sequence and its largest piece
 
     def take(items: list[int], sign: int) -> None:
@@ -137,17 +152,20 @@ def pack(lengths: list[int], size: int = SEQUENCE_TOKENS, max_steps: int | None
         return (len(best) - 1) * size - total - waste
 
     def options() -> tuple[Iterator[tuple[int, list[int]]], int]:
-        nonlocal budget
+        nonlocal budget, whole
         largest, choice, steps = distinct[-1], [], 1
         take([largest], 1)
         room = size - largest
         if allowed() >= 0:
-            choice, steps = fillings(room, left, distinct, min(room, allowed()))
+            choice, steps = fillings(room, left, distinct, min(room, allowed()), branches, fill_steps, first_exact)
+            whole = whole and steps <= fill_steps and len(choice) < branches and not (first_exact and choice and choice[0][0] == 0)
         take([largest], -1)
         budget -= steps
         return iter(choice), largest
 
-    while len(best) > bound and budget > 0:
+    while len(best) > bound:
+        if budget <= 0:
+            return best, False
         if not distinct:
             if len(placed) < len(best):
                 best = [list(x) for x in placed]
@@ -171,6 +189,18 @@ def pack(lengths: list[int], size: int = SEQUENCE_TOKENS, max_steps: int | None
             waste += rest
             moved = True
         if not moved:
+            return best, whole
+    return best, True
+
+
+def pack(lengths: list[int], size: int = SEQUENCE_TOKENS, max_steps: int | None = None) -> list[list[int]]:
+    """Lengths (1..size) as sequences of at most ``size``."""
+    best = best_fit(lengths, size)
+    bound = max(-(-sum(lengths) // size), sum(1 for x in lengths if 2 * x > size))
+    for branches, fill_steps, first_exact, per_piece in PASSES:
+        budget = max_steps if max_steps is not None else per_piece * len(lengths) + FIXED_STEPS
+        best, whole = _search(lengths, size, best, bound, branches, fill_steps, first_exact, budget)
+        if whole:
             break
     return best
 

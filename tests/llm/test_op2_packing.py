@@ -74,6 +74,22 @@ def test_search_beats_best_fit():
     assert len(pack(lengths)) <= len(best_fit(lengths, 4096))
 
 
+@pytest.mark.parametrize("n, most", [(300, 82), (3_000, 818)])
+def test_levels_cut_short_are_met_again(n, most):
+    rng = random.Random(1)
+    lengths = [rng.randint(700, 1500) for _ in range(n)]
+    found = pack(lengths)
+    assert Counter(x for s in found for x in s) == Counter(lengths) and max(map(sum, found)) <= 4096
+    assert len(found) <= most < len(best_fit(lengths, 4096))
+
+
+def test_many_short_pieces_beside_long_ones():
+    rng = random.Random(2)
+    lengths = [rng.randint(1200, 2100) for _ in range(100)] + [1] * 3_000
+    found = pack(lengths, max_steps=20_000)
+    assert Counter(x for s in found for x in s) == Counter(lengths) and max(map(sum, found)) <= 4096
+
+
 def test_fillings_are_maximal_and_undominated():
     left = Counter([50, 45, 40, 30, 30, 20, 10, 5])
     found, _ = fillings(60, left, sorted(left), 60)
