@@ -248,9 +248,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input columns are not read; an empty table gives no rows. A piece's group
     comes from its place in the stored table, so equal rows spread evenly.
     """
-    pieces = written(document_pieces(docs, id_col, text_col, tokenizer_path, end_id, size, with_ids), "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    numbered = pieces.withColumn("row", F.monotonically_increasing_id())
+    pieces = document_pieces(docs, id_col, text_col, tokenizer_path, end_id, size, with_ids)
+    # the numbers are stored: a second scan may be split otherwise and would count otherwise
+    numbered = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-numbered.count() // group_pieces))
     dealt = numbered.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group"))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:

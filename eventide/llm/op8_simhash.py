@@ -173,8 +173,9 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component of ``near_duplicates``, all columns as they are: the one with the
     smallest id (null ids last; of rows with one id the first stored)."""
-    stored = written(_fingerprinted(docs, text_col, shingle_words), "documents")
-    numbered = stored.toDF(*[f"c{i}" for i in range(len(docs.columns))], "fp").withColumn("row", F.monotonically_increasing_id())
+    found = _fingerprinted(docs, text_col, shingle_words).toDF(*[f"c{i}" for i in range(len(docs.columns))], "fp")
+    # the numbers are stored: a second scan may be split otherwise and would count otherwise
+    numbered = written(found.withColumn("row", F.monotonically_increasing_id()), "documents")
     own = F.col(f"c{docs.columns.index(id_col)}")
     rows = written(numbered.select("fp", F.struct(own.isNull().alias("without"), own.alias("id"), "row").alias("member")), "members")
     firsts = _least_members(rows, max_bits).select(F.col("least.row").alias("row")).distinct()

@@ -45,6 +45,11 @@ def test_groups_and_given_documents(plain):
     assert check(rows, texts, 512) <= -(-sum(r.length for r in rows) // 512) + 20
 
 
+def test_rows_are_numbered_once(plain):
+    plan = pack_documents(plain, size=512)._jdf.queryExecution().toString()
+    assert "Scan parquet" in plan and "monotonically_increasing_id" not in plan
+
+
 def test_empty(empty):
     assert pack_documents(empty).collect() == []
 

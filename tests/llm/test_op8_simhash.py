@@ -115,3 +115,18 @@ def test_first_of_groups(edge, empty):
     found = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in found if x is not None) == sorted(groups) and found.count(None) <= 1
     assert first_of_groups(empty).collect() == []
+
+
+def test_rows_keep_their_numbers_when_scans_are_split_otherwise(spark, tmp_path):
+    texts = [(i, f"word{i} other{i} third{i} fourth{i} " * 3) for i in range(200)]
+    docs = spark.createDataFrame(texts + texts[::2], "doc_id BIGINT, text STRING").repartition(16)
+    docs.write.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    kept = first_of_groups(spark.read.parquet(str(tmp_path / "docs")))
+    try:
+        spark.conf.set(key, "1k")
+        rows = kept.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(map(tuple, rows)) == texts
