@@ -3,7 +3,7 @@
 A page becomes a flat list of text blocks, cut at block-level tags. A block knows
 its number of words, the share of them inside links, the same two of its
 neighbours, and where it stands: inside an article, inside a boilerplate container
-(by tag, role, class or id), in a heading. A small classification tree, grown on the labelled
+(by tag, role, class or id), in a heading, in a run of short linked blocks. A small classification tree, grown on the labelled
 table below, says which blocks are main text.
 """
 
@@ -39,44 +39,62 @@ _BOILER_NAME = frozenset(
     "menus modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup privacy promo "
     "promotion promoted recommended related replies reply respond search share sharing sidebar sidebars signin signup skip "
     "social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split())
+#: Words after which a name says what a page has or lacks, not what the element is.
+_OF_PAGE = frozenset("no not has with without".split())
+#: A menu's entry: at most so many words, this share of them linked.
+SHORT_WORDS, MOSTLY = 8, 0.5
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
 
 #: The labelled table. Columns: words and link share of the block, of the block before
-#: and of the one after; inside an article; inside a boilerplate container; a heading; main text.
+#: and of the one after; inside an article; inside a boilerplate container; a heading;
+#: blocks in the run of short linked ones around it; main text.
 LABELLED = (
     # articles: long, short and one-word paragraphs, headings, lists, quotes, inline links
-    (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1), (120, 0.05, 8, 0.0, 90, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 50, 0.0, 60, 0.0, 1, 0, 0, 1), (2, 0.0, 3, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (4, 0.0, 90, 0.0, 9, 0.0, 1, 0, 0, 1), (6, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 1),
-    (9, 0.0, 12, 0.0, 1, 0.0, 1, 0, 1, 1), (3, 0.0, 40, 0.0, 30, 0.0, 1, 0, 1, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (30, 0.3, 40, 0.0, 40, 0.1, 1, 0, 0, 1),
-    (12, 0.4, 30, 0.0, 25, 0.0, 1, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (7, 0.0, 7, 0.0, 7, 0.0, 1, 0, 0, 1), (5, 0.0, 6, 1.0, 4, 1.0, 1, 0, 0, 1),
+    (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (120, 0.05, 8, 0.0, 90, 0.0, 1, 0, 0, 0, 1),
+    (1, 0.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 3, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
+    (4, 0.0, 90, 0.0, 9, 0.0, 1, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 0, 1),
+    (9, 0.0, 12, 0.0, 1, 0.0, 1, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 30, 0.0, 1, 0, 1, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (30, 0.3, 40, 0.0, 40, 0.1, 1, 0, 0, 0, 1),
+    (12, 0.4, 30, 0.0, 25, 0.0, 1, 0, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
+    (7, 0.0, 7, 0.0, 7, 0.0, 1, 0, 0, 0, 1), (5, 0.0, 6, 1.0, 4, 1.0, 1, 0, 0, 0, 1),
+    # linked paragraphs, list items and headings of articles
+    (9, 0.9, 30, 0.0, 30, 0.0, 1, 0, 0, 0, 1), (3, 1.0, 40, 0.0, 50, 0.0, 1, 0, 0, 1, 1), (14, 1.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
+    (12, 1.0, 11, 1.0, 13, 1.0, 1, 0, 0, 0, 1), (5, 1.0, 4, 1.0, 60, 0.0, 1, 0, 0, 2, 1), (2, 1.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1, 1),
+    (5, 1.0, 30, 0.0, 40, 0.0, 1, 0, 1, 0, 1), (4, 1.0, 2, 1.0, 50, 0.0, 1, 0, 1, 0, 1), (3, 1.0, 40, 0.0, 6, 1.0, 1, 0, 1, 0, 1),
     # link lists within articles
-    (4, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0, 0), (6, 1.0, 5, 1.0, 3, 1.0, 1, 0, 0, 0),
-    (2, 1.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0), (9, 0.9, 30, 0.0, 30, 0.0, 1, 0, 0, 0),
+    (4, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0, 3, 0), (6, 1.0, 5, 1.0, 3, 1.0, 1, 0, 0, 5, 0),
+    (2, 1.0, 2, 1.0, 40, 0.0, 1, 0, 0, 3, 0),
     # boilerplate containers, in and out of articles: adverts, notices, sidebars, comments, footers
-    (60, 0.0, 70, 0.0, 80, 0.0, 1, 1, 0, 0), (12, 0.0, 4, 1.0, 9, 0.0, 0, 1, 0, 0),
-    (45, 0.0, 3, 0.0, 6, 1.0, 0, 1, 0, 0), (150, 0.0, 40, 0.0, 60, 0.0, 0, 1, 0, 0),
-    (3, 0.0, 50, 0.0, 30, 0.0, 1, 1, 1, 0), (6, 0.0, 2, 1.0, 80, 0.0, 0, 1, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0),
-    (10, 0.1, 70, 0.0, 0, 0.0, 0, 1, 0, 0), (25, 0.5, 10, 0.0, 10, 0.9, 0, 1, 0, 0),
+    (60, 0.0, 70, 0.0, 80, 0.0, 1, 1, 0, 0, 0), (12, 0.0, 4, 1.0, 9, 0.0, 0, 1, 0, 0, 0),
+    (45, 0.0, 3, 0.0, 6, 1.0, 0, 1, 0, 0, 0), (150, 0.0, 40, 0.0, 60, 0.0, 0, 1, 0, 0, 0),
+    (3, 0.0, 50, 0.0, 30, 0.0, 1, 1, 1, 0, 0), (6, 0.0, 2, 1.0, 80, 0.0, 0, 1, 1, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 3, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 5, 0),
+    (10, 0.1, 70, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (25, 0.5, 10, 0.0, 10, 0.9, 0, 1, 0, 0, 0),
     # pages without an article element: dense paragraphs and what stands between them
-    (70, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1), (45, 0.1, 5, 0.0, 80, 0.0, 0, 0, 0, 1),
-    (30, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (18, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 1), (16, 0.0, 20, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (3, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (5, 0.0, 40, 0.0, 45, 0.0, 0, 0, 1, 1),
-    (6, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 1), (40, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (70, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (45, 0.1, 5, 0.0, 80, 0.0, 0, 0, 0, 0, 1),
+    (30, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
+    (18, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (16, 0.0, 20, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
+    (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
+    (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1), (5, 0.0, 40, 0.0, 45, 0.0, 0, 0, 1, 0, 1),
+    (6, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 0, 1), (40, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (22, 0.0, 22, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (22, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (17, 0.1, 22, 0.0, 17, 0.0, 0, 0, 0, 0, 1),
+    (20, 0.0, 9, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
+    (5, 0.0, 22, 0.0, 22, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 0, 1),
+    # their short last paragraphs and linked headings
+    (4, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (8, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 45, 0.0, 1, 1.0, 0, 0, 0, 0, 1),
+    (6, 1.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1), (4, 1.0, 6, 0.0, 40, 0.0, 0, 0, 1, 0, 1), (5, 1.0, 50, 0.0, 70, 0.0, 0, 0, 1, 0, 1),
     # and the short or linked blocks around them
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0),
-    (4, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0), (8, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (6, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0), (9, 0.8, 40, 0.0, 30, 0.0, 0, 0, 0, 0),
-    (30, 0.9, 3, 1.0, 12, 1.0, 0, 0, 0, 0), (20, 0.7, 40, 0.0, 6, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 5, 1.0, 0, 0, 1, 0), (3, 0.0, 6, 1.0, 2, 1.0, 0, 0, 1, 0),
+    (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 3, 0), (2, 1.0, 0, 0.0, 80, 0.0, 0, 0, 0, 1, 0), (9, 0.8, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 0),
+    (6, 1.0, 2, 1.0, 45, 0.0, 0, 0, 0, 3, 0), (4, 0.0, 9, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (6, 0.0, 10, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (8, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0, 0), (9, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (12, 0.0, 6, 1.0, 4, 0.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 3, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 5, 0),
+    (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0),
+    (3, 1.0, 6, 1.0, 4, 1.0, 0, 0, 1, 0, 0), (5, 1.0, 3, 1.0, 9, 0.0, 0, 0, 1, 0, 0),
+    (6, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0, 0), (9, 0.8, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
+    (30, 0.9, 3, 1.0, 12, 1.0, 0, 0, 0, 0, 0), (20, 0.7, 40, 0.0, 6, 1.0, 0, 0, 0, 0, 0),
+    (4, 0.0, 2, 1.0, 5, 1.0, 0, 0, 1, 0, 0), (3, 0.0, 6, 1.0, 2, 1.0, 0, 0, 1, 0, 0),
 )
 
 
@@ -100,15 +118,22 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | int:
 
 @lru_cache(maxsize=1)
 def tree() -> tuple | int:
-    """The tree of the labelled table; a feature that splits equally well stands before later ones."""
+    """The tree of the labelled table: what a block is comes before how it looks, so the sides of
+    boilerplate, article, headings and the rest are grown each on its own rows. A feature that splits
+    equally well stands before later ones."""
     table = np.array(LABELLED, float)
-    order = [7, 6, 1, 0, 8, 3, 5, 2, 4]
-    found = grow(table[:, order], table[:, -1])
+    order = [9, 1, 8, 0, 2, 3, 5, 4]
 
     def named(node: tuple | int) -> tuple | int:
         return node if isinstance(node, int) else (order[node[0]], node[1], named(node[2]), named(node[3]))
 
-    return named(found)
+    def side(rows: np.ndarray) -> tuple | int:
+        return named(grow(rows[:, order], rows[:, -1]))
+
+    boiler, article, heading = table[:, 7] == 1, table[:, 6] == 1, table[:, 8] == 1
+    other = ~boiler & ~article
+    plain = 8, 0.5, side(table[other & ~heading]), side(table[other & heading])
+    return 7, 0.5, (6, 0.5, plain, side(table[~boiler & article])), side(table[boiler])
 
 
 @dataclass
@@ -121,15 +146,25 @@ class Block:
     heading: bool
 
 
-def _boilerplate(name: str, attributes: str, article: bool) -> bool:
+def _marks(value: str) -> set[str]:
+    """Words of a class or id value that mark boilerplate; ``no-sidebar`` or ``page-with-comments`` mark nothing."""
+    found = set()
+    for one in value.split():
+        words = [w.lower() for w in _NAME.findall(one)]
+        found.update(words[:next((i for i, w in enumerate(words) if w in _OF_PAGE), len(words))])
+    return found & _BOILER_NAME
+
+
+def _boilerplate(name: str, attributes: str, article: bool, named: bool = True) -> bool:
+    """``named``: class and id say what the element is; those of a body, main or article speak of the whole page."""
     if name in _BOILER_TAG or name == "header" and not article:
         return True
     if not attributes or attributes.isspace():
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id"):
-            marks = {w.lower() for w in _NAME.findall(value)} & _BOILER_NAME
+        if key in ("class", "id") and named:
+            marks = _marks(value)
             if marks - {"header", "headers"} or marks and not article:  # an article may have a header of its own
                 return True
         if key == "role" and value.lower() in _BOILER_ROLE or key == "hidden":
@@ -201,7 +236,9 @@ def blocks(page: str | None) -> list[Block]:
                         break
             elif name not in _VOID and not attributes.endswith("/"):
                 inside = article or name in ("article", "main")
-                marked = _boilerplate(name, attributes, inside)
+                # an article within an article, as comments are, is not the page's
+                named = name not in ("body", "main", "article") or name == "article" and any(x[0] == name for x in stack)
+                marked = _boilerplate(name, attributes, inside, named)
                 if name == "span" and marked and not boiler:
                     close()
                 stack.append((name, inside, boiler or marked))
@@ -210,15 +247,31 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
+def runs(found: list[Block]) -> list[int]:
+    """Of every block, how many short linked ones stand in a row with it in the same surroundings; 0 if it is no such block."""
+    out = [0] * len(found)
+    first = None
+    for i in range(len(found) + 1):
+        b = found[i] if i < len(found) else None
+        like = b is not None and b.words <= SHORT_WORDS and b.linked >= MOSTLY and not b.heading
+        if first is not None and not (like and (b.article, b.boiler) == (found[first].article, found[first].boiler)):
+            out[first:i] = [i - first] * (i - first)
+            first = None
+        if like and first is None:
+            first = i
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Main text of a whole page: its blocks in page order, joined by an empty line."""
     found = blocks(page)
     size = [(b.words, b.linked) for b in found]
+    run = runs(found)
     kept = []
     for i, b in enumerate(found):
         before = size[i - 1] if i else (0, 0.0)
         after = size[i + 1] if i + 1 < len(size) else (0, 0.0)
-        row = (b.words, b.linked, *before, *after, b.article, b.boiler, b.heading)
+        row = (b.words, b.linked, *before, *after, b.article, b.boiler, b.heading, run[i])
         node = tree()
         while not isinstance(node, int):
             node = node[2] if row[node[0]] <= node[1] else node[3]

@@ -61,3 +61,39 @@ def test_given_pages_hold_their_article(spark):
         inner = r.html[r.html.index("<article>"):r.html.index("</article>")].replace("<br>", " ").replace("<b>", "")
         parts = [" ".join(html.unescape(p).split()) for p in re.split(r"</?(?:p|h1|article)>", inner)]
         assert texts[r.page_id] == "\n\n".join(p for p in parts if p)
+
+
+LONG = "This is a paragraph of running text that is long enough to be told from a menu by its number of words alone."
+
+
+def test_linked_blocks_of_an_article_stay():
+    menu = "<ul>" + "".join(f"<li><a href={i}>Entry {i}</a></li>" for i in range(5)) + "</ul>"
+    page = ARTICLE % (f"<nav>{menu}</nav><article><h1><a href=p>The permalink</a></h1><p>{LONG}</p><p><a href=s>Only a linked sentence stands here</a></p>"
+                      f"<h2><a href=#x>Second part</a></h2><p>{LONG}</p><ul><li><a href=1>A long linked entry of a list of sources, number one</a></li>"
+                      f"<li><a href=2>A long linked entry of a list of sources, number two</a></li></ul><p>{LONG}</p>{menu}</article>")
+    assert main_text(page) == "\n\n".join([
+        "The permalink", LONG, "Only a linked sentence stands here", "Second part", LONG, "A long linked entry of a list of sources, number one",
+        "A long linked entry of a list of sources, number two", LONG])
+
+
+def test_short_last_paragraph_and_linked_heading_without_an_article():
+    menu = "<div><a href=1>One</a></div><div><a href=2>Two</a></div>"
+    page = ARTICLE % f"{menu}<div><h1><a href=p>The permalink</a></h1><p>{LONG} {LONG}</p><p>{LONG} {LONG}</p><p>%s</p></div>{menu}"
+    for last in ("That is all that there was to say.", "The end."):
+        assert main_text(page % last) == "\n\n".join(["The permalink", f"{LONG} {LONG}", f"{LONG} {LONG}", last])
+    assert main_text((page % "The end.")[:-len(menu) - len("</body></html>")]).endswith("The end.")
+
+
+def test_entries_before_a_text_are_no_text():
+    page = ARTICLE % f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><p>{LONG} {LONG}</p><p>{LONG}</p>"
+    assert main_text(page) == f"{LONG} {LONG}\n\n{LONG}"
+
+
+def test_names_of_the_page_mark_nothing():
+    for page in ('<body class="single comments-open"><article id="post-banner" class="post sidebar"><p>Text</p></article></body>',
+                 '<main class="has-sidebar widget"><article class="social"><p>Text</p></article></main>',
+                 '<article><div class="no-sidebar"><p>Text</p></div></article>',
+                 '<article><section class="layout--with-comments hasBanner"><p>Text</p></section></article>'):
+        assert main_text(page) == "Text"
+    assert main_text('<article><p>Text</p><article class="comment"><p>Other</p></article><div class="sidebar-no-border">Other</div></article>') == "Text"
+    assert main_text('<article hidden><p>Other</p></article><article><p>Text</p></article>') == "Text"
