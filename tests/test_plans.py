@@ -5,11 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
 from eventide.functions.aggregates import count_of
 from eventide.operators.window_agg import windowed_agg
 from eventide.plans.spec import WatermarkSpec, WindowAggSpec, WindowSpec
 from eventide.sources.events import event_stream
+from given_tables import SF_SMALL
 
 
 def plan_lines(df):

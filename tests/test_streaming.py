@@ -25,7 +25,7 @@ PER_KEY = ["pk_sliding_reduce", "pk_tumbling_reduce", "pk_lateness_purge", "pk_c
 def test_stream_equals_batch_on_events(spark):
     """stream_key_lateness (5 arrival slices, restarts) equals the batch operator."""
     import __spark_entry__ as entry
-    from conftest import SF_SMALL
+    from given_tables import SF_SMALL
 
     qs = entry.queries()
     s = qs["stream_key_lateness"](spark, SF_SMALL)

@@ -6,7 +6,7 @@ import pytest
 
 from eventide.operators.windows import assign_windows
 from eventide.plans.spec import WindowSpec
-from simulation import LONG_MAX, assign
+from definition import LONG_MAX, windows_of
 
 
 @pytest.mark.parametrize("size,slide,offset", [(1000, 1000, 0), (3000, 1000, 0), (1000, 1000, 250),
@@ -18,5 +18,5 @@ def test_assignment_matches_brute_force(spark, size, slide, offset):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "id BIGINT, ts BIGINT")
     got = sorted((r.id, r.window_start, r.window_end)
                  for r in assign_windows(df, "ts", WindowSpec(size, slide, offset)).collect())
-    want = sorted((i, s, e) for i, t in enumerate(ts) for s, e in assign(t, size, slide, offset))
+    want = sorted((i, s, e) for i, t in enumerate(ts) for s in windows_of(t, size, slide, offset) for e in [s + size])
     assert got == want
