@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from eventide.llm import (
     op1_toxicity, op2_packing, op3_bpe, op4_language, op5_embedding_dedup, op6_html, op7_topk, op8_simhash, op9_license,
-    op10_rans, op12_collocations, op13_divergence,
+    op10_rans, op11_suffix_dedup, op12_collocations, op13_divergence,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_simhash_golay": op8_simhash.query,
     "op9_license_diagonals": op9_license.query,
     "op10_rans_blocks": op10_rans.query,
+    "op11_suffix_dedup": op11_suffix_dedup.query,
     "op12_phrase_collocations": op12_collocations.query,
     "op13_source_divergence": op13_divergence.query,
 }
