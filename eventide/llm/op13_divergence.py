@@ -1,11 +1,11 @@
 """How the sources of a language differ in their words: term frequencies by single-pass in-memory indexing.
 
-1. Blocks: a task adds its documents to in-memory postings (term -> occurrences per
-   group, documents) until ``BLOCK_POSTINGS`` are held, then spills them as
-   runs sorted by term: one per hash shard of the terms, cut into chunks.
-2. Merge: the chunks of a shard arrive sorted by their first term; a heap merges the runs
-   in one pass. Only chunks that overlap the present term are open, and only terms in
-   enough documents leave. The result, the index, is stored sorted by term.
+1. Blocks: a task adds its documents to in-memory postings until ``BLOCK_TOKENS`` or
+   ``BLOCK_TERMS`` are held, then spills them as runs sorted by term: one per hash shard
+   of the terms, cut into chunks.
+2. Merge: the chunks of a shard arrive sorted by their first term; a heap merges the terms of the
+   open ones, and their postings are added up. Only terms in enough documents leave. The
+   result, the index, is stored sorted by term.
 3. Corrections: two groups' divergence over all V terms is V times the value of a term that
    neither has, corrected for the terms that one has (by how many terms have each
    count: a small table) and for the terms that both have (streamed term by term, one partial
@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from decimal import Decimal
+from itertools import count, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,11 @@ from eventide.llm.common import pick, read, written
 
 ONE = 1_000_000_000
 MIN_DOCS, TOP_TERMS = 3, 200
-#: Postings that a block holds before it is spilled, postings of a chunk of a run, partial sums that a task holds.
-BLOCK_POSTINGS, CHUNK_POSTINGS, HELD_SUMS = 400_000, 4_000, 500_000
+#: Tokens and different terms that a block holds before it is spilled, postings of a chunk of a run, and
+#: postings that a merge takes at once.
+BLOCK_TOKENS, BLOCK_TERMS, CHUNK_POSTINGS, MERGED_POSTINGS = 4_000_000, 400_000, 10_000, 300_000
+#: Pairs of groups that are compared, and partial sums that are held, at once.
+PAIRS, HELD_SUMS = 2_000_000, 500_000
 #: A-Z to a-z; every other byte below 0x80 separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -43,99 +48,161 @@ def terms(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).split()
 
 
-_CHUNK = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
-                    ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_CHUNK_DDL = ("shard int, lang string, first binary, terms array<binary>, docs array<bigint>, sizes array<int>, "
-              "sources array<string>, counts array<bigint>")
+#: A chunk of a run: terms in order with their documents and how many postings each has, and per posting a place in
+#: ``sources`` and the occurrences (little-endian numbers).
+_CHUNK = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())), ("sources", pa.list_(pa.string())),
+                    ("docs", pa.binary()), ("sizes", pa.binary()), ("which", pa.binary()), ("counts", pa.binary())])
+_CHUNK_DDL = "shard int, lang string, first binary, terms array<binary>, sources array<string>, docs binary, sizes binary, which binary, counts binary"
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], *[np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values]
+
+
+class _Block:
+    """Postings of some documents in memory: a dictionary of terms, and the texts as its numbers."""
+
+    def __init__(self):
+        self.terms: dict[bytes, int] = defaultdict(count().__next__)
+        self.groups: dict[tuple[str, str], int] = defaultdict(count().__next__)
+        self.texts: list[np.ndarray] = []
+        self.group_of: list[int] = []
+        self.tokens = 0
+
+    def add(self, lang: str, source: str, text: str) -> None:
+        found = terms(text)
+        self.texts.append(np.fromiter(map(self.terms.__getitem__, found), np.int32, len(found)))
+        self.group_of.append(self.groups[lang, source])
+        self.tokens += len(found)
+
+    def full(self) -> bool:
+        return self.tokens >= BLOCK_TOKENS or len(self.terms) >= BLOCK_TERMS
+
+    def runs(self, shards: int) -> Iterator[pa.RecordBatch]:
+        if not self.tokens:
+            return
+        lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        keys = np.repeat(np.arange(len(lengths)), lengths) << 32 | np.concatenate(self.texts)
+        keys, counts = _summed(keys, np.ones(len(keys), np.int64))  # one row per document and term
+        names = sorted(self.terms)
+        rank = np.zeros(len(names), np.int64)
+        rank[[self.terms[t] for t in names]] = np.arange(len(names))
+        group = np.array(self.group_of, np.int64)[keys >> 32]
+        keys, counts, docs = _summed(group << 32 | rank[keys & 0xFFFFFFFF], counts, np.ones(len(keys), np.int64))
+        shard_of = np.fromiter((zlib.crc32(t) % shards for t in names), np.int64, len(names))
+        group, term = keys >> 32, keys & 0xFFFFFFFF
+        by_lang: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for (lang, source), number in self.groups.items():
+            by_lang[lang].append((source, number))
+        for lang, own in by_lang.items():
+            place = np.full(len(self.groups), -1, np.int64)
+            place[[number for _, number in own]] = np.arange(len(own))
+            at = np.flatnonzero(place[group] >= 0)
+            at = at[np.lexsort((term[at], shard_of[term[at]]))]
+            yield from _chunks(lang, [s for s, _ in own], names, shard_of, term[at], place[group[at]], counts[at], docs[at])
+
+
+def _chunks(lang: str, sources: list[str], names: list[bytes], shard_of: np.ndarray, term: np.ndarray, which: np.ndarray,
+            counts: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One batch per chunk of postings that are sorted by shard and term."""
+    if not len(term):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    sizes = np.diff(np.append(starts, len(term)))
+    firsts, with_docs = term[starts], np.add.reduceat(docs, starts)
+    chunk = np.cumsum(sizes) // CHUNK_POSTINGS + shard_of[firsts] * (len(term) // CHUNK_POSTINGS + 2)
+    for a, b in pairwise([*np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])).tolist(), len(starts)]):
+        lo, hi = starts[a], starts[b] if b < len(starts) else len(term)
+        row = [int(shard_of[firsts[a]]), lang, names[firsts[a]], [names[t] for t in firsts[a:b].tolist()], sources,
+               with_docs[a:b].astype("<i8").tobytes(), sizes[a:b].astype("<i4").tobytes(), which[lo:hi].astype("<i4").tobytes(), counts[lo:hi].astype("<i8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNK)], schema=_CHUNK)
 
 
 def _runs(docs: DataFrame, shards: int) -> DataFrame:
     """Term-sorted runs of postings of ``docs`` (lang, source, text), cut into chunks."""
 
-    def spill(found: dict[str, dict[str, Counter]], docs_with: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, groups in found.items():
-            by_term: dict[bytes, list] = {}
-            for source, counted in groups.items():
-                for term, n in counted.items():
-                    by_term.setdefault(term, []).append((source, n))
-            chunks: dict[int, list] = {}
-            sizes: Counter = Counter()
-            for term in sorted(by_term):
-                shard = zlib.crc32(term) % shards
-                chunks.setdefault(shard, []).append((term, docs_with[lang][term], by_term[term]))
-                sizes[shard] += len(by_term[term])
-                if sizes[shard] >= CHUNK_POSTINGS:
-                    yield _packed(shard, lang, chunks.pop(shard))
-                    sizes[shard] = 0
-            for shard, entries in chunks.items():
-                yield _packed(shard, lang, entries)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[str, Counter]] = {}
-        docs_with: dict[str, Counter] = {}
-        held = 0
+        block = _Block()
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
                 for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    words = Counter(terms(text))
-                    group = found.setdefault(lang, {}).setdefault(source, Counter())
-                    own = docs_with.setdefault(lang, Counter())
-                    before = len(group) + len(own)
-                    group.update(words)
-                    own.update(words.keys())
-                    held += len(group) + len(own) - before
-                    if held >= BLOCK_POSTINGS:
-                        yield from spill(found, docs_with)
-                        found, docs_with, held = {}, {}, 0
-        yield from spill(found, docs_with)
+                    block.add(lang, source, text)
+                    if block.full():
+                        yield from block.runs(shards)
+                        block = _Block()
+        yield from block.runs(shards)
 
     return docs.select("lang", "source", "text").mapInArrow(run, _CHUNK_DDL)
 
 
-def _packed(shard: int, lang: str, entries: list) -> pa.RecordBatch:
-    sources = [s for _, _, p in entries for s, _ in p]
-    counts = [n for _, _, p in entries for _, n in p]
-    row = [shard, lang, entries[0][0], [t for t, _, _ in entries], [d for _, d, _ in entries], [len(p) for _, _, p in entries], sources, counts]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNK)], schema=_CHUNK)
+class _Open:
+    """A chunk during the merge: what of it is still to come."""
 
+    def __init__(self, row: dict):
+        self.terms, self.sources, self.at = row["terms"], row["sources"], 0
+        self.docs, self.sizes = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["sizes"], "<i4")
+        self.which, self.counts = np.frombuffer(row["which"], "<i4"), np.frombuffer(row["counts"], "<i8")
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
-def _entries(row: dict, number: int) -> Iterator[tuple]:
-    """(lang, term, run, docs, [(source, count)]) of a chunk, in the order of its terms."""
-    at = 0
-    for term, docs, size in zip(row["terms"], row["docs"], row["sizes"]):
-        yield row["lang"], term, number, docs, list(zip(row["sources"][at:at + size], row["counts"][at:at + size]))
-        at += size
 
+def merged_runs(chunks: Iterator[dict], min_docs: int) -> Iterator[tuple[str, list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Heap merge of chunks that come sorted by (lang, first term).
 
-def merged_runs(chunks: Iterator[dict]) -> Iterator[tuple[str, bytes, int, Counter]]:
-    """Heap merge of chunks that come sorted by (lang, first term): (lang, term, documents, occurrences by source)."""
-    heap: list[tuple] = []
+    Yields (lang, terms, sources, term, source, occurrences): the last three per posting, numbers
+    of the terms, ascending, and of the sources. Terms before the first term of the next
+    chunk are complete: their postings are merged as soon as enough of them are open.
+    """
+    opened: list[_Open] = []
+    lang, held = None, 0
     pending = next(chunks, None)
-    number = 0
-    now, docs, total = None, 0, Counter()
-    while heap or pending:
-        while pending and (not heap or (pending["lang"], pending["first"]) <= heap[0][0][:2]):
-            entries = _entries(pending, number)
-            first = next(entries)
-            heapq.heappush(heap, (first, number, entries))
-            number += 1
+    while pending or opened:
+        if pending and (not opened or (pending["lang"] == lang and held < MERGED_POSTINGS)):
+            lang = pending["lang"]
+            opened.append(_Open(pending))
+            held += len(opened[-1].which)
+            pending = next(chunks, None)
+            continue
+        bound = pending["first"] if pending and pending["lang"] == lang else None
+        parts = [(c, c.at, len(c.terms) if bound is None else bisect_left(c.terms, bound, c.at)) for c in opened]
+        parts = [p for p in parts if p[1] < p[2]]
+        if not parts:  # all that is open begins with the next chunk's first term
+            opened.append(_Open(pending))
+            held += len(opened[-1].which)
             pending = next(chunks, None)
-        (lang, term, _, with_docs, postings), own, entries = heap[0]
-        following = next(entries, None)
-        if following:
-            heapq.heapreplace(heap, (following, own, entries))
-        else:
-            heapq.heappop(heap)
-        if (lang, term) != now:
-            if now:
-                yield *now, docs, total
-            now, docs, total = (lang, term), 0, Counter()
-        docs += with_docs
-        for source, n in postings:
-            total[source] += n
-    if now:
-        yield *now, docs, total
+            continue
+        yield lang, *_merge(parts, min_docs)
+        for c, _, b in parts:
+            held -= int(c.starts[b] - c.starts[c.at])
+            c.at = b
+        opened = [c for c in opened if c.at < len(c.terms)]
+
+
+def _merge(parts: list[tuple[_Open, int, int]], min_docs: int) -> tuple[list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The postings of the named places of chunks, terms in heap order, those of terms in enough documents."""
+    known: dict[str, int] = defaultdict(count().__next__)
+    names: list[bytes] = []
+    number = [np.zeros(b - a, np.int64) for _, a, b in parts]
+    for term, i, k in heapq.merge(*[zip(c.terms[a:b], repeat(i), range(b - a)) for i, (c, a, b) in enumerate(parts)]):
+        if not names or names[-1] != term:
+            names.append(term)
+        number[i][k] = len(names) - 1
+    docs = np.zeros(len(names), np.int64)
+    keys, counts = [], []
+    for (c, a, b), own in zip(parts, number):
+        docs[own] += c.docs[a:b]  # a chunk has a term once
+        sources = np.array([known[s] for s in c.sources], np.int64)
+        lo, hi = c.starts[a], c.starts[b]
+        keys.append(np.repeat(own, c.sizes[a:b]) << 32 | sources[c.which[lo:hi]])
+        counts.append(c.counts[lo:hi])
+    keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
+    kept = docs[keys >> 32] >= min_docs
+    keys = keys[kept]
+    return names, list(known), keys >> 32, keys & 0xFFFFFFFF, counts[kept]
 
 
 _INDEX_DDL = "lang string, term string, source string, n bigint, lang_n bigint, new int"
@@ -173,26 +240,25 @@ def index(docs: DataFrame, min_docs: int = MIN_DOCS, shards: int | None = None)
                 yield own()
                 pending = held
 
-        out: list[tuple] = []
         for chunks in by_shard(rows()):
-            for lang, term, with_docs, total in merged_runs(chunks):
-                if with_docs >= min_docs:
-                    everywhere, word = sum(total.values()), term.decode()
-                    out += [(lang, word, s, n, everywhere, int(i == 0)) for i, (s, n) in enumerate(sorted(total.items()))]
-                if len(out) >= 8192:
-                    yield _index_batch(out)
-                    out = []
-        if out:
-            yield _index_batch(out)
+            for lang, names, sources, term, source, n in merged_runs(chunks, min_docs):
+                if not len(term):
+                    continue
+                starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                new = np.zeros(len(term), np.int32)
+                new[starts] = 1
+                everywhere = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(term))))
+                words = pa.array([t.decode() for t in names])
+                for a in range(0, len(term), 50_000):
+                    own = slice(a, a + 50_000)
+                    size = len(term[own])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * size, pa.string()), words.take(pa.array(term[own])), pa.array(sources, pa.string()).take(pa.array(source[own])),
+                         pa.array(n[own]), pa.array(everywhere[own]), pa.array(new[own])], names=["lang", "term", "source", "n", "lang_n", "new"])
 
     return written(dealt.mapInArrow(merge, _INDEX_DDL), "index")
 
 
-def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "term", "source", "n", "lang_n", "new"])
-
-
 def _share(count: str, total: str, kept: str = "kept") -> str:
     """SQL: 1 + floor(1e9 (count + 1) / (total + kept)), exact for any counts."""
     return f"1 + (cast({ONE} as decimal(20,0)) * ({count} + 1)) div cast({total} + {kept} as decimal(20,0))"
@@ -258,42 +324,68 @@ def _common(shared: DataFrame) -> DataFrame:
     a full table is passed on as partial sums, so what leaves a task follows the pairs, not the terms.
     """
 
-    def close(lang: str, held: list[tuple], sums: dict) -> int:
-        names = [s for s, _, _ in held]
-        p, p0 = (np.array(x, np.int64) for x in zip(*[(a, b) for _, a, b in held]))
-        new = 0
-        for i, source in enumerate(names):
-            d = (p[i] - p) ** 2 // p - (p[i] - p0) ** 2 // p0 - (p0[i] - p) ** 2 // p + (p0[i] - p0) ** 2 // p0
-            row = sums.setdefault((lang, source), {})
-            before = len(row)
-            for j, (item, v) in enumerate(zip(names, d.tolist())):
-                if i != j:
-                    row[item] = row.get(item, 0) + v
-            new += len(row) - before
-        return new
-
-    def flush(sums: dict) -> pa.RecordBatch:
-        rows = [(lang, s, t, Decimal(v)) for (lang, s), row in sums.items() for t, v in row.items()]
+    def corrections(sizes: np.ndarray, source: np.ndarray, p: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (number of one source, of another) and sums over some terms; ``sizes``: postings of each."""
+        ends = np.cumsum(sizes)
+        last = np.repeat(ends, sizes)
+        width = np.repeat(sizes, sizes)
+        one = np.repeat(np.arange(len(source)), width)
+        other = np.arange(len(one)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(last - width, width)
+        one, other = one[one != other], other[one != other]
+        x, x0, y, y0 = p[one], p0[one], p[other], p0[other]
+        d = (x - y) ** 2 // y - (x - y0) ** 2 // y0 - (x0 - y) ** 2 // y + (x0 - y0) ** 2 // y0
+        return _summed(source[one] << 32 | source[other], d)
+
+    def flush(sums: dict) -> Iterator[pa.RecordBatch]:
+        rows = [(*k, Decimal(v)) for k, v in sums.items()]
         kinds = [pa.string(), pa.string(), pa.string(), pa.decimal128(38, 0)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "source", "item", "d"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "source", "item", "d"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        now, held, size = None, [], 0
-        for batch in batches:
-            for lang, term, source, p, p0 in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (lang, term) != now:
-                    if len(held) > 1:
-                        size += close(now[0], held, sums)
-                    now, held = (lang, term), []
-                    if size >= HELD_SUMS:
-                        yield flush(sums)
-                        sums, size = {}, 0
-                held.append((source, p, p0))
-        if len(held) > 1:
-            size += close(now[0], held, sums)
-        if size:
-            yield flush(sums)
+        def terms_of() -> Iterator[tuple[str, list, np.ndarray, np.ndarray]]:
+            """Whole terms, one after the other: language, sources, p, p0. A term's rows may lie in two batches."""
+            held, now = [], None
+            for batch in batches:
+                lang, term, source = (batch.column(i).to_pylist() for i in range(3))
+                p, p0 = (batch.column(i).to_numpy() for i in (3, 4))
+                bounds = [i for i in range(len(term)) if i == 0 or term[i] != term[i - 1] or lang[i] != lang[i - 1]] + [len(term)]
+                for a, b in pairwise(bounds):
+                    if held and (lang[a], term[a]) != now:
+                        yield now[0], *held
+                        held = []
+                    now = (lang[a], term[a])
+                    held = [held[0] + source[a:b], np.append(held[1], p[a:b]), np.append(held[2], p0[a:b])] if held else [source[a:b], p[a:b], p0[a:b]]
+            if held:
+                yield now[0], *held
+
+        sums: Counter = Counter()
+        numbers: dict[str, int] = defaultdict(count().__next__)
+        taken: list[tuple] = []
+        pairs, lang = 0, None
+
+        def close() -> None:
+            sizes = np.array([len(t[0]) for t in taken], np.int64)
+            source = np.fromiter((numbers[s] for t in taken for s in t[0]), np.int64, int(sizes.sum()))
+            names = list(numbers)
+            keys, d = corrections(sizes, source, np.concatenate([t[1] for t in taken]), np.concatenate([t[2] for t in taken]))
+            for k, v in zip(keys.tolist(), d.tolist()):
+                sums[lang, names[k >> 32], names[k & 0xFFFFFFFF]] += v
+
+        for own, source, p, p0 in terms_of():
+            if taken and (own != lang or pairs + len(source) ** 2 > PAIRS):
+                close()
+                taken, pairs = [], 0
+                if len(sums) >= HELD_SUMS:
+                    yield from flush(sums)
+                    sums = Counter()
+            lang = own
+            if len(source) > 1:
+                taken.append((source, p, p0))
+                pairs += len(source) ** 2
+        if taken:
+            close()
+        yield from flush(sums)
 
     dealt = shared.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
     return dealt.mapInArrow(stream, "lang string, source string, item string, d decimal(38,0)")

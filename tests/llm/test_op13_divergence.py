@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from eventide.llm import op13_divergence as op
@@ -59,25 +60,41 @@ def test_terms_are_the_pattern():
         assert [w.decode() for w in op.terms(t)] == words(t)
 
 
-@pytest.mark.parametrize("block", [20, 400_000])
+@pytest.mark.parametrize("block", [20, 4_000_000])
 def test_equals_brute_force(spark, monkeypatch, block):
     rows = documents(150, 3) + documents(40, 3)[:20]
     rows += [(900, None, "a", None, "x", 1), (901, "only here", "lonely", "one", "x", 1), (902, "...", "a", "empty group", "x", 1)]
-    monkeypatch.setattr(op, "BLOCK_POSTINGS", block)
+    monkeypatch.setattr(op, "BLOCK_TOKENS", block)
     monkeypatch.setattr(op, "CHUNK_POSTINGS", 7)
+    monkeypatch.setattr(op, "MERGED_POSTINGS", 15)
+    monkeypatch.setattr(op, "PAIRS", 50)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     assert rows_of(op.divergence(df)) == plain(rows)
 
 
-def test_runs_merge_in_order():
-    def chunk(lang, *entries):
-        return {"lang": lang, "first": entries[0][0], "terms": [e[0] for e in entries], "docs": [e[1] for e in entries],
-                "sizes": [len(e[2]) for e in entries], "sources": [s for e in entries for s in e[2]], "counts": [n for e in entries for n in e[2].values()]}
+def chunk(lang, *entries):
+    sources = sorted({s for e in entries for s in e[2]})
+    return {"lang": lang, "first": entries[0][0], "terms": [e[0] for e in entries], "sources": sources, "docs": np.array([e[1] for e in entries], "<i8").tobytes(),
+            "sizes": np.array([len(e[2]) for e in entries], "<i4").tobytes(), "which": np.array([sources.index(s) for e in entries for s in e[2]], "<i4").tobytes(),
+            "counts": np.array([n for e in entries for n in e[2].values()], "<i8").tobytes()}
 
-    chunks = [chunk("a", (b"a", 1, {"x": 2}), (b"c", 1, {"x": 1})), chunk("a", (b"b", 2, {"y": 3}), (b"c", 1, {"y": 1})),
-              chunk("a", (b"c", 4, {"x": 5, "y": 1})), chunk("b", (b"a", 1, {"z": 1}))]
-    assert list(op.merged_runs(iter(chunks))) == [("a", b"a", 1, {"x": 2}), ("a", b"b", 2, {"y": 3}), ("a", b"c", 6, {"x": 6, "y": 2}), ("b", b"a", 1, {"z": 1})]
-    assert list(op.merged_runs(iter([]))) == []
+
+@pytest.mark.parametrize("at_once", [1, 3, 10**6])
+def test_runs_merge_in_order(monkeypatch, at_once):
+    monkeypatch.setattr(op, "MERGED_POSTINGS", at_once)
+    chunks = [chunk("a", (b"a", 1, {"x": 2}), (b"c", 1, {"x": 1})), chunk("a", (b"b", 2, {"y": 3}), (b"c", 1, {"y": 1}), (b"d", 9, {"y": 1})),
+              chunk("a", (b"c", 4, {"x": 5, "y": 1})), chunk("a", (b"c", 1, {"z": 1})), chunk("b", (b"a", 2, {"z": 1}))]
+
+    def found(min_docs):
+        out = []
+        for lang, names, sources, term, source, n in op.merged_runs(iter(chunks), min_docs):
+            out += [(lang, names[t], sources[s], k) for t, s, k in zip(term, source, n)]
+        assert [o[:2] for o in out] == sorted(o[:2] for o in out)
+        return sorted(out)
+
+    assert found(1) == [("a", b"a", "x", 2), ("a", b"b", "y", 3), ("a", b"c", "x", 6), ("a", b"c", "y", 2), ("a", b"c", "z", 1), ("a", b"d", "y", 1), ("b", b"a", "z", 1)]
+    assert found(7) == [("a", b"c", "x", 6), ("a", b"c", "y", 2), ("a", b"c", "z", 1), ("a", b"d", "y", 1)]
+    assert list(op.merged_runs(iter([]), 1)) == []
 
 
 def test_partial_sums_of_a_full_table_are_added(spark, monkeypatch):
