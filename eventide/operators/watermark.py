@@ -48,7 +48,7 @@ def with_watermarks(
     """Add ``before``/``after`` watermark columns (T1, T4, T5; explicit markers for A3).
 
     ``order`` is the arrival order and must be total. Computed with the
-    hierarchical prefix scan, so neither a hot key nor the global watermark
+    range-partitioned prefix scan, so neither a hot key nor the global watermark
     runs in one task.
     """
     df = df.withColumn("_ewm_c", watermark_contribution(spec, ts))
@@ -57,7 +57,6 @@ def with_watermarks(
         scope_keys(spec, key),
         as_list(order),
         {before: ("max", "_ewm_c", False), after: ("max", "_ewm_c", True)},
-        spec.arrival_buckets,
     )
     return out.drop("_ewm_c")
 

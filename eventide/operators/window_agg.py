@@ -141,7 +141,6 @@ def windowed_agg(
     w, lateness = spec.window, spec.lateness
     wm_spec = spec.watermark
     scope = scope_keys(wm_spec, keys)
-    buckets = wm_spec.arrival_buckets
     acc = aggregate if isinstance(aggregate, Accumulator) else None
     if acc is None and not (isinstance(aggregate, dict) and aggregate):
         raise ValueError("aggregate must be an Accumulator or a non-empty {name: Column} dict")
@@ -204,7 +203,8 @@ def windowed_agg(
         if carry is not None:
             on = _merge_carried(on, carry, acc, win, scope)
             targets = on.filter(~F.col("_fired_before"))
-        reached = first_reaching(table, scope, order, "wm_before", "wm_after", targets, "max_ts", buckets[0])
+        reached = first_reaching(table, scope, order, "wm_before", "wm_after", targets, "max_ts",
+                                 F.try_add("_w_newest", lit_long(w.size - 1)))
         if carry is not None:  # feeds both the firings and the new state: compute it once
             reached = materialize(reached, materialize_rows, "window-reached", work_folder, folders)
         fired = reached
@@ -225,7 +225,7 @@ def windowed_agg(
             lp = late_pairs.select(*win, *order, *acc.scan_sources())
             scanned = prefix_scan(
                 lp, [*keys, "window_end"], order,
-                {f"_run_{n}": (ops[n], f"_src_{n}", True) for n in acc.field_names}, buckets,
+                {f"_run_{n}": (ops[n], f"_src_{n}", True) for n in acc.field_names},
             )
             on_acc = on.select(*win, *[F.col(n).alias(f"_on_{n}") for n in acc.field_names])
             joined = null_safe_join(scanned, on_acc, win, "left")

@@ -1,31 +1,21 @@
 """When does a watermark first reach a target? (the firing moment of a window)
 
 For every target (keys, M), find the earliest row in arrival order of the same
-keys whose watermark after it is >= M. The watermark is non-decreasing in
-arrival order, so this is a search in a sorted sequence, done as a sort, never
-as a theta join or all pairs:
-
-1. per (keys, arrival bucket) the watermark at the bucket's end (a partial
-   aggregate); targets and bucket rows are sorted together per keys by value,
-   descending, and a running ``min(bucket)`` gives each target the first bucket
-   that reaches it;
-2. inside that (keys, bucket) the same descending sort of targets and rows,
-   with a running ``min(arrival)``, gives the first row that reaches it.
-
-Only rows where the watermark advances can be first, so only those take part.
+keys whose watermark after it is >= M. Targets and rows where the watermark advances
+are put in one table in descending order of the value, rows before targets: the
+first row that reaches a target is the smallest arrival among all rows before it. So
+the search is one prefix scan (``plans/prefix.py``), cut into ranges of equal rows
+like any other: no join, no pairs, no task that holds a whole key or all window ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.int64 import floor_div
-
-#: Tasks that share the windows of all keys that end at one moment (global and explicit watermarks).
-DEALS = 16
+from eventide.plans.prefix import prefix_scan
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -44,49 +34,22 @@ def first_reaching(
     after: str,
     targets: DataFrame,
     target: str,
-    bucket_width: int,
+    likely: Column | None = None,
     prefix: str = "trigger_",
 ) -> DataFrame:
     """targets + ``trigger_<order>`` columns: the first row with ``after >= target``.
 
     ``rows`` carry ``before``/``after`` watermarks (NULL = none); targets with no
-    such row get NULL triggers.
+    such row get NULL triggers. ``likely``: a BIGINT column of ``rows`` distributed like the targets,
+    so that the cuts are fit for them too (the targets themselves are not computed twice).
     """
     keys, order = list(keys), list(order)
-    b = "_rb"
-    adv = (
-        rows.filter(F.col(after).isNotNull() & (F.col(before).isNull() | (F.col(after) > F.col(before))))
-        .select(*keys, *order, F.col(after).alias("_x"))
-        .withColumn(b, floor_div(F.col(order[0]), bucket_width))
-    )
-    bucket_tab = adv.groupBy(*keys, b).agg(F.max("_x").alias("_x"))
-    goals = targets.select(*keys, F.col(target).alias("_x")).distinct()
-
-    # 1. first bucket whose end watermark reaches the target
-    u1 = goals.select(*keys, "_x", F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias(b)).unionByName(
-        bucket_tab.select(*keys, "_x", F.lit(1).alias("_kind"), b)
-    )
-    w1 = Window.partitionBy(*keys).orderBy(F.desc("_x"), F.desc("_kind"), F.asc(b)).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    located = u1.withColumn("_tb", F.min(b).over(w1)).filter(F.col("_kind") == 0).select(*keys, "_x", "_tb")
-
-    # 2. first row inside that bucket
-    null_order = [F.lit(None).cast(adv.schema[o].dataType).alias(o) for o in order]
-    u2 = located.filter(F.col("_tb").isNotNull()).select(
-        *keys, "_x", F.lit(0).alias("_kind"), F.col("_tb").alias(b), *null_order
-    ).unionByName(adv.select(*keys, "_x", F.lit(1).alias("_kind"), b, *order))
-    w2 = Window.partitionBy(*keys, b).orderBy(
-        F.desc("_x"), F.desc("_kind"), *[F.desc(o) for o in order]
-    ).rowsBetween(Window.unboundedPreceding, 0)
-    first = (
-        u2.withColumn("_first", F.min(F.when(F.col("_kind") == 1, F.struct(*order))).over(w2))
-        .filter(F.col("_kind") == 0)
-        .select(*keys, F.col("_x").alias(target), *[F.col("_first")[o].alias(prefix + o) for o in order])
-    )
-    if keys:
-        return null_safe_join(targets, first, [*keys, target], "left")
-    # no key: windows of every key may end at one moment, so the small side is repeated and the targets are dealt out
-    dealt = targets.withColumn("_deal", F.pmod(F.xxhash64(*targets.columns), F.lit(DEALS)))
-    spread = first.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEALS - 1).cast("bigint"))))
-    return null_safe_join(dealt, spread, [target, "_deal"], "left").drop("_deal")
+    at = ["_down", "_kind", "_tie"]
+    advance = rows.filter(F.col(after).isNotNull() & (F.col(before).isNull() | (F.col(after) > F.col(before))))
+    tie = F.xxhash64(*order).alias("_tie")
+    advance = advance.select(*keys, F.bitwise_not(after).alias("_down"), F.lit(0).alias("_kind"), tie, F.struct(*order).alias("_at"))
+    goals = targets.withColumns({"_down": F.bitwise_not(target), "_kind": F.lit(1), "_tie": F.xxhash64(*targets.columns)})
+    values = [F.struct(F.bitwise_not(c).alias("_down"), F.lit(kind).alias("_kind")) for kind, c in enumerate([F.col(after), likely]) if c is not None]
+    sample = rows.select(*keys, F.inline(F.array(*values)), tie).where("_down IS NOT NULL")
+    scanned = prefix_scan(goals.unionByName(advance, allowMissingColumns=True), keys, at, {"_first": ("min", "_at", True)}, sample)
+    return scanned.filter(F.col("_kind") == 1).select(*targets.columns, *[F.col("_first")[o].alias(prefix + o) for o in order])

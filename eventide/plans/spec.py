@@ -15,24 +15,9 @@ FIRE_AND_PURGE = "FIRE_AND_PURGE"
 LONG_MIN = -(2**63)
 LONG_MAX = 2**63 - 1
 
-# Arrival-bucket widths (finest first) for the hierarchical prefix scans. The
-# finest width bounds how many rows of one key share a task; size it so a
-# bucket of the hottest key fits one task at the target scale.
-DEFAULT_ARRIVAL_BUCKETS = (60_000,)
-
 STRATEGIES = ("key", "global", "column")
 
 
-def _check_buckets(buckets: tuple[int, ...]) -> tuple[int, ...]:
-    buckets = tuple(int(b) for b in buckets)
-    if any(b <= 0 for b in buckets):
-        raise ValueError(f"arrival bucket widths must be positive: {buckets}")
-    for fine, coarse in zip(buckets, buckets[1:]):
-        if coarse % fine or coarse <= fine:
-            raise ValueError(f"each arrival bucket width must be a larger multiple of the previous: {buckets}")
-    return buckets
-
-
 @dataclass(frozen=True)
 class WatermarkSpec:
     """Bounded-out-of-orderness watermark: max event time seen so far minus ``bound``.
@@ -46,7 +31,6 @@ class WatermarkSpec:
     strategy: str = "key"
     bound: int = 0
     marker: str | None = None
-    arrival_buckets: tuple[int, ...] = DEFAULT_ARRIVAL_BUCKETS
 
     def __post_init__(self):
         if self.strategy not in STRATEGIES:
@@ -55,7 +39,6 @@ class WatermarkSpec:
             raise ValueError(f"the out-of-orderness bound cannot be negative: {self.bound}")
         if self.strategy == "column" and not self.marker:
             raise ValueError("strategy 'column' needs the name of the watermark marker column")
-        object.__setattr__(self, "arrival_buckets", _check_buckets(self.arrival_buckets))
 
 
 @dataclass(frozen=True)

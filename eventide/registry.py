@@ -240,8 +240,7 @@ ORDER_BOUNDS = (0, 30 * DAY, 365 * DAY)
 def q_orders_compare_watermarks(spark, sf_dir):
     from eventide.sources import orders as S
 
-    return compare_watermarks(S.order_stream(spark, sf_dir), S.KEY, S.TS, list(S.ORDER), ORDER_BOUNDS,
-                              S.ARRIVAL_BUCKETS)
+    return compare_watermarks(S.order_stream(spark, sf_dir), S.KEY, S.TS, list(S.ORDER), ORDER_BOUNDS)
 
 
 def _orders_compare_sql():
@@ -253,7 +252,7 @@ def _orders_compare_sql():
 def _orders_window(strategy: str, bound: int, window: WindowSpec, lateness: int, aggs: tuple[str, ...]):
     from eventide.sources import orders as S
 
-    spec = WindowAggSpec(window, WatermarkSpec(strategy, bound, arrival_buckets=S.ARRIVAL_BUCKETS), lateness)
+    spec = WindowAggSpec(window, WatermarkSpec(strategy, bound), lateness)
     names = [{"count": "n", "sum": "total"}[a] for a in aggs]
 
     def q(spark, sf_dir):

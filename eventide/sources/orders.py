@@ -15,9 +15,6 @@ from eventide.sources.events import read_table, with_event_time
 KEY = "o_custkey"
 TS = "ts_ms"
 ORDER = ("o_orderkey",)
-# Arrival buckets in order-key units: 1,000 orders, then 1,000,000 (two levels,
-# so even the global watermark's top scan stays small at any scale)
-ARRIVAL_BUCKETS = (1_000, 1_000_000)
 
 
 def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

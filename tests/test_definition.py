@@ -12,9 +12,15 @@ import pytest
 
 from eventide.functions.aggregates import sum_of
 from eventide.operators.window_agg import windowed_agg
+from eventide.plans import prefix
 from eventide.plans.spec import FIRE, FIRE_AND_PURGE, WatermarkSpec, WindowAggSpec, WindowSpec
 from definition import outcome
 
+@pytest.fixture(autouse=True)
+def several_ranges(monkeypatch):
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 12)
+
+
 SCHEMA = "seq BIGINT, k STRING, v INT, ts_ms BIGINT, wm BIGINT"
 
 
@@ -63,7 +69,7 @@ def closed_form(spark, events, mode, p, flush):
     spec = WindowAggSpec(
         WindowSpec(p["size"], p["slide"], p["offset"]),
         WatermarkSpec(strategy, p["bound"] if mode != "explicit" else 0,
-                      marker="wm" if mode == "explicit" else None, arrival_buckets=(7,)),
+                      marker="wm" if mode == "explicit" else None),
         p["lateness"], FIRE_AND_PURGE if p["purge"] else FIRE, p["side_output"], flush,
     )
     res = windowed_agg(spark.createDataFrame(rows_of(events), SCHEMA), spec, "k", "ts_ms", ["seq"],
@@ -133,7 +139,7 @@ def test_carried_state_over_cuts_matches_definition(spark, seed, mode):
     spec = WindowAggSpec(
         WindowSpec(p["size"], p["slide"], p["offset"]),
         WatermarkSpec({"global": "global", "explicit": "column", "key": "key"}[mode], bound,
-                      marker="wm" if mode == "explicit" else None, arrival_buckets=(7,)),
+                      marker="wm" if mode == "explicit" else None),
         p["lateness"], FIRE_AND_PURGE if p["purge"] else FIRE, p["side_output"],
     )
     cuts = sorted(rng.sample(range(1, len(events)), 3))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.aggregates import sum_of
 from eventide.operators.window_agg import windowed_agg
+from eventide.plans import prefix
 from eventide.plans.spec import WatermarkSpec, WindowAggSpec, WindowSpec
 
 NAMES = [
@@ -17,11 +18,10 @@ NAMES = [
 ]
 
 
-def spec_of(case, buckets):
+def spec_of(case):
     c = case.cfg
     strategy = {"key": "key", "explicit": "column", "global": "global"}[c["mode"]]
-    wm = WatermarkSpec(strategy, int(c["bound"]), marker="wm" if strategy == "column" else None,
-                       arrival_buckets=buckets)
+    wm = WatermarkSpec(strategy, int(c["bound"]), marker="wm" if strategy == "column" else None)
     return WindowAggSpec(
         window=WindowSpec(int(c["size"]), int(c["slide"])),
         watermark=wm,
@@ -32,8 +32,8 @@ def spec_of(case, buckets):
     )
 
 
-def run_case(spark, case, buckets):
-    res = windowed_agg(case.frame(spark), spec_of(case, buckets), "k", "ts_ms", ["seq"], sum_of("v", "total"))
+def run_case(spark, case):
+    res = windowed_agg(case.frame(spark), spec_of(case), "k", "ts_ms", ["seq"], sum_of("v", "total"))
     out = Counter((r.k, r.out_ts, r.total) for r in res.output.collect())
     late = Counter((r.k, r.ts_ms) for r in res.late.collect())
     dropped = res.dropped.collect()[0].dropped
@@ -41,10 +41,11 @@ def run_case(spark, case, buckets):
 
 
 @pytest.mark.parametrize("name", NAMES)
-@pytest.mark.parametrize("buckets", [(60_000, 3_600_000), (2, 4), (1,)])
-def test_golden_case(spark, cases, name, buckets):
+@pytest.mark.parametrize("range_rows", [20_000, 1, 3])
+def test_golden_case(spark, cases, name, range_rows, monkeypatch):
+    monkeypatch.setattr(prefix, "RANGE_ROWS", range_rows)  # few rows to a range: several ranges
     case = cases[name]
-    out, late, dropped = run_case(spark, case, buckets)
+    out, late, dropped = run_case(spark, case)
     assert out == Counter(case.out), name
     assert late == Counter(case.late), name
     assert dropped == case.dropped, name
@@ -54,6 +55,6 @@ def test_golden_case(spark, cases, name, buckets):
 def test_golden_case_with_column_aggregate(spark, cases, name):
     """The non-mergeable path ({name: Column}) gives the same firings as the Accumulator."""
     case = cases[name]
-    res = windowed_agg(case.frame(spark), spec_of(case, (60_000,)), "k", "ts_ms", ["seq"],
+    res = windowed_agg(case.frame(spark), spec_of(case), "k", "ts_ms", ["seq"],
                        {"total": F.sum("v")})
     assert Counter((r.k, r.out_ts, r.total) for r in res.output.collect()) == Counter(case.out)

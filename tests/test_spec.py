@@ -38,11 +38,3 @@ def test_window_agg_checks():
         WindowAggSpec(w, trigger="PURGE")
     assert WindowAggSpec(w).flush is False
     assert WindowAggSpec(w, WatermarkSpec("global", 5)).flush is True
-
-
-def test_bucket_widths():
-    with pytest.raises(ValueError):
-        WatermarkSpec("key", 0, arrival_buckets=(0,))
-    with pytest.raises(ValueError):
-        WatermarkSpec("key", 0, arrival_buckets=(60, 100))
-    assert WatermarkSpec("key", 0, arrival_buckets=(60, 120)).arrival_buckets == (60, 120)

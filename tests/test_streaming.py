@@ -45,7 +45,7 @@ def test_streaming_carried_state_case(spark, cases, name):
     case = cases[name]
     rows = [(*r, run) for run, seg in enumerate(case.segments()) for r in seg]
     src = spark.createDataFrame(rows, "seq BIGINT, k STRING, v BIGINT, ts_ms BIGINT, wm BIGINT, run BIGINT")
-    spec = spec_of(case, (60_000,))
+    spec = spec_of(case)
     out = replay(spark, src, "run", 1, lambda s: s, f"golden-{name}",
                  sink=lambda base: carried_window_sink(base, spec, "k", "ts_ms", ["seq"], sum_of("v", "total")))
     fired = Counter((r.k, r.out_ts, r.total) for r in read_carried(spark, out, "fire").collect())
