@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventide.llm.common import pick, read, written
+from eventide.llm.common import pick, read, small_batches, written
 
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 #: A longer phrase with this share (in hundredths) of a candidate's count replaces it.
 CONTAINED = 80
 #: Characters of text per block, and distinct phrases of one length in a shard, at most.
-BLOCK_BYTES, SHARD_PHRASES = 8 << 20, 2_000_000
+BLOCK_BYTES, SHARD_PHRASES = 1 << 20, 2_000_000
 #: A-Z to a-z, every character that ends a piece to ``.``, tab to space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
@@ -342,7 +342,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """
     own = pick(docs, lang=lang_col, text=text_col)
     own = own.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    phrases, words, totals = phrase_counts(own, min_count, longest)
+    with small_batches(docs.sparkSession):  # the counting is written, so it runs here
+        phrases, words, totals = phrase_counts(own, min_count, longest)
     candidates = phrases.where(F.size("ids") >= 2)
     cuts = candidates.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
     cuts = cuts.select("ids", "a", "k", F.expr("slice(ids, 1, k)").alias("left"), F.expr("slice(ids, k + 1, size(ids) - k)").alias("right"))
