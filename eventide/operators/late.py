@@ -59,9 +59,14 @@ def compare_watermarks(
     ts: str,
     order: Sequence[str],
     bounds: Sequence[int],
+    start: int | None = None,
+    start_of_keys: DataFrame | None = None,
 ) -> DataFrame:
     """How many rows each strategy declares late, for several bounds at once (C4).
 
+    ``start`` and ``start_of_keys`` (keys and ``wm``) are the largest event times of earlier input, over
+    all rows and of each key: a stream's previous micro-batches.
+
     ``wm_before - bound`` is monotone in the bound, so one running max of the
     event time per strategy (exclusive of the row) serves every bound:
     a row is late under bound b iff ``ts <= max_before - b``. One scan per
@@ -76,6 +81,11 @@ def compare_watermarks(
         order,
     )
 
+    if start is not None:
+        scanned = scanned.withColumn("_glob_max", F.greatest("_glob_max", lit_long(start)))
+    if start_of_keys is not None:
+        known = start_of_keys.select(*as_list(key), F.col("wm").alias("_wm0"))
+        scanned = null_safe_join(scanned, known, as_list(key), "left").withColumn("_key_max", F.greatest("_key_max", "_wm0"))
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, b in enumerate(bounds):
         for strat, col in (("key", "_key_max"), ("global", "_glob_max")):

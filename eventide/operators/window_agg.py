@@ -18,7 +18,8 @@ watermark the row saw (``wm_before``):
 
 A row's windows, newest first, are 'on', then 'late', then dropped, so two counts
 per row say it all. Mergeable aggregates are computed per (key, newest window,
-number of on-time windows) before the groups, not the rows, are exploded.
+number of on-time windows) before the groups, not the rows, are exploded. What an aggregate
+keeps of rows, and how late rows are added, is its own matter (``functions/aggregates.py``).
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from eventide.functions.aggregates import Accumulator
-from eventide.functions.int64 import ceil_div, lit_long, min_long_or, saturating_add, wrapping_add_le
+from eventide.functions.aggregates import Accumulator, ColumnAggregate, DistinctCount
+from eventide.functions.code import ArrowFunction, CodeAccumulator
+from eventide.functions.int64 import ceil_div, lit_long, min_long_or, wrapping_add_le
 from eventide.operators.watermark import as_list, scope_keys, with_watermarks
 from eventide.operators.windows import explode_windows, with_window_geometry
 from eventide.plans.materialize import delete, materialize
-from eventide.plans.prefix import prefix_scan
 from eventide.plans.reach import first_reaching, null_safe_join
 from eventide.plans.spec import FIRE_AND_PURGE, LONG_MAX, WindowAggSpec
 
@@ -45,17 +46,17 @@ ON_TIME_FIRE, LATE_FIRE = "on_time", "late"
 
 @dataclass
 class Carry:
-    """State carried into one micro-batch (global or explicit watermark).
+    """State carried into one micro-batch.
 
     watermark: the scope's watermark after all earlier batches (None = none yet).
-    windows: open windows with state: keys, window_start, window_end, fired and
-    one column per accumulator field (None = no open windows).
+    windows: what earlier batches contributed to windows: keys, window_start, window_end and
+    one column per accumulator field, any number of rows per window (None = nothing).
     """
 
     watermark: int | None = None
     windows: DataFrame | None = None
     key_watermarks: DataFrame | None = None
-    """Per-key watermark strategy: keys and ``wm`` per key seen so far."""
+    """Per-key watermark strategy: keys and ``wm``, any number of rows per key: the largest counts."""
 
 
 @dataclass
@@ -76,11 +77,15 @@ class WindowAggResult:
     build: Callable[[], DataFrame] = field(repr=False)
     folders: list[str] = field(default_factory=list, repr=False)
     state: DataFrame | None = None
-    """With a carry: the open windows after this input (same layout as ``Carry.windows``)."""
+    """With a carry: what this input contributes to windows (same layout as ``Carry.windows``)."""
     watermark: int | None = None
     """With a carry: the scope's watermark after this input."""
     key_watermarks: DataFrame | None = None
-    """With a carry and per-key watermarks: keys and ``wm`` after this input."""
+    """With a carry and per-key watermarks: ``wm`` after this input of the keys in it."""
+    aggregate: object = None
+    """With a carry: the aggregate, which can merge states."""
+    counts: dict[str, int] | None = None
+    """With a carry: ``late`` rows (side output or dropped) and ``rows`` of this input."""
 
     @cached_property
     def output(self) -> DataFrame:
@@ -114,8 +119,8 @@ def windowed_agg(
     key: str | Sequence[str],
     ts: str,
     order: Sequence[str],
-    aggregate: Accumulator | dict[str, Column],
-    window_fn: Callable[[dict[str, Column]], Column] | None = None,
+    aggregate: Accumulator | DistinctCount | CodeAccumulator | dict[str, Column],
+    window_fn: Callable[[dict[str, Column]], Column] | ArrowFunction | None = None,
     emit: str = "pass",
     materialize_rows: str = "table",
     carry: Carry | None = None,
@@ -125,15 +130,15 @@ def windowed_agg(
 
     df: data rows (plus watermark marker rows for the 'column' strategy) with
     the key, a BIGINT event time ``ts`` and a total arrival ``order``.
-    aggregate: an :class:`Accumulator` (mergeable) or ``{name: aggregate Column}``.
+    aggregate: an accumulator (``functions/aggregates.py``, ``functions/code.py``) or ``{name: aggregate Column}``.
     emit: 'pass' (keys and results, G4) or 'enrich' (window_end first, G5).
     window_fn: G6, maps the firing's columns to an array of structs, one output
-    row per element (0..n).
+    row per element (0..n), or an :class:`ArrowFunction` over batches of firings.
     materialize_rows: 'table' writes the watermarked rows that the firings need once,
     to the checkpoint folder; 'checkpoint' or 'none' (lazy) also work.
     carry: continue from earlier input (micro-batches of a stream): the input
-    starts from the carried watermark(s) and open windows, and the result holds
-    the new ones. No end-of-input flush then.
+    starts from the carried watermark(s) and windows, and the result holds what it
+    adds to them. No end-of-input flush then.
     work_folder: where intermediate tables are (over)written; a stream passes one
     folder for all its micro-batches so storage stays bounded.
     """
@@ -141,30 +146,23 @@ def windowed_agg(
     w, lateness = spec.window, spec.lateness
     wm_spec = spec.watermark
     scope = scope_keys(wm_spec, keys)
-    acc = aggregate if isinstance(aggregate, Accumulator) else None
-    if acc is None and not (isinstance(aggregate, dict) and aggregate):
-        raise ValueError("aggregate must be an Accumulator or a non-empty {name: Column} dict")
+    if isinstance(aggregate, dict) and aggregate:
+        acc = ColumnAggregate(aggregate, tuple(df.columns))
+    elif isinstance(aggregate, (Accumulator, DistinctCount, CodeAccumulator)):
+        acc = aggregate
+    else:
+        raise ValueError("aggregate must be an accumulator or a non-empty {name: Column} dict")
     if emit not in ("pass", "enrich"):
         raise ValueError(f"emit must be 'pass' or 'enrich', not {emit!r}")
-    result_names = acc.result_names if acc else list(aggregate)
-
-    if carry is not None and acc is None:
-        raise ValueError("a carry needs an Accumulator (mergeable state)")
-
-    base = df.select("*", *acc.inputs()) if acc else df
+    base = df.select("*", *acc.inputs())
     marked = with_watermarks(base, wm_spec, keys, ts, order)
     if carry is not None:
         if scope and carry.key_watermarks is not None:  # each key continues from its own watermark
-            kw = carry.key_watermarks.select(*scope, F.col("wm").alias("_wm0"))
+            kw = carry.key_watermarks.groupBy(*scope).agg(F.max("wm").alias("_wm0"))
             marked = null_safe_join(marked, kw, scope, "left")
-            wm0 = F.col("_wm0")
-        elif not scope and carry.watermark is not None:
-            wm0 = lit_long(carry.watermark)
         else:
-            wm0 = None
-        if wm0 is not None:
-            marked = marked.withColumn("wm_before", F.greatest(wm0, F.col("wm_before"))).withColumn(
-                "wm_after", F.greatest(wm0, F.col("wm_after"))).drop("_wm0")
+            marked = marked.withColumn("_wm0", F.lit(None if scope else carry.watermark).cast("bigint"))
+        marked = marked.withColumn("wm_before", F.greatest("_wm0", "wm_before")).withColumn("wm_after", F.greatest("_wm0", "wm_after"))
 
     # ---- per row: accepted by some window / late / gap; its on-time and its open windows ----
     marked = with_window_geometry(marked, ts, w)
@@ -174,104 +172,78 @@ def windowed_agg(
         "tag", F.when(F.col("_n_open") > 0, F.lit(IN_WINDOW)).when(elem_late, F.lit(LATE)).otherwise(F.lit(GAP))
     ).withColumn("n_dropped_windows", F.col("n_windows") - F.col("_n_open"))
     folders: list[str] = []
-    if carry is not None:  # a stream uses every output and the state: store the rows once, with all columns
-        marked = materialize(marked, materialize_rows, "window-rows", work_folder, folders)
+
+    def is_data() -> Column:
+        return F.col(wm_spec.marker).isNull() if wm_spec.strategy == "column" else F.lit(True)
 
     def data(df: DataFrame) -> DataFrame:
-        return df.filter(F.col(wm_spec.marker).isNull()) if wm_spec.strategy == "column" else df
+        return df.filter(is_data()) if wm_spec.strategy == "column" else df
+
+    seen: dict = {}
+    if carry is not None:  # a stream uses every output and the state: store the rows once, with all columns
+        metrics = Observation()
+        marked = marked.observe(metrics, F.max("wm_after").alias("wm"), F.count_if(is_data()).alias("rows"),
+                                F.count_if(is_data() & (F.col("tag") == LATE)).alias("late"))
+        marked = materialize(marked, "table", "window-rows", work_folder, folders)
+        seen = metrics.get
 
     win = [*keys, "window_start", "window_end"]
     purge = spec.trigger == FIRE_AND_PURGE
 
-    def firings(table: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
-        """(firings, on-time accumulators, reached windows, late pairs) of the stored rows."""
+    def on_time(taken: DataFrame) -> DataFrame:
+        """The state of the on-time pairs, per window."""
+        some = taken.filter(F.col("_n_on") > 0)
+        if w.slide >= w.size:  # one window per row at most
+            return acc.increments(some.withColumn("window_start", F.col("_w_newest")).withColumn(
+                "window_end", F.col("window_start") + lit_long(w.size)), win)
+        groups = acc.increments(some, [*keys, "_w_newest", "_n_on"])
+        return acc.merge(explode_windows(groups, w, count="_n_on"), win)
+
+    def firings(table: DataFrame) -> DataFrame:
+        """On-time and late firings of the stored rows."""
         taken = data(table).filter(F.col("tag") == IN_WINDOW)
-        late_pairs = explode_windows(taken, w, first="_n_on", count="_n_open") if lateness else None
-
-        # ---- on-time firing ----
-        if acc and w.slide >= w.size:  # one window per row at most
-            on = taken.filter(F.col("_n_on") > 0).withColumn("window_start", F.col("_w_newest")).withColumn(
-                "window_end", F.col("window_start") + lit_long(w.size)).groupBy(*win).agg(*acc.agg_exprs())
-        elif acc:
-            groups = taken.filter(F.col("_n_on") > 0).groupBy(*keys, "_w_newest", "_n_on").agg(*acc.agg_exprs())
-            on = explode_windows(groups, w, count="_n_on").groupBy(*win).agg(*_merge_aggs(acc))
-        else:
-            on_pairs = explode_windows(taken, w, count="_n_on")
-            on = on_pairs.groupBy(*win).agg(*[c.alias(n) for n, c in aggregate.items()])
-        on = on.withColumn("max_ts", F.col("window_end") - 1)
-        targets = on
-        if carry is not None:
-            on = _merge_carried(on, carry, acc, win, scope)
-            targets = on.filter(~F.col("_fired_before"))
-        reached = first_reaching(table, scope, order, "wm_before", "wm_after", targets, "max_ts",
-                                 F.try_add("_w_newest", lit_long(w.size - 1)))
-        if carry is not None:  # feeds both the firings and the new state: compute it once
-            reached = materialize(reached, materialize_rows, "window-reached", work_folder, folders)
-        fired = reached
-        if not spec.flush or carry is not None:
-            fired = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())
-        on_emit = fired.withColumn("fire", F.lit(ON_TIME_FIRE))
-        if late_pairs is None:  # no lateness: a window past its end is past its cleanup
-            return shape(on_emit), on, reached, None
-
-        # ---- late refires ----
-        if purge:
-            if acc:
-                late_acc = late_pairs.select(*win, *order, *acc.single_exprs())
-            else:
-                late_acc = late_pairs.groupBy(*win, *order).agg(*[c.alias(n) for n, c in aggregate.items()])
-        elif acc:
-            ops = acc.scan_ops()
-            lp = late_pairs.select(*win, *order, *acc.scan_sources())
-            scanned = prefix_scan(
-                lp, [*keys, "window_end"], order,
-                {f"_run_{n}": (ops[n], f"_src_{n}", True) for n in acc.field_names},
-            )
-            on_acc = on.select(*win, *[F.col(n).alias(f"_on_{n}") for n in acc.field_names])
-            joined = null_safe_join(scanned, on_acc, win, "left")
-            late_acc = joined.select(
-                *win, *order,
-                *[acc.merge_expr(op, F.col(f"_on_{n}"), F.col(f"_run_{n}")).alias(n) for n, op, _ in acc.fields],
-            )
-        else:
-            # any other aggregate (also a distinct one): each late pair with its window's pairs so far
-            moments = late_pairs.select(*win, *[F.col(o).alias(f"_at_{o}") for o in order])
-            both = null_safe_join(on_pairs.unionByName(late_pairs), moments, win, "inner")
-            before = F.struct(*order) <= F.struct(*[F.col(f"_at_{o}").alias(o) for o in order])
-            late_acc = both.filter(before).groupBy(*win, *[f"_at_{o}" for o in order]).agg(
-                *[c.alias(n) for n, c in aggregate.items()])
-            late_acc = late_acc.withColumnsRenamed({f"_at_{o}": o for o in order})
+        states = on_time(taken)
+        if carry is not None and carry.windows is not None:
+            states = acc.merge(states.unionByName(_carried(carry, states, table, scope, seen["wm"])), win)
+        on = acc.summary(states, win).withColumn("max_ts", F.col("window_end") - 1)
+        reached = first_reaching(table, scope, order, "wm_before", "wm_after", on, "max_ts", F.try_add("_w_newest", lit_long(w.size - 1)))
+        if not spec.flush or carry is not None:  # also leaves out carried windows that fired before
+            reached = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())
+        on_emit = shape(reached.withColumn("fire", F.lit(ON_TIME_FIRE)))
+        if not lateness:  # a window past its end is past its cleanup
+            return on_emit
+        late_pairs = explode_windows(taken, w, first="_n_on", count="_n_open")
+        late_acc = acc.alone(late_pairs, win, order) if purge else acc.refires(late_pairs, states, win, order)
         late_emit = late_acc.withColumn("fire", F.lit(LATE_FIRE)).withColumnsRenamed({o: f"trigger_{o}" for o in order})
-        return shape(on_emit).unionByName(shape(late_emit)), on, reached, late_pairs
+        return on_emit.unionByName(shape(late_emit))
 
-    results = acc.result_exprs() if acc else [F.col(n) for n in result_names]
     triggers = [f"trigger_{o}" for o in order]
     head = [*keys, "window_start", "window_end", (F.col("window_end") - 1).alias("out_ts"), "fire", *triggers]
 
     def shape(emitted: DataFrame) -> DataFrame:
-        return emitted.select(*head, *results)
+        return acc.finish(emitted, head)
 
     def finish(output: DataFrame) -> DataFrame:
+        if isinstance(window_fn, ArrowFunction):
+            return window_fn.apply(output)
         if window_fn is not None:
             env = {c: F.col(c) for c in output.columns}
             exploded = output.select(*head[:3], "out_ts", "fire", *triggers, F.explode(window_fn(env)).alias("_wf"))
             return exploded.select("*", "_wf.*").drop("_wf")
         if emit == "enrich":
-            return output.select("window_end", *keys, *result_names, "window_start", "out_ts", "fire", *triggers)
+            return output.select("window_end", *keys, *acc.result_names, "window_start", "out_ts", "fire", *triggers)
         return output
 
     def stored() -> DataFrame:
-        """The rows, with a mergeable aggregate only the columns that the firings need, written once."""
-        table = marked
-        if acc:
-            marker = [wm_spec.marker] if wm_spec.strategy == "column" else []
-            needed = [*keys, *order, *marker, "wm_before", "wm_after", "tag", "_w_newest", "_n_on", "_n_open",
-                      *[c for c in marked.columns if c.startswith("_in_")]]
-            table = marked.select(*dict.fromkeys(needed))
+        """The rows, only the columns that the firings need, written once."""
+        marker = [wm_spec.marker] if wm_spec.strategy == "column" else []
+        own = list(acc.columns) if isinstance(acc, ColumnAggregate) else [c for c in marked.columns if c.startswith("_in_")]
+        needed = [*keys, *order, *marker, "wm_before", "wm_after", "tag", "_w_newest", "_n_on", "_n_open", *own]
+        table = marked.select(*dict.fromkeys(needed))
         return materialize(table, materialize_rows, "window-rows", work_folder, folders)
 
     rows = data(marked)
-    helper = [c for c in rows.columns if c.startswith("_in_") or c in ("_w_newest", "_n_on", "_n_open")]
+    helper = [c for c in rows.columns if c.startswith("_in_") or c in ("_w_newest", "_n_on", "_n_open", "_wm0")]
     rows = rows.withColumn("wm_seen", min_long_or(F.col("wm_before"))).drop(*helper)
     late = rows.filter(F.col("tag") == LATE) if spec.side_output else rows.filter(F.lit(False))
     dropped = rows.agg(
@@ -279,80 +251,29 @@ def windowed_agg(
     )
     if carry is None:
         return WindowAggResult(rows=rows, late=late, dropped=dropped, folders=folders,
-                               build=lambda: finish(firings(stored())[0]))
-
-    output, on, reached, late_pairs = firings(marked)
-    # ---- state after this input: the watermark and the windows still open ----
-    new_kw, wm_final = None, None
-    if scope:
-        new_kw = marked.groupBy(*scope).agg(F.max("wm_after").alias("wm"))
-        if carry.key_watermarks is not None:
-            new_kw = new_kw.unionByName(carry.key_watermarks.select(*scope, "wm")).groupBy(*scope).agg(
-                F.max("wm").alias("wm"))
-        new_kw = new_kw.filter(F.col("wm").isNotNull())
-    else:
-        last = marked.agg(F.max("wm_after").alias("wm")).first()["wm"]
-        wm_final = last if carry.watermark is None or last is None else max(last, carry.watermark)
-    flag = [F.col(f"trigger_{order[0]}").isNotNull().alias("_fired")]
-    parts = [
-        reached.select(*win, *acc.field_names, *flag),
-        on.filter(F.col("_fired_before")).select(*win, *acc.field_names, F.lit(True).alias("_fired")),
-    ]
-    if late_pairs is not None:
-        late_tot = late_pairs.groupBy(*win).agg(*acc.agg_exprs())
-        if purge:
-            kept = [F.lit(None).cast(on.schema[n].dataType).alias(n) for n in acc.field_names]
-        else:  # cumulative state also holds the late rows
-            kept = [F.col(n) for n in acc.field_names]
-        parts.append(late_tot.select(*win, *kept, F.lit(True).alias("_fired")))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    state = merged.groupBy(*win).agg(F.max("_fired").alias("fired"), *_merge_aggs(acc))
-    max_ts = F.col("window_end") - 1
-    if scope:  # cleanup time passed for the key's watermark
-        state = null_safe_join(state, new_kw.select(*scope, F.col("wm").alias("_wmf")), scope, "left")
-        state = state.filter(~F.coalesce(saturating_add(max_ts, lateness) <= F.col("_wmf"), F.lit(False)))
-        state = state.drop("_wmf")
-    elif wm_final is not None:
-        state = state.filter(~(saturating_add(max_ts, lateness) <= lit_long(wm_final)))  # cleanup time passed
-    if spec.trigger == FIRE_AND_PURGE:
-        state = state.filter(~F.col("fired"))  # purged at every firing
-    return WindowAggResult(rows=rows, late=late, dropped=dropped, build=lambda: finish(output), folders=folders,
-                           state=state, watermark=wm_final, key_watermarks=new_kw)
-
-
-def _merge_aggs(acc: Accumulator) -> list[Column]:
-    """Aggregates that merge several accumulator rows of one window into one."""
-    merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    out = []
-    for n, op, _ in acc.fields:
-        c = merge[op](n)
-        out.append((c.cast("bigint") if op == "count" else c).alias(n))
-    return out
-
-
-def _merge_carried(on: DataFrame, carry: Carry, acc: Accumulator, win: list[str],
-                   scope: list[str]) -> DataFrame:
-    """On-time accumulators of this input merged with the carried open windows.
-
-    Adds ``_fired_before``: the window fired in an earlier input (or its end had
-    already passed, so it cannot fire on time any more).
-    """
-    fields = acc.field_names
-    cur = on.select(*win, *fields, F.lit(None).cast("boolean").alias("_st_fired"))
-    if carry.windows is not None:
-        st = carry.windows.select(*win, *[F.col(n).cast(on.schema[n].dataType).alias(n) for n in fields],
-                                  F.col("fired").alias("_st_fired"))
-        cur = cur.unionByName(st)
-    merged = cur.groupBy(*win).agg(F.max("_st_fired").alias("_st_fired"), *_merge_aggs(acc))
-    max_ts = F.col("window_end") - 1
-    if scope and carry.key_watermarks is not None:
-        merged = null_safe_join(merged, carry.key_watermarks.select(*scope, F.col("wm").alias("_wm0")), scope, "left")
-        passed = F.coalesce(max_ts <= F.col("_wm0"), F.lit(False))
-    elif not scope and carry.watermark is not None:
-        passed = max_ts <= lit_long(carry.watermark)
-    else:
-        passed = F.lit(False)
-    merged = merged.withColumn("max_ts", max_ts).withColumn("_fired_before", F.coalesce(F.col("_st_fired"), passed))
-    return merged.drop("_wm0")
+                               build=lambda: finish(firings(stored())))
+
+    # ---- what this input adds to the state ----
+    taken = data(marked).filter(F.col("tag") == IN_WINDOW)
+    state = on_time(taken)
+    if lateness and not purge:  # cumulative refires: the state also holds the late rows
+        late_pairs = explode_windows(taken, w, first="_n_on", count="_n_open")
+        state = acc.merge(state.unionByName(acc.increments(late_pairs, win)), win)
+    new_kw = marked.groupBy(*scope).agg(F.max("wm_after").alias("wm")).filter(F.col("wm").isNotNull()) if scope else None
+    return WindowAggResult(rows=rows, late=late, dropped=dropped, build=lambda: finish(firings(marked)), folders=folders,
+                           state=state, watermark=None if scope else seen["wm"] if seen["wm"] is not None else carry.watermark,
+                           key_watermarks=new_kw, aggregate=acc, counts={"rows": seen["rows"], "late": seen["late"]})
+
+
+def merged_windows(windows: DataFrame, keys: Sequence[str], acc) -> DataFrame:
+    """Rows like ``Carry.windows``, merged: one per window (``DistinctCount``: and value; Columns: all rows)."""
+    return acc.merge(windows, [*keys, "window_start", "window_end"])
+
+
+def _carried(carry: Carry, states: DataFrame, table: DataFrame, scope: list[str], wm: int | None) -> DataFrame:
+    """Carried windows that this input can fire or refire: those of its keys, or up to its watermark ``wm``."""
+    kinds = {f.name: f.dataType for f in states.schema.fields}
+    carried = carry.windows.select(*[F.col(n).cast(kinds[n]).alias(n) for n in states.columns])
+    if not scope:
+        return carried.filter(F.col("window_end") - 1 <= F.lit(wm).cast("bigint"))
+    return null_safe_join(carried, table.select(*scope).distinct(), scope, "left_semi")

@@ -98,6 +98,7 @@ AGGS = {
     "count": ("n", "count(*)", "count(*) OVER w", "CAST(1 AS BIGINT)"),
     "sum": ("total", "CAST(sum(v) AS BIGINT)", "CAST(sum(v) OVER w AS BIGINT)", "v"),
     "distinct": ("d", "count(DISTINCT v)", "count(DISTINCT v) OVER w", "CAST(1 AS BIGINT)"),
+    "xor": ("x", "bit_xor(v)", "bit_xor(v) OVER w", "v"),
     "mean": ("mean", "avg(v)", "avg(v) OVER w", "CAST(v AS DOUBLE)"),
     "spread": ("spread", "max(v) - min(v)", "max(v) OVER w - min(v) OVER w", "CAST(0 AS BIGINT)"),
 }

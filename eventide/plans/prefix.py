@@ -124,17 +124,9 @@ def _scan(df: DataFrame, keys: list[str], order: list[str], outputs: Outputs, bo
         running = frames(keys, order)
         return df.select("*", *[_AGG[op](src).over(running[inclusive]).alias(name) for name, (op, src, inclusive) in outputs.items()])
 
-    place = _place(df, keys, order)
-    kinds = [f.dataType.simpleString() for f in df.select(*place).schema.fields]
-    columns = [_array(c, kind) for c, kind in zip(zip(*bounds), kinds)]
-    numbered = _numbered(df, place, columns, len(bounds))
-
     # what the earlier ranges hold of the keys at a range's two ends
+    numbered, ends = in_ranges(df, keys, order, bounds)
     at = F.col("_range")
-    ends = F.lit(True)
-    if keys:
-        own = F.xxhash64(*keys)
-        ends = F.coalesce(own == F.get(columns[0], at - 1), F.lit(False)) | F.coalesce(own == F.get(columns[0], at), F.lit(False))
     sources = {(op, src): f"_carry{i}" for i, (op, src) in enumerate(dict.fromkeys((op, src) for op, src, _ in outputs.values()))}
     totals = numbered.where(ends).groupBy("_range", *keys).agg(*[_AGG[op](src).alias(c) for (op, src), c in sources.items()])
     before = frames(keys, ["_range"])[False]
@@ -156,6 +148,18 @@ def _scan(df: DataFrame, keys: list[str], order: list[str], outputs: Outputs, bo
     return out.withColumns(whole).drop("_range", "_range_c", *[f"_c_{k}" for k in keys], *sources.values())
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], bounds: list[tuple]) -> tuple[DataFrame, Column]:
+    """``df`` with the number of each row's range, ``_range``, and whether a row's keys lie at an end of its range."""
+    place = _place(df, keys, order)
+    kinds = [f.dataType.simpleString() for f in df.select(*place).schema.fields]
+    columns = [_array(c, kind) for c, kind in zip(zip(*bounds), kinds)]
+    ends = F.lit(True)
+    if keys:
+        own, at = F.xxhash64(*keys), F.col("_range")
+        ends = F.coalesce(own == F.get(columns[0], at - 1), F.lit(False)) | F.coalesce(own == F.get(columns[0], at), F.lit(False))
+    return _numbered(df, place, columns, len(bounds)), ends
+
+
 def _numbered(df: DataFrame, place: list[Column], columns: list[Column], n: int) -> DataFrame:
     """``_range``: the number of bounds at or before each row's place, by a binary search in column expressions."""
     out = df.withColumn("_place", F.struct(*[c.alias(f"p{i}") for i, c in enumerate(place)])).withColumn("_range", F.lit(0))

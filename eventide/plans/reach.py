@@ -40,16 +40,18 @@ def first_reaching(
     """targets + ``trigger_<order>`` columns: the first row with ``after >= target``.
 
     ``rows`` carry ``before``/``after`` watermarks (NULL = none); targets with no
-    such row get NULL triggers. ``likely``: a BIGINT column of ``rows`` distributed like the targets,
+    such row get NULL triggers, and so do targets that were reached before the rows began (the first row's
+    ``before`` has reached them). ``likely``: a BIGINT column of ``rows`` distributed like the targets,
     so that the cuts are fit for them too (the targets themselves are not computed twice).
     """
     keys, order = list(keys), list(order)
     at = ["_down", "_kind", "_tie"]
     advance = rows.filter(F.col(after).isNotNull() & (F.col(before).isNull() | (F.col(after) > F.col(before))))
     tie = F.xxhash64(*order).alias("_tie")
-    advance = advance.select(*keys, F.bitwise_not(after).alias("_down"), F.lit(0).alias("_kind"), tie, F.struct(*order).alias("_at"))
+    advance = advance.select(*keys, F.bitwise_not(after).alias("_down"), F.lit(0).alias("_kind"), tie, F.struct(*order, F.col(before).alias("_seen")).alias("_at"))
     goals = targets.withColumns({"_down": F.bitwise_not(target), "_kind": F.lit(1), "_tie": F.xxhash64(*targets.columns)})
     values = [F.struct(F.bitwise_not(c).alias("_down"), F.lit(kind).alias("_kind")) for kind, c in enumerate([F.col(after), likely]) if c is not None]
     sample = rows.select(*keys, F.inline(F.array(*values)), tie).where("_down IS NOT NULL")
     scanned = prefix_scan(goals.unionByName(advance, allowMissingColumns=True), keys, at, {"_first": ("min", "_at", True)}, sample)
-    return scanned.filter(F.col("_kind") == 1).select(*targets.columns, *[F.col("_first")[o].alias(prefix + o) for o in order])
+    now = F.col("_first")["_seen"].isNull() | (F.col("_first")["_seen"] < F.col(target))
+    return scanned.filter(F.col("_kind") == 1).select(*targets.columns, *[F.when(now, F.col("_first")[o]).alias(prefix + o) for o in order])

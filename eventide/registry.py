@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide import oracle as O
-from eventide.functions.aggregates import Accumulator, combine, count_of, spread_of, sum_of
+from eventide.functions.aggregates import Accumulator, combine, count_of, distinct_of, mean_of, spread_of, sum_of
+from eventide.functions.code import ArrowFunction, CodeAccumulator
 from eventide.functions.int64 import floor_div, lit_long
 from eventide.operators.late import compare_watermarks, late_split
 from eventide.operators.watermark import key_watermark_snapshot, watermark_range, with_watermarks
@@ -215,14 +219,51 @@ SELECT user_id, window_start, window_end, out_ts, fire, 'total' AS metric, total
 
 
 def _any_aggregate(name: str, lateness: int) -> tuple[Query, str]:
-    """An aggregate Column that cannot be merged, with cumulative late refires."""
-    column, make = {"distinct": ("d", lambda: F.count_distinct("v")), "mean": ("mean", lambda: F.avg("v"))}[name]
+    """Aggregates that are not sums, counts, minima or maxima, with cumulative late refires: any Column,
+    different values, an average as sum and count, Python code."""
+    make = {"distinct": lambda: distinct_of("v", "d"), "distinct column": lambda: {"d": F.count_distinct("v")},
+            "mean": lambda: mean_of("v"), "mean column": lambda: {"mean": F.avg("v")}, "xor": xor_of}[name]
     spec = WindowAggSpec(WindowSpec(6 * HOUR), WatermarkSpec("key", BOUND), lateness)
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return windowed_agg(_stream(spark, sf_dir), spec, KEY, TS, ORD, {column: make()}).output
+        return windowed_agg(_stream(spark, sf_dir), spec, KEY, TS, ORD, make()).output
 
-    return q, O.window_agg_sql("key", BOUND, 6 * HOUR, 6 * HOUR, 0, lateness, FIRE, False, (name,))
+    return q, O.window_agg_sql("key", BOUND, 6 * HOUR, 6 * HOUR, 0, lateness, FIRE, False, (name.split()[0],))
+
+
+def xor_of() -> CodeAccumulator:
+    """A user's aggregate in Python: exclusive or of the values."""
+    def add(state: tuple, rows: pa.RecordBatch) -> tuple:
+        values = rows.column(0).drop_null().to_numpy()
+        return (state[0] ^ int(np.bitwise_xor.reduce(values)), state[1] + len(values))
+
+    return CodeAccumulator((("v", "v"),), "x BIGINT, n BIGINT", "x BIGINT", zero=lambda: (0, 0), add=add,
+                           merge_states=lambda a, b: (a[0] ^ b[0], a[1] + b[1]), finish_state=lambda s: (s[0] if s[1] else None,))
+
+
+def q_custom_code_window_function(spark, sf_dir):
+    """G6 in Python: each firing emits ``n % 3`` rows."""
+    spec = WindowAggSpec(WindowSpec(HOUR), WatermarkSpec("key", BOUND))
+    out = windowed_agg(_stream(spark, sf_dir), spec, KEY, TS, ORD, combine(count_of("n"), sum_of("v", "total")),
+                       window_fn=thirds()).output
+    return out.select(KEY, "window_end", "part", "share")
+
+
+def thirds() -> ArrowFunction:
+    def parts(firings: pa.RecordBatch) -> pa.Table:
+        n = firings.column("n").to_numpy()
+        at = pa.array(np.repeat(np.arange(len(n)), n % 3))
+        part = np.arange(len(at)) - np.repeat(np.cumsum(n % 3) - n % 3, n % 3)
+        own = firings.take(at)
+        return pa.table({KEY: own.column(KEY), "window_end": own.column("window_end"), "part": part,
+                         "share": pc.add(own.column("total"), pa.array(part))})
+
+    return ArrowFunction(parts, f"{KEY} BIGINT, window_end BIGINT, part BIGINT, share BIGINT")
+
+
+def _thirds_sql():
+    return f"""WITH f AS ({O.window_agg_sql("key", BOUND, HOUR, HOUR, aggs=("count", "sum"))})
+SELECT user_id, window_end, r.part, total + r.part AS share FROM f, LATERAL (SELECT unnest(range(n % 3)) AS part) r"""
 
 
 def q_key_enriched(spark, sf_dir):
@@ -315,8 +356,11 @@ def _build() -> tuple[dict[str, Query], dict[str, str]]:
 SELECT window_end, user_id, n FROM f""")
     add("custom_aggregate", *_window_query("key", BOUND, WindowSpec(6 * HOUR), aggs=("spread",)))
     add("custom_distinct", *_any_aggregate("distinct", 2 * HOUR))
-    add("custom_distinct_on_time", *_any_aggregate("distinct", 0))
-    add("custom_avg", *_any_aggregate("mean", 2 * HOUR))
+    add("custom_distinct_on_time", *_any_aggregate("distinct column", 0))
+    add("custom_avg", *_any_aggregate("mean column", 2 * HOUR))
+    add("custom_mean", *_any_aggregate("mean", 2 * HOUR))
+    add("custom_code_aggregate", *_any_aggregate("xor", 2 * HOUR))
+    add("custom_code_window_function", q_custom_code_window_function, _thirds_sql())
     add("custom_window_function", q_custom_window_function, _custom_wf_sql())
     add("explicit_watermark_agg", q_explicit_watermark_agg,
         O.window_agg_sql("column", 0, HOUR, HOUR, 0, HOUR, FIRE, False, ("count", "sum"), explicit=EXPLICIT))

@@ -54,8 +54,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
         return root.rstrip("/")
-    master = spark.sparkContext.master or ""
-    if not master.startswith("local"):
+    if not spark.sparkContext._jsc.sc().isLocal():  # one process: as in tests
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder shared by the driver and all executors; "
             "a machine-local folder cannot hold checkpoints or intermediate tables on a cluster"

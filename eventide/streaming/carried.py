@@ -1,177 +1,117 @@
-"""Streams as the batch operators with carried state.
+"""Streams as the batch operators with carried state.
 
 Every micro-batch runs the batch operator with what earlier batches left: the
-watermark (global, explicit) or a table of key watermarks, and the open windows.
+watermark (global, explicit) or the watermarks of its keys, and what they contributed to windows.
 So a stream has every feature of the batch operator - several keys, any mergeable
 aggregate and value type, result expressions, window functions, the whole input
-row in the side output - and a hot key is split over tasks as in batch. State is
-written per batch id below the sink folder, after the outputs:
+row in the side output - and a hot key is split over tasks as in batch. A batch writes
 
     <base>/fire/batch=N       firings (on-time and late refires)
     <base>/late/batch=N       side output
-    <base>/dropped/batch=N    drop counter of the batch
-    <base>/watermark/batch=N  gauge: lowest and highest watermark so far
     <base>/rows/batch=N       rows of a late split
-    <base>/state/batch=N/{windows,key_wm}/part=P, <base>/state/batch=N/wm
-
-Batch N needs the committed state of batch N-1 and fails without it; a retried
-batch overwrites its own folders, so the sink is exactly-once. As many state
-versions are kept as the checkpoint keeps batches
-(``spark.sql.streaming.minBatchesToRetain``): any batch that Spark can run again
-finds its state. Tables are kept in ``STATE_PARTS`` parts by a hash of the key; a batch
-writes the parts that its keys touch and its commit lists, for the other parts, the batch
-that wrote them last.
+    <base>/late_counts/batch=N  late rows per strategy and bound (comparison)
+
+then what it adds to the state, and last its commit (``streaming/state.py``), which also holds the
+drop counter and the gauge. A retried batch overwrites its own folders, and only committed
+batches are read, so the sink is exactly-once. As many commits are kept as the checkpoint keeps batches
+(``spark.sql.streaming.minBatchesToRetain``): any batch that Spark can run again finds its state.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.functions.aggregates import Accumulator
-from eventide.operators.late import late_split
+from eventide.functions.code import ArrowFunction
+from eventide.functions.int64 import lit_long, saturating_add
+from eventide.operators.late import compare_watermarks, late_split
 from eventide.operators.watermark import as_list
-from eventide.operators.window_agg import Carry, windowed_agg
-from eventide.plans.materialize import delete
+from eventide.operators.window_agg import Carry, merged_windows, windowed_agg
 from eventide.plans.reach import null_safe_join
-from eventide.plans.spec import WatermarkSpec, WindowAggSpec
-
-STATE_PARTS = 32
+from eventide.plans.spec import FIRE, WatermarkSpec, WindowAggSpec
+from eventide.streaming.state import Commit, Save, commits, last_commit, load_commit, load_runs
 
 
-def _fs(spark: SparkSession, folder: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+def _carry(spark: SparkSession, commit: Commit | None) -> Carry:
+    return Carry(watermark=commit.wm if commit else None, windows=load_runs(spark, commit, "windows"),
+                 key_watermarks=load_runs(spark, commit, "key_wm"))
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    fs, path = _fs(spark, folder)
-    return fs.exists(path)
-
+def load_carry(spark: SparkSession, base: str, batch_id: int, key: str | Sequence[str], acc: Accumulator | None = None) -> Carry:
+    """State for ``batch_id``, merged: the watermarks of all keys and the open windows, one row each."""
+    commit, keys = load_commit(spark, base, batch_id), as_list(key)
+    carry = _carry(spark, commit)
+    if carry.key_watermarks is not None:
+        carry.key_watermarks = carry.key_watermarks.groupBy(*keys).agg(F.max("wm").alias("wm"))
+    if carry.windows is not None and acc is not None:
+        windows = merged_windows(carry.windows, keys, acc)
+        if carry.key_watermarks is not None:
+            windows = null_safe_join(windows, carry.key_watermarks.select(*keys, F.col("wm").alias("_wm")), keys, "left")
+        else:
+            windows = windows.withColumn("_wm", F.lit(commit.wm).cast("bigint"))
+        carry.windows = _alive(windows, commit.horizon).drop("_wm")
+    return carry
 
-def _state(base: str, batch_id: int) -> str:
-    return f"{base}/state/batch={batch_id:09d}"
 
+def _alive(windows: DataFrame, horizon: int) -> DataFrame:
+    """Windows that the watermark ``_wm`` of their scope has not passed for good."""
+    return windows.filter(F.coalesce(saturating_add(F.col("window_end") - 1, horizon) > F.col("_wm"), F.lit(True)))
 
-def load_commit(spark: SparkSession, base: str, batch_id: int) -> dict | None:
-    """What the batch before ``batch_id`` committed; None only before the first batch.
 
-    ``wm``: the scope's watermark. ``parts``: for each state table and part the batch
-    that wrote it. ``schemas``: the tables' columns.
-    """
-    if batch_id == 0:
-        return None
-    folder = f"{_state(base, batch_id - 1)}/wm"
-    if not _exists(spark, f"{folder}/_SUCCESS"):
-        raise RuntimeError(f"batch {batch_id} needs the state of batch {batch_id - 1}, which {base}/state does not hold: "
-                           "restore the sink folder that belongs to this checkpoint, or start with a new checkpoint and sink")
-    row = spark.read.schema("wm BIGINT, held STRING").parquet(folder).first()
-    if row is None:
-        raise RuntimeError(f"the state of batch {batch_id - 1} in {folder} is empty")
-    return {"wm": row["wm"], **json.loads(row["held"])}
-
-
-def load_table(spark: SparkSession, base: str, commit: dict | None, name: str) -> DataFrame | None:
-    """A state table of the last commit; a file that is missing or damaged fails the batch."""
-    if commit is None or name not in commit["schemas"]:
-        return None
-    paths = [f"{_state(base, b)}/{name}/part={p}" for p, b in commit["parts"][name].items()]
-    if not paths:
-        return spark.createDataFrame([], commit["schemas"][name])
-    return spark.read.schema(commit["schemas"][name]).parquet(*paths)
-
-
-def load_carry(spark: SparkSession, base: str, batch_id: int) -> Carry:
-    """State for ``batch_id``: what batch ``batch_id - 1`` committed."""
-    commit = load_commit(spark, base, batch_id)
-    return Carry(watermark=commit["wm"] if commit else None, windows=load_table(spark, base, commit, "windows"),
-                 key_watermarks=load_table(spark, base, commit, "key_wm"))
-
-
-def _part(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS)).cast("int") if keys else F.lit(0)
-
-
-def _save(spark: SparkSession, base: str, batch_id: int, commit: dict | None, wm: int | None,
-          tables: dict[str, tuple[DataFrame, list[str]]], touched: DataFrame | None) -> None:
-    """Write the touched parts of the state tables, then the commit, then drop versions nothing needs."""
-    parts = {n: dict(p) for n, p in (commit["parts"] if commit else {}).items()}
-    schemas = {}
-    for name, (table, keys) in tables.items():
-        schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
-        old = parts.get(name, {})
-        if touched is None or commit is None:
-            now = set(range(STATE_PARTS if keys else 1))
-        else:  # at most STATE_PARTS numbers
-            now = {r[0] for r in touched.select(_part(keys)).distinct().collect()}
-        folder = f"{_state(base, batch_id)}/{name}"
-        numbered = table.withColumn("part", _part(keys))
-        changed = numbered.where(F.col("part").isin(*now) if now else F.lit(False)).repartition("part")  # one file a part
-        changed.write.mode("overwrite").partitionBy("part").parquet(folder)
-        written = {p for p in now if _exists(spark, f"{folder}/part={p}")}
-        parts[name] = {**{p: b for p, b in old.items() if int(p) not in now}, **{str(p): batch_id for p in written}}
-    held = json.dumps({"parts": {n: parts[n] for n in tables}, "schemas": schemas})
-    commit_row = spark.createDataFrame([(wm, held)], "wm BIGINT, held STRING")
-    commit_row.coalesce(1).write.mode("overwrite").parquet(f"{_state(base, batch_id)}/wm")
-    _prune(spark, base, batch_id)
-
-
-def _prune(spark: SparkSession, base: str, batch_id: int) -> None:
-    """Delete versions that left the retained range and that no retained commit lists.
-
-    The parts that retained commits list from before the range are those that the
-    oldest of them lists. Now and then all older versions are looked at again, so
-    their number stays bounded by the range and the number of parts.
-    """
-    retain = max(2, int(spark.conf.get("spark.sql.streaming.minBatchesToRetain", "100")))
-    if batch_id < retain:
-        return
-    old = [batch_id - retain]
-    if batch_id % retain == 0:
-        fs, path = _fs(spark, f"{base}/state")
-        numbers = [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(path)]
-        old = [n for n in numbers if n <= batch_id - retain]
-    oldest = load_commit(spark, base, batch_id - retain + 2)
-    needed = {b for table in oldest["parts"].values() for b in table.values()}
-    delete(spark, [_state(base, b) for b in old if b not in needed])
+def _largest(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda runs: runs.groupBy(*keys).agg(F.max("wm").alias("wm"))
 
 
 def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str], ts: str, order: Sequence[str],
-                        acc: Accumulator, window_fn: Callable[[dict[str, Column]], Column] | None = None,
+                        acc, window_fn: Callable[[dict[str, Column]], Column] | ArrowFunction | None = None,
                         emit: str = "pass") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function running the window operator with carried state.
 
-    ``window_fn`` and ``emit`` as in ``windowed_agg``. Intermediate tables go to
-    ``<base>/work``, overwritten by every batch.
+    ``acc`` (any aggregate), ``window_fn`` and ``emit`` as in ``windowed_agg``. The watermarked rows of a batch are stored once in
+    ``<base>/work``, overwritten by every batch; outputs and state are made from them.
     """
     keys = as_list(key)
+    scope = keys if spec.watermark.strategy == "key" else []
+    horizon = spec.lateness if spec.trigger == FIRE else 0
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        commit = load_commit(spark, base, batch_id)
-        carry = load_carry(spark, base, batch_id)
-        res = windowed_agg(batch, spec, keys, ts, order, acc, window_fn=window_fn, emit=emit, carry=carry,
+        before = load_commit(spark, base, batch_id)
+        res = windowed_agg(batch, spec, keys, ts, order, acc, window_fn=window_fn, emit=emit, carry=_carry(spark, before),
                            work_folder=f"{base}/work")
         name = f"batch={batch_id:09d}"
         res.output.write.mode("overwrite").parquet(f"{base}/fire/{name}")
-        res.late.write.mode("overwrite").parquet(f"{base}/late/{name}")
-        res.dropped.write.mode("overwrite").parquet(f"{base}/dropped/{name}")
-        tables = {"windows": (res.state, keys)}
-        touched = res.rows.select(*keys) if spec.watermark.strategy == "key" else None
-        if res.key_watermarks is not None:
-            tables["key_wm"] = (res.key_watermarks, keys)
-        _save(spark, base, batch_id, commit, res.watermark, tables, touched)
-        wms = load_table(spark, base, load_commit(spark, base, batch_id + 1), "key_wm")
-        _gauge(spark, base, batch_id, res.watermark, wms)
+        if batch_id == 0 or (spec.side_output and res.counts["late"]):  # batch 0 also shows the columns
+            res.late.write.mode("overwrite").parquet(f"{base}/late/{name}")
+        save = Save(spark, base, batch_id, before, res.watermark, horizon)
+        if scope:
+            save.gauge_keys(save.add("key_wm", res.key_watermarks, _largest(keys)), keys)
+        else:
+            save.gauge_one(res.watermark)
+
+        def merge(runs: DataFrame) -> DataFrame:
+            """One row per window; windows that are past their cleanup go."""
+            windows = merged_windows(runs, keys, res.aggregate)
+            if scope:
+                known = _largest(keys)(load_runs(spark, save.commit, "key_wm")).withColumnRenamed("wm", "_wm")
+                windows = null_safe_join(windows, known, keys, "left")
+            else:
+                windows = windows.withColumn("_wm", lit_long(res.watermark) if res.watermark is not None else F.lit(None).cast("bigint"))
+            return _alive(windows, horizon).drop("_wm")
+
+        save.add("windows", res.state, merge)
+        late = res.counts["late"]
+        dropped = 0 if spec.side_output else late
+        so_far = dropped + (before.counters.get("dropped_so_far", 0) if before else 0)
+        save.finish({"rows": res.counts["rows"], "late": late - dropped, "dropped": dropped, "dropped_so_far": so_far})
 
     return write
 
 
-def carried_late_split_sink(base: str, bound: int, key: str, ts: str, order: Sequence[str], columns: Sequence[str],
+def carried_late_split_sink(base: str, bound: int, key: str | Sequence[str], ts: str, order: Sequence[str], columns: Sequence[str],
                             strategy: str = "global") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function for the late split (C1 per key, C2 global): the
     watermark(s) are carried from batch to batch; rows go to ``<base>/rows/batch=N``."""
@@ -179,35 +119,66 @@ def carried_late_split_sink(base: str, bound: int, key: str, ts: str, order: Seq
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        commit = load_commit(spark, base, batch_id)
-        wm0 = commit["wm"] if commit else None
-        known = load_table(spark, base, commit, "key_wm")
-        split = late_split(batch, spec, keys, ts, order, start_watermark=wm0, start_watermarks=known)
+        before = load_commit(spark, base, batch_id)
+        known = load_runs(spark, before, "key_wm")
+        split = late_split(batch, spec, keys, ts, order, start_watermark=before.wm if before and strategy == "global" else None,
+                           start_watermarks=_largest(keys)(known) if known is not None else None)
+        seen = Observation()
+        split = split.observe(seen, F.max("wm_after").alias("wm"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("tag") == "late").alias("late"))
         split.select(*columns).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id:09d}")
-        top = F.try_subtract(F.max(ts), F.lit(bound).cast("bigint")).alias("wm")  # a watermark is the largest event time so far minus the bound
         if strategy == "global":
-            found = [x for x in (batch.agg(top).first()["wm"], wm0) if x is not None]
-            wm, tables, touched = max(found, default=None), {}, None
+            found = [x for x in (seen.get["wm"], before.wm if before else None) if x is not None]
+            save = Save(spark, base, batch_id, before, max(found, default=None))
+            save.gauge_one(save.commit.wm)
         else:
-            own = batch.groupBy(*keys).agg(top).where("wm IS NOT NULL")
-            both = own if known is None else own.unionByName(known.select(*keys, "wm")).groupBy(*keys).agg(F.max("wm").alias("wm"))
-            wm, tables, touched = None, {"key_wm": (both, keys)}, batch
-        _save(spark, base, batch_id, commit, wm, tables, touched)
-        wms = load_table(spark, base, load_commit(spark, base, batch_id + 1), "key_wm")
-        _gauge(spark, base, batch_id, wm, wms)
+            save = Save(spark, base, batch_id, before)
+            top = F.try_subtract(F.max(ts), lit_long(bound)).alias("wm")  # a watermark is the largest event time so far minus the bound
+            save.gauge_keys(save.add("key_wm", batch.groupBy(*keys).agg(top).where("wm IS NOT NULL"), _largest(keys)), keys)
+        save.finish({"rows": seen.get["rows"], "late": seen.get["late"]})
 
     return write
 
 
-def _gauge(spark: SparkSession, base: str, batch_id: int, wm: int | None, key_wm: DataFrame | None) -> None:
-    """The lowest and the highest watermark after a batch."""
-    if key_wm is not None:
-        gauge = key_wm.agg(F.min("wm").alias("lowest"), F.max("wm").alias("highest"))
-    else:
-        gauge = spark.createDataFrame([(wm, wm)], "lowest BIGINT, highest BIGINT")
-    gauge.withColumn("at_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/watermark/batch={batch_id:09d}")
+def carried_compare_sink(base: str, key: str | Sequence[str], ts: str, order: Sequence[str], bounds: Sequence[int]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for the strategy comparison (C4): both watermarks are carried together.
+
+    A watermark is the largest event time so far minus a bound, so one largest event time per key and one over
+    all rows serve every bound. ``<base>/late_counts/batch=N`` has the batch's counts per strategy and bound;
+    they add up (``read_comparison``).
+    """
+    keys = as_list(key)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = load_commit(spark, base, batch_id)
+        known = load_runs(spark, before, "key_wm")
+        found = compare_watermarks(batch, keys, ts, order, bounds, start=before.wm if before else None,
+                                   start_of_keys=_largest(keys)(known) if known is not None else None)
+        found.write.mode("overwrite").parquet(f"{base}/late_counts/batch={batch_id:09d}")
+        own = batch.groupBy(*keys).agg(F.max(ts).alias("wm")).where("wm IS NOT NULL")
+        save = Save(spark, base, batch_id, before)
+        run = save.add("key_wm", own, _largest(keys))
+        save.gauge_keys(run, keys)
+        save.commit.wm = save.commit.gauge["highest"]  # the largest event time of all keys
+        save.finish({})
+
+    return write
 
 
 def read_carried(spark: SparkSession, base: str, what: str = "fire") -> DataFrame:
-    """Read one output (fire / late / dropped / rows / watermark) of a carried-state stream."""
-    return spark.read.parquet(f"{base}/{what}").drop("batch")
+    """Read one output (fire / late / rows / late_counts, dropped / watermark) of a carried-state stream: of committed
+    batches only. ``dropped`` and ``watermark`` are of the commits that are kept."""
+    if what in ("dropped", "watermark"):
+        kept = commits(spark, base)
+        if what == "dropped":
+            rows = [(c.counters["dropped"], c.counters["dropped_so_far"], c.batch) for c in kept]
+            return spark.createDataFrame(rows, "dropped BIGINT, dropped_so_far BIGINT, at_batch INT")
+        return spark.createDataFrame([(c.gauge.get("lowest"), c.gauge.get("highest"), c.batch) for c in kept], "lowest BIGINT, highest BIGINT, at_batch INT")
+    last = last_commit(spark, base)
+    return spark.read.parquet(f"{base}/{what}").where(F.col("batch") <= (last.batch if last else -1)).drop("batch")
+
+
+def read_comparison(spark: SparkSession, base: str) -> DataFrame:
+    """The counts of a comparison stream so far, as ``compare_watermarks`` has them."""
+    sums = read_carried(spark, base, "late_counts").groupBy("strategy", "bound_ms").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_late").alias("n_late"))
+    return sums.select("*", (F.col("n_rows") - F.col("n_late")).alias("n_in_time"), (F.col("n_late") / F.col("n_rows")).alias("late_ratio"))

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from eventide import oracle as O
 from eventide import registry as R
-from eventide.functions.aggregates import Accumulator, combine, count_of, spread_of, sum_of
+from eventide.functions.aggregates import Accumulator, combine, count_of, distinct_of, spread_of, sum_of
 from eventide.functions.int64 import floor_div
 from eventide.plans.spec import FIRE, FIRE_AND_PURGE, WatermarkSpec, WindowAggSpec, WindowSpec
 from eventide.session import scratch_dir
 from eventide.sources.events import KEY, ORDER, TS, event_stream
-from eventide.streaming.carried import carried_late_split_sink, carried_window_sink, read_carried
+from eventide.streaming.carried import (
+    carried_compare_sink, carried_late_split_sink, carried_window_sink, read_carried, read_comparison,
+)
 from eventide.streaming.stream import batch_writer, native_windowed_agg, read_sink
 
 WEEK = 7 * 24 * R.HOUR
@@ -74,6 +76,12 @@ def _late_split(strategy: str):
     return q
 
 
+def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replay(spark, _events(spark, sf_dir), "arr_ms", WEEK, lambda s: s, "compare",
+                 sink=lambda base: carried_compare_sink(base, KEY, TS, ORD, R.BOUNDS))
+    return read_comparison(spark, out)
+
+
 def q_native_windowed_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = event_stream(spark, sf_dir).select("event_id", KEY, "arr_ms", "v", F.col(TS))
     src = src.withColumn("event_time", F.timestamp_millis(F.col(TS)))
@@ -139,8 +147,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_explicit_watermark": _window(WindowAggSpec(HOURLY, WatermarkSpec("column", marker="wm_mark"), R.HOUR, FIRE),
                                              _both, "explicit-watermark", [*HEAD, "n", "total"]),
         "stream_late_split_global": _late_split("global"),
-        "stream_key_lateness_carried": _window(WindowAggSpec(HOURLY, BY_KEY, late, FIRE), _both, "key-lateness-carried",
-                                               [*HEAD, "n", "total"]),
+        "stream_compare_watermarks": q_compare,
+        "stream_custom_distinct": _window(WindowAggSpec(WindowSpec(6 * R.HOUR), BY_KEY, late), lambda: distinct_of("v", "d"),
+                                          "custom-distinct", [*HEAD, "d"]),
+        "stream_custom_avg": _window(WindowAggSpec(WindowSpec(6 * R.HOUR), BY_KEY, late), lambda: {"mean": F.avg("v")},
+                                     "custom-avg", [*HEAD, "mean"]),
+        "stream_custom_code_aggregate": _window(WindowAggSpec(WindowSpec(6 * R.HOUR), BY_KEY, late), R.xor_of, "custom-code", [*HEAD, "x"]),
+        "stream_custom_code_window_function": _window(
+            WindowAggSpec(HOURLY, BY_KEY), _both, "custom-code-function", [KEY, "window_end", "part", "share"], window_fn=R.thirds()),
     }
 
 
@@ -165,5 +179,9 @@ def oracle_sql() -> dict[str, str]:
                                                    False, ("count", "sum")),
         "stream_explicit_watermark": batch["explicit_watermark_agg"],
         "stream_late_split_global": batch["late_split_global"],
-        "stream_key_lateness_carried": batch["key_lateness_fire"],
+        "stream_compare_watermarks": batch["compare_watermarks"],
+        "stream_custom_distinct": batch["custom_distinct"],
+        "stream_custom_avg": batch["custom_avg"],
+        "stream_custom_code_aggregate": batch["custom_code_aggregate"],
+        "stream_custom_code_window_function": batch["custom_code_window_function"],
     }

@@ -14,7 +14,12 @@ from eventide.functions.aggregates import combine, sum_of
 from eventide.operators.window_agg import windowed_agg
 from eventide.plans.spec import FIRE, WatermarkSpec, WindowAggSpec, WindowSpec
 from eventide.session import scratch_dir
-from eventide.streaming.carried import carried_late_split_sink, carried_window_sink, load_carry, load_commit, read_carried
+from eventide.operators.late import compare_watermarks
+from eventide.streaming import state
+from eventide.streaming.carried import (
+    carried_compare_sink, carried_late_split_sink, carried_window_sink, load_carry, read_carried, read_comparison,
+)
+from eventide.streaming.state import commits, last_commit, load_commit
 from eventide.streaming.queries import replay
 from test_golden import spec_of
 
@@ -111,29 +116,70 @@ def test_stream_of_a_hot_key_equals_batch(spark):
     assert sorted(batch.late.select("seq").collect()) == sorted(read_carried(spark, out, "late").select("seq").collect())
 
 
-def test_state_is_needed_and_only_touched_parts_are_rewritten(spark):
+def test_state_is_needed_and_damage_is_noticed(spark):
     base = scratch_dir(spark, "state")
     sink = carried_window_sink(base, SPEC, ["k", "k2"], "ts_ms", ["seq"], both())
     first = [(n, f"k{n}", 0, 1.0, 1, 100, "", 0) for n in range(40)]
     sink(spark.createDataFrame(first, SCHEMA), 0)
     sink(spark.createDataFrame([(50, "k7", 0, 1.0, 1, 3000, "", 0)], SCHEMA), 1)
     commit = load_commit(spark, base, 2)
-    assert sum(b == 1 for b in commit["parts"]["key_wm"].values()) == 1  # the others still lie in batch 0
-    carry = load_carry(spark, base, 2)
+    assert [r["rows"] for r in commit.runs["key_wm"]] == [40, 1]  # batch 1 wrote its own key alone
+    carry = load_carry(spark, base, 2, ["k", "k2"], both())
     open_windows = {(r.k, r.window_start) for r in carry.windows.collect()}
     assert open_windows == {(f"k{n}", 0) for n in range(40) if n != 7} | {("k7", 3000)}  # window 0 of k7 is cleaned up
     assert {r.k: r.wm for r in carry.key_watermarks.collect()} == {**{f"k{n}": 100 for n in range(40)}, "k7": 3000}
     with pytest.raises(RuntimeError, match="needs the state of batch 4"):
-        load_carry(spark, base, 5)
+        load_carry(spark, base, 5, ["k", "k2"])
     with pytest.raises(RuntimeError):
         sink(spark.createDataFrame(first, SCHEMA), 500)
-    part, batch = next((p, b) for p, b in commit["parts"]["windows"].items() if b == 0)
-    folder = f"{base}/state/batch={batch:09d}/windows/part={part}".removeprefix("file:")
+    folder = commit.runs["windows"][0]["path"].removeprefix("file:")
     for name in os.listdir(folder):
         with open(f"{folder}/{name}", "wb") as f:
             f.write(b"damaged")
     with pytest.raises(Exception):
-        load_carry(spark, base, 2).windows.collect()
+        load_carry(spark, base, 2, ["k", "k2"], both()).windows.collect()
+
+
+def split_sink(base, keys="k"):
+    return carried_late_split_sink(base, 0, keys, "ts_ms", ["seq"], ["seq", "tag"], "key")
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "seq BIGINT, k STRING, ts_ms BIGINT")
+
+
+def test_an_old_sink_is_refused_and_a_retried_batch_replaces_its_rows(spark):
+    base = scratch_dir(spark, "old-sink")
+    sink = split_sink(base)
+    sink(rows_of(spark, [(0, "a", 5)]), 0)
+    sink(rows_of(spark, [(0, "a", 5), (1, "b", 5)]), 0)  # Spark runs batch 0 again
+    assert read_carried(spark, base, "rows").count() == 2
+    sink(rows_of(spark, [(2, "a", 7)]), 1)
+    with pytest.raises(RuntimeError, match="later commits"):  # a new query over the sink of another
+        sink(rows_of(spark, [(0, "a", 1)]), 0)
+    assert read_carried(spark, base, "rows").count() == 3
+
+
+def test_a_new_query_over_an_old_sink_fails(spark, tmp_path):
+    base, src = scratch_dir(spark, "sink"), str(tmp_path / "src")
+    rows_of(spark, [(0, "a", 5)]).write.parquet(src)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema("seq BIGINT, k STRING, ts_ms BIGINT").parquet(src)
+        stream.writeStream.foreachBatch(split_sink(base)).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+
+    run("one")
+    assert last_commit(spark, base).query
+    with pytest.raises(Exception, match="another query"):
+        run("two")
+    assert read_carried(spark, base, "rows").count() == 1
+
+
+def test_uncommitted_outputs_are_not_read(spark):
+    base = scratch_dir(spark, "uncommitted")
+    split_sink(base)(rows_of(spark, [(0, "a", 5)]), 0)
+    rows_of(spark, [(9, "a", 9)]).selectExpr("seq", "'late' AS tag").write.parquet(f"{base}/rows/batch=000000001")  # a batch that died
+    assert [r.seq for r in read_carried(spark, base, "rows").collect()] == [0]
 
 
 def test_old_state_goes_but_never_what_a_retained_batch_needs(spark):
@@ -141,15 +187,106 @@ def test_old_state_goes_but_never_what_a_retained_batch_needs(spark):
     old = spark.conf.get("spark.sql.streaming.minBatchesToRetain", None)
     spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     try:
-        sink = carried_late_split_sink(base, 0, "k", "ts_ms", ["seq"], ["seq", "tag"], "key")
-        for n in range(5):
-            keys = ["a", "b"] if n == 0 else ["a"]
-            sink(spark.createDataFrame([(n, k, 100 * n) for k in keys], "seq BIGINT, k STRING, ts_ms BIGINT"), n)
-        kept = sorted(os.listdir(f"{base}/state".removeprefix("file:")))
-        assert kept == ["batch=000000000", "batch=000000003", "batch=000000004"]  # batch 0 holds the watermark of b
-        assert {r.k: r.wm for r in load_carry(spark, base, 5).key_watermarks.collect()} == {"a": 400, "b": 0}
+        sink = split_sink(base)
+        for n in range(12):
+            sink(rows_of(spark, [(n, k, 100 * n) for k in (["a", "b"] if n == 0 else ["a"])]), n)
+        assert sorted(os.listdir(f"{base}/state/commits".removeprefix("file:")))[-1] == "000000011.json"
+        assert [c.batch for c in commits(spark, base)] == [10, 11]
+        named = {r["path"].rsplit("/", 1)[1] for c in commits(spark, base) for r in c.runs["key_wm"]}
+        assert set(os.listdir(f"{base}/state/key_wm".removeprefix("file:"))) >= named and len(named) < 7
+        assert {r.k: r.wm for r in load_carry(spark, base, 12, "k").key_watermarks.collect()} == {"a": 1100, "b": 0}
+        assert {r.k: r.wm for r in load_carry(spark, base, 11, "k").key_watermarks.collect()} == {"a": 1000, "b": 0}
     finally:
         if old is None:
             spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
         else:
             spark.conf.set("spark.sql.streaming.minBatchesToRetain", old)
+
+
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(folder.removeprefix("file:")) for n in names if n.endswith(".parquet"))
+
+
+def test_bytes_written_follow_the_batch_not_the_state(spark):
+    """A million idle keys lie in the first run; batches of a hundred keys do not write them again."""
+    base = scratch_dir(spark, "idle")
+    sink = split_sink(base)
+    sink(spark.range(1_000_000).selectExpr("id AS seq", "concat('idle', id) AS k", "id AS ts_ms"), 0)
+    idle = size_of(f"{base}/state")
+    for n in range(1, 8):
+        sink(spark.range(100).selectExpr(f"id + {n} * 1000000 AS seq", "concat('k', id) AS k", f"id + {n} * 1000 AS ts_ms"), n)
+    commit = last_commit(spark, base)
+    assert size_of(f"{base}/state") - idle < idle / 50
+    assert commit.runs["key_wm"][0]["rows"] == 1_000_000 and 1 < len(commit.runs["key_wm"]) <= 5
+    known = load_carry(spark, base, 8, "k").key_watermarks
+    assert known.count() == 1_000_100
+    assert (commit.gauge["lowest"], commit.gauge["highest"]) == (0, 999_999)
+
+
+def test_runs_are_merged_in_tiers(spark):
+    base = scratch_dir(spark, "tiers")
+    sink = carried_window_sink(base, SPEC, ["k", "k2"], "ts_ms", ["seq"], both())
+    for n in range(9):
+        sink(spark.createDataFrame([(n, f"k{n % 5}", 0, 1.0, 1, 100 * n, "", 0)], SCHEMA), n)
+    commit = last_commit(spark, base)
+    assert all(len(runs) < 5 for runs in commit.runs.values()) and any("merged" in r["path"] for r in commit.runs["windows"])
+    carry = load_carry(spark, base, 9, ["k", "k2"], both())
+    assert {(r.k, r.window_start): r.whole for r in carry.windows.collect()} == {("k0", 0): 2, ("k1", 0): 2, ("k2", 0): 2, ("k3", 0): 2, ("k4", 0): 1}
+
+
+def test_gauge_follows_the_batch(spark, monkeypatch):
+    """Lowest and highest watermark of all keys, without reading the table every batch."""
+    monkeypatch.setattr(state, "LISTED_KEYS", 3)
+    rng = random.Random(5)
+    base = scratch_dir(spark, "gauge")
+    sink = split_sink(base)
+    known, reread = {}, []
+    plain = state.load_runs
+    monkeypatch.setattr(state, "load_runs", lambda *a: reread.append(a) or plain(*a))
+    for n in range(14):
+        rows = [(n * 100 + i, rng.choice([f"k{rng.randint(0, 30)}", None]), 100 * n + rng.randint(0, 900)) for i in range(rng.choice([1, 3, 25]))]
+        sink(rows_of(spark, rows), n)
+        for _, k, ts in rows:
+            known[k] = max(ts, known.get(k, ts))
+        gauge = last_commit(spark, base).gauge
+        assert (gauge["lowest"], gauge["highest"]) == (min(known.values()), max(known.values())), n
+    assert len(reread) < 14
+
+
+def test_one_run_of_several_micro_batches(spark, tmp_path):
+    """Steady running: files are taken one at a time, in one query."""
+    rng = random.Random(9)
+    rows = [(n, f"k{rng.randint(0, 4)}", 0, 1.0, n, n * 20 + rng.randint(-900, 900), "", 0) for n in range(300)]
+    src, base = str(tmp_path / "src"), scratch_dir(spark, "steady")
+    for n in range(6):
+        spark.createDataFrame(rows[n * 50:n * 50 + 50], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    sink = carried_window_sink(base, SPEC, ["k", "k2"], "ts_ms", ["seq"], both())
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    assert last_commit(spark, base).batch == 5
+    batch = windowed_agg(spark.createDataFrame(rows, SCHEMA), SPEC, ["k", "k2"], "ts_ms", ["seq"], both())
+    assert sorted(map(str, batch.output.collect())) == sorted(map(str, read_carried(spark, base).collect()))
+    assert sorted(batch.late.select("seq").collect()) == sorted(read_carried(spark, base, "late").select("seq").collect())
+
+
+def test_drop_counter_comes_with_the_commit(spark):
+    base = scratch_dir(spark, "drops")
+    spec = WindowAggSpec(WindowSpec(1000), WatermarkSpec("global", 0))
+    sink = carried_window_sink(base, spec, "k", "ts_ms", ["seq"], sum_of("seq", "s"))
+    sink(rows_of(spark, [(0, "a", 5000), (1, "a", 10), (2, "b", 20)]), 0)
+    sink(rows_of(spark, [(3, "a", 4000), (4, "a", 100)]), 1)
+    sink(rows_of(spark, []), 2)
+    got = [(r.at_batch, r.dropped, r.dropped_so_far) for r in read_carried(spark, base, "dropped").collect()]
+    assert got == [(0, 2, 2), (1, 2, 4), (2, 0, 4)]
+    assert [(r.lowest, r.highest) for r in read_carried(spark, base, "watermark").collect()] == [(5000, 5000)] * 3
+
+
+def test_comparison_stream_after_every_slice(spark):
+    rng = random.Random(2)
+    rows = [(n, f"k{rng.randint(0, 3)}", n * 10 + rng.randint(-300, 300)) for n in range(200)]
+    base = scratch_dir(spark, "comparison")
+    sink = carried_compare_sink(base, "k", "ts_ms", ["seq"], (0, 100))
+    for n, end in enumerate((50, 51, 120, 200)):
+        sink(rows_of(spark, rows[(0, 50, 51, 120)[n]:end]), n)
+        want = compare_watermarks(rows_of(spark, rows[:end]), "k", "ts_ms", ["seq"], (0, 100))
+        assert sorted(map(str, read_comparison(spark, base).select(*want.columns).collect())) == sorted(map(str, want.collect()))
