@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.packaging import ship_package
+from eventide.plans.materialize import delete
 from eventide.session import scratch_dir
 
 
@@ -39,8 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark, name)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+#: Where ``written`` put its tables, by the identity of what it returned.
+_PLACES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``written`` stored, for tables that no plan reads any more."""
+    for table in tables:
+        known, path = _PLACES.pop(id(table), (None, None))
+        if known is not None and known() is table:
+            delete(table.sparkSession, [path])
 
 
 @contextmanager

@@ -5,13 +5,14 @@
 2. Words: counts per language; a phrase is frequent only if its words are, so only frequent
    words get an id, dense over all languages (so an id names its language too). Each block's
    list is joined with the ids: the vocabulary is never broadcast.
-3. Filters: the word ids of every phrase of two to four words are packed into one number, an
+3. Filters: the word ids of a phrase are packed into one number, an
    invertible permutation mixes it, and its high bits (shard and quotient) place it while
    all remaining bits are kept as the remainder. So a filter, which stores a bit vector of
    quotients and runs, the remainders and counters of variable length, loses nothing.
-   A block emits one filter per shard; a shard merges its sorted filters and undoes the
-   permutation for phrases that are frequent enough.
-4. Scores, containment and ranks are joins of the frequent phrases, in DataFrame operations.
+   A block emits one filter of its pairs of words per shard; a shard merges its sorted filters, undoes the
+   permutation for pairs that are frequent enough, and replies to each filter with one bit per entry.
+4. A longer phrase is frequent only if all its pairs are: blocks send filters of those in a second round.
+5. Scores, containment and ranks are joins of the frequent phrases, in DataFrame operations.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventide.llm.common import pick, read, small_batches, written
+from eventide.llm.common import dropped, pick, read, small_batches, written
 
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 #: A longer phrase with this share (in hundredths) of a candidate's count replaces it.
 CONTAINED = 80
 #: Characters of text per block, and distinct phrases of one length in a shard, at most.
-BLOCK_BYTES, SHARD_PHRASES = 1 << 20, 2_000_000
+BLOCK_BYTES, SHARD_PHRASES = 16 << 20, 2_000_000
 #: A-Z to a-z, every character that ends a piece to ``.``, tab to space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
@@ -171,20 +172,26 @@ def _widen(data: bytes, at: int, size: int, bits: int) -> tuple[np.ndarray, int]
 
 # ---------------------------------------------------------------- blocks and words
 
-_BLOCK_DDL = "block bigint, lang string, words array<binary>, counts array<bigint>, ids binary"
+def planes(ids: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: all lowest bytes first. The high bytes, mostly equal, compress well."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+_BLOCK_DDL = "lang string, words array<binary>, counts array<bigint>, ids binary"
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """Blocks of one language: its distinct words, their counts, and the text as their numbers (0: between pieces). Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh():
-            return defaultdict(count(1).__next__), []
-
         def block(lang, words, parts):
             ids = np.concatenate(parts)
             counts = np.bincount(ids, minlength=len(words) + 1)[1:]
-            row = [[lang], [list(words)], [counts.tolist()], [ids.astype("<i4").tobytes()]]
+            row = [[lang], [list(words)], [counts.tolist()], [planes(ids)]]
             kinds = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["lang", "words", "counts", "ids"])
 
@@ -194,7 +201,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 part = whole.slice(at, 64)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = [t for t in tokens(text) if t]
-                    words, parts = held.setdefault(lang, fresh())
+                    words, parts = held.setdefault(lang, (defaultdict(count(1).__next__), []))
                     own = np.fromiter((0 if t == b"." else words[t] for t in found), np.int32, len(found))
                     parts.append(np.append(own, np.int32(0)))  # phrases do not cross texts
                     size += len(text or "") + 8
@@ -205,81 +212,147 @@ def _blocks(docs: DataFrame) -> DataFrame:
         for name, (words, parts) in held.items():
             yield block(name, words, parts)
 
-    cut = docs.select("lang", "text").mapInArrow(run, "lang string, words array<binary>, counts array<bigint>, ids binary")
+    cut = docs.select("lang", "text").mapInArrow(run, _BLOCK_DDL)
     return written(cut.withColumn("block", F.monotonically_increasing_id()), "blocks")  # numbered once, stored
 
 
-def _numbered(words: DataFrame) -> tuple[DataFrame, int]:
-    """Dense ids from 0 for the rows of ``words``: numbers within parts, moved by the parts' sizes."""
-    parts = 64
-    dealt = words.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(parts)).cast("int"))
-    sizes = dict(dealt.groupBy("part").count().collect())  # at most 64 rows
-    starts, total = {}, 0
-    for p in range(parts):
-        starts[p], total = total, total + sizes.get(p, 0)
-    own = F.row_number().over(W.partitionBy("part").orderBy("lang", "word")) - 1
-    offset = F.element_at(F.array(*[F.lit(starts[p]).cast("bigint") for p in range(parts)]), F.col("part") + 1)
-    return written(dealt.select("lang", "word", "n", (offset + own).cast("bigint").alias("id")), "words"), total
+def _frequent_words(blocks: DataFrame, min_count: int) -> DataFrame:
+    """Where frequent words are: ``block``, ``place`` in its list, ``id``; ``lang``, ``word``, ``n`` in one row of each word. Stored.
+
+    Words are dealt by hash into as many parts as tasks, and a part's words are counted and numbered in one sort: id = number * parts +
+    part, so ids are dense but for the parts' uneven sizes. As many rows as the blocks have distinct words are shuffled, once.
+    """
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
+        "block", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("own"))
+    dealt = each.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
+    same = W.partitionBy("part").orderBy("lang", "word")
+    total = F.sum("own").over(same.rangeBetween(W.currentRow, W.currentRow))
+    kept = dealt.withColumn("n", total).where(F.col("n") >= min_count)
+    rank = F.dense_rank().over(same)
+    kept = kept.withColumn("id", ((rank - 1) * parts + F.col("part")).cast("bigint")).withColumn("before", F.lag("id").over(same))
+    first = F.col("before").isNull() | (F.col("before") != F.col("id"))
+    return written(kept.select("block", "place", "id", *[F.when(first, F.col(c)).alias(c) for c in ("lang", "word", "n")]), "word-places")
+
+
+def _coded(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """``block`` and its text as word ids plus one (0: a rare word, or between pieces). Stored."""
+    known = places.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(whole.num_rows):
+                row = whole.slice(at, 1)
+                own = row.column("known").flatten()
+                ids = np.zeros(row.column("size")[0].as_py() + 1, np.int32)
+                ids[own.field("place").to_numpy() + 1] = own.field("id").to_numpy() + 1
+                text = ids[from_planes(row.column("ids")[0].as_buffer())]
+                yield pa.RecordBatch.from_arrays([row.column("block"), pa.array([planes(text)], pa.binary())], names=["block", "ids"])
+
+    joined = blocks.select("block", "ids", F.size("words").alias("size")).join(known, "block")
+    return written(joined.mapInArrow(run, "block bigint, ids binary"), "coded")
 
 
 # ---------------------------------------------------------------- phrases
 
-def _filters(coded: DataFrame, id_bits: int, shard_bits: dict[int, int]) -> DataFrame:
-    """A filter per block, phrase length and shard. ``coded``: ``ids`` of a block and ``known``, the id of each block word."""
+def _phrases_of(ids: np.ndarray, at: np.ndarray, n: int, id_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Permuted phrases of ``n`` words that begin at the places ``at``."""
+    return permute(*pack([ids[at + i] - 1 for i in range(n)], id_bits), *_halves(n, id_bits))
+
+
+def _by_shard(x: np.ndarray, low_bits: int, shards: int) -> np.ndarray:
+    """Bounds of the shards in sorted ``x``."""
+    return np.searchsorted(x >> np.uint64(low_bits), np.arange((1 << shards) + 1, dtype=np.uint64))
+
+
+def _filters(coded: DataFrame, id_bits: int, shard_bits: int, lengths: range) -> DataFrame:
+    """A filter per block, phrase length and shard. With ``masks`` in ``coded``, only phrases whose pairs are all frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(whole.num_rows):
                 row = whole.slice(at, 1)
-                known = row.column("known").flatten()
-                places = np.full(row.column("size")[0].as_py() + 1, -1, np.int64)  # rare words, and 0 between pieces, end a phrase
-                places[known.field("place").to_numpy() + 1] = known.field("id").to_numpy()
-                ids = places[np.frombuffer(row.column("ids")[0].as_buffer(), "<i4")]
-                whole_phrase = ids >= 0
-                for n, own_shards in shard_bits.items():
-                    whole_phrase = whole_phrase[:-1] & (ids[n - 1:] >= 0) if len(whole_phrase) else whole_phrase
-                    at_words = np.flatnonzero(whole_phrase)
+                ids = from_planes(row.column("ids")[0].as_buffer()).astype(np.int64)
+                linked = (ids[:-1] > 0) & (ids[1:] > 0)  # pairs of frequent words
+                if "masks" in row.schema.names:
+                    linked = _frequent_pairs(ids, linked, row.column("masks")[0].as_py() or [], id_bits, shard_bits)
+                for n in lengths:
                     x_bits, y_bits = _halves(n, id_bits)
-                    x, y = permute(*pack([ids[at_words + i] for i in range(n)], id_bits), x_bits, y_bits)
+                    starts = linked[:max(0, len(linked) - n + 2)].copy()
+                    for i in range(1, n - 1):
+                        starts &= linked[i:len(starts) + i]
+                    x, y = _phrases_of(ids, np.flatnonzero(starts), n, id_bits)
                     x, y, counts = counted(x, y, None, y_bits, x_bits + y_bits <= 64)
-                    low_bits = x_bits - own_shards
-                    bounds = np.searchsorted(x >> np.uint64(low_bits), np.arange((1 << own_shards) + 1, dtype=np.uint64))
+                    low_bits = x_bits - shard_bits
+                    bounds = _by_shard(x, low_bits, shard_bits)
                     out = []
-                    for shard in range(1 << own_shards):
+                    for shard in np.flatnonzero(np.diff(bounds)).tolist():
                         a, b = bounds[shard], bounds[shard + 1]
-                        if a < b:
-                            q = min(low_bits, max(1, int(b - a).bit_length()))
-                            out.append({"n": n, "shard": shard, "size": int(b - a), "q": q, **QuotientFilter.dump(x[a:b], y[a:b], counts[a:b], low_bits, q, y_bits)})
+                        q = min(low_bits, max(1, int(b - a).bit_length()))
+                        out.append({"block": row.column("block")[0].as_py(), "n": n, "shard": shard, "size": int(b - a), "q": q,
+                                    **QuotientFilter.dump(x[a:b], y[a:b], counts[a:b], low_bits, q, y_bits)})
                     if out:
                         yield pa.RecordBatch.from_pylist(out, _FILTER)
 
     return coded.mapInArrow(run, _FILTER_DDL)
 
 
-_FILTER = pa.schema([("n", pa.int32()), ("shard", pa.int32()), ("size", pa.int64()), ("q", pa.int32()), ("bits", pa.binary()),
+def _frequent_pairs(ids: np.ndarray, linked: np.ndarray, masks: list[dict], id_bits: int, shard_bits: int) -> np.ndarray:
+    """``linked``, but only for pairs that the shards' replies mark: one bit per entry of the block's filter of pairs."""
+    x_bits, y_bits = _halves(2, id_bits)
+    at = np.flatnonzero(linked)
+    x, y = _phrases_of(ids, at, 2, id_bits)
+    pair = x << np.uint64(y_bits) | y  # 2 * id_bits <= 64
+    entries, place = np.unique(pair, return_inverse=True)
+    bounds = _by_shard(entries >> np.uint64(y_bits), x_bits - shard_bits, shard_bits)
+    frequent = np.zeros(len(entries), bool)
+    for m in masks:
+        a, b = bounds[m["shard"]], bounds[m["shard"] + 1]
+        frequent[a:b] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=int(b - a)).astype(bool)
+    out = np.zeros(len(linked), bool)
+    out[at] = frequent[place]
+    return out
+
+
+_FILTER = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("shard", pa.int32()), ("size", pa.int64()), ("q", pa.int32()), ("bits", pa.binary()),
                      ("rests", pa.binary()), ("counters", pa.binary()), ("large", pa.binary())])
-_FILTER_DDL = "n int, shard int, size bigint, q int, bits binary, rests binary, counters binary, large binary"
+_FILTER_DDL = "block bigint, n int, shard int, size bigint, q int, bits binary, rests binary, counters binary, large binary"
+_MERGED = pa.schema([("ids", pa.list_(pa.int64())), ("a", pa.int64()), ("block", pa.int64()), ("shard", pa.int32()), ("mask", pa.binary())])
 
 
-def _merged(filters: DataFrame, id_bits: int, shard_bits: dict[int, int], min_count: int) -> DataFrame:
-    """Frequent phrases (``ids`` array<bigint>, ``a``) of all filters: each shard's sorted filters merged, smaller with smaller."""
+def _merged(filters: DataFrame, id_bits: int, shard_bits: int, min_count: int, reply: bool) -> DataFrame:
+    """Frequent phrases (``ids``, ``a``) of all filters: each shard's sorted filters merged, like sizes first. With ``reply`` also one row
+    per filter (``block``, ``shard``, ``mask``): which of its phrases are frequent. A shard holds its filters meanwhile."""
 
     def phrases(n: int, shard: int, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         x_bits, y_bits = _halves(n, id_bits)
-        low_bits, one_word = x_bits - shard_bits[n], x_bits + y_bits <= 64
-        stack: list[tuple] = []
+        low_bits, one_word = x_bits - shard_bits, x_bits + y_bits <= 64
+        stack, held = [], []
         for row in rows:
-            stack.append(QuotientFilter.load(row, row["size"], shard, low_bits, row["q"], y_bits))
+            own = QuotientFilter.load(row, row["size"], shard, low_bits, row["q"], y_bits)
+            if reply:
+                held.append((row["block"], own[0] << np.uint64(y_bits) | own[1]))
+            stack.append(own)
             while len(stack) > 1 and len(stack[-1][0]) * 2 >= len(stack[-2][0]):
                 last, other = stack.pop(), stack.pop()
                 stack.append(counted(*[np.concatenate(c) for c in zip(other, last)], y_bits, one_word))
         x, y, counts = counted(*[np.concatenate(c) for c in zip(*stack)], y_bits, one_word)
         kept = np.flatnonzero(counts >= min_count)
+        frequent = x[kept] << np.uint64(y_bits) | y[kept]
+        for block, own in held:
+            at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
+            found = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
+            if found.any():
+                yield _result([None], [None], [block], [shard], [np.packbits(found).tobytes()])
         ids = unpack(*unpermute(x[kept], y[kept], x_bits, y_bits), n, id_bits)
         for a in range(0, len(kept), 8192):
-            flat = np.stack([i[a:a + 8192] for i in ids], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * n), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([lists, pa.array(counts[kept[a:a + 8192]])], names=["ids", "a"])
+            size = len(kept[a:a + 8192])
+            flat = np.stack([i[a:a + 8192] for i in ids], axis=1).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * n), pa.array(flat))
+            yield _result(lists, counts[kept[a:a + 8192]], [None] * size, [None] * size, [None] * size)
+
+    def _result(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _MERGED)], schema=_MERGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -288,22 +361,21 @@ def _merged(filters: DataFrame, id_bits: int, shard_bits: dict[int, int], min_co
                     yield batch.slice(at, 1).to_pylist()[0]
 
         stream = rows()
-        held = next(stream, None)
-        while held:
-            now = (held["n"], held["shard"])
+        pending = next(stream, None)
+        while pending:
+            now = (pending["n"], pending["shard"])
 
             def own():
-                nonlocal held
-                while held and (held["n"], held["shard"]) == now:
-                    row, held = held, next(stream, None)
+                nonlocal pending
+                while pending and (pending["n"], pending["shard"]) == now:
+                    row, pending = pending, next(stream, None)
                     yield row
 
             yield from phrases(*now, own())
 
-    spark = filters.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = int(filters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = filters.repartition(tasks, "n", "shard").sortWithinPartitions("n", "shard")
-    return written(dealt.mapInArrow(run, "ids array<bigint>, a bigint"), "phrases")
+    return written(dealt.mapInArrow(run, "ids array<bigint>, a bigint, block bigint, shard int, mask binary"), "phrases")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -312,22 +384,22 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     ``docs`` has ``lang`` (no null) and ``text``.
     """
     blocks = _blocks(docs)
-    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    each = each.select("block", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counts = written(each.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    words, many = _numbered(counts.where(F.col("n") >= min_count))
-    id_bits = max(1, (max(many, 2) - 1).bit_length())
-    if id_bits > 32:
-        raise ValueError(f"{many} frequent words: packed phrases hold up to 2^32 of them")
-    # the ids of a block's words: as many rows as the blocks have distinct words
-    known = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
-        F.collect_list(F.struct("place", "id")).alias("known"))
-    coded = blocks.join(known, "block").select("ids", F.size("words").alias("size"), "known")
-    positions = counts.agg(F.sum("n")).first()[0] or 0  # an upper bound of the distinct phrases of each length
-    shard_bits = {n: min(max(0, (positions // SHARD_PHRASES).bit_length()), _halves(n, id_bits)[0] - 1) for n in range(2, longest + 1)}
-    merged = _merged(_filters(coded, id_bits, shard_bits), id_bits, shard_bits, min_count)
-    return merged.unionByName(words.select(F.array("id").alias("ids"), F.col("n").alias("a"))), words, totals
+    totals = written(blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, c) -> s + c)")).alias("n")).where("n > 0"), "totals")
+    places = _frequent_words(blocks, min_count)
+    words = places.where("word IS NOT NULL").select("lang", "word", "n", "id")
+    most = words.agg(F.max("id")).first()[0] or 1
+    id_bits = most.bit_length()
+    if id_bits > 31:
+        raise ValueError(f"{most} frequent words: packed phrases hold up to 2^31 of them")
+    coded = _coded(blocks, places)
+    positions = totals.agg(F.sum("n")).first()[0] or 0  # an upper bound of the distinct phrases of each length
+    shard_bits = min((positions // SHARD_PHRASES).bit_length(), id_bits - 1)
+    pairs = _merged(_filters(coded, id_bits, shard_bits, range(2, 3)), id_bits, shard_bits, min_count, True)
+    masks = pairs.where("mask IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("masks"))  # one per shard at most
+    longer = _merged(_filters(coded.join(masks, "block"), id_bits, shard_bits, range(3, longest + 1)), id_bits, shard_bits, min_count, False)
+    found = pairs.unionByName(longer).where("ids IS NOT NULL").select("ids", "a").unionByName(words.select(F.array("id").alias("ids"), F.col("n").alias("a")))
+    dropped(blocks, coded)
+    return found, words, totals
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST,

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventide.llm import op12_collocations as op
@@ -96,6 +97,11 @@ def test_phrases_survive_permutation_and_filter(n, id_bits):
         assert all((a == b).all() for a, b in zip(got, (x[at], y[at], counts[at])))
 
 
+def test_numbers_survive_their_planes():
+    ids = np.array([0, 1, 255, 256, 70_000, 2**31 - 1, 5], np.int32)
+    assert (op.from_planes(pa.py_buffer(op.planes(ids))) == ids).all() and len(op.from_planes(pa.py_buffer(op.planes(ids[:0])))) == 0
+
+
 def test_tokens_are_the_pattern():
     for t in ("", None, "A b\tc.D,,e\n\nf  g\rh\x0bi\x0cj", "\x1ca\x00 É\xa0x", ". . .", "a:b;c!d?e"):
         got, now = [], []
