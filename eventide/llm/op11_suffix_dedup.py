@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import pick, read, written
+from eventide.llm.common import dropped, pick, read, written
 
 LENGTH, CORE = 400, 200
 HOT_KINDS = 20_000
@@ -394,9 +394,12 @@ def repeated_spans(docs: DataFrame, length: int, core: int) -> tuple[DataFrame,
         found = found.unionByName(_compared(runs, shards, length, core))
         if size["most"] > HOT_KINDS:
             found = found.unionByName(_counted(with_text(unsure.where(F.col("kinds") > HOT_KINDS)), length))
-    spans = places.join(written(found, "found"), ["core", "kind"]).select(
+    stored = written(found, "found")
+    spans = places.join(stored, ["core", "kind"]).select(
         "row", (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + length).alias("end"))
-    return texts, copied.unionByName(spans)
+    whole = written(copied.unionByName(spans), "spans")
+    dropped(contents, places, kinds, unsure, stored)
+    return texts, whole
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int | None = None,
