@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from eventide.llm.common import col, held_out, pick, read
 
 WINDOW_WORDS, LEVEL, TOXIC_FROM = 16, 9, 0.3
-#: Bounds of the training sample: rows per class, and characters of one row's excerpt.
-TRAIN_ROWS, TRAIN_CHARS = 2_500, 20_000
+#: Bounds of the training sample: rows per class, and windows of one row, chosen all over its text.
+TRAIN_ROWS, TRAIN_WINDOWS = 2_500, 210
+#: Windows of ordinary rows that set the threshold of a difference, at most.
+THRESHOLD_WINDOWS = 20_000
 ORDINARY_BYTES = 65_536
 #: Toxic dictionaries to choose from by validation across the folds: what they are trained on, the least
 #: contexts of a word or rows of a passage, and bytes.
@@ -172,7 +174,7 @@ def _train_kinds(toxic: list[str], ordinary: list[str], kinds: tuple) -> list[Di
     order = np.random.default_rng(0).permutation(len(plain))
     plain = [plain[i] for i in order]
     base = _dictionary(plain[:len(plain) * 3 // 4] or [b" "], ORDINARY_BYTES)
-    one, rest = _compressor(base), plain[len(plain) * 3 // 4:][:20_000]
+    one, rest = _compressor(base), plain[len(plain) * 3 // 4:][:THRESHOLD_WINDOWS]
     lengths = [len(one.compress(w)) for w in rest]
     used, plainly = _contexts(toxic), _contexts(ordinary)
     out = []
@@ -234,9 +236,19 @@ def _loss(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(-(weight * np.log(np.clip(np.where(y == 1, scores, 1 - scores), 1e-12, 1))).sum() / weight.sum())
 
 
+def excerpt(text: str | None, most: int = TRAIN_WINDOWS, size: int = WINDOW_WORDS) -> str:
+    """The text, or ``most`` of its windows of ``size`` words, chosen by a hash all over it, in their order."""
+    words = (text or "").split()
+    if len(words) <= most * size:
+        return text or ""
+    starts = range(0, len(words), size)
+    chosen = sorted(sorted(starts, key=lambda at: zlib.crc32(f"{at} {' '.join(words[at:at + size])}".encode()))[:most])
+    return " ".join(" ".join(words[at:at + size]) for at in chosen)  # only the last can be short: it is cut the same way again
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                     rows_per_class: int) -> tuple[list[str], list[int], list[float]]:
-    """The texts of at most ``rows_per_class`` labelled ids of each class that are not held out.
+    """The texts (``excerpt``) of at most ``rows_per_class`` labelled ids of each class that are not held out.
 
     Ids are chosen by a hash; repeated labels of an id count once (the largest), and of
     repeated rows of an id one text is read, chosen by a hash: every sampled id has its text
@@ -248,12 +260,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     share = {k: min(1.0, rows_per_class / n) for k, n in counts.items()}
     place = F.xxhash64("doc_id", F.lit(7))
     chosen = [known.where(F.col("label") == k).orderBy(place, "doc_id").limit(rows_per_class) for k in (0, 1)]
-    text = F.substring(F.coalesce(col("text"), F.lit("")), 1, TRAIN_CHARS).alias("text")
+    text = F.coalesce(col("text"), F.lit("")).alias("text")
     # two times rows_per_class ids at most: the texts are not shuffled
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))
     one = (pick(docs, doc_id=id_col, text=text_col).join(sample, "doc_id").select("doc_id", "label", text)
            .groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("first")))
-    rows = one.select("doc_id", "label", "first.text").collect()  # one row per sampled id
+    kind = one.schema["doc_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([excerpt(t) for t in batch.column(2).to_pylist()], pa.string())],
+                                             names=["doc_id", "label", "text"])
+
+    whole = one.select("doc_id", F.col("label").cast("int").alias("label"), "first.text")
+    rows = whole.mapInArrow(cut, f"doc_id {kind.dataType.simpleString()}, label int, text string").collect()  # one row per sampled id
     rows.sort(key=lambda r: (str(r.doc_id), r.text))
     return [r.text for r in rows], [r.label for r in rows], [1 / share[r.label] for r in rows]
 

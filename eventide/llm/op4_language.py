@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from eventide.llm.common import held_out, pick, read
 
 PROFILE = 300
-#: Bounds of the training sample: rows per language, and characters of one row's excerpt.
-TRAIN_ROWS, TRAIN_CHARS = 1_500, 20_000
+#: Bound of the training sample: ids per language. Their whole texts are read.
+TRAIN_ROWS = 1_500
 UNKNOWN = "und"
 #: A text this far from every profile shares next to nothing with any learnt language (clean ones stay below 0.6).
 NO_LANGUAGE = 0.95
@@ -102,16 +102,17 @@ class Profiles:
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              rows_per_language: int = TRAIN_ROWS) -> Profiles:
-    """Profiles from about ``rows_per_language`` rows of each language, chosen by a hash of
-    the id among those that are not held out; ``TRAIN_CHARS`` characters of each are read."""
+    """Profiles from the whole texts of ``rows_per_language`` ids of each language (all, if fewer), the first by a hash
+    of the id among those that are not held out. Of repeated rows of an id one text is read, chosen by a hash."""
     known = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(
         F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
-    if not counts:
-        return Profiles.of({})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_language / n))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(place < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    ids = known.select("lang", "doc_id").distinct()
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
+    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows_per_language).drop("place")
+    # languages times rows_per_language ids at most: the texts are not shuffled
+    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("first")).select("lang", "first.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}

@@ -3,7 +3,7 @@
 A page becomes a flat list of text blocks, cut at block-level tags. A block knows
 its number of words, the share of them inside links, the same two of its
 neighbours, and where it stands: inside an article, inside a boilerplate container
-(by tag, role, class or id), in a heading, in a run of short linked blocks. A small classification tree, grown on the labelled
+(by tag, role, class or id), in a heading, in a run of short linked blocks or of unlinked ones. A small classification tree, grown on the labelled
 table below, says which blocks are main text.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventide.llm.common import pick, read
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)""", re.S)
-_RAW = frozenset("script style noscript template title textarea select iframe object svg math video audio canvas button".split())
+_RAW = frozenset("script style noscript template title textarea select iframe object svg video audio canvas".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -39,6 +39,11 @@ _BOILER_NAME = frozenset(
     "menus modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup privacy promo "
     "promotion promoted recommended related replies reply respond search share sharing sidebar sidebars signin signup skip "
     "social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split())
+#: Of these, words that an article may be about: there they mark a block only if it is short or linked.
+_TOPIC = frozenset("copyright disclaimer header headers privacy search skip tags".split())
+DENSE_WORDS, DENSE_LINKED = 16, 0.2
+#: Scripts written without spaces: two characters count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Words after which a name says what a page has or lacks, not what the element is.
 _OF_PAGE = frozenset("no not has with without".split())
 #: A menu's entry: at most so many words, this share of them linked.
@@ -49,7 +54,8 @@ _VOID = frozenset("br hr img input meta link wbr area base col embed source trac
 
 #: The labelled table. Columns: words and link share of the block, of the block before
 #: and of the one after; inside an article; inside a boilerplate container; a heading;
-#: blocks in the run of short linked ones around it; main text.
+#: blocks in the run of short linked ones around it; main text; words of the run of unlinked
+#: blocks around it, if that is more than the block and its neighbours.
 LABELLED = (
     # articles: long, short and one-word paragraphs, headings, lists, quotes, inline links
     (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (120, 0.05, 8, 0.0, 90, 0.0, 1, 0, 0, 0, 1),
@@ -95,9 +101,25 @@ LABELLED = (
     (6, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0, 0), (9, 0.8, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
     (30, 0.9, 3, 1.0, 12, 1.0, 0, 0, 0, 0, 0), (20, 0.7, 40, 0.0, 6, 1.0, 0, 0, 0, 0, 0),
     (4, 0.0, 2, 1.0, 5, 1.0, 0, 0, 1, 0, 0), (3, 0.0, 6, 1.0, 2, 1.0, 0, 0, 1, 0, 0),
+    # short blocks in a run with dense ones: dialogue, lists, tables, lines of verse
+    (4, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0, 0, 1, 90), (2, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 0, 1, 45), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0, 1, 60),
+    (5, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 70), (3, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 1, 40), (6, 0.0, 7, 0.0, 2, 1.0, 0, 0, 0, 0, 1, 33),
+    (2, 0.0, 4, 0.0, 3, 0.0, 0, 0, 1, 0, 1, 50), (4, 0.0, 2, 1.0, 6, 0.0, 0, 0, 1, 0, 1, 30),
+    # and in runs of short ones alone
+    (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 9), (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 14), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0, 0, 6),
 )
 
 
+def table() -> np.ndarray:
+    """The labelled rows with all columns, the label last."""
+    rows = []
+    for *row, in LABELLED:
+        features, label, rest = row[:10], row[10], row[11:]
+        run = sum(w for w, linked in zip(row[0:6:2], row[1:6:2]) if linked < MOSTLY) if row[1] < MOSTLY and not row[6] and not row[7] else 0
+        rows.append([*features, *(rest or [run]), label])
+    return np.array(rows, float)
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | int:
     """A classification tree: (feature, cut, tree up to the cut, tree above it), or the class."""
     if depth == 0 or len(set(y.tolist())) < 2:
@@ -121,19 +143,19 @@ def tree() -> tuple | int:
     """The tree of the labelled table: what a block is comes before how it looks, so the sides of
     boilerplate, article, headings and the rest are grown each on its own rows. A feature that splits
     equally well stands before later ones."""
-    table = np.array(LABELLED, float)
-    order = [9, 1, 8, 0, 2, 3, 5, 4]
+    rows = table()
+    order = [10, 9, 1, 8, 0, 2, 3, 5, 4]
 
     def named(node: tuple | int) -> tuple | int:
         return node if isinstance(node, int) else (order[node[0]], node[1], named(node[2]), named(node[3]))
 
-    def side(rows: np.ndarray) -> tuple | int:
-        return named(grow(rows[:, order], rows[:, -1]))
+    def side(which: np.ndarray) -> tuple | int:
+        return named(grow(rows[which][:, order], rows[which][:, -1]))
 
-    boiler, article, heading = table[:, 7] == 1, table[:, 6] == 1, table[:, 8] == 1
+    boiler, article, heading = rows[:, 7] == 1, rows[:, 6] == 1, rows[:, 8] == 1
     other = ~boiler & ~article
-    plain = 8, 0.5, side(table[other & ~heading]), side(table[other & heading])
-    return 7, 0.5, (6, 0.5, plain, side(table[~boiler & article])), side(table[boiler])
+    plain = 8, 0.5, side(other & ~heading), side(other & heading)
+    return 7, 0.5, (6, 0.5, plain, side(~boiler & article)), side(boiler)
 
 
 @dataclass
@@ -155,50 +177,67 @@ def _marks(value: str) -> set[str]:
     return found & _BOILER_NAME
 
 
-def _boilerplate(name: str, attributes: str, article: bool, named: bool = True) -> bool:
-    """``named``: class and id say what the element is; those of a body, main or article speak of the whole page."""
+def count_words(text: str) -> int:
+    """Words between spaces, and one for two characters of a script without spaces."""
+    words = len(text.split())
+    return words if text.isascii() else max(words, words + len(_UNSPACED.findall(text)) // 2 - 1) if words else 0
+
+
+NOT, TOPIC, BOILER = 0, 1, 2
+
+
+def _boilerplate(name: str, attributes: str, article: bool, named: bool = True) -> int:
+    """Whether an element is boilerplate: not, if its text is not dense (``TOPIC``), or at any rate.
+    ``named``: class and id say what the element is; those of a body, main or article speak of the whole page."""
     if name in _BOILER_TAG or name == "header" and not article:
-        return True
+        return BOILER
     if not attributes or attributes.isspace():
-        return False
+        return NOT
+    mark = NOT
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id") and named:
             marks = _marks(value)
-            if marks - {"header", "headers"} or marks and not article:  # an article may have a header of its own
-                return True
+            if marks - _TOPIC or marks and not article:
+                return BOILER
+            if marks - {"header", "headers"}:  # an article may have a header of its own
+                mark = TOPIC
         if key == "role" and value.lower() in _BOILER_ROLE or key == "hidden":
-            return True
+            return BOILER
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return BOILER
+    return mark
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order; character references are decoded, white space is folded."""
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, inside an article, inside boilerplate
+    stack: list[tuple[str, bool, int]] = []  # open containers: tag, inside an article, mark
     parts: list[str] = []
-    linked = link = at = 0
-    article = boiler = heading = False
+    linked = pressed = link = button = at = 0
+    article = heading = False
+    boiler = own = NOT  # marks of the containers and of the block itself
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, pressed
         text = " ".join("".join(parts).split())
         if text:
-            words = text.count(" ") + 1
-            found.append(Block(text, words, min(1.0, linked / words), article, boiler, heading))
+            words, mark = count_words(text), max(boiler, own)
+            share = min(1.0, linked / words)
+            dense = words >= DENSE_WORDS and share < DENSE_LINKED
+            # what is nothing but buttons is a control, within a sentence a button is a word
+            found.append(Block(text, words, share, article, mark == BOILER or mark == TOPIC and not dense or pressed >= words, heading))
         parts.clear()
-        linked = 0
+        linked = pressed = 0
 
     def say(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, pressed
         if text:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
-            if link:
-                linked += len(text.split())
+            linked += count_words(text) if link else 0
+            pressed += count_words(text) if button else 0
 
     end = len(page)
     while at < end:
@@ -219,12 +258,16 @@ def blocks(page: str | None) -> list[Block]:
         if name == "a":
             link = 0 if closing else 1
             continue
+        if name == "button":
+            button = 0 if closing else 1
+            continue
         if name == "br":
             parts.append("\n")
             continue
         if name in _BLOCK:
             close()
-            link = 0
+            link = button = 0
+            own = NOT if closing or name in _CONTAINER else _boilerplate(name, attributes, article)
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
         if name in _CONTAINER:
             if closing:
@@ -241,8 +284,8 @@ def blocks(page: str | None) -> list[Block]:
                 marked = _boilerplate(name, attributes, inside, named)
                 if name == "span" and marked and not boiler:
                     close()
-                stack.append((name, inside, boiler or marked))
-            _, article, boiler = stack[-1] if stack else ("", False, False)
+                stack.append((name, inside, max(boiler, marked)))
+            _, article, boiler = stack[-1] if stack else ("", False, NOT)
     close()
     return found
 
@@ -262,22 +305,36 @@ def runs(found: list[Block]) -> list[int]:
     return out
 
 
+def text_runs(found: list[Block]) -> list[int]:
+    """Of every unlinked block outside articles and boilerplate, the words of the row of such blocks that it stands in; else 0."""
+    out, first, words = [0] * len(found), 0, 0
+    for i in range(len(found) + 1):
+        b = found[i] if i < len(found) else None
+        if b is not None and b.linked < MOSTLY and not b.article and not b.boiler:
+            words += b.words
+            continue
+        out[first:i] = [words] * (i - first)
+        first, words = i + 1, 0
+    return out[:len(found)]
+
+
 def main_text(page: str | None) -> str:
-    """Main text of a whole page: its blocks in page order, joined by an empty line."""
+    """Main text of a whole page: its blocks in page order, joined by an empty line. A page where nothing is
+    dense enough gives all that is neither linked nor marked as boilerplate."""
     found = blocks(page)
     size = [(b.words, b.linked) for b in found]
-    run = runs(found)
+    run, texts = runs(found), text_runs(found)
     kept = []
     for i, b in enumerate(found):
         before = size[i - 1] if i else (0, 0.0)
         after = size[i + 1] if i + 1 < len(size) else (0, 0.0)
-        row = (b.words, b.linked, *before, *after, b.article, b.boiler, b.heading, run[i])
+        row = (b.words, b.linked, *before, *after, b.article, b.boiler, b.heading, run[i], texts[i])
         node = tree()
         while not isinstance(node, int):
             node = node[2] if row[node[0]] <= node[1] else node[3]
         if node:
             kept.append(b.text)
-    return "\n\n".join(kept)
+    return "\n\n".join(kept or [b.text for i, b in enumerate(found) if texts[i]])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

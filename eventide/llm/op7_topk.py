@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from eventide.llm.common import pick, read, written
 
-K, SCALE, EVERY = 5, 256.0, 50
+K, SCALE, EVERY = 5, 256, 50
 BITS, CANDIDATES, QUERIES = 6, 4096, 512
 _EXACT = 2.0 ** 53  # sums below are exact in double precision
 _CHUNK = 32
@@ -40,19 +40,29 @@ def cells(vectors: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return found, edges
 
 
+def _whole(x: float, scale: int) -> int:
+    """``scale * x``, a whole number that may pass the doubles."""
+    return int(x * scale) if abs(x) < _EXACT else int(x) * scale
+
+
 def _long(score: int) -> int:
     """A score cut to 64 bits."""
     return max(-(1 << 63), min((1 << 63) - 1, score))
 
 
 def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, approx: np.ndarray, edges: np.ndarray,
-         ids: np.ndarray, rows: np.ndarray, k: int = K) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of each query; ties to the smaller id; not its own row."""
-    reach = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, vectors.shape[1])
-    if reach >= _EXACT:  # too large for exact doubles: whole numbers of any size
-        whole = [[int(x) for x in v] for v in vectors]
-        for q, query in enumerate(queries):
-            own = [int(x) for x in query]
+         ids: np.ndarray, rows: np.ndarray, k: int = K, scale: int = 1) -> Iterator[tuple[int, int, int]]:
+    """(query, candidate, score) of the k best candidates of each query; ties to the smaller id; not its own row.
+
+    ``queries`` and ``vectors`` are ``scale``-ths of whole numbers, cells are of the whole numbers.
+    """
+    divided = queries, vectors
+    with np.errstate(over="ignore"):
+        queries, vectors = queries * scale, vectors * scale
+        reach = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, vectors.shape[1])
+    if not reach < _EXACT:  # too large for exact doubles: whole numbers of any size
+        asked, whole = ([[_whole(x, scale) for x in v] for v in side.tolist()] for side in divided)
+        for q, own in enumerate(asked):
             scored = [(-_long(sum(map(int.__mul__, own, v))), int(ids[c]), c) for c, v in enumerate(whole) if rows[c] != query_rows[q]]
             for score, _, c in sorted(scored)[:k]:
                 yield q, c, -score
@@ -80,7 +90,7 @@ def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, appro
             yield q, c, int(-score)
 
 
-def _blocks(rows: DataFrame, size: int, approximate: bool) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, approximate: bool, scale: int) -> DataFrame:
     """Rows (row, id, vector) of a task as blocks of one dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +103,7 @@ def _blocks(rows: DataFrame, size: int, approximate: bool) -> DataFrame:
                      pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([vectors.astype("<f8").tobytes()], pa.binary())]
             names = ["dim", "rows", "ids", "vectors"]
             if approximate:
-                approx, edges = cells(vectors)
+                approx, edges = cells(np.clip(vectors, -_EXACT, _EXACT) * scale)  # larger ones are not looked up by cells
                 found += [pa.array([approx.tobytes()], pa.binary()), pa.array([edges.astype("<f8").tobytes()], pa.binary())]
                 names += ["approx", "edges"]
             return pa.RecordBatch.from_arrays(found, names=names)
@@ -111,16 +121,18 @@ def _blocks(rows: DataFrame, size: int, approximate: bool) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
-          scale: float = SCALE) -> DataFrame:
+          scale: int = SCALE) -> DataFrame:
     """The k highest integer scores of each query among all other rows.
 
     ``is_query`` selects the queries by the column ``id``. Components x become
-    floor(scale * x). Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``;
+    floor(scale * x), ``scale`` a power of two. Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``;
     ties go to the smaller id. Vectors that are null, empty or hold null or non-finite
     components and rows without an id take no part; a query meets vectors of its own length. Every
     row is a candidate once, also if its id repeats (each repeated query row has its own
     ranks); scores beyond 64 bits are cut to them before they are ranked. An empty table gives no rows.
     """
+    if scale < 1 or scale & (scale - 1):
+        raise ValueError(f"the scale must be a power of two: {scale}")
     element = F.col("vector")
     usable = F.col("id").isNotNull() & element.isNotNull() & (F.size(element) > 0) & ~F.exists(
         element, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -131,14 +143,17 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            values = pa.array(np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False)))
+            x = lists.flatten().to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore"):
+                scaled = np.floor(scale * x)
+            values = pa.array(np.where(np.isfinite(scaled), scaled / scale, x))  # exact: the scale is a power of two
             offsets = pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, values)],
                                              names=["row", "id", "vector"])
 
     stored = written(rows.mapInArrow(whole, "row bigint, id bigint, vector array<double>"), "vectors")
-    candidates = written(_blocks(stored, CANDIDATES, True), "candidates")
-    queries = written(_blocks(stored.where(is_query), QUERIES, False), "queries").withColumn("block", F.monotonically_increasing_id())
+    candidates = written(_blocks(stored, CANDIDATES, True, scale), "candidates")
+    queries = written(_blocks(stored.where(is_query), QUERIES, False, scale), "queries").withColumn("block", F.monotonically_increasing_id())
     queries = written(queries, "numbered")
     numbers = written(queries.select("dim", "block").withColumn(  # two numbers per query block
         "number", F.row_number().over(W.partitionBy("dim").orderBy("block"))), "numbers")
@@ -156,7 +171,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                 row, ids, q_row, q_ids = (np.frombuffer(raw[j], "<i8") for j in (0, 1, 5, 6))
                 own, edges, asked = (np.frombuffer(raw[j], "<f8").reshape(-1, dim) for j in (2, 4, 7))
                 approx = np.frombuffer(raw[3], np.uint8).reshape(-1, dim)
-                found = list(best(asked, q_row, own, approx, edges, ids, row, k))
+                found = list(best(asked, q_row, own, approx, edges, ids, row, k, scale))
                 if found:
                     q, c, score = (np.array(x, np.int64) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays([pa.array(q_row[q]), pa.array(q_ids[q]), pa.array(ids[c]), pa.array(row[c]), pa.array(score)],

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -127,3 +128,18 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(none).collect() == [] and top_k(none, F.col("id") % 50 == 0).collect() == []
     assert [tuple(r) for r in near_duplicates(frame(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
+
+
+def test_top_k_of_huge_components(spark):
+    """Finite components whose scores pass the doubles: whole numbers, cut to 64 bits."""
+    rows = [(0, [1e308, 0.0]), (1, [1.0, 2.0]), (2, [-1e308, 1e308]), (3, [1e308, 1e308]), (4, [1e16, 3.0]), (5, [0.5, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = sorted(map(tuple, top_k(df, F.col("id") >= 0, k=3).collect()))
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for q in whole:
+        scored = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[c])))), c) for c in whole if c != q)
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:3])]
+    assert got == sorted(want)
+    with pytest.raises(ValueError, match="power of two"):
+        top_k(df, F.col("id") >= 0, scale=100)

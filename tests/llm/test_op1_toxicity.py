@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from eventide.llm.op1_toxicity import (
-    WINDOW_WORDS, classify, differences, features, keep_ordinary, score_documents, train, train_dictionaries, training_sample,
+    WINDOW_WORDS, classify, differences, excerpt, features, keep_ordinary, score_documents, train, train_dictionaries, training_sample,
     windows,
 )
 
@@ -108,3 +108,14 @@ def test_without_labels_or_rows(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1), (77, 0, 1)], "doc_id BIGINT, quality INT, toxic INT")
     assert all(r.predicted == 0 for r in classify(edge, labels).collect())
     assert classify(empty, labels).collect() == []
+
+
+def test_long_texts_are_read_all_over():
+    """Of a text longer than the bound windows are chosen all over it, and cut again the same way."""
+    text = " ".join(f"W{i}" for i in range(50_000))
+    cut = excerpt(text)
+    chosen = windows(cut)
+    assert len(chosen) == 210 and set(chosen) <= set(windows(text)) and cut == excerpt(text)
+    places = [int(w.split()[0][1:]) for w in chosen]
+    assert places == sorted(places) and places[-1] > 45_000 and places[0] < 5_000
+    assert excerpt("a  B\n c") == "a  B\n c" and excerpt(None) == ""

@@ -85,3 +85,13 @@ def test_edge_rows(spark, edge, empty):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} >= {1, 5, None}
     assert not {r.doc_id for r in kept.collect()} & {2, 3, 4, 7}
     assert predict_documents(empty, fitted).collect() == [] and profiles(edge).languages == profiles(empty).languages == []
+
+
+def test_a_language_on_few_much_repeated_ids_gets_its_profile(spark):
+    rows = [(7, "einerlei viele zeilen", "de")] * 3000 + [(i, f"many different lines {i}", "en") for i in range(200)]
+    long = "zzz " * 30_000 + "qqqq xxxx " * 60_000  # what comes late counts
+    rows += [(i, long, "late") for i in (1001, 1004)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    fitted = profiles(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), rows_per_language=20)
+    assert {"en", "late"} <= set(fitted.languages) and (("de" in fitted.languages) == any(r[0] == 7 for r in rows))
+    assert fitted.predict("qqqq xxxx qqqq")[0] == "late"

@@ -1,10 +1,11 @@
-from eventide.llm.op6_html import LABELLED, extract, main_text, tree
+from eventide.llm.op6_html import LABELLED, count_words, extract, main_text, table, tree
 
 ARTICLE = "<html><head><title>T</title><style>p{}</style></head><body>%s</body></html>"
 
 
 def test_the_labelled_table_is_learnt():
-    for row in LABELLED:
+    assert len(table()) == len(LABELLED)
+    for row in table():
         node = tree()
         while not isinstance(node, int):
             node = node[2] if row[node[0]] <= node[1] else node[3]
@@ -97,3 +98,43 @@ def test_names_of_the_page_mark_nothing():
         assert main_text(page) == "Text"
     assert main_text('<article><p>Text</p><article class="comment"><p>Other</p></article><div class="sidebar-no-border">Other</div></article>') == "Text"
     assert main_text('<article hidden><p>Other</p></article><article><p>Text</p></article>') == "Text"
+
+
+def body(*parts):
+    menu = "<div><a href=1>One</a></div><div><a href=2>Two</a></div><div><a href=3>Three</a></div>"
+    return ARTICLE % (menu + "<div>" + "".join(parts) + "</div>" + menu)
+
+
+def test_scripts_without_spaces_are_counted_by_characters():
+    assert count_words("漢字かな交じり文の段落") >= 5 and count_words("naïve café") == 2 and count_words("") == 0 and count_words("漢") == 1
+    text = "这是一个没有文章元素的页面上的段落，它足够长，可以与菜单区分开来，所以它应该被保留下来作为正文的一部分。"
+    assert main_text(body(f"<p>{text}</p>", f"<p>{text}</p>")) == f"{text}\n\n{text}"
+
+
+def test_short_blocks_between_and_after_dense_ones_stay():
+    lines = ["Yes.", "No, I said.", "Why not?", "Because.", "I see.", "Well then."]
+    page = body(f"<p>{LONG}</p>", *[f"<p>{x}</p>" for x in lines], f"<p>{LONG}</p>")
+    assert main_text(page) == "\n\n".join([LONG, *lines, LONG])
+    items = ["Flour", "Two eggs", "Some milk", "A bit of salt"]
+    assert main_text(body(f"<p>{LONG}</p><ul>", *[f"<li>{x}</li>" for x in items], "</ul>")) == "\n\n".join([LONG, *items])
+    assert main_text(body(f"<p>{LONG}</p><table><tr>", *[f"<td>{x}</td>" for x in items], "</tr></table>")) == "\n\n".join([LONG, *items])
+
+
+def test_short_pages_give_what_they_have():
+    line = "Only ten words stand on this page in all here."
+    assert main_text(body(f"<h1>A heading</h1><p>{line}</p>")) == f"A heading\n\n{line}"
+    assert main_text(body("")) == "" and main_text("<nav><p>x</p></nav><footer>y</footer>") == ""
+
+
+def test_marks_on_every_tag_and_weighed_with_density():
+    page = f'<article><p>{LONG}</p><p class="advert">{LONG}</p><h2 class="related">More of this</h2><pre id="sponsored">{LONG}</pre><p>{LONG}</p></article>'
+    assert main_text(page) == f"{LONG}\n\n{LONG}"
+    for name in ("search", "privacy", "copyright-law"):
+        page = f'<article><section id="{name}"><p>{LONG}</p><p>Short one</p></section><p>{LONG}</p></article>'
+        assert main_text(page) == f"{LONG}\n\n{LONG}"
+    assert main_text(f'<article><p>{LONG}</p><div class="tags">one two</div></article>') == LONG
+
+
+def test_buttons_and_formulas_within_sentences_stay():
+    assert main_text("<article><p>Press <button>OK</button> and get <math><mi>x</mi><mo>=</mo><mn>1</mn></math> back.</p></article>") == "Press OK and get x=1 back."
+    assert main_text(f"<article><p>{LONG}</p><div><button>Share</button> <button>Like</button></div></article>") == LONG
