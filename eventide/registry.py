@@ -23,7 +23,7 @@ from eventide.operators.late import compare_watermarks, late_split
 from eventide.operators.watermark import key_watermark_snapshot, watermark_range, with_watermarks
 from eventide.operators.window_agg import windowed_agg
 from eventide.operators.windows import assign_windows
-from eventide.plans.spec import FIRE, FIRE_AND_PURGE, WatermarkSpec, WindowAggSpec, WindowSpec
+from eventide.plans.spec import FIRE, FIRE_AND_PURGE, LONG_MAX, WatermarkSpec, WindowAggSpec, WindowSpec
 from eventide.sources.events import KEY, ORDER, TS, event_stream
 
 MIN = 60_000
@@ -266,6 +266,26 @@ def _thirds_sql():
 SELECT user_id, window_end, r.part, total + r.part AS share FROM f, LATERAL (SELECT unnest(range(n % 3)) AS part) r"""
 
 
+#: The last 30 days of int64 time but for two hours: cleanup times pass int64 there.
+SPAN = 30 * 24 * HOUR
+LATE_START = LONG_MAX - SPAN - 2 * HOUR
+
+
+def q_key_cleanup_overflow(spark, sf_dir):
+    """Event times wrapped into the end of int64 time, lateness of 10 days: the cleanup time saturates."""
+    spec = WindowAggSpec(WindowSpec(HOUR), WatermarkSpec("key", BOUND), 10 * 24 * HOUR)
+    late = _stream(spark, sf_dir).withColumn(TS, lit_long(LATE_START) + F.col(TS) % SPAN)
+    return windowed_agg(late, spec, KEY, TS, ORD, combine(count_of("n"), sum_of("v", "total"))).output
+
+
+def _cleanup_overflow_sql():
+    """In 128-bit arithmetic nothing overflows: a cleanup time beyond int64 is one that no watermark reaches."""
+    source = f"SELECT * REPLACE (CAST({LATE_START} AS HUGEINT) + ts_ms % {SPAN} AS ts_ms) FROM ({O.EVENT_STREAM_SQL})"
+    f = O.window_agg_sql("key", BOUND, HOUR, HOUR, 0, 10 * 24 * HOUR, FIRE, False, ("count", "sum"), source=source)
+    times = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("window_start", "window_end", "out_ts"))
+    return f"WITH f AS ({f}) SELECT * REPLACE ({times}) FROM f"
+
+
 def q_key_enriched(spark, sf_dir):
     spec = WindowAggSpec(WindowSpec(HOUR), WatermarkSpec("key", BOUND))
     out = windowed_agg(_stream(spark, sf_dir), spec, KEY, TS, ORD, count_of("n"), emit="enrich").output
@@ -352,6 +372,7 @@ def _build() -> tuple[dict[str, Query], dict[str, str]]:
         "key", BOUND, WindowSpec(20 * MIN, HOUR), 0, False,
         lambda r: r.rows.filter(F.col("tag") == "gap"), ["event_id", KEY, TS], "tag = 'gap'"))
     add("key_flush", *_window_query("key", BOUND, tumble, flush=True))
+    add("key_cleanup_overflow", q_key_cleanup_overflow, _cleanup_overflow_sql())
     add("key_enriched", q_key_enriched, f"""WITH f AS ({O.window_agg_sql('key', BOUND, HOUR, HOUR)})
 SELECT window_end, user_id, n FROM f""")
     add("custom_aggregate", *_window_query("key", BOUND, WindowSpec(6 * HOUR), aggs=("spread",)))
