@@ -32,6 +32,7 @@ from eventide.operators.watermark import as_list
 from eventide.operators.window_agg import Carry, merged_windows, windowed_agg
 from eventide.plans.reach import null_safe_join
 from eventide.plans.spec import FIRE, WatermarkSpec, WindowAggSpec
+from eventide.streaming.expiry import Expiry
 from eventide.streaming.state import Commit, Save, commits, last_commit, load_commit, load_runs
 
 
@@ -67,46 +68,64 @@ def _largest(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
 
 def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str], ts: str, order: Sequence[str],
                         acc, window_fn: Callable[[dict[str, Column]], Column] | ArrowFunction | None = None,
-                        emit: str = "pass") -> Callable[[DataFrame, int], None]:
+                        emit: str = "pass", expire_after: int | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function running the window operator with carried state.
 
+    expire_after: with per-key watermarks, forget keys that have not arrived for so long, in the unit of the
+    first ``order`` column (an integer; ``streaming/expiry.py``). By default, as in the batch operator, idle keys stay.
+
     ``acc`` (any aggregate), ``window_fn`` and ``emit`` as in ``windowed_agg``. The watermarked rows of a batch are stored once in
     ``<base>/work``, overwritten by every batch; outputs and state are made from them.
     """
     keys = as_list(key)
     scope = keys if spec.watermark.strategy == "key" else []
     horizon = spec.lateness if spec.trigger == FIRE else 0
+    if expire_after is not None and (not scope or expire_after < 0):
+        raise ValueError("expire_after is for per-key watermarks and cannot be negative")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = load_commit(spark, base, batch_id)
-        res = windowed_agg(batch, spec, keys, ts, order, acc, window_fn=window_fn, emit=emit, carry=_carry(spark, before),
-                           work_folder=f"{base}/work")
+        save = Save(spark, base, batch_id, before, horizon=horizon)
+        expiry = Expiry(save, before, keys, order[0], expire_after) if expire_after is not None else None
+        carry = _carry(spark, before)
+        if expiry:
+            carry.windows, carry.key_watermarks = expiry.live(carry.windows), expiry.live(carry.key_watermarks)
+        res = windowed_agg(batch, spec, keys, ts, order, acc, window_fn=window_fn, emit=emit, carry=carry, work_folder=f"{base}/work")
         name = f"batch={batch_id:09d}"
         res.output.write.mode("overwrite").parquet(f"{base}/fire/{name}")
         if batch_id == 0 or (spec.side_output and res.counts["late"]):  # batch 0 also shows the columns
             res.late.write.mode("overwrite").parquet(f"{base}/late/{name}")
-        save = Save(spark, base, batch_id, before, res.watermark, horizon)
-        if scope:
-            save.gauge_keys(save.add("key_wm", res.key_watermarks, _largest(keys)), keys)
-        else:
-            save.gauge_one(res.watermark)
+        save.commit.wm = res.watermark
 
-        def merge(runs: DataFrame) -> DataFrame:
+        def known() -> DataFrame:
+            """The watermarks of the keys that are not gone."""
+            rows = load_runs(spark, save.commit, "key_wm")
+            return expiry.live(rows) if expiry else rows
+
+        def merge_windows(runs: DataFrame) -> DataFrame:
             """One row per window; windows that are past their cleanup go."""
             windows = merged_windows(runs, keys, res.aggregate)
             if scope:
-                known = _largest(keys)(load_runs(spark, save.commit, "key_wm")).withColumnRenamed("wm", "_wm")
-                windows = null_safe_join(windows, known, keys, "left")
+                windows = null_safe_join(windows, _largest(keys)(known()).withColumnRenamed("wm", "_wm"), keys, "left")
             else:
-                windows = windows.withColumn("_wm", lit_long(res.watermark) if res.watermark is not None else F.lit(None).cast("bigint"))
+                windows = windows.withColumn("_wm", F.lit(res.watermark).cast("bigint"))
             return _alive(windows, horizon).drop("_wm")
 
-        save.add("windows", res.state, merge)
+        merges = {"key_wm": _largest(keys), "windows": merge_windows}
+        if expiry:
+            merges = {n: expiry.merging(m) for n, m in merges.items()}
+        dated = expiry.dated if expiry else lambda rows: rows
+        if scope:
+            save.gauge_keys(save.add("key_wm", dated(res.key_watermarks), merges["key_wm"]), keys, known, bool(expiry and expiry.went))
+        else:
+            save.gauge_one(res.watermark)
+        save.add("windows", dated(res.state), merges["windows"])
         late = res.counts["late"]
         dropped = 0 if spec.side_output else late
         so_far = dropped + (before.counters.get("dropped_so_far", 0) if before else 0)
-        save.finish({"rows": res.counts["rows"], "late": late - dropped, "dropped": dropped, "dropped_so_far": so_far})
+        counters = {"rows": res.counts["rows"], "late": late - dropped, "dropped": dropped, "dropped_so_far": so_far}
+        save.finish({**counters, **(expiry.finish(batch, merges) if expiry else {})})
 
     return write
 

@@ -153,12 +153,20 @@ class Save:
             runs.append({"path": path, "rows": rows})
         for i in range(len(runs) - MERGED_RUNS + 1):
             if sum(r["rows"] for r in runs[i + 1:]) >= runs[i]["rows"]:
-                merged = f"{path}-merged"
-                merge(self.spark.read.schema(schema).parquet(*[r["path"] for r in runs[i:]])).write.mode("overwrite").parquet(merged)
-                runs[i:] = [{"path": merged, "rows": self.spark.read.schema(schema).parquet(merged).count()}]
+                self.merge_from(name, i, merge)
                 break
         return run
 
+    def merge_from(self, name: str, i: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+        """Merge the runs of a table from number ``i`` on into one."""
+        runs, schema = self.commit.runs[name], self.commit.schemas[name]
+        path = f"{self.base}/state/{name}/run={self.commit.batch:09d}-merged"
+        merge(self.spark.read.schema(schema).parquet(*[r["path"] for r in runs[i:]])).write.mode("overwrite").parquet(path)
+        runs[i:] = [{"path": path, "rows": self.spark.read.schema(schema).parquet(path).count()}]
+
+    def rows(self, name: str) -> int:
+        return sum(r["rows"] for r in self.commit.runs.get(name, []))
+
     def finish(self, counters: dict[str, int]) -> None:
         self.commit.counters = counters
         files = _Files(self.spark, self.base)
@@ -173,29 +181,30 @@ class Save:
 
     # ---- the gauge: lowest and highest watermark of all keys
 
-    def gauge_keys(self, run: DataFrame, keys: list[str], name: str = "key_wm") -> None:
+    def gauge_keys(self, run: DataFrame, keys: list[str], table: Callable[[], DataFrame] | None = None, again: bool = False) -> None:
         """Carry the gauge on from this batch's run of key watermarks.
 
         The commit lists the keys with the lowest watermarks and a bound that every other
         key's watermark has reached. Watermarks only rise, so a batch has to look at its own keys
         alone: those listed and those below the bound. When no listed key is left
-        at or below the bound, the table is read again.
+        at or below the bound, the table is read again. ``table`` reads it (all rows of ``key_wm``, by
+        default); ``again``: keys have gone, read it now.
         """
-        gauge = self.commit.gauge
+        gauge = {} if again else self.commit.gauge
         listed, bound = dict(gauge.get("listed", [])), gauge.get("bound")
         own = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key")
-        again = F.collect_list(F.when(own.isin(list(listed)), F.struct(own, "wm"))) if listed else F.array()
-        top = run.agg(F.max("wm").alias("top"), again.alias("again")).first()
-        highest = max([x for x in (gauge.get("highest"), top["top"]) if x is not None], default=None)
-        listed.update({r["key"]: r["wm"] for r in top["again"]})
+        anew = F.collect_list(F.when(own.isin(list(listed)), F.struct(own, "wm"))) if listed else F.array()
+        top = run.agg(F.max("wm").alias("top"), anew.alias("anew")).first()
+        highest = max([x for x in (self.commit.gauge.get("highest"), top["top"]) if x is not None], default=None)
+        listed.update({r["key"]: r["wm"] for r in top["anew"]})
         if bound is not None:
             below = run.where(F.col("wm") < F.lit(bound).cast("bigint")).select(own, "wm").orderBy("wm").limit(2 * LISTED_KEYS).collect()
             listed.update({r["key"]: r["wm"] for r in below})
             if len(below) == 2 * LISTED_KEYS:
                 bound = below[-1]["wm"]
         if bound is None or not listed or min(listed.values()) > bound:
-            table = load_runs(self.spark, self.commit, name).groupBy(*keys).agg(F.max("wm").alias("wm"))
-            lows = table.select(own, "wm").orderBy("wm").limit(LISTED_KEYS + 1).collect()
+            whole = table() if table else load_runs(self.spark, self.commit, "key_wm")
+            lows = whole.groupBy(*keys).agg(F.max("wm").alias("wm")).select(own, "wm").orderBy("wm").limit(LISTED_KEYS + 1).collect()
             listed = {r["key"]: r["wm"] for r in lows[:LISTED_KEYS]}
             bound = lows[-1]["wm"] if lows else None
         elif len(listed) > 4 * LISTED_KEYS:
