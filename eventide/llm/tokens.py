@@ -9,8 +9,10 @@ bounded by ``MAX_ENTRIES`` pieces of at most ``MAX_PIECE`` characters.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -22,6 +24,11 @@ _SPACES = {c for c in map(chr, range(0x3001)) if c.isspace()} | {""}
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
 
 
+#: A word at the beginning of a piece: letters that every Unicode version knows. What follows begins a token of its own
+#: if it is an ASCII character, which no longer is a letter then.
+_WORD = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -31,8 +38,10 @@ class PieceEncoder:
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], spaced: bool,
-                 encode_heads: Callable[[list[str]], list[bytes]] | None = None, max_entries: int = MAX_ENTRIES):
+                 encode_heads: Callable[[list[str]], list[bytes]] | None = None, max_entries: int = MAX_ENTRIES,
+                 encode_words: Callable[[list[str]], list[bytes]] | None = None):
         self.encode_many, self.spaced, self.max_entries = encode_many, spaced, max_entries
+        self.encode_words = encode_words  # words of letters with a space before each: pieces of the tokenizer's own cutting
         self.encode_heads = encode_heads or encode_many  # for pieces without the space
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -47,6 +56,7 @@ class PieceEncoder:
                 if "\n" in piece and all(part.split() == [part] for part in piece.split("\n")):
                     lines[piece] = piece.split("\n")
             pieces = pieces.difference(lines).union({parts[0] for parts in lines.values()}.difference(self.known))
+        pieces = self._learn_words(pieces) if self.encode_words else pieces
         lead = " " if self.spaced else ""
         self._keep(self.known, list(pieces), self.encode_many([lead + p for p in pieces]), extra)
         if lines:
@@ -60,6 +70,31 @@ class PieceEncoder:
                                  *[long_heads[o] if o in long_heads else self.heads[o] for o in others]])
                 (extra if len(piece) > MAX_PIECE else self.known)[piece] = ids
 
+    def _learn_words(self, pieces: set[str]) -> set[str]:
+        """Learn the pieces that are a word, or a word and what stands behind it; returns the others."""
+        words, split, rest = set(), [], set()
+        match = _WORD.match
+        for piece in pieces:
+            word = match(piece) if len(piece) <= MAX_PIECE else None
+            end = word.end() if word else 0
+            if end and end == len(piece):
+                words.add(piece)
+                continue
+            tail = piece[end:]
+            if end and tail[0] < "\x80" and (tail.isascii() and tail.isprintable() or tail.split() == [tail]):
+                split.append((piece, piece[:end], tail))
+            else:
+                rest.add(piece)
+        words.update(w for _, w, _ in split)
+        new = list(words.difference(self.known))
+        self.known.update(zip(new, self.encode_words(new)))
+        tails = list({t for _, _, t in split}.difference(self.heads))
+        if tails:
+            self.heads.update(zip(tails, self.encode_heads(tails)))
+        known, heads = self.known, self.heads
+        known.update([(piece, known[w] + heads[t]) for piece, w, t in split])
+        return rest
+
     def _keep(self, known: dict[str, bytes], pieces: list[str], ids: list[bytes], extra: dict[str, bytes]) -> None:
         for piece, own in zip(pieces, ids):
             if len(piece) > MAX_PIECE:
@@ -122,7 +157,7 @@ def library_encoder(path: str, spaced: bool) -> PieceEncoder:
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
         _LOADED[path, spaced] = (
-            PieceEncoder(_by_tabs(tok), True, _by_feeds(tok)) if spaced else PieceEncoder(_by_offsets(tok), False))
+            PieceEncoder(_by_tabs(tok), True, _by_feeds(tok), encode_words=_by_model(tok)) if spaced else PieceEncoder(_by_offsets(tok), False))
     return _LOADED[path, spaced]
 
 
@@ -153,6 +188,23 @@ def _cut_at(tok, joined: str, cut: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], cuts)]
 
 
+def _by_model(tok) -> Callable[[list[str]], list[bytes]] | None:
+    """Byte level with the usual cutting: a space and letters are one piece, so the merges can be asked for directly."""
+    own = json.loads(tok.to_str())
+    cut = own["pre_tokenizer"] or {}
+    if own["normalizer"] is not None or own["model"]["type"] != "BPE" or (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) != ("ByteLevel", True, False):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
+    letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+    def encode_words(words: list[str]) -> list[bytes]:
+        """Of words of letters, each with a space before it."""
+        space, tokenize = chr(letters[0x20]), tok.model.tokenize
+        shown = " ".join(words).encode().decode("latin-1").translate(letters).split(space)
+        return [array("I", [t.id for t in tokenize(space + w)]).tobytes() for w in shown] if words else []
+
+    return encode_words
+
+
 def _by_tabs(tok) -> Callable[[list[str]], list[bytes]]:
     """Byte level: a tab before a space and a visible character is a token of its own, so tabs mark the cuts."""
     (tab,) = tok.encode("\t", add_special_tokens=False).ids
