@@ -172,4 +172,5 @@ def _numbered(df: DataFrame, place: list[Column], columns: list[Column], n: int)
         reached = (at < n) & (bound <= F.col("_place"))
         out = out.withColumn("_range", F.col("_range") + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
         step //= 2
-    return out.drop("_place")
+    # what follows rand() is not moved below it: a filter on the range would repeat the whole search
+    return out.withColumn("_range", F.col("_range") + F.floor(F.rand(0)).cast("int")).drop("_place")
