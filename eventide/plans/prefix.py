@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
 #: Rows that are worth a range of their own, and sampled places per range.
-RANGE_ROWS, SAMPLED = 20_000, 64
+RANGE_ROWS, SAMPLED = 100_000, 64
 
 Outputs = dict[str, tuple[str, str, bool]]
 

@@ -41,7 +41,7 @@ def run_case(spark, case):
 
 
 @pytest.mark.parametrize("name", NAMES)
-@pytest.mark.parametrize("range_rows", [20_000, 1, 3])
+@pytest.mark.parametrize("range_rows", [100_000, 1, 3])
 def test_golden_case(spark, cases, name, range_rows, monkeypatch):
     monkeypatch.setattr(prefix, "RANGE_ROWS", range_rows)  # few rows to a range: several ranges
     case = cases[name]
