@@ -81,7 +81,7 @@ def pairs_cte(size: int, slide: int, lateness: int) -> str:
     return f"""
 pairs AS (
   SELECT t.*, t.newest - r.k * {slide} AS window_start
-  FROM tagged t, LATERAL (SELECT unnest(range(t.n_windows)) AS k) r
+  FROM tagged t, LATERAL (SELECT unnest(range(CAST(t.n_windows AS BIGINT))) AS k) r
   WHERE t.tag = 'in_window'
 ),
 cls AS (
