@@ -1,21 +1,27 @@
 """SimHash near-duplicates, found by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into three segments of at most 23 bits. Two
-fingerprints that differ in at most three bits have two segments that each differ
-in at most one bit (pigeonhole: two segments with two errors make four). The
-perfect binary Golay code (23, 12) covers every 23-bit word within distance three
-of exactly one codeword; words at distance exactly three have five more codewords
-at distance four. If two words differ in at most one bit, the nearest codeword of
-either is among the codewords within four of the other. So a fingerprint is stored
-under its three pairs of nearest-codeword numbers and looked up under all pairs
-of numbers of nearby codewords; every link is met, and each candidate is verified.
+A 64-bit fingerprint is cut into three segments of at most 23 bits. The perfect binary
+Golay code (23, 12) covers every 23-bit word within distance three of exactly one codeword;
+words at distance exactly three have five more codewords at distance four. If two
+words differ in at most one bit, the nearest codeword of either is among the codewords
+within four of the other: a fingerprint is stored under the numbers of its nearest codewords and
+looked up under those of all nearby ones.
+
+Three differing bits fall on the segments in one of two ways (pigeonhole):
+
+* a segment has none and another at most one: the key is the whole first segment and the codeword
+  number of the second (33 or 34 bits, six ordered pairs of segments);
+* every segment has exactly one: the key is the codeword numbers of the first two segments and the
+  half of the third that has none (34 or 35 bits, two halves).
+
+Every link is met, and each candidate is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,8 @@ from eventide.llm.common import pick, read, written
 from eventide.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
-#: First bit and width of the three segments, and the pairs of segments that are keys.
-SEGMENTS, PAIRS = ((0, 22), (22, 21), (43, 21)), ((0, 1), (0, 2), (1, 2))
+#: First bit and width of the three segments, and of the halves of the third.
+SEGMENTS, HALVES = ((0, 22), (22, 21), (43, 21)), ((43, 11), (54, 10))
 #: A generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0b101011100011
 _BLOCK = 65_536
@@ -87,17 +93,33 @@ def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (words[:, None] ^ near[s]) >> 11, count[s]
 
 
+def _bits(prints: np.ndarray, at: int, width: int) -> np.ndarray:
+    return (prints >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
 def keys(prints: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and key of each entry: three per fingerprint, or all lookups if ``probe``."""
-    segments = [codewords((prints >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)) for at, width in SEGMENTS]
+    """Row number and key of each entry: eight per fingerprint, or all lookups if ``probe``."""
+    segments = [_bits(prints, at, width) for at, width in SEGMENTS]
+    near = [codewords(s) for s in segments]
+    choices = range(6 if probe else 1)
     rows, found = [], []
-    for number, (i, j) in enumerate(PAIRS):
-        (first, n_first), (second, n_second) = segments[i], segments[j]
-        for x in range(6 if probe else 1):
-            for y in range(6 if probe else 1):
-                at = np.flatnonzero((n_first > x) & (n_second > y))
-                rows.append(at)
-                found.append(number << 24 | first[at, x] << 12 | second[at, y])
+
+    def add(kind: int, at: np.ndarray, exact: np.ndarray, numbers: np.ndarray) -> None:
+        rows.append(at)
+        found.append(kind << 36 | exact[at] << (24 if kind >= 6 else 12) | numbers)
+
+    for kind, (i, j) in enumerate(permutations(range(3), 2)):
+        code, count = near[j]
+        for x in choices:
+            at = np.flatnonzero(count > x)
+            add(kind, at, segments[i], code[at, x])
+    (first, n_first), (second, n_second) = near[:2]
+    halves = [_bits(prints, at, width) for at, width in HALVES]
+    for x in choices:
+        for y in choices:
+            at = np.flatnonzero((n_first > x) & (n_second > y))
+            for kind, half in enumerate(halves, 6):
+                add(kind, at, half, first[at, x] << 12 | second[at, y])
     return np.concatenate(rows), np.concatenate(found)
 
 

@@ -69,6 +69,16 @@ def test_code_is_perfect_and_keys_meet():
         assert len({r for r, k in stored if (r, k) in lookups}) == len(prints)
 
 
+def test_candidates_of_random_prints_stay_few():
+    """Keys are long enough that unrelated fingerprints hardly meet: candidates beyond a print itself, per print."""
+    rng = np.random.default_rng(3)
+    for n, most in ((20_000, 0.01), (200_000, 0.02)):
+        prints = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        stored, probes = np.sort(keys(prints, False)[1]), keys(prints, True)[1]
+        met = np.searchsorted(stored, probes, "right") - np.searchsorted(stored, probes, "left")
+        assert met.sum() - len(stored) <= most * n
+
+
 def test_pairs_equal_brute_force(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(25)]
