@@ -182,7 +182,7 @@ def windowed_agg(
     seen: dict = {}
     if carry is not None:  # a stream uses every output and the state: store the rows once, with all columns
         metrics = Observation()
-        marked = marked.observe(metrics, F.max("wm_after").alias("wm"), F.count_if(is_data()).alias("rows"),
+        marked = marked.observe(metrics, F.max("wm_after").alias("wm"), F.count(F.lit(1)).alias("all"), F.count_if(is_data()).alias("rows"),
                                 F.count_if(is_data() & (F.col("tag") == LATE)).alias("late"))
         marked = materialize(marked, "table", "window-rows", work_folder, folders)
         seen = metrics.get
@@ -206,7 +206,8 @@ def windowed_agg(
         if carry is not None and carry.windows is not None:
             states = acc.merge(states.unionByName(_carried(carry, states, table, scope, seen["wm"])), win)
         on = acc.summary(states, win).withColumn("max_ts", F.col("window_end") - 1)
-        reached = first_reaching(table, scope, order, "wm_before", "wm_after", on, "max_ts", F.try_add("_w_newest", lit_long(w.size - 1)))
+        reached = first_reaching(table, scope, order, "wm_before", "wm_after", on, "max_ts", F.try_add("_w_newest", lit_long(w.size - 1)),
+                                 n_rows=seen.get("all"))
         if not spec.flush or carry is not None:  # also leaves out carried windows that fired before
             reached = reached.filter(F.col(f"trigger_{order[0]}").isNotNull())
         on_emit = shape(reached.withColumn("fire", F.lit(ON_TIME_FIRE)))

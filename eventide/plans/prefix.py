@@ -36,6 +36,7 @@ def prefix_scan(
     order: Sequence[str],
     outputs: Outputs,
     sample_of: DataFrame | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Add running aggregates over rows of the same ``keys`` in ``order``.
 
@@ -47,9 +48,10 @@ def prefix_scan(
 
     The rows are counted and sampled before the plan is built. ``sample_of`` has the
     columns ``keys`` and ``order`` and is counted and sampled instead: a cheaper table
-    with places like those of ``df``. The cuts decide the balance of the tasks, not the result.
+    with places like those of ``df``; ``n_rows``: about how many rows are sampled, if that is
+    known. The cuts decide the balance of the tasks, not the result.
     """
-    return prefix_scans(df, [(keys, outputs)], order, sample_of)
+    return prefix_scans(df, [(keys, outputs)], order, sample_of, n_rows)
 
 
 def prefix_scans(
@@ -57,6 +59,7 @@ def prefix_scans(
     scans: Sequence[tuple[Sequence[str], Outputs]],
     order: Sequence[str],
     sample_of: DataFrame | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Several prefix scans with different partition keys over the same rows: counted and sampled once."""
     order = list(order)
@@ -64,7 +67,7 @@ def prefix_scans(
         for name, (op, _, _) in outputs.items():
             if op not in _AGG:
                 raise ValueError(f"unsupported prefix operation {op!r} for {name!r}")
-    cuts = _cuts(df if sample_of is None else sample_of, [list(keys) for keys, _ in scans], order)
+    cuts = _cuts(df if sample_of is None else sample_of, [list(keys) for keys, _ in scans], order, n_rows)
     for (keys, outputs), bounds in zip(scans, cuts):
         df = _scan(df, list(keys), order, outputs, bounds)
     return df
@@ -85,13 +88,13 @@ def _place(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> list[Col
     return place
 
 
-def _cuts(df: DataFrame, scans: list[list[str]], order: list[str]) -> list[list[tuple]]:
+def _cuts(df: DataFrame, scans: list[list[str]], order: list[str], n_rows: int | None = None) -> list[list[tuple]]:
     """For each scan's keys the places at which its rows are cut, ascending; none for few rows.
 
     The driver gets about ``SAMPLED`` places per range.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_rows = df.count()
+    n_rows = df.count() if n_rows is None else n_rows
     ranges = min(tasks, ceil(n_rows / RANGE_ROWS))
     if ranges < 2:
         return [[] for _ in scans]

@@ -16,7 +16,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
     UTC session time zone, AQE on (runtime coalescing, skew splitting and
     size-checked broadcast conversion), RocksDB state store (required by
-    ``transformWithStateInPandas``), no web UI. On a cluster also set
+    ``transformWithStateInPandas``), a cache for the generated code of all of a stream's plans
+    (a micro-batch of the window operator has more than the 100 that Spark keeps by default), no web UI. On a cluster also set
     ``spark.checkpoint.dir`` (shared folder) and size
     ``spark.sql.shuffle.partitions`` / ``spark.sql.files.maxPartitionBytes`` for
     the data (see README, "Cluster settings").
@@ -32,6 +33,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

@@ -33,7 +33,7 @@ from eventide.operators.window_agg import Carry, merged_windows, windowed_agg
 from eventide.plans.reach import null_safe_join
 from eventide.plans.spec import FIRE, WatermarkSpec, WindowAggSpec
 from eventide.streaming.expiry import Expiry
-from eventide.streaming.state import Commit, Save, commits, last_commit, load_commit, load_runs
+from eventide.streaming.state import Commit, Save, commits, last_commit, load_commit, load_runs, together
 
 
 def _carry(spark: SparkSession, commit: Commit | None) -> Carry:
@@ -93,9 +93,6 @@ def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str]
             carry.windows, carry.key_watermarks = expiry.live(carry.windows), expiry.live(carry.key_watermarks)
         res = windowed_agg(batch, spec, keys, ts, order, acc, window_fn=window_fn, emit=emit, carry=carry, work_folder=f"{base}/work")
         name = f"batch={batch_id:09d}"
-        res.output.write.mode("overwrite").parquet(f"{base}/fire/{name}")
-        if batch_id == 0 or (spec.side_output and res.counts["late"]):  # batch 0 also shows the columns
-            res.late.write.mode("overwrite").parquet(f"{base}/late/{name}")
         save.commit.wm = res.watermark
 
         def known() -> DataFrame:
@@ -116,11 +113,22 @@ def carried_window_sink(base: str, spec: WindowAggSpec, key: str | Sequence[str]
         if expiry:
             merges = {n: expiry.merging(m) for n, m in merges.items()}
         dated = expiry.dated if expiry else lambda rows: rows
-        if scope:
-            save.gauge_keys(save.add("key_wm", dated(res.key_watermarks), merges["key_wm"]), keys, known, bool(expiry and expiry.went))
-        else:
-            save.gauge_one(res.watermark)
-        save.add("windows", dated(res.state), merges["windows"])
+
+        def outputs() -> None:
+            res.output.write.mode("overwrite").parquet(f"{base}/fire/{name}")
+            if batch_id == 0 or (spec.side_output and res.counts["late"]):  # batch 0 also shows the columns
+                res.late.write.mode("overwrite").parquet(f"{base}/late/{name}")
+
+        def watermarks() -> None:
+            if scope:
+                run = save.add("key_wm", dated(res.key_watermarks))
+                save.gauge_keys(run, keys, known, bool(expiry and expiry.went))
+            else:
+                save.gauge_one(res.watermark)
+
+        together(outputs, watermarks, lambda: save.add("windows", dated(res.state)))
+        for table in ["key_wm"] * bool(scope) + ["windows"]:
+            save.merge(table, merges[table])
         late = res.counts["late"]
         dropped = 0 if spec.side_output else late
         so_far = dropped + (before.counters.get("dropped_so_far", 0) if before else 0)
@@ -144,15 +152,20 @@ def carried_late_split_sink(base: str, bound: int, key: str | Sequence[str], ts:
                            start_watermarks=_largest(keys)(known) if known is not None else None)
         seen = Observation()
         split = split.observe(seen, F.max("wm_after").alias("wm"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("tag") == "late").alias("late"))
-        split.select(*columns).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id:09d}")
+
+        def rows() -> None:
+            split.select(*columns).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id:09d}")
+
         if strategy == "global":
+            rows()
             found = [x for x in (seen.get["wm"], before.wm if before else None) if x is not None]
             save = Save(spark, base, batch_id, before, max(found, default=None))
             save.gauge_one(save.commit.wm)
         else:
             save = Save(spark, base, batch_id, before)
             top = F.try_subtract(F.max(ts), lit_long(bound)).alias("wm")  # a watermark is the largest event time so far minus the bound
-            save.gauge_keys(save.add("key_wm", batch.groupBy(*keys).agg(top).where("wm IS NOT NULL"), _largest(keys)), keys)
+            together(rows, lambda: save.gauge_keys(save.add("key_wm", batch.groupBy(*keys).agg(top).where("wm IS NOT NULL")), keys))
+            save.merge("key_wm", _largest(keys))
         save.finish({"rows": seen.get["rows"], "late": seen.get["late"]})
 
     return write
@@ -173,11 +186,11 @@ def carried_compare_sink(base: str, key: str | Sequence[str], ts: str, order: Se
         known = load_runs(spark, before, "key_wm")
         found = compare_watermarks(batch, keys, ts, order, bounds, start=before.wm if before else None,
                                    start_of_keys=_largest(keys)(known) if known is not None else None)
-        found.write.mode("overwrite").parquet(f"{base}/late_counts/batch={batch_id:09d}")
         own = batch.groupBy(*keys).agg(F.max(ts).alias("wm")).where("wm IS NOT NULL")
         save = Save(spark, base, batch_id, before)
-        run = save.add("key_wm", own, _largest(keys))
-        save.gauge_keys(run, keys)
+        together(lambda: found.write.mode("overwrite").parquet(f"{base}/late_counts/batch={batch_id:09d}"),
+                 lambda: save.gauge_keys(save.add("key_wm", own), keys))
+        save.merge("key_wm", _largest(keys))
         save.commit.wm = save.commit.gauge["highest"]  # the largest event time of all keys
         save.finish({})
 

@@ -42,7 +42,8 @@ class Expiry:
         later = arrivals.where(last >= self.horizon).select(*self.keys).distinct()
         gone = null_safe_join(due, later, self.keys, "left_anti").withColumn("at", F.lit(self.save.commit.batch).cast("bigint"))
         rows = self.save.rows("gone")
-        self.save.add("gone", gone, lambda runs: runs.groupBy(*self.keys).agg(F.max("at").alias("at")))
+        self.save.add("gone", gone)
+        self.save.merge("gone", lambda runs: runs.groupBy(*self.keys).agg(F.max("at").alias("at")))
         return self.save.rows("gone") - rows
 
     def live(self, rows: DataFrame | None) -> DataFrame | None:
@@ -68,8 +69,8 @@ class Expiry:
             return kept.repartitionByRange("last").sortWithinPartitions("last")
 
         own = batch.groupBy(*self.keys).agg(F.max(self.arrival).cast("bigint").alias("last")).where("last IS NOT NULL")
-        run = self.save.add("arrivals", own, latest_of)
-        top = run.agg(F.max("last")).first()[0]
+        top = self.save.add("arrivals", own).agg(F.max("last")).first()[0]
+        self.save.merge("arrivals", latest_of)
         if self.save.rows("gone") and 2 * self.save.rows("gone") >= self.save.rows("key_wm"):
             for name, merge in {**merges, "arrivals": latest_of}.items():
                 self.save.merge_from(name, 0, merge)

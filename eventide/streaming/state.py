@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.plans.materialize import delete
@@ -128,6 +130,14 @@ def load_runs(spark: SparkSession, commit: Commit | None, name: str) -> DataFram
     return spark.read.schema(commit.schemas[name]).parquet(*paths)
 
 
+def together(*steps: Callable[[], object]) -> None:
+    """Independent steps of one batch as concurrent Spark jobs. All have ended when the first failure is raised."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(s)) for s in steps]
+    for r in running:
+        r.result()
+
+
 class Save:
     """The state after a batch: runs are added table by table, then the commit is written."""
 
@@ -140,22 +150,25 @@ class Save:
             self.commit.schemas = dict(before.schemas)
             self.commit.gauge = dict(before.gauge)
 
-    def add(self, name: str, increments: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Write this batch's run of a table, and merge runs if it is time; returns the run."""
+    def add(self, name: str, increments: DataFrame) -> DataFrame:
+        """Write this batch's run of a table; returns the run."""
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in increments.schema.fields)
         self.commit.schemas[name] = schema
         path = f"{self.base}/state/{name}/run={self.commit.batch:09d}"
-        increments.write.mode("overwrite").parquet(path)
-        run = self.spark.read.schema(schema).parquet(path)
-        rows = run.count()  # from the files' footers
+        written = Observation()
+        increments.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
         runs = self.commit.runs.setdefault(name, [])
-        if rows:
-            runs.append({"path": path, "rows": rows})
+        if written.get["rows"]:
+            runs.append({"path": path, "rows": written.get["rows"]})
+        return self.spark.read.schema(schema).parquet(path)
+
+    def merge(self, name: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+        """Merge runs of a table if it is time."""
+        runs = self.commit.runs[name]
         for i in range(len(runs) - MERGED_RUNS + 1):
             if sum(r["rows"] for r in runs[i + 1:]) >= runs[i]["rows"]:
                 self.merge_from(name, i, merge)
                 break
-        return run
 
     def merge_from(self, name: str, i: int, merge: Callable[[DataFrame], DataFrame]) -> None:
         """Merge the runs of a table from number ``i`` on into one."""
