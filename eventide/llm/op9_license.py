@@ -4,7 +4,9 @@ Every pair of neighbouring words of a text is hashed and joined to the places of
 that pair in the license templates. A hit votes for its diagonal (place in the text
 minus place in the template): a verbatim copy puts all its votes on one diagonal,
 a copy with a few words put in or left out on neighbouring ones. Diagonals with
-enough votes that lie within ``SLACK`` of each other are merged; a span is verified
+enough votes that lie within a distance of each other that grows with the template are
+merged, unless one of them verifies by itself (a verbatim copy is not lost to weak
+neighbours) or the two are too far apart in the text to be one copy; a span is verified
 if it is no longer than the template allows and covers enough of its word pairs.
 Base phrases are short templates of their own and have to be covered completely.
 """
@@ -20,23 +22,49 @@ from eventide.llm.common import pick, read
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed phrases and labels: each consecutive place counts.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: Opening notices of common licenses, and their labels.
+#: Notices, grants and warranty passages of common licenses as words, and their labels.
 NOTICES = (
     ("apache", "licensed under the apache license version"),
     ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is "
+               "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("mit", "released under the mit license"),
+    ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited "
+            "to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
             "provided that the following conditions are met"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+            "following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+            "products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+            "granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("gpl-notice", "licensed under the gnu general public license version"),
     ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "licensed under the gnu lesser general public license version"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "licensed under the gnu affero general public license version"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("cc-by-4", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("mpl", "subject to the terms of the mozilla public license"),
+    ("epl", "made available under the terms of the eclipse public license"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications "
+             "and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "distributed under the boost software license version"),
 )
-#: Diagonals this close are merged; one needs this share of the pairs to be merged, a span this share to be verified.
-SLACK, DIAGONAL_SHARE, SPAN_SHARE = 2, 0.15, 0.75
+#: Diagonals this close are merged, or this share of the template's pairs; one needs this share of
+#: the pairs to be merged, a span this share to be verified.
+SLACK, SLACK_SHARE, DIAGONAL_SHARE, SPAN_SHARE = 2, 0.1, 0.15, 0.75
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,14 +121,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     enough = voted.where(F.col("template").isNull() | F.when(F.col("is_base"), votes == F.col("pairs")).otherwise(
         votes >= F.greatest(F.lit(1.0), F.col("pairs") * DIAGONAL_SHARE)))
     order = W.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK)
+    slack = F.greatest(F.lit(SLACK), F.floor(F.col("pairs") * SLACK_SHARE))
+    longest = F.col("pairs") + 1 + 2 * slack
+    alone = votes >= F.col("pairs") * SPAN_SHARE
+    reach = F.greatest("end", F.lag("end").over(order)) - F.least("start", F.lag("start").over(order))
+    apart = (F.col("is_base") | alone | F.lag(alone).over(order)
+             | (F.col("diagonal") - F.lag("diagonal").over(order) > slack) | (reach > longest))
     merged = (enough.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
               .withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
               .groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "pairs", "span").agg(
                   F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("votes"),
                   F.min("start").alias("start"), F.max("end").alias("end")))
     share = F.col("votes") / F.col("pairs")
-    fits = F.col("end") - F.col("start") <= F.col("pairs") + 1 + 2 * SLACK
+    fits = F.col("end") - F.col("start") <= longest
     found = merged.withColumn("share", share).withColumn("kept", F.coalesce(fits & (F.col("share") >= SPAN_SHARE), F.lit(False)))
     base_place = F.coalesce(F.col("is_base"), F.lit(False))
     columns = [
@@ -138,15 +171,18 @@ hits AS (
   SELECT r, template, label, pairs, place, i AS pos FROM each JOIN known
   ON pair = words[i + 1] || ' ' || words[i + 2] WHERE NOT is_base),
 voted AS (
-  SELECT r, template, label, pairs, pos - place AS diagonal, list(DISTINCT place) AS covered, min(pos) AS s, max(pos + 2) AS e
-  FROM hits GROUP BY ALL HAVING len(list(DISTINCT place)) >= greatest(1.0, pairs * {DIAGONAL_SHARE})),
+  SELECT r, template, label, pairs, pos - place AS diagonal, list(DISTINCT place) AS covered, min(pos) AS s, max(pos + 2) AS e,
+         len(list(DISTINCT place)) >= pairs * {SPAN_SHARE} AS alone,
+         pairs + 1 + 2 * greatest({SLACK}, CAST(floor(pairs * {SLACK_SHARE}) AS BIGINT)) AS longest
+  FROM hits GROUP BY r, template, label, pairs, pos - place HAVING len(list(DISTINCT place)) >= greatest(1.0, pairs * {DIAGONAL_SHARE})),
 marked AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS new
-  FROM voted),
+  SELECT *, CASE WHEN NOT alone AND NOT lag(alone) OVER o AND diagonal - lag(diagonal) OVER o <= greatest({SLACK}, floor(pairs * {SLACK_SHARE}))
+                      AND greatest(e, lag(e) OVER o) - least(s, lag(s) OVER o) <= longest THEN 0 ELSE 1 END AS new
+  FROM voted WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 grouped AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
 spans AS (
-  SELECT r, label, len(list_distinct(flatten(list(covered)))) / pairs AS share, max(e) - min(s) <= pairs + 1 + {2 * SLACK} AS fits
-  FROM grouped GROUP BY r, template, label, pairs, span),
+  SELECT r, label, len(list_distinct(flatten(list(covered)))) / pairs AS share, max(e) - min(s) <= longest AS fits
+  FROM grouped GROUP BY r, template, label, pairs, longest, span),
 places AS (
   SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
 named AS (

@@ -44,6 +44,29 @@ def test_notices_whole_changed_and_scrambled(spark):
     assert got[TEXTS[16]].labels == ""
 
 
+def test_a_verified_diagonal_is_not_lost_to_weak_neighbours(spark):
+    """A verbatim copy keeps its label whatever weak diagonals lie next to its own."""
+    notice = "released under the mit license"
+    texts = {notice + " mit license" * n for n in range(6)} | {"mit license " * n + notice for n in range(1, 6)}
+    docs = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id BIGINT, text STRING")
+    assert {(r.labels, r.score) for r in scan(docs).collect()} == {("mit", 1.0)}
+
+
+def test_labels_of_further_licenses(spark):
+    cases = {
+        "mit": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+               "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+               "provided that the above copyright notice and this permission notice appear in all copies.",
+        "cc-by-4": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "lgpl": "licensed under the GNU Lesser General Public License, version 3", "": "a plain text about software and licenses",
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in cases.items()], "doc_id STRING, text STRING")
+    for r in scan(docs).collect():
+        assert r.doc_id == "" and r.labels == "" or r.doc_id in r.labels.split(","), r
+
+
 def test_edge_rows(edge, empty):
     rows = scan(edge).collect()
     want = sorted(((r.doc_id, *plain_base(r.text)) for r in edge.collect()), key=str)
