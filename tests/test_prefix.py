@@ -108,3 +108,14 @@ def test_first_row_that_reaches_a_target(spark, monkeypatch, keys, range_rows):
         found = [r for r in rows if (not keys or r[0] == k) and r[4] is not None and r[4] >= goal]
         want.append((k, goal, n, *((found[0][1], found[0][2]) if found else (None, None))))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_small_keys_are_not_cut(spark, monkeypatch):
+    """Cuts move to the beginnings of small keys: nothing is carried, so the input is read once and nothing is joined."""
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 1_000)
+    df = spark.range(8_000).select((F.col("id") % 900).alias("k"), F.col("id").alias("arr"), "id", ((F.col("id") * 37) % 1_000).alias("x"))
+    scanned = prefix_scan(df, ["k"], ["arr", "id"], {"m": ("max", "x", False), "s": ("sum", "x", True)})
+    assert "Join" not in scanned._jdf.queryExecution().optimizedPlan().toString()
+    w = Window.partitionBy("k").orderBy("arr", "id")
+    plain = df.select("*", F.max("x").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m"), F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    assert {r.id: (r.m, r.s) for r in scanned.collect()} == {r.id: (r.m, r.s) for r in plain.collect()}
