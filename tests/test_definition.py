@@ -154,3 +154,15 @@ def test_carried_state_over_cuts_matches_definition(spark, seed, mode):
     assert out == Counter(exp_out), p
     assert late == Counter(exp_late), p
     assert dropped == exp_dropped, p
+
+
+@pytest.mark.parametrize("mode,bound", [("key", 0), ("global", 0)])
+def test_a_stream_keeps_only_windows_that_can_fire(spark, mode, bound):
+    """What a batch adds to the state leaves out the windows that its own watermark has closed for good."""
+    from eventide.operators.window_agg import Carry
+
+    spec = WindowAggSpec(WindowSpec(1000), WatermarkSpec(mode, bound), 0, FIRE)
+    part = spark.createDataFrame(rows_of([("e", i, "k", 100 * i, 1) for i in range(100)]), SCHEMA)
+    res = windowed_agg(part, spec, "k", "ts_ms", ["seq"], sum_of("v", "total"), carry=Carry())
+    assert [(r.window_start, r.total) for r in res.added.collect()] == [(9000, 10)]
+    assert res.output.count() == 9
