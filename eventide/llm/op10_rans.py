@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.llm.common import pick, read, written
-from eventide.llm.tokens import library_encoder
+from eventide.llm.tokens import library_encoder, text_groups
 from eventide.session import scratch_dir
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
@@ -157,8 +157,8 @@ def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, squeeze = library_encoder(path, True), zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, packed = whole.slice(at, 256), []
+            for batch in text_groups(whole):
+                packed = []
                 for coded in encoder.ids_of(batch.column(1).to_pylist()):
                     ids = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
                     small = int(ids.max()) < 1 << 16

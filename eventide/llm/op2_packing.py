@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm.common import pick, read, written
-from eventide.llm.tokens import library_encoder
+from eventide.llm.tokens import library_encoder, text_groups
 
 VOCABULARY, END_ID, SEQUENCE_TOKENS = "word_bpe_49k.json", 1, 4096
 GROUP_PIECES = 20_000
@@ -218,8 +218,7 @@ def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = library_encoder(path, False), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in text_groups(whole):
                 row, number, parts = [], [], []
                 for i, coded in enumerate(encoder.ids_of(batch.column(1).to_pylist())):
                     coded += end

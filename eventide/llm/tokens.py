@@ -3,7 +3,8 @@
 Both pre-tokenizers in use never let a token cross from the characters before a
 space to the ones after it, except inside a run of white space. So a text is cut
 before its spaces, each distinct piece is encoded by the library once and the ids
-of a text are the concatenation of its pieces' ids. The memory of a worker is
+of a text are the concatenation of its pieces' ids. Arrow cuts many texts at once and puts
+their ids together, so Python meets each distinct piece of a group of texts once. The memory of a worker is
 bounded by ``MAX_ENTRIES`` pieces of at most ``MAX_PIECE`` characters.
 """
 
@@ -13,12 +14,16 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MAX_ENTRIES = 800_000
 MAX_PIECE = 48
+#: Texts that are encoded together: at most so many, and about so many bytes.
+GROUP_ROWS, GROUP_BYTES = 2048, 8 << 20
 #: Cut before a space unless both its neighbours are white space (or the end).
 _SPACES = {c for c in map(chr, range(0x3001)) if c.isspace()} | {""}
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
@@ -27,6 +32,8 @@ _CUT = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
 #: A word at the beginning of a piece: letters that every Unicode version knows. What follows begins a token of its own
 #: if it is an ASCII character, which no longer is a letter then.
 _WORD = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The same where words are composed and lower-cased first: letters whose small form is one letter.
+_PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class PieceEncoder:
@@ -41,11 +48,10 @@ class PieceEncoder:
                  encode_heads: Callable[[list[str]], list[bytes]] | None = None, max_entries: int = MAX_ENTRIES,
                  encode_words: Callable[[list[str]], list[bytes]] | None = None):
         self.encode_many, self.spaced, self.max_entries = encode_many, spaced, max_entries
-        self.encode_words = encode_words  # words of letters with a space before each: pieces of the tokenizer's own cutting
+        self.encode_words = encode_words  # words of letters (``spaced``: a space before each): pieces of the tokenizer's own cutting
         self.encode_heads = encode_heads or encode_many  # for pieces without the space
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
-        self.risky: set[str] = {""} if spaced else set()
 
     def _learn(self, pieces: set[str], extra: dict[str, bytes]) -> None:
         if not pieces:
@@ -73,7 +79,7 @@ class PieceEncoder:
     def _learn_words(self, pieces: set[str]) -> set[str]:
         """Learn the pieces that are a word, or a word and what stands behind it; returns the others."""
         words, split, rest = set(), [], set()
-        match = _WORD.match
+        match = (_WORD if self.spaced else _PLAIN_WORD).match
         for piece in pieces:
             word = match(piece) if len(piece) <= MAX_PIECE else None
             end = word.end() if word else 0
@@ -86,8 +92,11 @@ class PieceEncoder:
             else:
                 rest.add(piece)
         words.update(w for _, w, _ in split)
-        new = list(words.difference(self.known))
+        plain = words if self.spaced else {w.lower() for w in words}
+        new = list(plain.difference(self.known))
         self.known.update(zip(new, self.encode_words(new)))
+        if not self.spaced:
+            self.known.update([(w, self.known[w.lower()]) for w in words])
         tails = list({t for _, _, t in split}.difference(self.heads))
         if tails:
             self.heads.update(zip(tails, self.encode_heads(tails)))
@@ -101,8 +110,6 @@ class PieceEncoder:
                 extra[piece] = own
             else:
                 known[piece] = own
-                if self.spaced and piece[:1] in _SPACES and known is self.known:
-                    self.risky.add(piece)
 
     def ids(self, text: str | None) -> bytes:
         """The ids of one whole text; none for null or empty texts."""
@@ -113,36 +120,56 @@ class PieceEncoder:
         if len(self.known) > self.max_entries:  # short pieces recur most: they stay while they are few
             short = {p: ids for p, ids in self.known.items() if len(p) <= 8}
             self.known = short if len(short) < self.max_entries // 2 else {}
-            self.risky &= {"", *self.known}
             self.heads = {}
-        split = [self._split(t) if t else [""] for t in texts]
-        heads, rests = ([p[0] for p in split], [p[1:] for p in split]) if self.spaced else ([""] * len(split), split)
-        distinct = set().union(*rests)
-        new = distinct.difference(self.known)
-        if self.spaced and (not self.risky.isdisjoint(distinct) or any(p[:1] in _SPACES for p in new)):
-            odd = self.risky.union(p for p in new if p[:1] in _SPACES)
-            for i, rest in enumerate(rests):  # white space next to a space: cut only where it is safe
-                if not odd.isdisjoint(rest):
-                    head, *rest = _CUT.split(texts[i])
-                    heads[i], rest = ("", [head, *rest]) if head[:1] == " " else (head, rest)
-                    rests[i] = [p[1:] for p in rest]
-            new = set().union(*rests).difference(self.known)
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        split = pc.split_pattern(column, " ") if self.spaced else pc.ascii_split_whitespace(column)
+        pieces, ends, heads = split.values, np.asarray(split.offsets).astype(np.int64), [""] * len(texts)
+        if self.spaced:  # the first piece has no space before it
+            heads = pieces.take(pa.array(ends[:-1])).to_pylist()
+            inner = np.ones(len(pieces), bool)
+            inner[ends[:-1]] = False
+            pieces, ends = pieces.filter(pa.array(inner)), ends - np.arange(len(ends))
+        found = pieces.dictionary_encode()
+        distinct, kinds = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices
+        coded = list(map(self.known.get, distinct))
+        new = {p for p, ids in zip(distinct, coded) if ids is None}
+        apart = {}
+        odd = [k for k, p in enumerate(distinct) if p[:1] in _SPACES] if self.spaced else []
+        if odd:  # white space next to a space: cut only where it is safe
+            places = np.flatnonzero(np.isin(np.asarray(kinds), odd))
+            for i in np.unique(np.searchsorted(ends, places, "right") - 1).tolist():
+                head, *rest = _CUT.split(texts[i])
+                heads[i], rest = ("", [head, *rest]) if head[:1] == " " else (head, rest)
+                apart[i] = [p[1:] for p in rest]
+            new.difference_update([distinct[k] for k in odd])
+            new.update(set().union(*apart.values()).difference(self.known))
         extra: dict[str, bytes] = {}
         self._learn(new, extra)
+        coded = [self._one(p, extra) if ids is None and p in new else ids for p, ids in zip(distinct, coded)]
+        joined = pa.array(coded, pa.large_binary()).take(kinds)
+        if len(joined):
+            data, at = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int64)[ends].tolist()
+        else:
+            data, at = memoryview(b""), [0] * len(ends)
         out = []
-        for head, rest in zip(heads, rests):
+        for i, head in enumerate(heads):
             begin = (self.heads[head] if head in self.heads else self.encode_many([head])[0]) if head else b""
-            if extra:
-                out.append(begin + b"".join([extra[p] if p in extra else self.known[p] for p in rest]))
-            else:
-                out.append(begin + b"".join(map(self.known.__getitem__, rest)))
+            out.append(begin + (b"".join([self._one(p, extra) for p in apart[i]]) if i in apart else data[at[i]:at[i + 1]]))
         return out
 
-    def _split(self, text: str) -> list[str]:
-        """At spaces; where white space is dropped at all of it (but not at what Python alone takes for it)."""
-        if self.spaced or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split(" ")
-        return text.split()
+    def _one(self, piece: str, extra: dict[str, bytes]) -> bytes:
+        return extra[piece] if piece in extra else self.known[piece]
+
+
+def text_groups(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``GROUP_ROWS`` rows whose texts have about ``GROUP_BYTES``, at least one row each."""
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[at] + GROUP_BYTES, "right")) - 1
+        end = min(max(end, at + 1), at + GROUP_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 _LOADED: dict[tuple[str, bool], PieceEncoder] = {}
@@ -157,7 +184,8 @@ def library_encoder(path: str, spaced: bool) -> PieceEncoder:
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
         _LOADED[path, spaced] = (
-            PieceEncoder(_by_tabs(tok), True, _by_feeds(tok), encode_words=_by_model(tok)) if spaced else PieceEncoder(_by_offsets(tok), False))
+            PieceEncoder(_by_tabs(tok), True, _by_feeds(tok), encode_words=_by_model(tok)) if spaced
+            else PieceEncoder(_by_offsets(tok), False, encode_words=_by_plain_model(tok)))
     return _LOADED[path, spaced]
 
 
@@ -194,17 +222,45 @@ def _by_model(tok) -> Callable[[list[str]], list[bytes]] | None:
     cut = own["pre_tokenizer"] or {}
     if own["normalizer"] is not None or own["model"]["type"] != "BPE" or (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) != ("ByteLevel", True, False):
         return None
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
-    letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+    letters = _letters()
+    space, tokenize = chr(letters[0x20]), tok.model.tokenize
+
     def encode_words(words: list[str]) -> list[bytes]:
         """Of words of letters, each with a space before it."""
-        space, tokenize = chr(letters[0x20]), tok.model.tokenize
         shown = " ".join(words).encode().decode("latin-1").translate(letters).split(space)
         return [array("I", [t.id for t in tokenize(space + w)]).tobytes() for w in shown] if words else []
 
     return encode_words
 
 
+def _letters() -> dict[int, int]:
+    """What byte-level vocabularies show each byte as."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+
+
+#: Texts are composed, white space is one space, letters are small; runs of letters are pieces of their own.
+_PLAIN = ({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+          {"type": "Sequence", "pretokenizers": [
+              {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+              {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+
+
+def _by_plain_model(tok) -> Callable[[list[str]], list[bytes]] | None:
+    """The same for a vocabulary that drops white space: a run of small letters is one piece."""
+    own = json.loads(tok.to_str())
+    if own["model"]["type"] != "BPE" or (own["normalizer"], own["pre_tokenizer"]) != _PLAIN:
+        return None
+    letters, tokenize = _letters(), tok.model.tokenize
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        """Of words of small letters."""
+        shown = " ".join(words).encode().decode("latin-1").translate(letters).split(chr(letters[0x20]))
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shown] if words else []
+
+    return encode_words
+
+
 def _by_tabs(tok) -> Callable[[list[str]], list[bytes]]:
     """Byte level: a tab before a space and a visible character is a token of its own, so tabs mark the cuts."""
     (tab,) = tok.encode("\t", add_special_tokens=False).ids

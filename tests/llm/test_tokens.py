@@ -1,11 +1,12 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from eventide.llm.tokens import library_encoder
+from eventide.llm.tokens import library_encoder, text_groups
 
 FILES = [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)]
 WHOLE = {}
@@ -37,3 +38,24 @@ def test_bounded_memory(name, spaced):
             assert len(encoder.known) <= 50 + 40
     finally:
         encoder.max_entries = old
+
+
+def test_plain_words_are_asked_of_the_model(monkeypatch):
+    """The whole tokenizer meets only what is no word of letters (op2: its normalizer was most of the time)."""
+    encoder, asked = library_encoder(public_tokenizers.path(FILES[0][0]), False), []
+    monkeypatch.setattr(encoder, "known", {})
+    monkeypatch.setattr(encoder, "heads", {})
+    monkeypatch.setattr(encoder, "encode_many", lambda texts, many=encoder.encode_many: (asked.extend(texts), many(texts))[1])
+    text = "Plain Words, \u00c9t\u00e9's stra\u00dfe (round) don't 4x words."
+    assert encoder.ids(text) == whole(FILES[0][0], text)
+    assert not {"Plain", "Words,", "words."} & set(asked) and "(round)" in asked
+
+
+def test_groups_of_texts():
+    """Slices hold every row once, in order; a long text is alone, nulls count nothing."""
+    texts = ["a" * 10, None, "b" * (9 << 20), "", "c"] + ["d" * (1 << 20)] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"]).slice(1)
+    groups = list(text_groups(batch))
+    assert [i for g in groups for i in g.column(0).to_pylist()] == list(range(1, len(texts)))
+    assert all(g.num_rows == 1 or sum(len(t or "") for t in g.column(1).to_pylist()) <= 8 << 20 for g in groups) and len(groups) < 8
+    assert not list(text_groups(batch.slice(0, 0)))
