@@ -3,9 +3,10 @@
 Both pre-tokenizers in use never let a token cross from the characters before a
 space to the ones after it, except inside a run of white space. So a text is cut
 before its spaces, each distinct piece is encoded by the library once and the ids
-of a text are the concatenation of its pieces' ids. Arrow cuts many texts at once and puts
-their ids together, so Python meets each distinct piece of a group of texts once. The memory of a worker is
-bounded by ``MAX_ENTRIES`` pieces of at most ``MAX_PIECE`` characters.
+of a text are the concatenation of its pieces' ids. Arrow cuts many texts at once, takes the plain
+pieces apart into words and what stands behind them, and puts the ids together, so Python meets each distinct
+word, ending and odd piece of a group of texts once. The memory of a worker is
+bounded by ``MAX_ENTRIES`` of these of at most ``MAX_PIECE`` characters.
 """
 
 from __future__ import annotations
@@ -23,17 +24,19 @@ import pyarrow.compute as pc
 MAX_ENTRIES = 800_000
 MAX_PIECE = 48
 #: Texts that are encoded together: at most so many, and about so many bytes.
-GROUP_ROWS, GROUP_BYTES = 2048, 8 << 20
+GROUP_ROWS, GROUP_BYTES = 1024, 8 << 20
 #: Cut before a space unless both its neighbours are white space (or the end).
 _SPACES = {c for c in map(chr, range(0x3001)) if c.isspace()} | {""}
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
 
 
-#: A word at the beginning of a piece: letters that every Unicode version knows. What follows begins a token of its own
-#: if it is an ASCII character, which no longer is a letter then.
-_WORD = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: A word, with the space before it where there is one, and what stands behind it: printable ASCII characters, the first
+#: no letter, so that it begins a token of its own. The letters are those that every Unicode version knows.
+_BEHIND = r"(?P<tail>(?:[!-@\[-`{-~][!-~]*)?)$"
+_WORD = "^(?P<word> ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)" + _BEHIND
 #: The same where words are composed and lower-cased first: letters whose small form is one letter.
-_PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN_WORD = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)" + _BEHIND
+_NOTHING = pa.scalar(b"", pa.large_binary())
 
 
 class PieceEncoder:
@@ -48,21 +51,27 @@ class PieceEncoder:
                  encode_heads: Callable[[list[str]], list[bytes]] | None = None, max_entries: int = MAX_ENTRIES,
                  encode_words: Callable[[list[str]], list[bytes]] | None = None):
         self.encode_many, self.spaced, self.max_entries = encode_many, spaced, max_entries
-        self.encode_words = encode_words  # words of letters (``spaced``: a space before each): pieces of the tokenizer's own cutting
+        self.encode_words = encode_words  # words of letters (``spaced``: some with a space before them): pieces of the tokenizer's own cutting
         self.encode_heads = encode_heads or encode_many  # for pieces without the space
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.feed = self.encode_many(["\n"])[0] if spaced else b""
 
     def _learn(self, pieces: set[str], extra: dict[str, bytes]) -> None:
         if not pieces:
             return
+        column = pa.array(list(pieces), pa.large_string())
+        coded = self._plain(column, self.spaced)
+        plain = coded.is_valid()
+        self._keep(self.known, column.filter(plain).to_pylist(), coded.filter(plain).to_pylist(), extra)
+        pieces = set(column.filter(coded.is_null()).to_pylist())
         lines: dict[str, list[str]] = {}
         if self.spaced:  # a line feed between visible characters is a token of its own: both sides recur elsewhere
             for piece in pieces:
                 if "\n" in piece and all(part.split() == [part] for part in piece.split("\n")):
                     lines[piece] = piece.split("\n")
             pieces = pieces.difference(lines).union({parts[0] for parts in lines.values()}.difference(self.known))
-        pieces = self._learn_words(pieces) if self.encode_words else pieces
         lead = " " if self.spaced else ""
         self._keep(self.known, list(pieces), self.encode_many([lead + p for p in pieces]), extra)
         if lines:
@@ -70,39 +79,40 @@ class PieceEncoder:
             long_heads: dict[str, bytes] = {}
             if heads:
                 self._keep(self.heads, heads, self.encode_heads(heads), long_heads)
-            feed = self.encode_many(["\n"])[0]
             for piece, (first, *others) in lines.items():
-                ids = feed.join([extra[first] if first in extra else self.known[first],
+                ids = self.feed.join([extra[first] if first in extra else self.known[first],
                                  *[long_heads[o] if o in long_heads else self.heads[o] for o in others]])
                 (extra if len(piece) > MAX_PIECE else self.known)[piece] = ids
 
-    def _learn_words(self, pieces: set[str]) -> set[str]:
-        """Learn the pieces that are a word, or a word and what stands behind it; returns the others."""
-        words, split, rest = set(), [], set()
-        match = (_WORD if self.spaced else _PLAIN_WORD).match
-        for piece in pieces:
-            word = match(piece) if len(piece) <= MAX_PIECE else None
-            end = word.end() if word else 0
-            if end and end == len(piece):
-                words.add(piece)
-                continue
-            tail = piece[end:]
-            if end and tail[0] < "\x80" and (tail.isascii() and tail.isprintable() or tail.split() == [tail]):
-                split.append((piece, piece[:end], tail))
-            else:
-                rest.add(piece)
-        words.update(w for _, w, _ in split)
-        plain = words if self.spaced else {w.lower() for w in words}
-        new = list(plain.difference(self.known))
-        self.known.update(zip(new, self.encode_words(new)))
-        if not self.spaced:
-            self.known.update([(w, self.known[w.lower()]) for w in words])
-        tails = list({t for _, _, t in split}.difference(self.heads))
-        if tails:
-            self.heads.update(zip(tails, self.encode_heads(tails)))
-        known, heads = self.known, self.heads
-        known.update([(piece, known[w] + heads[t]) for piece, w, t in split])
-        return rest
+    def _plain(self, pieces: pa.Array, lead: bool) -> pa.Array:
+        """The ids of the short pieces that are a word, or a word and what stands behind it, or (``spaced``) lines of
+        such; null for the others. ``lead``: a space stands before each piece."""
+        if not self.encode_words:
+            return pa.nulls(len(pieces), pa.large_binary())
+        short = pc.less_equal(pc.binary_length(pieces), MAX_PIECE)
+        pieces = pc.if_else(short, pieces, pa.scalar(None, pa.large_string()))
+        if lead:
+            pieces = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pieces, pa.scalar("", pa.large_string()))
+        lines = pc.split_pattern(pc.fill_null(pieces, ""), "\n") if self.spaced else None
+        words, tails = pc.extract_regex(pieces if lines is None else lines.values, _WORD if self.spaced else _PLAIN_WORD).flatten()
+        words = words if self.spaced else pc.utf8_lower(words)
+        coded = pc.binary_join_element_wise(self._coded(words, self.words, self.encode_words), self._coded(tails, self.heads, self.encode_heads), _NOTHING)
+        if lines is None:  # a line feed between visible characters is a token of its own
+            return coded
+        return pc.binary_join(pa.ListArray.from_arrays(lines.offsets, coded), pa.scalar(self.feed, pa.large_binary()))
+
+    @staticmethod
+    def _coded(column: pa.Array, known: dict[str, bytes], encode: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """The ids of each string of a column; only those not yet known are encoded."""
+        found = column.dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known[""] = b""
+        coded = list(map(known.get, distinct))
+        new = [s for s, ids in zip(distinct, coded) if ids is None]
+        if new:
+            known.update(zip(new, encode(new)))
+            coded = list(map(known.get, distinct))
+        return pa.array(coded, pa.large_binary()).take(found.indices)
 
     def _keep(self, known: dict[str, bytes], pieces: list[str], ids: list[bytes], extra: dict[str, bytes]) -> None:
         for piece, own in zip(pieces, ids):
@@ -117,43 +127,50 @@ class PieceEncoder:
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text. The texts' new pieces are learnt in one call."""
-        if len(self.known) > self.max_entries:  # short pieces recur most: they stay while they are few
-            short = {p: ids for p, ids in self.known.items() if len(p) <= 8}
-            self.known = short if len(short) < self.max_entries // 2 else {}
+        if len(self.known) + len(self.words) + len(self.heads) > self.max_entries:  # short pieces recur most: they stay while they are few
+            for kept in (self.known, self.words):
+                short = {p: ids for p, ids in kept.items() if len(p) <= 8}
+                kept.clear()
+                kept.update(short if len(short) < self.max_entries // 4 else {})
             self.heads = {}
         column = pa.array([t or "" for t in texts], pa.large_string())
         split = pc.split_pattern(column, " ") if self.spaced else pc.ascii_split_whitespace(column)
-        pieces, ends, heads = split.values, np.asarray(split.offsets).astype(np.int64), [""] * len(texts)
+        pieces, ends, heads, begins = split.values, np.asarray(split.offsets).astype(np.int64), [""] * len(texts), [None] * len(texts)
         if self.spaced:  # the first piece has no space before it
-            heads = pieces.take(pa.array(ends[:-1])).to_pylist()
+            first = pieces.take(pa.array(ends[:-1]))
+            heads, begins = first.to_pylist(), self._plain(first, False).to_pylist()
             inner = np.ones(len(pieces), bool)
             inner[ends[:-1]] = False
             pieces, ends = pieces.filter(pa.array(inner)), ends - np.arange(len(ends))
         found = pieces.dictionary_encode()
-        distinct, kinds = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices
-        coded = list(map(self.known.get, distinct))
-        new = {p for p, ids in zip(distinct, coded) if ids is None}
+        kinds, coded = np.asarray(found.indices), self._plain(found.dictionary, self.spaced)
+        others = np.flatnonzero(coded.is_null())
+        distinct = found.dictionary.take(pa.array(others)).to_pylist()
+        new = set(distinct).difference(self.known)
         apart = {}
-        odd = [k for k, p in enumerate(distinct) if p[:1] in _SPACES] if self.spaced else []
+        odd = [(k, p) for k, p in zip(others.tolist(), distinct) if p[:1] in _SPACES] if self.spaced else []
         if odd:  # white space next to a space: cut only where it is safe
-            places = np.flatnonzero(np.isin(np.asarray(kinds), odd))
+            places = np.flatnonzero(np.isin(kinds, [k for k, _ in odd]))
             for i in np.unique(np.searchsorted(ends, places, "right") - 1).tolist():
                 head, *rest = _CUT.split(texts[i])
-                heads[i], rest = ("", [head, *rest]) if head[:1] == " " else (head, rest)
+                heads[i], begins[i], rest = ("", None, [head, *rest]) if head[:1] == " " else (head, None, rest)
                 apart[i] = [p[1:] for p in rest]
-            new.difference_update([distinct[k] for k in odd])
+            new.difference_update([p for _, p in odd])
             new.update(set().union(*apart.values()).difference(self.known))
         extra: dict[str, bytes] = {}
         self._learn(new, extra)
-        coded = [self._one(p, extra) if ids is None and p in new else ids for p, ids in zip(distinct, coded)]
-        joined = pa.array(coded, pa.large_binary()).take(kinds)
+        rest = [extra[p] if p in extra else self.known.get(p) for p in distinct]
+        place = np.arange(len(coded))
+        place[others] = len(coded) + np.arange(len(others))
+        joined = pa.concat_arrays([coded, pa.array(rest, pa.large_binary())]).take(pa.array(place[kinds]))
         if len(joined):
             data, at = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int64)[ends].tolist()
         else:
             data, at = memoryview(b""), [0] * len(ends)
         out = []
-        for i, head in enumerate(heads):
-            begin = (self.heads[head] if head in self.heads else self.encode_many([head])[0]) if head else b""
+        for i, (head, begin) in enumerate(zip(heads, begins)):
+            if begin is None:
+                begin = (self.heads[head] if head in self.heads else self.encode_many([head])[0]) if head else b""
             out.append(begin + (b"".join([self._one(p, extra) for p in apart[i]]) if i in apart else data[at[i]:at[i + 1]]))
         return out
 
@@ -223,12 +240,12 @@ def _by_model(tok) -> Callable[[list[str]], list[bytes]] | None:
     if own["normalizer"] is not None or own["model"]["type"] != "BPE" or (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) != ("ByteLevel", True, False):
         return None
     letters = _letters()
-    space, tokenize = chr(letters[0x20]), tok.model.tokenize
+    feed, tokenize = chr(letters[0x0A]), tok.model.tokenize
 
     def encode_words(words: list[str]) -> list[bytes]:
-        """Of words of letters, each with a space before it."""
-        shown = " ".join(words).encode().decode("latin-1").translate(letters).split(space)
-        return [array("I", [t.id for t in tokenize(space + w)]).tobytes() for w in shown] if words else []
+        """Of words of letters, some with a space before them."""
+        shown = "\n".join(words).encode().decode("latin-1").translate(letters).split(feed)
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shown] if words else []
 
     return encode_words
 

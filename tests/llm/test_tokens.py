@@ -59,3 +59,25 @@ def test_groups_of_texts():
     assert [i for g in groups for i in g.column(0).to_pylist()] == list(range(1, len(texts)))
     assert all(g.num_rows == 1 or sum(len(t or "") for t in g.column(1).to_pylist()) <= 8 << 20 for g in groups) and len(groups) < 8
     assert not list(text_groups(batch.slice(0, 0)))
+
+
+def test_lines_of_plain_words_are_asked_of_the_model(monkeypatch):
+    """op10: words at the beginning of a text or a line too; the whole tokenizer meets none of them."""
+    encoder, asked = library_encoder(public_tokenizers.path(FILES[1][0]), True), []
+    for name in ("known", "words", "heads"):
+        monkeypatch.setattr(encoder, name, {}, raising=False)
+    monkeypatch.setattr(encoder, "encode_many", lambda texts, many=encoder.encode_many: (asked.extend(texts), many(texts))[1])
+    texts = ["First words of\nlines, and\nÉté others.", "of\nlines", "First"]
+    assert encoder.ids_of(texts) == [whole(FILES[1][0], t) for t in texts]
+    assert not asked
+
+
+@pytest.mark.parametrize("name,spaced", FILES)
+def test_words_and_what_stands_behind_them(name, spaced):
+    """Short, long and foreign words, joined by spaces, lines and both, as in the whole text."""
+    encoder = library_encoder(public_tokenizers.path(name), spaced)
+    words = ["word", "Word,", "don't", "a1", "1a", "e-mail", "x_y", "Été's", "straße.", "İstanbul", "ók", "naïve!?", "(round)",
+             "w" * 48, "w" * 49, "w" * 46 + ",,", "w" * 46 + ",,,", "é" * 24, "é" * 25, "don’t", "a\x1cb", "a\x85b", "\x7f", "<s>", "漢字"]
+    for gap in (" ", "\n", "  ", " \n", "\n ", "\n\n", "\t"):
+        texts = [gap.join(words), gap + gap.join(words[::-1]) + gap, *words, *[w + gap for w in words], *[gap + w for w in words]]
+        assert encoder.ids_of(texts) == [whole(name, t) for t in texts]
